@@ -73,8 +73,8 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(f"({MARK}+[^{MARK}]*)"))).otherwise(F.array().cast("array<string>"))
 
 
-def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words(word) -> word, edges: array<struct<cost, start, stop, id>>, best first. cost is minus the score.
+def lattice(words: DataFrame, pieces: Pieces, by: tuple[str, ...] = ("word",)) -> DataFrame:
+    """words(word, ...) -> word, ..., edges: array<struct<cost, start, stop, id>>, best first. cost is minus the score.
 
     A character that no piece covers has an edge with id -1 and the highest cost.
     """
@@ -85,34 +85,34 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
             lambda s: F.transform(F.sequence(s + 1, F.least(n, s + pieces.longest)), lambda e: F.struct(s.alias("start"), e.alias("stop"))),
         )
     )
-    parts = words.select("word", F.explode(spans).alias("span")).select("word", "span.start", "span.stop", F.substring(F.col("word"), F.col("span.start") + 1, F.col("span.stop") - F.col("span.start")).alias("piece"))
+    parts = words.select(*by, F.explode(spans).alias("span")).select(*by, "span.start", "span.stop", F.substring(F.col("word"), F.col("span.start") + 1, F.col("span.stop") - F.col("span.start")).alias("piece"))
     table = F.broadcast(pieces.table(words.sparkSession))  # as many rows as the model has pieces
     found = parts.join(table, "piece", "left").filter(F.col("id").isNotNull() | (F.col("stop") - F.col("start") == 1))
     edge = F.struct(F.coalesce(-F.col("score"), F.lit(float(1 << 40))).alias("cost"), "start", "stop", F.coalesce("id", F.lit(-1)).alias("id"))
-    return found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return found.groupBy(*by).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def _one(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
 
-def bpe_path(edges: Column, word: Column) -> Column:
-    """The edges that remain after all merges, in order. The state is a mask of the symbol borders inside the word."""
+def bpe_mask(edges: Column, word: Column) -> Column:
+    """The mask of symbol borders that all merges leave; bit k is the border before character k."""
     n = F.length(word)
     borders = _one(n + 1) - 1
     inner = lambda e: _one(e["stop"]) - _one(e["start"] + 1)  # noqa: E731  the bits strictly between
     ends = lambda e: _one(e["start"]).bitwiseOR(_one(e["stop"]))
-    merged = F.aggregate(
+    return F.aggregate(
         F.filter(edges, lambda e: e["stop"] - e["start"] > 1),
         borders,
         lambda mask, e: F.when(
             (mask.bitwiseAND(ends(e)) == ends(e)) & (F.bit_count(mask.bitwiseAND(inner(e))) == 1), mask.bitwiseAND(F.bitwise_not(inner(e)))
         ).otherwise(mask),
     )
-    return merged
 
 
 def kept_edges(edges: Column, mask: Column) -> Column:
+    """The edges between neighbouring borders, in order."""
     inner = lambda e: _one(e["stop"]) - _one(e["start"] + 1)
     ends = lambda e: _one(e["start"]).bitwiseOR(_one(e["stop"]))
     kept = F.filter(edges, lambda e: (mask.bitwiseAND(ends(e)) == ends(e)) & (mask.bitwiseAND(inner(e)) == 0))
@@ -149,24 +149,26 @@ def _bytes(char: Column, first: int) -> Column:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words(word), distinct -> word, ids."""
-    short = lattice(words.filter(F.length("word") <= MAX_WORD), pieces)
+    """words(word, ...), distinct words -> the same with ids."""
+    by = tuple(words.columns)
+    short = lattice(words.filter(F.length("word") <= MAX_WORD), pieces, by)
     if pieces.kind == UNIGRAM:
-        path = short.select("word", viterbi_path(F.col("edges")).alias("path"))
+        path = short.select(*by, viterbi_path(F.col("edges")).alias("path"))
     else:
-        path = short.withColumn("mask", bpe_path(F.col("edges"), F.col("word"))).select("word", kept_edges(F.col("edges"), F.col("mask")).alias("path"))
+        path = short.withColumn("mask", bpe_mask(F.col("edges"), F.col("word"))).select(*by, kept_edges(F.col("edges"), F.col("mask")).alias("path"))
     plain = F.transform("path", lambda e: e["id"])
     spelled = F.flatten(F.transform("path", lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(_bytes(F.substring(F.col("word"), e["start"] + 1, F.lit(1)), pieces.first_byte))))
-    done = path.select("word", F.when(F.exists("path", lambda e: e["id"] < 0), spelled).otherwise(plain).alias("ids"))
-    rows, first, longest, kind = pieces.rows, pieces.first_byte, pieces.longest, pieces.kind
-    ranks = {p: (-s, k) for k, p, s in rows}
+    done = path.select(*by, F.when(F.exists("path", lambda e: e["id"] < 0), spelled).otherwise(plain).alias("ids"))
+    first, longest, kind = pieces.first_byte, pieces.longest, pieces.kind
+    ranks = {p: (-s, k) for k, p, s in pieces.rows}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([fold_long(w, ranks, first, longest, kind) for w in texts], pa.list_(pa.int32()))], names=["word", "ids"])
+            ids = [fold_long(w, ranks, first, longest, kind) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*by, "ids"])
 
-    return done.unionByName(words.filter(F.length("word") > MAX_WORD).mapInArrow(run, "word string, ids array<int>"))
+    schema = ", ".join(f"{c} {t}" for c, t in words.dtypes) + ", ids array<int>"
+    return done.unionByName(words.filter(F.length("word") > MAX_WORD).mapInArrow(run, schema))
 
 
 def fold_long(word: str, ranks: dict[str, tuple[float, int]], first_byte: int, longest: int, kind: int = BPE) -> list[int]:
@@ -202,12 +204,17 @@ def fold_long(word: str, ranks: dict[str, tuple[float, int]], first_byte: int, l
     return out
 
 
-def _grouped(docs: DataFrame, groups: int | None) -> DataFrame:
-    """group, doc_id, text: dealt by a hash of the document, so that no group grows with a source."""
+def _dealt(docs: DataFrame, groups: int | None) -> DataFrame:
+    """group, doc: dealt by a hash of the document, so that no group grows with a source.
+
+    doc is doc_id (hex of its string, or - for null), a bar and the text. As one column it is the same
+    for both readers of the exchange, which Spark then makes once.
+    """
     groups = groups or max(1, -(-docs.count() // GROUP_DOCS))
     text = text_of(docs)
+    ident = F.coalesce(F.hex(F.col("doc_id").cast("string").cast("binary")), F.lit("-"))
     key = F.pmod(F.xxhash64("doc_id", F.length(text)), F.lit(groups)).alias("group")
-    return docs.select(key, "doc_id", text.alias("text")).repartition(max(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "group")
+    return docs.select(key, F.concat(ident, F.lit("|"), text).alias("doc")).repartition(max(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "group")
 
 
 def _assemble(decode: dict[int, bytes] | None):
@@ -220,7 +227,9 @@ def _assemble(decode: dict[int, bytes] | None):
         place = {w: k for k, w in enumerate(vocabulary.column("word").to_pylist())}
         sizes = np.diff(ends)
         out = []
-        for text in docs.column("text").to_pylist():
+        idents, texts = zip(*(d.split("|", 1) for d in docs.column("doc").to_pylist()), strict=True)
+        doc_id = pa.array([None if x == "-" else bytes.fromhex(x).decode() for x in idents], pa.string())
+        for text in texts:
             words = split_words(text)
             rows = np.fromiter((place[w] for w in words), np.int64, len(words))
             n = sizes[rows]
@@ -229,11 +238,11 @@ def _assemble(decode: dict[int, bytes] | None):
             out.append(values[np.arange(len(shift)) + shift].astype(np.int32))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
         flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-        columns = {"doc_id": docs.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))}
+        columns = {"doc_id": doc_id, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))}
         if decode is not None:
-            same = [decode_ids(x, decode) == t.replace(MARK, " ") for x, t in zip(out, docs.column("text").to_pylist(), strict=True)]
+            same = [decode_ids(x, decode) == t.replace(MARK, " ") for x, t in zip(out, texts, strict=True)]
             columns = {
-                "doc_id": docs.column("doc_id"),
+                "doc_id": doc_id,
                 "n_tokens": pa.array([len(x) for x in out], pa.int64()),
                 "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in out], pa.int64()),
                 "round_trip": pa.array(same, pa.bool_()),
@@ -272,12 +281,15 @@ def byte_table(pieces: Pieces) -> dict[int, bytes]:
 
 
 def _encoded(docs: DataFrame, pieces: Pieces, groups: int | None, decode: dict[int, bytes] | None, schema: str) -> DataFrame:
-    dealt = _grouped(docs.select("doc_id", "text"), groups)
-    pairs = dealt.select("group", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).distinct()
-    encoded = encode_words(pairs.select("word").distinct(), pieces)
-    vocabulary = pairs.join(encoded, "word").select(F.col("group").alias("of_group"), "word", "ids")
-    kind = dict(docs.dtypes)["doc_id"]
-    return dealt.groupBy("group").cogroup(vocabulary.groupBy("of_group")).applyInArrow(_assemble(decode), f"doc_id {kind}, {schema}")
+    dealt = _dealt(docs.select("doc_id", "text"), groups)
+    text = F.substring(F.col("doc"), F.instr("doc", "|") + 1, F.length("doc"))
+    pairs = dealt.select("group", F.explode(F.array_distinct(words_of(text))).alias("word")).distinct().repartition("word")
+    # a word's smallest group rides along, so that both readers of this exchange need the same columns
+    once = pairs.groupBy("word").agg(F.min("group").alias("low"))
+    encoded = encode_words(once, pieces).withColumnRenamed("word", "of_word")
+    vocabulary = pairs.join(encoded, (F.col("word") == F.col("of_word")) & (F.col("low") <= F.col("group"))).select(F.col("group").alias("of_group"), "word", "ids")
+    out = dealt.groupBy("group").cogroup(vocabulary.groupBy("of_group")).applyInArrow(_assemble(decode), f"doc_id string, {schema}")
+    return out.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))
 
 
 def encode(docs: DataFrame, model_path: str, groups: int | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ WEIGHTS = (1, 2, 3)
 CAP = 3.0
 BUCKET = 1000
 EPS = 1e-9
-FLIGHTS = 24
+FLIGHTS = 64
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -103,13 +103,18 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _fly(last: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "ident"], ascending=[False, True], kind="stable")  # so that small documents are left
+        rows = rows.sort_values(["ident", "size"], kind="stable")
         rng = np.random.default_rng([int(key[0]) & 0xFFFFFFFFFFFFFFFF, int(key[1]), len(rows)])
         p, size = rows["p"].to_numpy(float), rows["size"].to_numpy(float)
         if not last:
             return rows.assign(p=flight(p, size, rng))
         # of several flights the one whose landing is nearest in tokens
-        due, landed = float(p @ size), [landing(flight(p, size, rng), size) for _ in range(FLIGHTS)]
+        due, landed = float(p @ size), []
+        for _ in range(FLIGHTS):
+            turn = rng.permutation(len(p))
+            x = np.empty(len(p))
+            x[turn] = landing(flight(p[turn], size[turn], rng), size[turn])
+            landed.append(x)
         return rows.assign(p=min(landed, key=lambda x: abs(float(x @ size) - due)))
 
     return run

@@ -1,11 +1,550 @@
-"""All named queries of the library with their SQL oracles."""
+"""All named queries of the library, bound to the supplied tables, with their SQL oracles.
+
+lineitem stands for transactions (l_quantity is the area, l_extendedprice / l_quantity the unit
+price, p_brand the district), orders for listings, events for calendars, customers for places.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geo, stats, text
+from ..functions import time as tm
+from ..operators import charts, comps, forecast, leaders, listings, occupancy, prices, sinks, spatial
+from ..sources import html
+
+AS_OF = "2001-11-05"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+#: Where rounding turns; off the half, so that engines that treat halves differently agree.
+TURN = 0.4137
+
+
+def rounded(sql: str) -> str:
+    """rnd(x, n) spelled out as r() computes it."""
+    while (at := sql.find("rnd(")) >= 0:
+        depth, end = 1, at + 4
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        x, _, n = sql[at + 4 : end - 1].rpartition(",")
+        sql = f"{sql[:at]}(floor(({x}) * 1e{int(n)} + {TURN}) / 1e{int(n)}){sql[end:]}"
+    return sql
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = rounded(sql)
+        return f
+
+    return add
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def as_of():
+    return F.lit(AS_OF).cast("timestamp")
+
+
+def r(c, n: int = 4):
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * 10.0**n + TURN) / 10.0**n
+
+
+UNIT = F.col("l_extendedprice") / F.col("l_quantity")
+
+
+def sales(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem as transactions with the unit price."""
+    return t(spark, sf, "lineitem").withColumn("unit", UNIT)
+
+
+def branded(spark: SparkSession, sf: str) -> DataFrame:
+    parts = t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+    return sales(spark, sf).join(parts, "l_partkey")
+
+
+def with_nation(spark: SparkSession, sf: str) -> DataFrame:
+    s = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
+    n = t(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return sales(spark, sf).join(s, "l_suppkey").join(F.broadcast(n), "n_nationkey")
+
+
+# ---- series and groups ------------------------------------------------------------------------------
+
+
+@query(f"""select strftime(l_shipdate, '%Y-%m') as month, rnd(avg(l_extendedprice / l_quantity), 4) as avg_value, count(*) as n
+from lineitem where l_shipdate >= timestamp '{AS_OF}' - interval 1095 days and l_extendedprice / l_quantity between 500 and 40000 group by 1""")
+def price_trend(spark, sf):
+    out = charts.monthly_average(sales(spark, sf), "l_shipdate", "unit", since=tm.days_before(as_of(), 1095), band=charts.PRICE_BAND)
+    return out.withColumn("avg_value", r("avg_value"))
+
+
+@query("select strftime(l_shipdate, '%Y-%m') as month, count(*) as n from lineitem group by 1")
+def tx_volume(spark, sf):
+    return charts.monthly_average(sales(spark, sf), "l_shipdate", "unit").select("month", "n")
+
+
+@query(f"""with x as (select s_nationkey as k, l_extendedprice / l_quantity as u, l_shipdate >= timestamp '{AS_OF}' - interval 365 days as new
+  from lineitem join supplier on l_suppkey = s_suppkey where l_shipdate >= timestamp '{AS_OF}' - interval 730 days and l_shipdate <= timestamp '{AS_OF}')
+select k as n_nationkey, rnd(avg(u) filter (new), 4) as recent, rnd(avg(u) filter (not new), 4) as prior, count(*) filter (new) as n, count(*) filter (not new) as n_prior,
+  rnd((avg(u) filter (new) / avg(u) filter (not new) - 1) * 100, 4) as growth_pct
+from x group by 1 having count(*) filter (new) >= 10 and count(*) filter (not new) >= 10 and abs((avg(u) filter (new) / avg(u) filter (not new) - 1) * 100) <= 200""")
+def yoy_by_geo(spark, sf):
+    g = charts.year_on_year(with_nation(spark, sf), "n_nationkey", "l_shipdate", "unit", as_of())
+    return g.select("n_nationkey", r("recent").alias("recent"), r("prior").alias("prior"), "n", "n_prior", r("growth_pct").alias("growth_pct"))
+
+
+@query("""select strftime(l_shipdate, '%Y') as key, rnd(avg(l_extendedprice / l_quantity) filter (l_linestatus = 'O'), 4) as a, rnd(avg(l_extendedprice / l_quantity) filter (l_linestatus = 'F'), 4) as b,
+  count(*) filter (l_linestatus = 'O') as n_a, count(*) filter (l_linestatus = 'F') as n_b
+from lineitem group by 1 having count(*) filter (l_linestatus = 'O') >= 5 and count(*) filter (l_linestatus = 'F') >= 5""")
+def pivot_two_markets(spark, sf):
+    g = charts.two_sides(sales(spark, sf), tm.year(F.col("l_shipdate")), F.col("l_linestatus"), "unit", ("O", "F"))
+    return g.select("key", r("a").alias("a"), r("b").alias("b"), "n_a", "n_b")
+
+
+BAND_SQL = "case when l_quantity < 10 then 'a<10' when l_quantity < 20 then 'b10-20' when l_quantity < 35 then 'c20-35' when l_quantity < 45 then 'd35-45' else 'e45+' end"
+BAND_CUTS, BAND_NAMES = [10, 20, 35, 45], ["a<10", "b10-20", "c20-35", "d35-45", "e45+"]
+
+
+@query(f"select {BAND_SQL} as band, rnd(avg(l_extendedprice / l_quantity), 4) as avg_value, count(*) as n from lineitem group by 1")
+def band_segments(spark, sf):
+    return sales(spark, sf).groupBy(charts.banded(F.col("l_quantity"), BAND_CUTS, BAND_NAMES).alias("band")).agg(r(F.avg("unit")).alias("avg_value"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""with s as (select s_nationkey as k, avg(l_extendedprice) as sale, count(*) as ns from lineitem join supplier on l_suppkey = s_suppkey group by 1 having count(*) >= 5),
+q as (select c_nationkey as k, avg(o_totalprice) as rent, count(*) as nr from orders join customer on o_custkey = c_custkey group by 1 having count(*) >= 5)
+select k as n_nationkey, rnd(rent * 12 * 100 / sale, 4) as gross_yield, ns, nr from s join q using (k)""")
+def two_sided_yield(spark, sf):
+    s = with_nation(spark, sf).groupBy("n_nationkey").agg(F.avg("l_extendedprice").alias("sale"), F.count(F.lit(1)).alias("ns")).filter("ns >= 5")
+    c = t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
+    q = t(spark, sf, "orders").join(c, "o_custkey").groupBy("n_nationkey").agg(F.avg("o_totalprice").alias("rent"), F.count(F.lit(1)).alias("nr")).filter("nr >= 5")
+    return s.join(q, "n_nationkey").select("n_nationkey", r(F.col("rent") * 12 * 100 / F.col("sale")).alias("gross_yield"), "ns", "nr")
+
+
+@query("""with per as (select user_id, min(value) as low, max(value) as high, max(ts) as last, user_id % 10 as place from events group by 1)
+select place, count(*) as items, count(*) filter (low < high) as dropped, rnd(count(*) filter (low < high) / count(*), 6) as share
+from per where last >= timestamp '2024-01-20' group by 1 having count(*) >= 5""")
+def price_drop_share(spark, sf):
+    e = t(spark, sf, "events").withColumn("place", F.col("user_id") % 10)
+    return charts.price_drops(e, "user_id", "place", "ts", "value", F.lit("2024-01-20").cast("timestamp")).withColumn("share", r("share", 6))
+
+
+@query("""with b as (select unnest(range(7)) as bucket), x as (select len(list_filter([20, 50, 100, 200, 400, 1000], lambda c: c <= value)) as bucket, count(*) as n from events where value is not null group by 1)
+select cast(b.bucket as integer) as bucket, coalesce(n, 0) as n from b left join x on b.bucket = x.bucket""")
+def histogram(spark, sf):
+    return charts.histogram(t(spark, sf, "events"), F.col("value"), [20, 50, 100, 200, 400, 1000])
+
+
+@query("""select 'total' as facet, null as value, count(*) as n from orders union all select 'o_orderstatus', o_orderstatus, count(*) from orders where o_orderstatus is not null group by 2
+union all select 'o_orderpriority', o_orderpriority, count(*) from orders where o_orderpriority is not null group by 2""")
+def facets(spark, sf):
+    return charts.facets(t(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+@query("""select cast(trunc(c_acctbal / 500) as bigint) as cell_lat, cast(trunc(c_custkey / 100.0) as bigint) as cell_lng, count(distinct c_custkey) as items, count(*) as n, rnd(avg(o_totalprice), 4) as avg_value
+from orders join customer on o_custkey = c_custkey group by 1, 2""")
+def grid_cells(spark, sf):
+    c = t(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") / 500).alias("lat"), (F.col("c_custkey") / 100).alias("lng"))
+    return charts.grid_cells(t(spark, sf, "orders").join(c, "o_custkey"), "lat", "lng", 1.0, "o_custkey", "o_totalprice").withColumn("avg_value", r("avg_value"))
+
+
+@query("""with p as (select cast(trunc(c_acctbal / 500) as bigint) as cell_lat, cast(trunc(c_custkey / 100.0) as bigint) as cell_lng, c_mktsegment as source, count(*) as n, sum(c_acctbal / 500) as a, sum(c_custkey / 100.0) as b from customer group by 1, 2, 3)
+select cell_lat, cell_lng, cast(sum(n) as bigint) as n, rnd(sum(a) / sum(n), 4) as lat, rnd(sum(b) / sum(n), 4) as lng, first(source order by n desc, source) as source from p group by 1, 2""")
+def map_clusters(spark, sf):
+    c = t(spark, sf, "customer").select((F.col("c_acctbal") / 500).alias("lat"), (F.col("c_custkey") / 100).alias("lng"), F.col("c_mktsegment").alias("source"))
+    return charts.clusters(c, "lat", "lng", 1.0, "source").withColumn("lat", r("lat")).withColumn("lng", r("lng"))
+
+
+@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1")
+def latest_per_key(spark, sf):
+    return charts.latest(t(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query("""with x as (select l_suppkey, p_brand, count(*) as n, max(l_shipdate) as last from lineitem join part on l_partkey = p_partkey group by 1, 2)
+select l_suppkey, p_brand, n from (select *, row_number() over (partition by l_suppkey order by n desc, last desc, p_brand) as k from x) where k = 1""")
+def mode_per_key(spark, sf):
+    return charts.mode_per_key(branded(spark, sf), "l_suppkey", "p_brand", "l_shipdate")
+
+
+@query("""select o_orderpriority, o_orderkey, o_totalprice, cast(rank as integer) as rank from (select *, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 25""")
+def top_n_per_segment(spark, sf):
+    return charts.top_n(t(spark, sf, "orders"), "o_orderpriority", [F.desc("o_totalprice"), F.asc("o_orderkey")], 25).select("o_orderpriority", "o_orderkey", "o_totalprice", "rank")
+
+
+@query("select event_type, count(*) as n, count(value) * 100.0 / count(*) as pct_value, count(props) * 100.0 / count(*) as pct_props from events group by 1")
+def coverage_by_source(spark, sf):
+    return charts.coverage(t(spark, sf, "events"), "event_type", ["value", "props"])
+
+
+@query("""with g as (select p_brand as key, avg(l_extendedprice) filter (l_linestatus = 'O') as a, count(*) filter (l_linestatus = 'O') as n_a, avg(l_extendedprice) filter (l_linestatus = 'F') as b, count(*) filter (l_linestatus = 'F') as n_b
+from lineitem join part on l_partkey = p_partkey group by 1 having count(*) filter (l_linestatus = 'O') >= 3 and count(*) filter (l_linestatus = 'F') >= 3)
+select key, n_a, n_b, rnd(b * 12 * 100 / a, 4) as gross_yield, rnd(b * 12 / 0.05, 4) as fair, rnd(a / (b * 12), 6) as payback, rnd((a / (b * 12 / 0.05) - 1) * 100, 4) as over_pct from g order by b * 12 * 100 / a desc, key limit 15""")
+def district_valuation(spark, sf):
+    g = charts.district_valuation(branded(spark, sf), "p_brand", F.col("l_linestatus"), "l_extendedprice", "O", "F")
+    return g.select("key", "n_a", "n_b", r("gross_yield").alias("gross_yield"), r("fair").alias("fair"), r("payback", 6).alias("payback"), r("over_pct").alias("over_pct"))
+
+
+# ---- set and semi operations ------------------------------------------------------------------------
+
+
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+def anti_missing(spark, sf):
+    return t(spark, sf, "customer").join(t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("select s_suppkey, s_name from supplier where exists (select 1 from lineitem where l_suppkey = s_suppkey and l_returnflag = 'R')")
+def semi_exists(spark, sf):
+    back = t(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey"))
+    return t(spark, sf, "supplier").join(back, "s_suppkey", "left_semi").select("s_suppkey", "s_name")
+
+
+@query("select o_custkey as k from orders where o_orderstatus = 'P' union select c_custkey from customer where c_mktsegment = 'BUILDING'")
+def union_distinct(spark, sf):
+    a = t(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k"))
+    return a.union(t(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")).distinct()
+
+
+@query("select o_orderkey, o_totalprice, o_orderdate from orders order by o_orderdate desc, o_orderkey desc limit 20 offset 40")
+def paged(spark, sf):
+    return listings.page(t(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"), [F.desc("o_orderdate"), F.desc("o_orderkey")], 3, 20)
+
+
+# ---- statistics -------------------------------------------------------------------------------------
+
+
+@query("""select p_brand, list_sort(list(l_extendedprice / l_quantity))[cast(floor(count(*) / 2) as bigint) + 1] as upper_median, rnd(quantile_cont(l_extendedprice / l_quantity, 0.25), 4) as q25, rnd(median(l_extendedprice / l_quantity), 4) as median
+from lineitem join part on l_partkey = p_partkey group by 1""")
+def quantiles(spark, sf):
+    u = F.col("unit")
+    return branded(spark, sf).groupBy("p_brand").agg(stats.upper_median(u).alias("upper_median"), r(stats.quantile(u, 0.25)).alias("q25"), r(stats.median(u)).alias("median"))
+
+
+@query("""with x as (select p_brand, l_extendedprice / l_quantity as v, l_quantity as w from lineitem join part on l_partkey = p_partkey),
+c as (select p_brand, v, sum(w) over (partition by p_brand order by v, w rows unbounded preceding) as run, sum(w) over (partition by p_brand) as total from x)
+select p_brand, min(v) as weighted_median from c where run >= total * 0.5 group by 1""")
+def weighted_quantile(spark, sf):
+    return stats.weighted_quantiles(branded(spark, sf), ["p_brand"], F.col("unit"), F.col("l_quantity"), 0.5, "weighted_median")
+
+
+@query()
+def huber_price(spark, sf):
+    return branded(spark, sf).groupBy("p_brand").agg(stats.huber_price(F.col("unit"), F.col("l_quantity")).alias("price"))
+
+
+@query("""select p_type, rnd(-regr_slope(ln(l_extendedprice / l_quantity), ln(l_quantity)), 6) as beta, rnd(regr_r2(ln(l_extendedprice / l_quantity), ln(l_quantity)), 6) as r2, cast(regr_count(ln(l_extendedprice / l_quantity), ln(l_quantity)) as bigint) as n
+from lineitem join part on l_partkey = p_partkey group by 1""")
+def elasticity(spark, sf):
+    g = branded(spark, sf).groupBy("p_type").agg(*stats.elasticity(F.col("unit"), F.col("l_quantity")))
+    return g.select("p_type", r("beta", 6).alias("beta"), r("r2", 6).alias("r2"), "n")
+
+
+# ---- price indices ----------------------------------------------------------------------------------
+
+
+def medians(spark, sf) -> DataFrame:
+    rows = branded(spark, sf).withColumn("band", charts.banded(F.col("l_quantity"), BAND_CUTS, BAND_NAMES))
+    return prices.stratified_medians(rows, ["p_brand"], "l_shipdate", "unit")
+
+
+MEDIANS_SQL = f"""with x as (select p_brand, strftime(l_shipdate, '%Y') || '-Q' || cast(quarter(l_shipdate) as varchar) as period, {BAND_SQL} as band, l_extendedprice / l_quantity as u from lineitem join part on l_partkey = p_partkey),
+b as (select p_brand, period, band, median(u) as band_median, count(*) as band_n from x group by 1, 2, 3), w as (select p_brand, period, median(u) as overall_median, count(*) as overall_n from x group by 1, 2)"""
+
+
+@query(MEDIANS_SQL + " select p_brand, period, band, rnd(band_median, 4) as band_median, band_n, rnd(overall_median, 4) as overall_median, overall_n from b join w using (p_brand, period)")
+def stratified_median(spark, sf):
+    return medians(spark, sf).select("p_brand", "period", "band", r("band_median").alias("band_median"), "band_n", r("overall_median").alias("overall_median"), "overall_n")
+
+
+@query("""with p as (select p_partkey, l_quantity, l_extendedprice, l_linestatus, p_type from lineitem join part on l_partkey = p_partkey),
+x as (select case p_type when 'SMALL' then 'unit' when 'LARGE' then 'building' when 'PROMO' then 'parcel' end as kind, l_quantity * case p_type when 'SMALL' then 4 when 'LARGE' then 10 else 100 end as area, l_extendedprice / l_quantity as u, case l_linestatus when 'O' then 1 else 2 end as market from p),
+s as (select 'flat' as segment, case when area < 35 then 'a<35' when area < 60 then 'b35-60' when area < 90 then 'c60-90' when area < 130 then 'd90-130' else 'e130+' end as band, u from x where kind = 'unit' and area between 10 and 250 and u between 500 and 60000
+union all select case market when 1 then 'flat_primary' else 'flat_secondary' end, case when area < 35 then 'a<35' when area < 60 then 'b35-60' when area < 90 then 'c60-90' when area < 130 then 'd90-130' else 'e130+' end, u from x where kind = 'unit' and area between 10 and 250 and u between 500 and 60000
+union all select 'house', case when area < 100 then 'a<100' when area < 160 then 'b100-160' when area < 250 then 'c160-250' else 'd250+' end, u from x where kind = 'building' and area between 20 and 2000 and u between 100 and 40000
+union all select 'plot', case when area < 800 then 'a<800' when area < 2000 then 'b800-2000' when area < 5000 then 'c2000-5000' else 'd5000+' end, u from x where kind = 'parcel' and area between 50 and 100000 and u between 0.01 and 20000)
+select segment, band, count(*) as n, rnd(avg(u), 4) as avg_value from s group by 1, 2""")
+def overlapping_segments(spark, sf):
+    kind = F.when(F.col("p_type") == "SMALL", "unit").when(F.col("p_type") == "LARGE", "building").when(F.col("p_type") == "PROMO", "parcel")
+    area = F.col("l_quantity") * F.when(F.col("p_type") == "SMALL", 4).when(F.col("p_type") == "LARGE", 10).otherwise(100)
+    rows = branded(spark, sf).select(kind.alias("kind"), area.alias("area_m2"), F.col("unit").alias("price_per_m2"), F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("market"))
+    return prices.segmented(rows).groupBy("segment", "band").agg(F.count(F.lit(1)).alias("n"), r(F.avg("price_per_m2")).alias("avg_value"))
+
+
+@query()
+def chain_index(spark, sf):
+    return prices.chain_index(prices.observations(medians(spark, sf), ["p_brand"]), ["p_brand"])
+
+
+@query(MEDIANS_SQL + """, items as (select l_orderkey, l_linenumber, p_brand, strftime(l_shipdate, '%Y') || '-Q' || cast(quarter(l_shipdate) as varchar) as at from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R'),
+pts as (select p_brand, period, overall_median as v from w where period <= '2001-Q2' and overall_median > 0 and substr(period, 7, 1) in ('1', '3')),
+ends as (select p_brand, last(v order by period) as to_index, first(v order by period) as first_index from pts group by 1)
+select l_orderkey, l_linenumber, rnd(to_index / coalesce((select max_by(v, period) from pts where pts.p_brand = items.p_brand and pts.period <= items.at), first_index), 6) as factor from items left join ends using (p_brand)""")
+def asof_index(spark, sf):
+    m = medians(spark, sf).select("p_brand", "period", "overall_median").distinct().filter(F.substring("period", 7, 1).isin("1", "3"))
+    series = m.select("p_brand", "period", F.col("overall_median").alias("index_value"), F.lit(1).alias("n"))
+    items = branded(spark, sf).filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "p_brand", tm.quarter(F.col("l_shipdate")).alias("at"))
+    return prices.time_factor(items, series, ["p_brand"], "at", "2001-Q2").select("l_orderkey", "l_linenumber", r("factor", 6).alias("factor"))
+
+
+@query("""with a as (select n_regionkey as k, strftime(o_orderdate, '%Y-%m') as period, median(o_totalprice) as ask, count(*) as na from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2),
+s as (select n_regionkey as k, strftime(l_shipdate, '%Y-%m') as period, median(l_extendedprice) as sale, count(*) as nt from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2),
+b as (select k, sale / ask as r, least(na, nt) as w from a join s using (k, period) where na >= 10 and nt >= 10 and sale / ask between 0.1 and 1),
+c as (select k, r, w, sum(w) over (partition by k order by r, w rows unbounded preceding) as run, sum(w) over (partition by k) as total from b)
+select k as n_regionkey, round(min(r) filter (run >= total * 0.5), 3) as ratio, cast(max(total) as bigint) as n from c group by 1""")
+def asking_ratio(spark, sf):
+    n = t(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    c = t(spark, sf, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "n_regionkey")
+    asks = t(spark, sf, "orders").join(c, "o_custkey").select("n_regionkey", tm.month(F.col("o_orderdate")).alias("period"), F.col("o_totalprice").alias("price"))
+    sold = with_nation(spark, sf).select("n_regionkey", tm.month(F.col("l_shipdate")).alias("period"), F.col("l_extendedprice").alias("price"))
+    return comps.asking_ratio(asks, sold, ["n_regionkey"], least=10, bounds=(0.1, 1.0))
+
+
+# ---- spatial ----------------------------------------------------------------------------------------
+
+POINT_SQL = "49.2 + (({k} * 7919) % 1300) / 1000.0 as lat, 19.1 + (({k} * 104729) % 2300) / 1000.0 as lng"
+
+
+def points(df: DataFrame, key: str) -> DataFrame:
+    """Coordinates made from a key."""
+    k = F.col(key)
+    return df.select(key, (F.lit(49.2) + (k * 7919) % 1300 / 1000.0).alias("lat"), (F.lit(19.1) + (k * 104729) % 2300 / 1000.0).alias("lng"))
+
+
+HAVERSINE_SQL = "2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))))"
+
+
+@query(f"""with a as (select s_suppkey, {POINT_SQL.format(k='s_suppkey')} from supplier), b as (select c_custkey, {POINT_SQL.format(k='c_custkey')} from customer)
+select s_suppkey, c_custkey, rnd({HAVERSINE_SQL}, 2) as distance_m from a join b on {HAVERSINE_SQL} <= 3000""")
+def range_join_radius(spark, sf):
+    pairs = spatial.within_radius(points(t(spark, sf, "supplier"), "s_suppkey"), points(t(spark, sf, "customer"), "c_custkey"), 3000.0)
+    return pairs.select("s_suppkey", F.col("r_c_custkey").alias("c_custkey"), r("distance_m", 2).alias("distance_m"))
+
+
+@query(f"""with a as (select s_suppkey, {POINT_SQL.format(k='s_suppkey')} from supplier), b as (select c_custkey, {POINT_SQL.format(k='c_custkey')} from customer),
+p as (select s_suppkey, c_custkey, {HAVERSINE_SQL} as d from a join b on {HAVERSINE_SQL} <= 5000)
+select s_suppkey, c_custkey, rnd(d, 2) as distance_m from (select *, row_number() over (partition by s_suppkey order by d, c_custkey) as k from p) where k = 1""")
+def nearest_neighbour(spark, sf):
+    n = spatial.nearest(points(t(spark, sf, "supplier"), "s_suppkey"), points(t(spark, sf, "customer"), "c_custkey"), "s_suppkey", "c_custkey", 5000.0)
+    return n.withColumn("distance_m", r("distance_m", 2))
+
+
+@query(f"""with p as (select c_custkey, {POINT_SQL.format(k='c_custkey')} from customer), q as (select n_nationkey, 49.3 + n_nationkey * 0.04 as y, 19.3 + n_nationkey * 0.07 as x from nation)
+select c_custkey, n_nationkey from p join q on lat > y - 0.05 and lat < y + 0.05 and abs(lng - x) < 0.09 * (0.05 - abs(lat - y)) / 0.05""")
+def point_in_polygon(spark, sf):
+    """Diamonds around a centre; no point lies on a border in the supplied data."""
+    y, x = F.lit(49.3) + F.col("n_nationkey") * 0.04, F.lit(19.3) + F.col("n_nationkey") * 0.07
+    corner = lambda a, b: F.struct((y + a).alias("lat"), (x + b).alias("lng"))
+    rings = t(spark, sf, "nation").select("n_nationkey", F.array(corner(-0.05, 0.0), corner(0.0, 0.09), corner(0.05, 0.0), corner(0.0, -0.09)).alias("ring"))
+    return spatial.points_in_rings(points(t(spark, sf, "customer"), "c_custkey"), rings, 0.05).select("c_custkey", "n_nationkey")
+
+
+@query(f"""with p as (select c_custkey, {POINT_SQL.format(k='c_custkey')} from customer)
+select c_custkey, case when lat between 49.15 and 50.55 and lng between 19.05 and 21.45 then 'malopolskie' when lat between 49.35 and 51.02 and lng between 18.3 and 20.05 then 'slaskie' end as region,
+case when lat between 50.02 and 50.12 and lng between 19.80 and 20.12 then 'Kraków' when lat between 49.98 and 50.05 and lng between 20.90 and 21.05 then 'Tarnów' when lat between 49.58 and 49.66 and lng between 20.64 and 20.78 then 'Nowy Sącz'
+when lat between 49.24 and 49.34 and lng between 19.88 and 20.04 then 'Zakopane' when lat between 49.98 and 50.06 and lng between 19.22 and 19.38 then 'Oświęcim' when lat between 49.97 and 50.03 and lng between 20.02 and 20.11 then 'Wieliczka'
+when lat between 49.38 and 49.46 and lng between 20.90 and 21.02 then 'Krynica' else 'reszta' end as city from p""")
+def region_and_city(spark, sf):
+    return points(t(spark, sf, "customer"), "c_custkey").select("c_custkey", geo.region(F.col("lat"), F.col("lng")).alias("region"), geo.city(F.col("lat"), F.col("lng")).alias("city"))
+
+
+@query(f"""with a as (select c_custkey, 49.2 + (c_custkey % 97) / 1000.0 as lat, 19.1 + (c_custkey % 89) / 5000.0 as lng from customer), b as (select * from a)
+select a.c_custkey, count(*) as neighbours from a join b on {HAVERSINE_SQL} <= 130 group by 1 having count(*) >= 3""")
+def placeholder_points(spark, sf):
+    k = F.col("c_custkey")
+    p = t(spark, sf, "customer").select("c_custkey", (F.lit(49.2) + k % 97 / 1000.0).alias("lat"), (F.lit(19.1) + k % 89 / 5000.0).alias("lng"))
+    return spatial.crowded(p, "c_custkey", 130.0, 3)
+
+
+# ---- calendars --------------------------------------------------------------------------------------
+
+DAYS_SQL = """with d as (select user_id, cast(ts as date) as date, bool_or(event_type <> 'error') as open, avg(value) as price from events group by 1, 2),
+c as (select *, case when open = lag(open) over (partition by user_id order by date) then 0 else 1 end as ch, row_number() over (partition by user_id order by date) as nr, count(*) over (partition by user_id) as n_all from d),
+g as (select *, sum(ch) over (partition by user_id order by date) as run from c),
+h as (select *, count(*) over (partition by user_id, run) as n, min(nr) over (partition by user_id, run) = 1 as s, max(nr) over (partition by user_id, run) = n_all as e from g),
+k as (select *, case when open then 'available' when s and e then 'blocked' when n > 45 then 'blocked' when e then 'booked' when s then case when n <= 14 then 'booked' else 'blocked' end else 'booked' end as class from h) """
+
+
+def calendar(spark, sf) -> DataFrame:
+    """A user's days as nights of a calendar; a day of nothing but errors is closed."""
+    return t(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("date")).agg(F.bool_or(F.col("event_type") != "error").alias("open"), F.avg("value").alias("price"))
+
+
+@query(DAYS_SQL + """select user_id, strftime(date, '%Y-%m') as month, count(*) as sample_days, count(*) filter (class = 'booked') as booked_nights, count(*) filter (class = 'available') as available_nights, count(*) filter (class = 'blocked') as blocked_nights,
+rnd(avg(price) filter (open), 4) as avg_price, rnd(count(*) filter (class = 'booked') / count(*), 6) as occupancy_rate from k group by 1, 2""")
+def gaps_islands(spark, sf):
+    return occupancy.occupancy(calendar(spark, sf), "user_id", "date", "open", "price").withColumn("avg_price", r("avg_price")).withColumn("occupancy_rate", r("occupancy_rate", 6))
+
+
+@query(DAYS_SQL + """select user_id, cast(isodow(date) - 1 as integer) as weekday, count(*) as sample_days, count(*) filter (class = 'booked') as booked_nights, count(*) filter (class = 'available') as available_nights, rnd(avg(price) filter (open), 4) as avg_price from k group by 1, 2""")
+def weekday_stats(spark, sf):
+    return occupancy.occupancy(calendar(spark, sf), "user_id", "date", "open", "price", weekly=True).withColumn("avg_price", r("avg_price"))
+
+
+@query("""select user_id, strftime(ts, '%Y-%m') as month, rnd(avg(value), 4) as avg_price, min(value) as min_price, max(value) as max_price, count(*) as n, count(*) filter (event_type = 'error') as booked from events group by 1, 2""")
+def monthly_prices(spark, sf):
+    e = t(spark, sf, "events").withColumn("open", F.col("event_type") != "error")
+    return occupancy.monthly_prices(e, "user_id", "ts", "value", "open").withColumn("avg_price", r("avg_price"))
+
+
+# ---- listings, sinks, leaders -----------------------------------------------------------------------
+
+
+@query("""select doc_id, lang, source, n_chars from (select *, row_number() over (partition by lang, n_chars order by doc_id desc) as k from documents) where source <> 'src0' or k = 1""")
+def first_wins_dedupe(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    return listings.first_wins(d, [F.col("lang"), F.col("n_chars")], [F.desc("doc_id")], F.col("source") == "src0")
+
+
+@query("""with o as (select * from orders where o_orderkey % 3 <> 0), n as (select o_orderkey, o_custkey, o_orderstatus, case when o_orderkey % 5 = 0 then null else o_totalprice + 1 end as o_totalprice, o_orderdate, case when o_orderkey % 7 = 0 then null else '9-NEW' end as o_orderpriority from orders where o_orderkey % 2 = 0)
+select coalesce(n.o_orderkey, o.o_orderkey) as o_orderkey, coalesce(n.o_custkey, o.o_custkey) as o_custkey, coalesce(n.o_orderstatus, o.o_orderstatus) as o_orderstatus, case when n.o_orderkey is not null then n.o_totalprice else o.o_totalprice end as o_totalprice,
+case when o.o_orderkey is not null then o.o_orderdate else n.o_orderdate end as o_orderdate, coalesce(n.o_orderpriority, o.o_orderpriority) as o_orderpriority from o full join n on o.o_orderkey = n.o_orderkey""")
+def upsert_coalesce(spark, sf):
+    old, new = halves(spark, sf)
+    return sinks.upsert_coalesce(old, new, ["o_orderkey"], overwrite=["o_totalprice"], keep_old=["o_orderdate"])
+
+
+def halves(spark, sf) -> tuple[DataFrame, DataFrame]:
+    o = t(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    new = o.filter(k % 2 == 0).withColumn("o_totalprice", F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("o_totalprice") + 1)).withColumn("o_orderpriority", F.when(k % 7 == 0, F.lit(None)).otherwise("9-NEW"))
+    return o.filter(k % 3 != 0), new.select(*o.columns)
+
+
+@query("""select o_orderkey, case when o_orderkey % 5 = 0 then null else o_totalprice + 1 end as o_totalprice from orders where o_orderkey % 2 = 0 and o_orderkey % 3 <> 0""")
+def change_capture(spark, sf):
+    old, new = halves(spark, sf)
+    return sinks.changes(old, new, ["o_orderkey"], ["o_totalprice"]).select("o_orderkey", "o_totalprice")
+
+
+@query("select count(*) filter (o_orderkey % 3 = 0) as inserted, count(*) filter (o_orderkey % 3 <> 0) as updated from orders where o_orderkey % 2 = 0")
+def upsert_counts(spark, sf):
+    return sinks.counts(*halves(spark, sf), ["o_orderkey"])
+
+
+@query()
+def top_n_capped(spark, sf):
+    o = t(spark, sf, "orders").withColumn("dup", F.concat_ws("|", "o_custkey", F.floor(F.col("o_totalprice") / 10000).cast("string")))
+    out = leaders.capped(o, "o_orderpriority", [F.desc("o_totalprice"), F.asc("o_orderkey")], "dup", "o_custkey")
+    return out.select("o_orderpriority", "rank", "o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("""with c as (select *, count(*) over (partition by event_type, strftime(ts, '%Y-%m-%d')) as cohort_size, rank() over (partition by event_type, strftime(ts, '%Y-%m-%d') order by value desc) as rank from events)
+select event_id, cohort_size, cast(rank as integer) as rank from c where rank <= greatest(1, ceil(cohort_size * 0.05))""")
+def rank_cohort(spark, sf):
+    e = t(spark, sf, "events").withColumn("day", tm.day(F.col("ts")))
+    return leaders.cohort(e, ["event_type", "day"], "value").select("event_id", "cohort_size", "rank")
+
+
+# ---- valuation, forecast ----------------------------------------------------------------------------
+
+
+def candidate_pairs(spark, sf) -> DataFrame:
+    """Targets: every part's first order line; candidates: all other lines of the part, with a made-up distance."""
+    lines = sales(spark, sf).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    first = charts.latest(lines, ["l_partkey"], [F.desc("l_shipdate"), F.asc("id")])
+    target = first.select("l_partkey", F.col("id").alias("target_id"), F.col("l_shipdate").alias("t_as_of"), F.col("l_quantity").alias("t_area"), F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("t_market")).withColumns({"t_kind": F.lit("flat"), "t_rooms": F.lit(None).cast("int")})
+    cand = lines.select(
+        "l_partkey", F.col("id").alias("c_id"), F.col("l_shipdate").alias("c_date"), F.col("l_quantity").alias("c_area"), F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("c_market"), F.lit("rcn").alias("c_set"),
+        F.col("unit").alias("c_price"), ((F.col("l_suppkey") * 37) % 4000).cast("double").alias("distance_m"),
+    ).withColumns({"c_rooms": F.lit(None).cast("int"), "c_ratio": F.lit(None).cast("double"), "c_factor": F.lit(1.0)})
+    return target.join(cand, "l_partkey").filter("c_id <> target_id")
+
+
+LADDER_SQL = f"""with l as (select *, l_orderkey * 10 + l_linenumber as id, l_extendedprice / l_quantity as u, case when l_linestatus = 'O' then 1 else 2 end as m, cast((l_suppkey * 37) % 4000 as double) as dist from lineitem),
+tg as (select * from (select *, row_number() over (partition by l_partkey order by l_shipdate desc, id) as k from l) where k = 1),
+p as (select tg.id as target_id, c.id as c_id, c.u, c.dist, c.l_quantity / tg.l_quantity as ratio, tg.m = c.m as same, date_diff('second', c.l_shipdate, tg.l_shipdate) as age from tg join l c on tg.l_partkey = c.l_partkey and tg.id <> c.id where c.l_shipdate <= tg.l_shipdate and c.l_shipdate >= tg.l_shipdate - interval 1825 days),
+q as (select unnest(range(6)) as tier), f as (select p.*, tier from p, q where ratio between [0.87, 0.5, 0.25][cast(tier // 2 as integer) + 1] and [1.15, 2.0, 4.0][cast(tier // 2 as integer) + 1] and (same or tier >= 4) and dist <= [1000, 2000][cast(tier % 2 as integer) + 1]),
+n as (select target_id, tier, count(*) as n from f group by 1, 2), b as (select target_id, coalesce(min(tier) filter (n >= 3), max(tier)) as tier from n group by 1),
+w as (select f.*, pow(0.5, greatest(0.0, age / (30.44 * 86400)) / 24) * (1 / (1 + dist / 800)) * (1 / (1 + abs(ln(ratio)))) * case when same then 1 else 0.65 end as weight from f join b using (target_id, tier)),
+c as (select *, row_number() over (partition by target_id order by weight desc, c_id) as rank from w)
+"""
+
+
+@query(LADDER_SQL + "select target_id, cast(max(tier) as integer) as tier, count(*) as n, rnd(sum(weight), 4) as weight from c where rank <= 30 group by 1")
+def ladder_select(spark, sf):
+    s = comps.Selection(radii_m=(1000.0, 2000.0))
+    return comps.select(candidate_pairs(spark, sf), s).groupBy("target_id").agg(F.max("tier").cast("int").alias("tier"), F.count(F.lit(1)).alias("n"), r(F.sum("weight")).alias("weight"))
+
+
+@query(LADDER_SQL + """, k as (select *, sum(weight) over (partition by target_id order by u, weight rows unbounded preceding) as run, sum(weight) over (partition by target_id) as total, count(*) over (partition by target_id) as n from c where rank <= 30)
+select target_id, n, rnd(min(u) filter (n >= 3 and run >= total * 0.5), 4) as fair from k group by 1, 2""")
+def valuation(spark, sf):
+    """Weighted medians of the chosen comparables."""
+    s = comps.Selection(radii_m=(1000.0, 2000.0))
+    return comps.estimate(comps.select(candidate_pairs(spark, sf), s)).select("target_id", "n", r("fair").alias("fair"))
+
+
+@query()
+def forecasts(spark, sf):
+    m = medians(spark, sf).select("p_brand", "period", "overall_median").distinct()
+    return forecast.forecasts(m, "p_brand", "period", "overall_median")
+
+
+@query()
+def monte_carlo(spark, sf):
+    """Seeded paths for every brand."""
+    g = branded(spark, sf).groupBy("p_brand").agg(F.avg("unit").alias("price"))
+    made = {"growth": 0.03, "growth_sd": 0.08, "income_growth": 0.02, "income_sd": 0.05}
+    items = g.select("p_brand", "price", (F.col("price") * 0.05).alias("income"), *(F.lit(v).alias(k) for k, v in made.items()))
+    return forecast.simulate(items, "p_brand", paths=100)
+
+
+# ---- text and JSON ----------------------------------------------------------------------------------
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, json_valid(props) as valid from events")
+def json_extract(spark, sf):
+    e = t(spark, sf, "events")
+    return e.select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), F.try_parse_json("props").isNotNull().alias("valid"))
+
+
+@query(r"""select doc_id, regexp_matches(text, '(?i)licen[cs]e') as license, regexp_matches(text, '(?i)password|secret') as credential, regexp_matches(text, '\d{3}') as digits from documents""")
+def text_flags(spark, sf):
+    d = t(spark, sf, "documents")
+    return d.select("doc_id", *text.flags(F.col("text"), {"license": "licen[cs]e", "credential": "password|secret", "digits": r"[0-9]{3}"}))
+
+
+@query(r"""select page_id, nullif(trim(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)), '') as title, nullif(regexp_extract(html, '(?is)<html\b[^>]*\blang\s*=\s*["'']([^"'']*)["'']', 1), '') as lang, len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["'']')) as links from pages""")
+def html_extract(spark, sf):
+    p = t(spark, sf, "pages")
+    n = F.size(F.regexp_extract_all("html", F.lit(r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["']"""))).cast("long")
+    title = F.nullif(F.trim(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)), F.lit(""))
+    return p.select("page_id", title.alias("title"), html.attribute(F.col("html"), "html", "lang").alias("lang"), n.alias("links"))
+
+
+@query("select conv_id, count(*) as turns, count(*) filter (role = 'user') as user_turns, cast(sum(length(text)) as bigint) as chars from conversations group by 1")
+def conversation_stats(spark, sf):
+    return t(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.sum(F.length("text")).alias("chars"))
+
+
+# ---- streaming --------------------------------------------------------------------------------------
+
+
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
+def stream_windowed(spark, sf):
+    """The windowed aggregate of the stream, run over what there is."""
+    import tempfile
+    import uuid
+
+    from ..streaming import streams
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="hearthlake-stream-")
+    out = streams.windowed_counts(streams.source(spark, f"{sf}/events.parquet"), "ts", "event_type", late="40 days")
+    return streams.run_once(out, f"hours_{uuid.uuid4().hex}", "complete", f"{shared}/stream-{uuid.uuid4().hex}")

@@ -110,7 +110,7 @@ def train(
     grams = None
     for n in ORDERS:
         spots = F.when(F.length("m") >= n, F.sequence(F.lit(1), F.length("m") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        one = marked.select("lang", F.explode(F.transform(spots, lambda i, n=n: F.substring(F.col("m"), i, F.lit(n)))).alias("word"), "n").withColumn("order", F.lit(n))
+        one = marked.select("lang", "m", "n", F.explode(spots).alias("at")).select("lang", F.substring(F.col("m"), F.col("at"), F.lit(n)).alias("word"), "n", F.lit(n).alias("order"))
         grams = one if grams is None else grams.unionByName(one)
     grams = grams.groupBy("lang", "order", "word").agg(F.sum("n").alias("n"))
 

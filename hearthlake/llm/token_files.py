@@ -6,9 +6,11 @@ and ids. Ids are delta-encoded (Parquet's second writer version without a dictio
 dictionary-encoded; row groups and pages have the sizes asked for, and column and offset indexes let
 a reader of a few documents, or of the metadata only, skip the rest.
 
-Encoding. Byte-level BPE never merges across a pre-token, and a single space between two letters or
-digits always starts one; texts are cut there and each distinct piece is encoded once per cache
-lifetime by the tokenizer itself, so ids equal those of the whole text.
+Encoding. Byte-level BPE never merges across a pre-token. A text is cut at places that always are borders
+of pre-tokens: runs of letters before white space or plain punctuation, such punctuation before white
+space, else whole words with the one space before them, and runs of white space. The tokenizer itself
+encodes each distinct chunk; a worker process keeps what it has encoded, up to CACHE chunks. Ids equal
+those of the whole text.
 
 Cases: null text counts as empty and has the end id only; a null doc_id comes before all others; rows
 of one doc_id lie side by side, in the order of their texts' hash; very long texts are encoded whole;
@@ -21,6 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +33,12 @@ from pyspark.sql import functions as F
 from .common import narrow, shared_dir, text_of
 
 END_ID = 2
-#: Between letters or digits; none of them is white space for any tokenizer.
-CUT = re.compile(r"(?<=[^\W_])(?= [^\W_])")
-CACHE = 300_000
-LONGEST = 64  # longer pieces aren't kept
+#: White space to the tokenizer; Python's class also has four separators that are not.
+_SPACE, _OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+CHUNK = re.compile(rf" ?[^\W\d_]+(?=[ \n\t.,;:!?]|\Z)|[.,;:!?]+(?=[ \n\t]|\Z)| ?{_OTHER}+|{_SPACE}+(?!{_OTHER})|{_SPACE}+")
+CACHE = 1_000_000
+LONGEST = 64  # longer chunks aren't kept
+JOINED = 1000
 
 
 class Encoder:
@@ -41,30 +46,47 @@ class Encoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            pieces = CUT.split(text)
-            known = self.known
-            fresh = list({p for p in pieces if p not in known})
-            if fresh:
-                if len(known) > CACHE:
-                    known.clear()
-                    fresh = list(set(pieces))
-                for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                    known[p] = e.ids
-            ids = [x for p in pieces for x in known[p]]
-            for p in fresh:
-                if len(p) > LONGEST:
-                    del known[p]
-            ids.append(END_ID)
-            out.append(np.array(ids, np.int32))
-        return out
+        import tokenizers
+
+        # the process keeps tokenizers and chunks for its next tasks
+        kept = tokenizers.__dict__.setdefault("_kept_by_path", {})
+        if path not in kept:
+            kept[path] = (tokenizers.Tokenizer.from_file(path), {})
+        self.tokenizer, self.known = kept[path]
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode chunks that aren't known. Words that begin with a space are encoded many at a time, a line each."""
+        words, others = [], []
+        for c in chunks:
+            (words if c[:1] == " " and c[1:].isalpha() else others).append(c)
+        parts = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<i4")
+            cuts = np.flatnonzero(ids == line[0])
+            if len(line) != 1 or len(cuts) != len(part) - 1:
+                others += part
+                continue
+            raw, starts, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+        for c, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.known[c] = np.array(e.ids, "<i4").tobytes()
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with their end ids, number of ids of each)."""
+        # a text with an added token's string is one chunk, as the tokenizer cuts there first
+        chunks = [[t] if any(x in t for x in self.special) else CHUNK.findall(t) for t in texts]
+        if len(self.known) > CACHE:
+            self.known.clear()
+        fresh = list(set(chain.from_iterable(chunks)).difference(self.known))
+        self.learn(fresh)
+        get, end = self.known.__getitem__, np.array([END_ID], "<i4").tobytes()
+        rows = [b"".join(map(get, c)) + end for c in chunks]
+        for c in fresh:
+            if len(c) > LONGEST:
+                del self.known[c]
+        return np.frombuffer(b"".join(rows), "<i4").astype(np.int32), np.array([len(x) // 4 for x in rows], np.int64)
 
 
 OPTIONS = {
@@ -85,11 +107,9 @@ def encode(docs: DataFrame, tokenizer_path: str, parts: int | None = None) -> Da
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
-                ids = encoder.batch(batch.column("text").to_pylist())
-                sizes = np.array([len(x) for x in ids], np.int64)
+                flat, sizes = encoder.batch(batch.column("text").to_pylist())
                 ends = np.cumsum(sizes)
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
+                offsets, values = pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("part"), pa.array(before + ends - sizes), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, values)],
                     names=["doc_id", "part", "first", "n_tokens", "ids"],

@@ -68,12 +68,9 @@ def r(c, n: int = 4):
     return F.floor(c * 10.0**n + TURN) / 10.0**n
 
 
-UNIT = F.col("l_extendedprice") / F.col("l_quantity")
-
-
 def sales(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem as transactions with the unit price."""
-    return t(spark, sf, "lineitem").withColumn("unit", UNIT)
+    return t(spark, sf, "lineitem").withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity"))
 
 
 def branded(spark: SparkSession, sf: str) -> DataFrame:

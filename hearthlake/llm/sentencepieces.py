@@ -149,9 +149,14 @@ def _bytes(char: Column, first: int) -> Column:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words(word, ...), distinct words -> the same with ids."""
+    """words(word, ...), distinct words -> the same with ids.
+
+    Lengths are taken in an aggregate, below which Spark can't push the two filters on them; both branches
+    then read the same rows.
+    """
     by = tuple(words.columns)
-    short = lattice(words.filter(F.length("word") <= MAX_WORD), pieces, by)
+    measured = words.groupBy(*by).agg(F.max(F.length("word")).alias("chars"))
+    short = lattice(measured.filter(F.col("chars") <= MAX_WORD).select(*by), pieces, by)
     if pieces.kind == UNIGRAM:
         path = short.select(*by, viterbi_path(F.col("edges")).alias("path"))
     else:
@@ -168,7 +173,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*by, "ids"])
 
     schema = ", ".join(f"{c} {t}" for c, t in words.dtypes) + ", ids array<int>"
-    return done.unionByName(words.filter(F.length("word") > MAX_WORD).mapInArrow(run, schema))
+    return done.unionByName(measured.filter(F.col("chars") > MAX_WORD).select(*by).mapInArrow(run, schema))
 
 
 def fold_long(word: str, ranks: dict[str, tuple[float, int]], first_byte: int, longest: int, kind: int = BPE) -> list[int]:
@@ -283,7 +288,7 @@ def byte_table(pieces: Pieces) -> dict[int, bytes]:
 def _encoded(docs: DataFrame, pieces: Pieces, groups: int | None, decode: dict[int, bytes] | None, schema: str) -> DataFrame:
     dealt = _dealt(docs.select("doc_id", "text"), groups)
     text = F.substring(F.col("doc"), F.instr("doc", "|") + 1, F.length("doc"))
-    pairs = dealt.select("group", F.explode(F.array_distinct(words_of(text))).alias("word")).distinct().repartition("word")
+    pairs = dealt.select("group", F.explode(F.array_distinct(words_of(text))).alias("word")).filter("word is not null and group is not null").distinct().repartition("word")
     # a word's smallest group rides along, so that both readers of this exchange need the same columns
     once = pairs.groupBy("word").agg(F.min("group").alias("low"))
     encoded = encode_words(once, pieces).withColumnRenamed("word", "of_word")

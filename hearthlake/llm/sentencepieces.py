@@ -218,7 +218,7 @@ def _dealt(docs: DataFrame, groups: int | None) -> DataFrame:
     groups = groups or max(1, -(-docs.count() // GROUP_DOCS))
     text = text_of(docs)
     ident = F.coalesce(F.hex(F.col("doc_id").cast("string").cast("binary")), F.lit("-"))
-    key = F.pmod(F.xxhash64("doc_id", F.length(text)), F.lit(groups)).alias("group")
+    key = F.coalesce(F.pmod(F.xxhash64("doc_id", F.length(text)), F.lit(groups)), F.lit(0).cast("long")).alias("group")  # never null, so no reader filters it
     return docs.select(key, F.concat(ident, F.lit("|"), text).alias("doc")).repartition(max(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "group")
 
 
@@ -288,7 +288,7 @@ def byte_table(pieces: Pieces) -> dict[int, bytes]:
 def _encoded(docs: DataFrame, pieces: Pieces, groups: int | None, decode: dict[int, bytes] | None, schema: str) -> DataFrame:
     dealt = _dealt(docs.select("doc_id", "text"), groups)
     text = F.substring(F.col("doc"), F.instr("doc", "|") + 1, F.length("doc"))
-    pairs = dealt.select("group", F.explode(F.array_distinct(words_of(text))).alias("word")).filter("word is not null and group is not null").distinct().repartition("word")
+    pairs = dealt.select("group", F.explode(F.array_distinct(words_of(text))).alias("word")).filter("word is not null").distinct().repartition("word")
     # a word's smallest group rides along, so that both readers of this exchange need the same columns
     once = pairs.groupBy("word").agg(F.min("group").alias("low"))
     encoded = encode_words(once, pieces).withColumnRenamed("word", "of_word")

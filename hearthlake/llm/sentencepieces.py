@@ -13,9 +13,12 @@ up, which is what the model's own encoder does. Characters without a piece fall
 over MAX_WORD characters, whose symbol borders don't fit in a 64-bit mask, are folded by the same rule
 in Python.
 
-Scale. Documents are dealt into groups of bounded size; each group's distinct words meet the encoded
-words in a join on the word, and come back to the group as its vocabulary. So neither the lattice nor
-the vocabulary is broadcast: both grow with the corpus. The piece table is bounded by the model.
+Scale. A task packs the documents of its scan into groups of about GROUP_CHARS characters: the group's
+distinct words once, and each document as places in them, compressed. A group asks for its words by part, a
+hash range of words, so that a part meets what all groups ask of it, makes the lattice of its distinct words
+and answers each group with ids. Parts grow in number with the corpus, not in size; neither the lattice
+nor the vocabulary is broadcast, as both grow with the corpus. The piece table is bounded by the model. A
+group's name is its task and number, so rows should come in an order that a rerun repeats (a scan of files).
 
 Cases: null text counts as empty and has no ids; white space is kept, so that decoding gives the text
 back (U+2581 in a text becomes a space, as with the model's own encoder); lone surrogates can't occur;
@@ -24,11 +27,16 @@ repeated rows and null doc_ids are encoded like any other row; an empty table gi
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +44,9 @@ from .common import text_of
 
 MARK = "▁"
 MAX_WORD = 60
-GROUP_DOCS = 2048
+GROUP_CHARS = 8_000_000
+PART_CHARS = 8_000_000  # a part for so many characters of the corpus
+WORD = re.compile(f"{MARK}+[^{MARK}]*")
 UNIGRAM, BPE = 1, 2
 
 
@@ -67,16 +77,12 @@ class Pieces:
         return spark.createDataFrame(self.rows, "id int, piece string, score double")
 
 
-def words_of(text: Column) -> Column:
-    """The words of a normalised text, in order."""
-    marked = F.concat(F.lit(MARK), F.translate(text, " ", MARK))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(f"({MARK}+[^{MARK}]*)"))).otherwise(F.array().cast("array<string>"))
-
-
 def lattice(words: DataFrame, pieces: Pieces, by: tuple[str, ...] = ("word",)) -> DataFrame:
-    """words(word, ...) -> word, ..., edges: array<struct<cost, start, stop, id>>, best first. cost is minus the score.
+    """words(word, ...) -> word, ..., edges: array<struct<cost, start, stop, id>>, best first.
 
-    A character that no piece covers has an edge with id -1 and the highest cost.
+    cost is minus the score for a unigram model and the rank of the score for a BPE one, where only the order
+    counts; an edge is then one long while it is grouped. A character that no piece covers has an edge with
+    id -1 and the highest cost.
     """
     n = F.length("word")
     spans = F.flatten(
@@ -87,9 +93,21 @@ def lattice(words: DataFrame, pieces: Pieces, by: tuple[str, ...] = ("word",)) -
     )
     parts = words.select(*by, F.explode(spans).alias("span")).select(*by, "span.start", "span.stop", F.substring(F.col("word"), F.col("span.start") + 1, F.col("span.stop") - F.col("span.start")).alias("piece"))
     table = F.broadcast(pieces.table(words.sparkSession))  # as many rows as the model has pieces
-    found = parts.join(table, "piece", "left").filter(F.col("id").isNotNull() | (F.col("stop") - F.col("start") == 1))
-    edge = F.struct(F.coalesce(-F.col("score"), F.lit(float(1 << 40))).alias("cost"), "start", "stop", F.coalesce("id", F.lit(-1)).alias("id"))
-    return found.groupBy(*by).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    if pieces.kind == UNIGRAM:
+        found = parts.join(table, "piece", "left").filter(F.col("id").isNotNull() | (F.col("stop") - F.col("start") == 1))
+        edge = F.struct(F.coalesce(-F.col("score"), F.lit(float(1 << 40))).alias("cost"), "start", "stop", F.coalesce("id", F.lit(-1)).alias("id"))
+        return found.groupBy(*by).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    ranks = {score: k for k, score in enumerate(sorted({score for _, _, score in pieces.rows}, reverse=True))}
+    ranked = F.broadcast(words.sparkSession.createDataFrame([(piece, ranks[score] << 36 | k + 1) for k, piece, score in pieces.rows], "piece string, held long"))
+    found = parts.join(ranked, "piece", "left").filter(F.col("held").isNotNull() | (F.col("stop") - F.col("start") == 1))
+    shift = lambda c, k: F.call_function("shiftleft", c.cast("long"), F.lit(k))
+    packed = F.coalesce("held", F.lit(1 << 60)) + shift(F.col("start"), 30) + shift(F.col("stop"), 24)
+    bits = lambda c, k, most: F.shiftright(c, k).bitwiseAND(most).cast("int")
+    edges = F.transform(
+        F.sort_array(F.collect_list(packed)),
+        lambda e: F.struct(F.shiftright(e, 36).alias("cost"), bits(e, 30, 63).alias("start"), bits(e, 24, 63).alias("stop"), (bits(e, 0, (1 << 24) - 1) - 1).alias("id")),
+    )
+    return found.groupBy(*by).agg(edges.alias("edges"))
 
 
 def _one(k: Column) -> Column:
@@ -148,32 +166,16 @@ def _bytes(char: Column, first: int) -> Column:
     return F.transform(F.sequence(F.lit(0), (F.length(text) / 2).cast("int") - 1), lambda k: F.conv(F.substring(text, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + first)
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words(word, ...), distinct words -> the same with ids.
-
-    Lengths are taken in an aggregate, below which Spark can't push the two filters on them; both branches
-    then read the same rows.
-    """
-    by = tuple(words.columns)
-    measured = words.groupBy(*by).agg(F.max(F.length("word")).alias("chars"))
-    short = lattice(measured.filter(F.col("chars") <= MAX_WORD).select(*by), pieces, by)
+def encode_short(words: DataFrame, pieces: Pieces, by: tuple[str, ...] = ("word",)) -> DataFrame:
+    """words(word, ...), distinct words of at most MAX_WORD characters -> the same with ids."""
+    short = lattice(words, pieces, by)
     if pieces.kind == UNIGRAM:
         path = short.select(*by, viterbi_path(F.col("edges")).alias("path"))
     else:
         path = short.withColumn("mask", bpe_mask(F.col("edges"), F.col("word"))).select(*by, kept_edges(F.col("edges"), F.col("mask")).alias("path"))
     plain = F.transform("path", lambda e: e["id"])
     spelled = F.flatten(F.transform("path", lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(_bytes(F.substring(F.col("word"), e["start"] + 1, F.lit(1)), pieces.first_byte))))
-    done = path.select(*by, F.when(F.exists("path", lambda e: e["id"] < 0), spelled).otherwise(plain).alias("ids"))
-    first, longest, kind = pieces.first_byte, pieces.longest, pieces.kind
-    ranks = {p: (-s, k) for k, p, s in pieces.rows}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [fold_long(w, ranks, first, longest, kind) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*by, "ids"])
-
-    schema = ", ".join(f"{c} {t}" for c, t in words.dtypes) + ", ids array<int>"
-    return done.unionByName(measured.filter(F.col("chars") > MAX_WORD).select(*by).mapInArrow(run, schema))
+    return path.select(*by, F.when(F.exists("path", lambda e: e["id"] < 0), spelled).otherwise(plain).alias("ids"))
 
 
 def fold_long(word: str, ranks: dict[str, tuple[float, int]], first_byte: int, longest: int, kind: int = BPE) -> list[int]:
@@ -209,73 +211,180 @@ def fold_long(word: str, ranks: dict[str, tuple[float, int]], first_byte: int, l
     return out
 
 
-def _dealt(docs: DataFrame, groups: int | None) -> DataFrame:
-    """group, doc: dealt by a hash of the document, so that no group grows with a source.
+def split_words(text: str) -> list[str]:
+    """The words of a normalised text, in order; joined, they are the text again."""
+    return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    doc is doc_id (hex of its string, or - for null), a bar and the text. As one column it is the same
-    for both readers of the exchange, which Spark then makes once.
-    """
-    groups = groups or max(1, -(-docs.count() // GROUP_DOCS))
-    text = text_of(docs)
-    ident = F.coalesce(F.hex(F.col("doc_id").cast("string").cast("binary")), F.lit("-"))
-    key = F.coalesce(F.pmod(F.xxhash64("doc_id", F.length(text)), F.lit(groups)), F.lit(0).cast("long")).alias("group")  # never null, so no reader filters it
-    return docs.select(key, F.concat(ident, F.lit("|"), text).alias("doc")).repartition(max(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "group")
-
-
-def _assemble(decode: dict[int, bytes] | None):
-    """The vocabulary of a group, then its documents: ids as one Arrow list column."""
-
-    def run(docs: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        ids = vocabulary.column("ids").combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-        place = {w: k for k, w in enumerate(vocabulary.column("word").to_pylist())}
-        sizes = np.diff(ends)
-        out = []
-        idents, texts = zip(*(d.split("|", 1) for d in docs.column("doc").to_pylist()), strict=True)
-        doc_id = pa.array([None if x == "-" else bytes.fromhex(x).decode() for x in idents], pa.string())
-        for text in texts:
+
+def _bundle(*parts: bytes) -> bytes:
+    """Compressed parts, each after its length."""
+    press = zstandard.ZstdCompressor(3).compress
+    return b"".join(struct.pack("<Q", len(x)) + x for x in map(press, parts))
+
+
+def _unbundle(data: bytes, most: int | None = None) -> list[bytes]:
+    open_, out, at = zstandard.ZstdDecompressor().decompress, [], 0
+    while at < len(data) and (most is None or len(out) < most):
+        (size,) = struct.unpack_from("<Q", data, at)
+        out.append(open_(data[at + 8 : at + 8 + size]))
+        at += 8 + size
+    return out
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, lowest bytes first, which compresses better than whole numbers."""
+    return np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(planes, np.uint8).reshape(4, -1).T.tobytes(), "<u4").astype(np.int64)
+
+
+def _slices(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[start : start + size] for each start, one after the other."""
+    shift = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    return values[np.arange(len(shift)) + shift]
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else sizes.astype(np.int64)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id as string, text) -> (group, pack): words, most frequent first; doc_ids; words a document; places."""
+    from pyspark import TaskContext
+
+    task, made = TaskContext.get().partitionId(), 0
+    idents: list[str | None] = []
+    places: list[np.ndarray] = []
+    held, chars = defaultdict(int), 0
+    held.default_factory = held.__len__
+
+    def flush() -> pa.RecordBatch:
+        flat = np.concatenate(places) if places else np.zeros(0, np.int64)
+        order = np.argsort(-np.bincount(flat, minlength=len(held)), kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        words = list(held)
+        counts = np.array([len(x) for x in places])
+        blob = _bundle(" ".join([words[k] for k in order]).encode(), json.dumps(idents).encode(), _planes(counts), _planes(rank[flat] if len(flat) else flat))
+        return pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([blob], pa.binary())], names=["group", "pack"])
+
+    for batch in batches:
+        for ident, text in zip(batch.column("ident").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = split_words(text)
+            places.append(np.fromiter(map(held.__getitem__, words), np.int64, len(words)))
+            idents.append(ident)
+            chars += len(text)
+            if chars >= GROUP_CHARS:
+                yield flush()
+                made, chars, idents, places = made + 1, 0, [], []
+                held.clear()
+    if idents:
+        yield flush()
+
+
+def _words_of(pack: bytes) -> list[str]:
+    text = _unbundle(pack, 1)[0].decode()
+    return text.split(" ") if text else []
+
+
+def _by_part(words: list[str], parts: int) -> list[list[int]]:
+    """Places of words, by the part that a word belongs to; in a part in the words' order."""
+    out: list[list[int]] = [[] for _ in range(parts)] if parts <= len(words) else defaultdict(list)  # type: ignore[assignment]
+    for word, k in sorted(zip(words, range(len(words)), strict=True)):
+        out[zlib.crc32(word.encode()) % parts].append(k)
+    return out
+
+
+def _parts_of(words: list[str], parts: int) -> Iterator[tuple[int, list[int]]]:
+    split = _by_part(words, parts)
+    return ((p, ks) for p, ks in (split.items() if isinstance(split, dict) else enumerate(split)) if ks)
+
+
+def _ask(parts: int):
+    """(group, pack) -> (part, group, asked): the group's words of each part, spaces between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, pack in zip(batch.column("group").to_pylist(), batch.column("pack").to_pylist(), strict=True):
+                words = _words_of(pack)
+                rows = [(p, " ".join([words[k] for k in ks])) for p, ks in _parts_of(words, parts)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p for p, _ in rows], pa.int32()), pa.array([group] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.string())], names=["part", "group", "asked"]
+                )
+
+    return run
+
+
+def _ids_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, starts and sizes of a table's lists of ids."""
+    ids = table.column("ids").combine_chunks()
+    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+    ends = ids.offsets.to_numpy().astype(np.int64)
+    return ids.values.to_numpy(zero_copy_only=False), ends[:-1], np.diff(ends)
+
+
+def _answer(ranks: dict[str, tuple[float, int]], first_byte: int, longest: int, kind: int):
+    """A part's answers: for each group the ids of the words that it asked for, in their order."""
+
+    def run(asked: pa.Table, encoded: pa.Table) -> pa.Table:
+        values, starts, sizes = _ids_of(encoded)
+        place = {w: k for k, w in enumerate(encoded.column("word").to_pylist())}
+        questions = [x.split(" ") for x in asked.column("asked").to_pylist()]
+        long = sorted({w for q in questions for w in q if len(w) > MAX_WORD})
+        folded = [np.array(fold_long(w, ranks, first_byte, longest, kind), np.int32) for w in long]
+        place |= {w: len(starts) + k for k, w in enumerate(long)}
+        more = np.array([len(x) for x in folded], np.int64)
+        starts, sizes, values = np.concatenate([starts, len(values) + _starts(more)]), np.concatenate([sizes, more]), np.concatenate([values, *folded])
+        blobs = []
+        for words in questions:
             rows = np.fromiter((place[w] for w in words), np.int64, len(words))
-            n = sizes[rows]
-            # gather the slices values[ends[r] : ends[r] + n] one after the other
-            shift = np.repeat(ends[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n, n)
-            out.append(values[np.arange(len(shift)) + shift].astype(np.int32))
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-        flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-        columns = {"doc_id": doc_id, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))}
-        if decode is not None:
-            same = [decode_ids(x, decode) == t.replace(MARK, " ") for x, t in zip(out, texts, strict=True)]
-            columns = {
+            blobs.append(_bundle(_planes(sizes[rows]), _planes(_slices(values, starts[rows], sizes[rows]))))
+        return pa.table({"group": asked.column("group"), "part": asked.column("part"), "answer": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _assemble(parts: int, pieces: dict[int, bytes] | None):
+    """A group's pack and answers -> its documents' ids, or with ``pieces`` their count, checksum and round trip."""
+
+    def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        got = dict(zip(answers.column("part").to_pylist(), answers.column("answer").to_pylist(), strict=True))
+        (pack,) = packs.column("pack").to_pylist()
+        joined, idents, counts, places = _unbundle(pack)
+        words = joined.decode().split(" ") if joined else []
+        sizes, order, values = np.zeros(len(words), np.int64), [], []
+        for part, ks in _parts_of(words, parts):
+            n, ids = map(_numbers, _unbundle(got[part]))
+            sizes[ks] = n
+            order += ks
+            values.append(ids)
+        flat = np.concatenate(values).astype(np.int32) if values else np.zeros(0, np.int32)
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = _starts(sizes[order])
+        counts, places = _numbers(counts), _numbers(places)
+        ends = np.cumsum(counts)
+        docs = [places[a:b] for a, b in zip(ends - counts, ends, strict=True)]
+        out = [_slices(flat, starts[x], sizes[x]) for x in docs]
+        doc_id = pa.array(json.loads(idents), pa.string())
+        if pieces is None:
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
+            lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else flat, pa.int32()))
+            return pa.table({"doc_id": doc_id, "ids": lists.cast(pa.list_(pa.int32()))})
+        spelled = [w.encode() for w in words]
+        return pa.table(
+            {
                 "doc_id": doc_id,
                 "n_tokens": pa.array([len(x) for x in out], pa.int64()),
                 "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in out], pa.int64()),
-                "round_trip": pa.array(same, pa.bool_()),
+                "round_trip": pa.array([b"".join([pieces[i] for i in x.tolist()]) == b"".join([spelled[k] for k in d.tolist()]) for x, d in zip(out, docs, strict=True)], pa.bool_()),
             }
-        return pa.table(columns)
+        )
 
     return run
 
 
-def split_words(text: str) -> list[str]:
-    """words_of in Python."""
-    if not text:
-        return []
-    out, run = [], MARK
-    first, *rest = text.replace(MARK, " ").split(" ")
-    if first or not rest:
-        out.append(run + first)
-        run = ""
-    for part in rest:
-        run += MARK
-        if part:
-            out.append(run + part)
-            run = ""
-    if run:
-        out.append(run)
-    return out
-
-
 def decode_ids(ids: np.ndarray, table: dict[int, bytes]) -> str:
     """Ids back to text: bytes joined, U+2581 to spaces, the dummy prefix taken off."""
     return b"".join([table[x] for x in ids.tolist()]).decode("utf-8", "replace")[1:].replace(MARK, " ")
@@ -285,21 +394,26 @@ def byte_table(pieces: Pieces) -> dict[int, bytes]:
     return {k: p.encode() for k, p in pieces.text.items()} | {k: bytes([b]) for b, k in pieces.bytes.items()}
 
 
-def _encoded(docs: DataFrame, pieces: Pieces, groups: int | None, decode: dict[int, bytes] | None, schema: str) -> DataFrame:
-    dealt = _dealt(docs.select("doc_id", "text"), groups)
-    text = F.substring(F.col("doc"), F.instr("doc", "|") + 1, F.length("doc"))
-    pairs = dealt.select("group", F.explode(F.array_distinct(words_of(text))).alias("word")).filter("word is not null").distinct().repartition("word")
-    # a word's smallest group rides along, so that both readers of this exchange need the same columns
-    once = pairs.groupBy("word").agg(F.min("group").alias("low"))
-    encoded = encode_words(once, pieces).withColumnRenamed("word", "of_word")
-    vocabulary = pairs.join(encoded, (F.col("word") == F.col("of_word")) & (F.col("low") <= F.col("group"))).select(F.col("group").alias("of_group"), "word", "ids")
-    out = dealt.groupBy("group").cogroup(vocabulary.groupBy("of_group")).applyInArrow(_assemble(decode), f"doc_id string, {schema}")
+def _encoded(docs: DataFrame, pieces: Pieces, parts: int | None, decode: dict[int, bytes] | None, schema: str) -> DataFrame:
+    spark = docs.sparkSession
+    # a task's words are all that its grouping holds; past this many keys Spark would sort all edges instead
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 20))
+    parts = parts or max(8, (docs.agg(F.sum(F.length(text_of(docs)))).first()[0] or 0) // PART_CHARS)
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packs = docs.select(F.col("doc_id").cast("string").alias("ident"), text_of(docs).alias("text")).mapInArrow(_pack, "group long, pack binary").repartition(max(wide, parts), "group")
+    asked = packs.mapInArrow(_ask(parts), "part int, group long, asked string").repartition(max(wide, parts), "part")
+    # all of this keeps the dealing by part: Spark adds no exchange
+    words = asked.select(F.col("part").alias("of_part"), F.explode(F.split("asked", " ")).alias("word")).groupBy("of_part", "word").agg(F.max(F.length("word")).alias("chars"))
+    encoded = encode_short(words.filter(F.col("chars") <= MAX_WORD), pieces, ("of_part", "word"))
+    answer = _answer({p: (-s, k) for k, p, s in pieces.rows}, pieces.first_byte, pieces.longest, pieces.kind)
+    answers = asked.groupBy("part").cogroup(encoded.groupBy("of_part")).applyInArrow(answer, "group long, part int, answer binary")
+    out = packs.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_assemble(parts, decode), f"doc_id string, {schema}")
     return out.withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))
 
 
-def encode(docs: DataFrame, model_path: str, groups: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, parts: int | None = None) -> DataFrame:
     """doc_id, ids: the ids that the model's own encoder gives."""
-    return _encoded(docs, Pieces(model_path), groups, None, "ids array<int>")
+    return _encoded(docs, Pieces(model_path), parts, None, "ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

@@ -243,7 +243,7 @@ def test_viterbi(spark):
         s, n, ids = max(found, key=lambda x: (round(x[0], 9), x[1]))
         return s, -n, ids
 
-    got = {r["word"]: r["ids"] for r in sentencepieces.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), Toy()).collect()}
+    got = {r["word"]: r["ids"] for r in sentencepieces.encode_short(spark.createDataFrame([(w,) for w in words], "word string"), Toy()).collect()}
     total = lambda ids: round(sum(Toy.rows[k][2] for k in ids), 6)
     for w in words:
         assert total(got[w]) == round(best(w)[0], 6) and "".join(Toy.rows[k][1] for k in got[w]) == w

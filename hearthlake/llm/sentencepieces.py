@@ -78,63 +78,68 @@ class Pieces:
 
 
 def lattice(words: DataFrame, pieces: Pieces, by: tuple[str, ...] = ("word",)) -> DataFrame:
-    """words(word, ...) -> word, ..., edges: array<struct<cost, start, stop, id>>, best first.
+    """words(word, ...) -> word, ..., edges, best first.
 
-    cost is minus the score for a unigram model and the rank of the score for a BPE one, where only the order
-    counts; an edge is then one long while it is grouped. A character that no piece covers has an edge with
-    id -1 and the highest cost.
+    A unigram model's edge is struct<cost, start, stop, id>; cost is minus the score. Of a BPE model only the
+    order of the scores counts, and an edge is one long: the rank of the score, then 6 bits of start, 6 of stop and
+    24 of the id plus 1. A character that no piece covers has an edge with id -1 and the highest cost.
     """
     n = F.length("word")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda s: F.transform(F.sequence(s + 1, F.least(n, s + pieces.longest)), lambda e: F.struct(s.alias("start"), e.alias("stop"))),
-        )
-    )
-    parts = words.select(*by, F.explode(spans).alias("span")).select(*by, "span.start", "span.stop", F.substring(F.col("word"), F.col("span.start") + 1, F.col("span.stop") - F.col("span.start")).alias("piece"))
-    table = F.broadcast(pieces.table(words.sparkSession))  # as many rows as the model has pieces
+    starts = words.select(*by, F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    spans = starts.select(*by, "start", F.explode(F.sequence(F.col("start") + 1, F.least(n, F.col("start") + pieces.longest))).alias("stop"))
+    parts = spans.select(*by, "start", "stop", F.substring(F.col("word"), F.col("start") + 1, F.col("stop") - F.col("start")).alias("piece"))
     if pieces.kind == UNIGRAM:
+        table = F.broadcast(pieces.table(words.sparkSession))  # as many rows as the model has pieces
         found = parts.join(table, "piece", "left").filter(F.col("id").isNotNull() | (F.col("stop") - F.col("start") == 1))
         edge = F.struct(F.coalesce(-F.col("score"), F.lit(float(1 << 40))).alias("cost"), "start", "stop", F.coalesce("id", F.lit(-1)).alias("id"))
         return found.groupBy(*by).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     ranks = {score: k for k, score in enumerate(sorted({score for _, _, score in pieces.rows}, reverse=True))}
     ranked = F.broadcast(words.sparkSession.createDataFrame([(piece, ranks[score] << 36 | k + 1) for k, piece, score in pieces.rows], "piece string, held long"))
     found = parts.join(ranked, "piece", "left").filter(F.col("held").isNotNull() | (F.col("stop") - F.col("start") == 1))
-    shift = lambda c, k: F.call_function("shiftleft", c.cast("long"), F.lit(k))
-    packed = F.coalesce("held", F.lit(1 << 60)) + shift(F.col("start"), 30) + shift(F.col("stop"), 24)
-    bits = lambda c, k, most: F.shiftright(c, k).bitwiseAND(most).cast("int")
-    edges = F.transform(
-        F.sort_array(F.collect_list(packed)),
-        lambda e: F.struct(F.shiftright(e, 36).alias("cost"), bits(e, 30, 63).alias("start"), bits(e, 24, 63).alias("stop"), (bits(e, 0, (1 << 24) - 1) - 1).alias("id")),
-    )
-    return found.groupBy(*by).agg(edges.alias("edges"))
+    packed = F.coalesce("held", F.lit(1 << 60)) + F.shiftleft(F.col("start").cast("long"), 30) + F.shiftleft(F.col("stop").cast("long"), 24)
+    return found.groupBy(*by).agg(F.sort_array(F.collect_list(packed)).alias("edges"))
+
+
+def _start(e: Column) -> Column:
+    return F.shiftright(e, 30).bitwiseAND(63).cast("int")
 
 
-def _one(k: Column) -> Column:
+def _stop(e: Column) -> Column:
+    return F.shiftright(e, 24).bitwiseAND(63).cast("int")
+
+
+def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
 
-def bpe_mask(edges: Column, word: Column) -> Column:
-    """The mask of symbol borders that all merges leave; bit k is the border before character k."""
-    n = F.length(word)
-    borders = _one(n + 1) - 1
-    inner = lambda e: _one(e["stop"]) - _one(e["start"] + 1)  # noqa: E731  the bits strictly between
-    ends = lambda e: _one(e["start"]).bitwiseOR(_one(e["stop"]))
-    return F.aggregate(
-        F.filter(edges, lambda e: e["stop"] - e["start"] > 1),
-        borders,
-        lambda mask, e: F.when(
-            (mask.bitwiseAND(ends(e)) == ends(e)) & (F.bit_count(mask.bitwiseAND(inner(e))) == 1), mask.bitwiseAND(F.bitwise_not(inner(e)))
-        ).otherwise(mask),
-    )
+def bpe_path(edges: Column, word: Column) -> Column:
+    """The edges that all merges leave, in order. The state is a mask of symbol borders; bit k is the border before character k.
+
+    An edge can be merged if its ends are borders and one border lies between them: that border goes. The bits
+    from its start to its stop, moved to begin at 0, then have three ones, the first and last among them.
+    """
+    borders = _bit(F.length(word) + 1) - 1
+
+    def merge(mask: Column, e: Column) -> Column:
+        within = F.call_function("shiftright", mask, _start(e)).bitwiseAND(_bit(_stop(e) - _start(e) + 1) - 1)
+        fits = (F.bit_count(within) == 3) & (within.bitwiseAND(1) == 1) & (F.call_function("shiftright", within, _stop(e) - _start(e)) == 1)
+        return F.when(fits, mask - F.call_function("shiftleft", within - 1 - _bit(_stop(e) - _start(e)), _start(e))).otherwise(mask)
+
+    return F.aggregate(edges, borders, merge, lambda mask: kept_edges(edges, mask))  # the mask is folded once, not in each test of an edge
 
 
 def kept_edges(edges: Column, mask: Column) -> Column:
-    """The edges between neighbouring borders, in order."""
-    inner = lambda e: _one(e["stop"]) - _one(e["start"] + 1)
-    ends = lambda e: _one(e["start"]).bitwiseOR(_one(e["stop"]))
-    kept = F.filter(edges, lambda e: (mask.bitwiseAND(ends(e)) == ends(e)) & (mask.bitwiseAND(inner(e)) == 0))
-    return F.sort_array(F.transform(kept, lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"), e["id"].alias("id"))))
+    """The edges between neighbouring borders, in order: those in whose bits of the mask only the ends are set."""
+
+    def kept(e: Column) -> Column:
+        size = _stop(e) - _start(e)
+        return F.call_function("shiftright", mask, _start(e)).bitwiseAND(_bit(size + 1) - 1) == _bit(size) + 1
+
+    low = (1 << 36) - 1  # start, stop and id, without the rank
+    return F.transform(
+        F.sort_array(F.transform(F.filter(edges, kept), lambda e: e.bitwiseAND(low))),
+        lambda e: F.struct(_start(e).alias("start"), _stop(e).alias("stop"), (e.bitwiseAND((1 << 24) - 1).cast("int") - 1).alias("id")),
+    )
 
 
 def viterbi_path(edges: Column) -> Column:
@@ -169,10 +174,8 @@ def _bytes(char: Column, first: int) -> Column:
 def encode_short(words: DataFrame, pieces: Pieces, by: tuple[str, ...] = ("word",)) -> DataFrame:
     """words(word, ...), distinct words of at most MAX_WORD characters -> the same with ids."""
     short = lattice(words, pieces, by)
-    if pieces.kind == UNIGRAM:
-        path = short.select(*by, viterbi_path(F.col("edges")).alias("path"))
-    else:
-        path = short.withColumn("mask", bpe_mask(F.col("edges"), F.col("word"))).select(*by, kept_edges(F.col("edges"), F.col("mask")).alias("path"))
+    fold = viterbi_path(F.col("edges")) if pieces.kind == UNIGRAM else bpe_path(F.col("edges"), F.col("word"))
+    path = short.select(*by, fold.alias("path"))
     plain = F.transform("path", lambda e: e["id"])
     spelled = F.flatten(F.transform("path", lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(_bytes(F.substring(F.col("word"), e["start"] + 1, F.lit(1)), pieces.first_byte))))
     return path.select(*by, F.when(F.exists("path", lambda e: e["id"] < 0), spelled).otherwise(plain).alias("ids"))
@@ -303,15 +306,15 @@ def _parts_of(words: list[str], parts: int) -> Iterator[tuple[int, list[int]]]:
 
 
 def _ask(parts: int):
-    """(group, pack) -> (part, group, asked): the group's words of each part, spaces between them."""
+    """(group, pack) -> (part, asked): the group and its words of each part, spaces between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group, pack in zip(batch.column("group").to_pylist(), batch.column("pack").to_pylist(), strict=True):
                 words = _words_of(pack)
-                rows = [(p, " ".join([words[k] for k in ks])) for p, ks in _parts_of(words, parts)]
+                rows = [(p, " ".join([str(group), *(words[k] for k in ks)])) for p, ks in _parts_of(words, parts)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _ in rows], pa.int32()), pa.array([group] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.string())], names=["part", "group", "asked"]
+                    [pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.string())], names=["part", "asked"]
                 )
 
     return run
@@ -331,7 +334,11 @@ def _answer(ranks: dict[str, tuple[float, int]], first_byte: int, longest: int,
     def run(asked: pa.Table, encoded: pa.Table) -> pa.Table:
         values, starts, sizes = _ids_of(encoded)
         place = {w: k for k, w in enumerate(encoded.column("word").to_pylist())}
-        questions = [x.split(" ") for x in asked.column("asked").to_pylist()]
+        groups, questions = [], []
+        for x in asked.column("asked").to_pylist():
+            group, *words = x.split(" ")
+            groups.append(int(group))
+            questions.append(words)
         long = sorted({w for q in questions for w in q if len(w) > MAX_WORD})
         folded = [np.array(fold_long(w, ranks, first_byte, longest, kind), np.int32) for w in long]
         place |= {w: len(starts) + k for k, w in enumerate(long)}
@@ -341,7 +348,7 @@ def _answer(ranks: dict[str, tuple[float, int]], first_byte: int, longest: int,
         for words in questions:
             rows = np.fromiter((place[w] for w in words), np.int64, len(words))
             blobs.append(_bundle(_planes(sizes[rows]), _planes(_slices(values, starts[rows], sizes[rows]))))
-        return pa.table({"group": asked.column("group"), "part": asked.column("part"), "answer": pa.array(blobs, pa.binary())})
+        return pa.table({"group": pa.array(groups, pa.int64()), "part": asked.column("part"), "answer": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -372,13 +379,18 @@ def _assemble(parts: int, pieces: dict[int, bytes] | None):
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
             lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else flat, pa.int32()))
             return pa.table({"doc_id": doc_id, "ids": lists.cast(pa.list_(pa.int32()))})
-        spelled = [w.encode() for w in words]
+        ends_of = np.cumsum([len(pieces.get(k, b"")) for k in range(max(pieces) + 1)])
+        spelled, lengths = np.frombuffer(b"".join(pieces.get(k, b"") for k in range(max(pieces) + 1)), np.uint8), np.diff(ends_of, prepend=0)
+        written = [w.encode() for w in words]
+        held, sizes = np.frombuffer(b"".join(written), np.uint8), np.array([len(w) for w in written], np.int64)
+        begins = _starts(sizes)
+        same = [np.array_equal(_slices(spelled, (ends_of - lengths)[x], lengths[x]), _slices(held, begins[d], sizes[d])) for x, d in zip(out, docs, strict=True)]
         return pa.table(
             {
                 "doc_id": doc_id,
                 "n_tokens": pa.array([len(x) for x in out], pa.int64()),
                 "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in out], pa.int64()),
-                "round_trip": pa.array([b"".join([pieces[i] for i in x.tolist()]) == b"".join([spelled[k] for k in d.tolist()]) for x, d in zip(out, docs, strict=True)], pa.bool_()),
+                "round_trip": pa.array(same, pa.bool_()),
             }
         )
 
@@ -401,9 +413,9 @@ def _encoded(docs: DataFrame, pieces: Pieces, parts: int | None, decode: dict[in
     parts = parts or max(8, (docs.agg(F.sum(F.length(text_of(docs)))).first()[0] or 0) // PART_CHARS)
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packs = docs.select(F.col("doc_id").cast("string").alias("ident"), text_of(docs).alias("text")).mapInArrow(_pack, "group long, pack binary").repartition(max(wide, parts), "group")
-    asked = packs.mapInArrow(_ask(parts), "part int, group long, asked string").repartition(max(wide, parts), "part")
-    # all of this keeps the dealing by part: Spark adds no exchange
-    words = asked.select(F.col("part").alias("of_part"), F.explode(F.split("asked", " ")).alias("word")).groupBy("of_part", "word").agg(F.max(F.length("word")).alias("chars"))
+    asked = packs.mapInArrow(_ask(parts), "part int, asked string").repartition(max(wide, parts), "part")
+    # all of this keeps the dealing by part: Spark adds no exchange, and as both readers of asked need all its columns, deals it once
+    words = asked.select(F.col("part").alias("of_part"), F.explode(F.slice(F.split("asked", " "), 2, (1 << 31) - 1)).alias("word")).groupBy("of_part", "word").agg(F.max(F.length("word")).alias("chars"))
     encoded = encode_short(words.filter(F.col("chars") <= MAX_WORD), pieces, ("of_part", "word"))
     answer = _answer({p: (-s, k) for k, p, s in pieces.rows}, pieces.first_byte, pieces.longest, pieces.kind)
     answers = asked.groupBy("part").cogroup(encoded.groupBy("of_part")).applyInArrow(answer, "group long, part int, answer binary")

@@ -19,9 +19,10 @@ Two ways to shard:
                  hold over 65,536 nodes. Exact: no link is lost.
 ``sketch keys``  for the wide radius that a similarity of 0.8 needs (one bit in six), where no
                  pigeonhole on bits helps: the smallest hashes of the text's own shingles. Texts with a
-                 shingle similarity of 0.8 share one of the eight with a probability above 0.999. A
-                 key with over MAX_SHARD nodes (a passage that many documents share) is dealt again by
-                 its pairs with the other seven.
+                 shingle similarity of 0.8 share one of the eight with a probability above 0.999. The
+                 nodes of a key with over SKETCH_SHARD of them (a passage that many documents share) are
+                 dealt into blocks of that size, and each pair of blocks is a shard: no link is lost and
+                 no task holds more than two blocks, but a key's rows grow with its number of blocks.
 
 Cases: null text counts as empty; texts without words have fingerprint zero and are linked like any
 other; fewer words than a shingle has: the whole sequence; a null doc_id takes part, but never names
@@ -43,6 +44,7 @@ from .common import cut, map_texts
 SEED = 42
 SKETCH = 8
 MAX_SHARD = 2048
+SKETCH_SHARD = 8192
 LEAF = 48
 CHUNK = 1 << 15
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -184,11 +186,18 @@ def block_keys(nodes: DataFrame) -> DataFrame:
     )
 
 
-def sketch_keys(nodes: DataFrame) -> DataFrame:
-    """nodes(fp, keys) -> the same with finer: each key's pairs with all the others, alike from either side."""
-    pair = lambda x: F.transform("keys", lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))
-    whole = F.when(F.size("keys") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("keys"))
-    return nodes.select("fp", whole.alias("keys")).withColumn("finer", F.transform("keys", pair))
+def block_pairs(blocks: Column, of: Column) -> Column:
+    """The numbers of all pairs of blocks that a row takes part in; ``of`` (a hash) tells its own block."""
+    own = F.pmod(of, blocks)
+    return F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.least(own, other) * blocks + F.greatest(own, other))
+
+
+def sketch_shards(prints: DataFrame, max_shard: int = SKETCH_SHARD) -> DataFrame:
+    """prints(fp, keys) -> (fp, key, fine): the nodes of each key, those of large keys by pairs of blocks."""
+    rows = prints.select("fp", F.explode("keys").alias("key")).distinct()
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    blocks = F.ceil(F.col("members") / max_shard)
+    return rows.join(sizes, "key").select("fp", "key", F.explode(block_pairs(blocks, F.xxhash64("fp"))).alias("fine"))
 
 
 def stars(keyed: DataFrame, radius: int, max_shard: int = MAX_SHARD) -> DataFrame:
@@ -198,6 +207,11 @@ def stars(keyed: DataFrame, radius: int, max_shard: int = MAX_SHARD) -> DataFram
     sized = rows.join(sizes, "key")
     fine = sized.filter(F.col("members") > max_shard).select("fp", "key", F.explode("finer").alias("fine"))
     shards = sized.filter(F.col("members") <= max_shard).select("fp", "key", F.lit(None).cast("long").alias("fine")).unionByName(fine)
+    return shard_stars(shards, radius)
+
+
+def shard_stars(shards: DataFrame, radius: int) -> DataFrame:
+    """shards(fp, key, fine) -> (fp, root): one star for each local component of a shard."""
 
     def solve(table: pa.Table) -> pa.Table:
         raw = table.column("fp").to_pylist()
@@ -246,10 +260,14 @@ def link(prints: DataFrame, keyed: Callable[[DataFrame], DataFrame], radius: int
     """prints(doc_id, fp[, keys]) -> fp, component_id: the smallest doc_id of the fingerprint's component."""
     first = [F.first(c).alias(c) for c in prints.columns if c not in ("doc_id", "fp")]
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id"), *first))
-    roots = components(stars(keyed(nodes), radius, max_shard))
-    named = nodes.select("fp", "low_id").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    return named.join(least, "root").select("fp", "component_id")
+    return named(nodes, components(stars(keyed(nodes), radius, max_shard)))
+
+
+def named(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """nodes(fp, low_id), roots(fp, root) -> fp, component_id."""
+    rooted = nodes.select("fp", "low_id").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "component_id")
 
 
 def op4(docs: DataFrame) -> DataFrame:
@@ -259,7 +277,7 @@ def op4(docs: DataFrame) -> DataFrame:
     return prints.join(linked, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 4) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 4, max_shard: int = SKETCH_SHARD) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays, with all its columns.
 
     Links are at a similarity of shingle sets of ``similarity`` or more, as the fingerprints tell it: for
@@ -270,6 +288,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, b
     apart = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     radius = round(bits * apart + 0.5 * np.sqrt(bits * apart * (1 - apart)))
     prints = cut(fingerprints(docs, words, blocks, sketch=True))
-    linked = link(prints, sketch_keys, radius)
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")))
+    linked = named(nodes, components(shard_stars(sketch_shards(prints, max_shard), radius)))
     dropped = prints.join(linked, "fp").filter("doc_id <> component_id").select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

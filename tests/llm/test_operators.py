@@ -157,6 +157,20 @@ def test_near_copies(spark):
     assert gone <= near and len(gone) >= 0.9 * len(near)
 
 
+def test_hot_sketch_key(spark):
+    """No shard of a key that all share holds over two blocks, and links that only this key carries are found."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, (40, 4)).astype(np.uint64)
+    near = base.copy()
+    near[:, 0] ^= np.uint64(0b1011)
+    fps = [row.astype(">u8").tobytes() for row in np.concatenate([base, near])]
+    prints = spark.createDataFrame([(fp, [7, 1000 + k]) for k, fp in enumerate(fps)], "fp binary, keys array<long>")
+    shards = simhash.sketch_shards(prints, 2)
+    assert max(r["count"] for r in shards.groupBy("key", "fine").count().collect()) <= 16  # two blocks of two at the mean
+    got = simhash.components(simhash.shard_stars(shards, 3)).collect()
+    assert {frozenset((bytes(r["fp"]), bytes(r["root"]))) for r in got} == {frozenset((fps[k], fps[40 + k])) for k in range(40)}
+
+
 def test_bktree():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 30).astype(np.uint64)

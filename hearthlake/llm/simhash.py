@@ -23,6 +23,8 @@ Two ways to shard:
                  nodes of a key with over SKETCH_SHARD of them (a passage that many documents share) are
                  dealt into blocks of that size, and each pair of blocks is a shard: no link is lost and
                  no task holds more than two blocks, but a key's rows grow with its number of blocks.
+                 These links are candidates only: the shingle sets of each group that they make are dealt
+                 once, to one task or by pairs of blocks, and compared.
 
 Cases: null text counts as empty; texts without words have fingerprint zero and are linked like any
 other; fewer words than a shingle has: the whole sequence; a null doc_id takes part, but never names
@@ -39,12 +41,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, map_texts, text_of
 
 SEED = 42
 SKETCH = 8
 MAX_SHARD = 2048
 SKETCH_SHARD = 8192
+BLOCK_BYTES = 16 << 20
+BLOCK_ROWS = 4096
 LEAF = 48
 CHUNK = 1 << 15
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -277,18 +281,98 @@ def op4(docs: DataFrame) -> DataFrame:
     return prints.join(linked, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 4, max_shard: int = SKETCH_SHARD) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays, with all its columns.
+# ---- near copies by shingle sets -------------------------------------------------------------------
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, node (a 128-bit hash of the set) and shingles (the sorted set's bytes)."""
+
+    def per_batch(texts: list[str]) -> list[pa.Array]:
+        sets = [np.unique(shingle_hashes(text, words)).tobytes() for text in texts]
+        return [pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())]
+
+    return map_texts(docs, per_batch, "node binary, shingles binary")
 
-    Links are at a similarity of shingle sets of ``similarity`` or more, as the fingerprints tell it: for
-    equal sizes a Jaccard similarity j is a cosine of 2j/(1+j), and a bit differs with a probability of
-    the angle over pi. Repeated rows of the document that stays are left to exact dedup, and stay.
+
+def set_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the first of its component, linked at a Jaccard similarity of ``similarity`` or more.
+
+    Each set in turn is compared with the later ones that aren't in its component yet and whose size allows the similarity.
+    """
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    _, tokens = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    marked = np.zeros(len(tokens) + 1, bool)
+    root = np.arange(n)
+    for one in range(n):
+        later = np.arange(one + 1, n)
+        least, most = np.minimum(sizes[one], sizes[later]), np.maximum(sizes[one], sizes[later])
+        later = later[(root[later] != root[one]) & (least + 1e-9 >= similarity * most)]
+        if not len(later):
+            continue
+        own = tokens[starts[one] : starts[one + 1]]
+        marked[own] = True
+        ends = np.cumsum(sizes[later])
+        at = np.arange(ends[-1]) + np.repeat(starts[later] - ends + sizes[later], sizes[later])
+        hits = np.concatenate([[0], np.cumsum(marked[tokens[at]])])
+        both = hits[ends] - hits[ends - sizes[later]]
+        marked[own] = False
+        found = later[both + 1e-9 >= similarity * (sizes[one] + sizes[later] - both)]
+        if len(found):
+            joined = np.unique(root[np.append(found, one)])
+            root[np.isin(root, joined)] = joined[0]
+    return root
+
+
+def verified(sets: DataFrame, similarity: float, most_bytes: int = BLOCK_BYTES, most_rows: int = BLOCK_ROWS) -> DataFrame:
+    """sets(root, node, shingles) -> (fp, root), both of them nodes: stars of exact links within each candidate group.
+
+    A group that is larger than a block is dealt into blocks, of which each pair is compared.
+    """
+    nodes = sets.groupBy("root", "node").agg(F.first("shingles").alias("shingles"))
+    sizes = sets.select("root", "node", F.length("shingles").alias("bytes")).distinct().groupBy("root").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("members"))
+    blocks = sizes.filter("members > 1").select("root", F.greatest(F.ceil(F.col("bytes") / most_bytes), F.ceil(F.col("members") / most_rows)).alias("blocks"))
+    dealt = nodes.join(blocks, "root").select("root", "node", "shingles", F.explode(block_pairs(F.col("blocks"), F.xxhash64("node"))).alias("fine"))
+
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        raw = table.column("node").to_pylist()
+        root = set_roots([np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()], similarity)
+        moved = np.nonzero(root != np.arange(len(raw)))[0]
+        return pa.table({"fp": pa.array([raw[k] for k in moved], pa.binary()), "root": pa.array([raw[root[k]] for k in moved], pa.binary())})
+
+    return dealt.groupBy("root", "fine").applyInArrow(solve, "fp binary, root binary").distinct()
+
+
+def wide_radius(similarity: float, bits: int) -> int:
+    """Bits in which texts of that similarity differ at most, but for four standard deviations and what sets of under ten shingles add.
+
+    For equal sizes, the worst case, a Jaccard similarity j is a cosine of 2j/(1+j), and a bit differs
+    with a probability of the angle over pi.
     """
-    bits = 64 * blocks
     apart = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    radius = round(bits * apart + 0.5 * np.sqrt(bits * apart * (1 - apart)))
-    prints = cut(fingerprints(docs, words, blocks, sketch=True))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")))
-    linked = named(nodes, components(shard_stars(sketch_shards(prints, max_shard), radius)))
-    dropped = prints.join(linked, "fp").filter("doc_id <> component_id").select("doc_id")
+    return round(bits * 1.25 * apart + 4 * np.sqrt(bits * apart * (1 - apart)))
+
+
+def drop_near_copies(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, blocks: int = 4, max_shard: int = SKETCH_SHARD, most_bytes: int = BLOCK_BYTES, most_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays, with all its columns.
+
+    Links are at a Jaccard similarity of shingle sets of ``similarity`` or more. The fingerprints give
+    candidate groups, linked within a wide radius; inside these the sets themselves are compared.
+    Repeated rows of the document that stays are left to exact dedup, and stay.
+    """
+    whole = docs.select(F.struct("doc_id", F.xxhash64(text_of(docs)).alias("of")).alias("doc_id"), "text")  # ids may be null or repeat
+    prints = cut(fingerprints(whole, words, blocks, sketch=True).select("doc_id.doc_id", "doc_id.of", "fp", "keys"))
+    near = components(shard_stars(sketch_shards(prints, max_shard), wide_radius(similarity, 64 * blocks)))
+    grouped = prints.select("of", "fp").join(near, "fp", "left").select("of", F.coalesce("root", "fp").alias("root"))
+    several = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    asked = grouped.join(several, "root").select("of", "root").distinct()
+    texts = whole.select("doc_id.doc_id", "doc_id.of", "text").join(asked, "of").select(F.struct("doc_id", "root").alias("doc_id"), "text")
+    sets = cut(shingle_sets(texts, words).select("doc_id.doc_id", "doc_id.root", "node", "shingles"))
+    nodes = sets.groupBy("node").agg(F.min("doc_id").alias("low_id")).withColumnRenamed("node", "fp")
+    linked = named(nodes, components(verified(sets, similarity, most_bytes, most_rows)))
+    dropped = sets.join(linked, sets["node"] == linked["fp"]).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

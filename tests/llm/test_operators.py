@@ -157,6 +157,58 @@ def test_near_copies(spark):
     assert gone <= near and len(gone) >= 0.9 * len(near)
 
 
+def planted_copies():
+    """Texts of 60 to 400 words, each with a copy of which a stretch is replaced: similarities from 0.7 to 0.9 and some short ones."""
+    rng = np.random.default_rng(8)
+    texts = [(900, None), (901, ""), (902, "a b c d e f g h"), (903, "a b c d e f g h i"), (904, "a b c d e f g h i j k")]
+    for i in range(60):
+        w = [f"w{k}" for k in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        texts.append((2 * i, " ".join(w)))
+        shingles = len(w) - 4
+        gone = round(shingles * (1 - (j := 0.7 + 0.2 * i / 59)) / (1 + j))
+        w[-gone:] = [f"n{i}x{k}" for k in range(gone)]
+        texts.append((2 * i + 1, " ".join(w)))
+    return texts
+
+
+def brute_near(texts, similarity=0.8):
+    sets = {}
+    for i, t in texts:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    alike = lambda a, b: a == b or len(a & b) >= similarity * len(a | b) - 1e-9
+    root = {i: i for i in sets}
+    while (new := {a: min(root[b] for b in sets if alike(sets[a], sets[b])) for a in sets}) != root:
+        root = new
+    return {i for i in sets if root[i] == i}
+
+
+def test_near_copies_exact(spark):
+    texts = planted_copies()
+    want = brute_near(texts)
+    assert 20 < len(texts) - len(want) < 45
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.drop_near_copies(df).collect()} == want
+
+
+def test_near_copies_in_blocks():
+    """Pairs of blocks cover every pair, and the exact links are those of brute force."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 24, int(rng.integers(0, 24))).astype(np.uint64)) for _ in range(150)]
+    of = [set(s.tolist()) for s in sets]
+    root = list(range(150))
+    for _ in of:
+        root = [min(root[b] for b in range(150) if a == b or (of[a] or of[b]) and len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b]) - 1e-9 or of[a] == of[b]) for a in range(150)]
+    assert simhash.set_roots(sets, 0.8).tolist() == root and len(set(root)) < 150
+
+
+def test_near_copies_of_one_group(spark):
+    sets = spark.createDataFrame([(b"r", bytes([k]), np.arange(k, k + 20).astype(np.uint64).tobytes()) for k in range(40)], "root binary, node binary, shingles binary")
+    for rows in (4096, 3):
+        got = simhash.components(simhash.verified(sets, 0.8, most_rows=rows)).collect()
+        assert {(bytes(r["fp"])[0], bytes(r["root"])[0]) for r in got} == {(k, 0) for k in range(1, 40)}
+
+
 def test_hot_sketch_key(spark):
     """No shard of a key that all share holds over two blocks, and links that only this key carries are found."""
     rng = np.random.default_rng(6)

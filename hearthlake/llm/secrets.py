@@ -4,7 +4,8 @@ Base spans come from three patterns (``BASE``): leftmost, non-overlapping matche
 which those that are too short are dropped. The method adds ``guess`` spans: the value after a
 credential word is cut into dictionary words, dates, repeats, keyboard walks and brute-force
 stretches by dynamic programming over the smallest log10 of guesses; values that cost at least
-``MIN_COST`` and aren't covered by a base span are reported.
+``MIN_COST`` and aren't covered by a base span are reported. Values of letters only are costed like any
+other, so a longer word of prose that the word list lacks is reported too, as after "password is".
 
 Cases: null text counts as empty, empty texts have no spans (empty string, its SHA-256, zero counts).
 Offsets are code points, end exclusive. Spans of one start sort by kind: assign, access, hex, guess.
@@ -128,8 +129,6 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], cost: GuessCost, mi
         value = m.group(1).rstrip("\"',;.)")
         if any(a < start + len(value) and start < b for a, _, b in base) or len(value) < 6:
             continue
-        if value.isalpha():  # a plain word after "is" or a colon is prose
-            continue
         if (guesses := cost(value)) >= min_cost:
             found.append((start, 3, start + len(value), guesses))
     return found

@@ -240,6 +240,12 @@ def test_secrets(docs):
     assert spans["guess"] == "X9#qL!vw2$Zk" and spans["hex"] == "deadbeefdeadbeef01"
 
 
+@pytest.mark.parametrize("text, value", [("pwd=xqzvkjwhbgtr", "xqzvkjwhbgtr"), ("auth_key = kQzWvXjHbNtR", "kQzWvXjHbNtR"), ("password: xqzvkjwhb", "xqzvkjwhb"), ("passphrase: CorrectHorseBatteryStaple", "CorrectHorseBatteryStaple"), ("the pwd is xqzvkjwhbgtr", "xqzvkjwhbgtr"), ("password: welcome", None)])
+def test_letters_only(text, value):
+    found = secrets.guess_spans(text, secrets.base_spans(text), secrets.GuessCost())
+    assert [text[a:b] for a, _, b, _ in found] == ([value] if value else [])
+
+
 def test_guess_cost():
     cost = secrets.GuessCost()
     assert cost("password1999") < cost("qwertyuiop") + 8 < cost("X9#qL!vw2$Zk") + 8

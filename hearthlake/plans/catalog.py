@@ -500,7 +500,7 @@ def monte_carlo(spark, sf):
     g = branded(spark, sf).groupBy("p_brand").agg(F.avg("unit").alias("price"))
     made = {"growth": 0.03, "growth_sd": 0.08, "income_growth": 0.02, "income_sd": 0.05}
     items = g.select("p_brand", "price", (F.col("price") * 0.05).alias("income"), *(F.lit(v).alias(k) for k, v in made.items()))
-    return forecast.simulate(items, "p_brand", paths=100)
+    return forecast.simulate(items, "p_brand")
 
 
 # ---- text and JSON ----------------------------------------------------------------------------------

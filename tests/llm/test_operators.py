@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -298,15 +299,25 @@ def test_pieces(docs):
     assert {(r["doc_id"], r["text"]) for r in sentencepieces.decode(encoded, model).collect()} == set(text.items())
 
 
-def test_viterbi(spark):
-    class Toy:
-        kind, longest, first_byte = sentencepieces.UNIGRAM, 4, 0
-        rows = [(k, p, s) for k, (p, s) in enumerate([("▁", -3.0), ("a", -2.0), ("b", -2.5), ("ab", -3.0), ("▁a", -3.5), ("ba", -2.2), ("aba", -6.0), ("bab", -4.5)])]
-        table = sentencepieces.Pieces.table
+def encoded(spark, toy, words):
+    """ids of each word, by the fold in Spark and by that in Python."""
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {r["word"]: r["kept"] for r in sentencepieces.folded(frame, toy).collect()}
+    folds, every = sentencepieces.Folds(toy), pa.array(words)
+    of = np.array([k for k, w in enumerate(words) for _ in got.get(w, [])], np.int64)
+    out = []
+    for kept in ([(of, np.array([e for w in words for e in got.get(w, [])], np.int64))], [(np.full(len(e), k), np.array(e, np.int64).reshape(-1, 3)) for k, w in enumerate(words) if (e := folds.edges(w))]):
+        ids, sizes = folds.spell(every, kept)
+        ends = np.cumsum(sizes)
+        out.append({w: ids[b - n : b].tolist() for w, b, n in zip(words, ends, sizes, strict=True)})
+    return out
 
+
+def test_viterbi(spark):
+    toy = sentencepieces.Pieces.of([(k, p, s) for k, (p, s) in enumerate([("▁", -3.0), ("a", -2.0), ("b", -2.5), ("ab", -3.0), ("▁a", -3.5), ("ba", -2.2), ("aba", -6.0), ("bab", -4.5)])], sentencepieces.UNIGRAM, 100)
     rng = np.random.default_rng(4)
     words = sorted({"▁" + "".join(rng.choice(["a", "b"], int(rng.integers(1, 9)))) for _ in range(40)})
-    score = {p: (s, k) for k, p, s in Toy.rows}
+    score = {p: (s, k) for k, p, s in toy.rows}
 
     def best(w):
         if not w:
@@ -315,10 +326,46 @@ def test_viterbi(spark):
         s, n, ids = max(found, key=lambda x: (round(x[0], 9), x[1]))
         return s, -n, ids
 
-    got = {r["word"]: r["ids"] for r in sentencepieces.encode_short(spark.createDataFrame([(w,) for w in words], "word string"), Toy()).collect()}
-    total = lambda ids: round(sum(Toy.rows[k][2] for k in ids), 6)
-    for w in words:
-        assert total(got[w]) == round(best(w)[0], 6) and "".join(Toy.rows[k][1] for k in got[w]) == w
+    total = lambda ids: round(sum(toy.rows[k][2] for k in ids), 6)
+    for got in encoded(spark, toy, words):
+        for w in words:
+            assert total(got[w]) == round(best(w)[0], 6) and "".join(toy.rows[k][1] for k in got[w]) == w
+
+
+def test_ranked_merges(spark):
+    """Merging the best-ranked neighbours first, one pair at a time; characters without a piece are bytes."""
+    toy = sentencepieces.Pieces.of([(k, p, -float(k)) for k, p in enumerate(["ab", "ba", "aba", "▁a", "bb", "abab", "▁ab", "▁", "a", "b"])], sentencepieces.BPE, 100)
+    rank = {p: k for k, p, _ in toy.rows}
+
+    def merged(w):
+        parts = list(w)
+        while found := [(rank[x + y], k) for k, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in rank]:
+            _, k = min(found)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return [i for p in parts for i in ([rank[p]] if p in rank else [100 + b for b in p.encode()])]
+
+    rng = np.random.default_rng(5)
+    words = sorted({"▁" + "".join(rng.choice(["a", "b", "é", "日"], int(rng.integers(1, 12)), p=[0.45, 0.45, 0.05, 0.05])) for _ in range(80)} | {"a", "日", "▁"})
+    for got in encoded(spark, toy, words):
+        assert got == {w: merged(w) for w in words}
+
+
+def test_pieces_of_many_groups(spark, monkeypatch):
+    """Texts in which marks run together, that are empty, or that decode to other texts; small groups, parts and ranges."""
+    import sentencepiece
+
+    texts = [None, "", " ", "  ", " a", "a ", "a  b", "  a b  ", "▁a", "a▁ b", "x\ny, z.", "\n", "日本 の  語", "e\u0301 ", "1234567", "a" * 200, "=" * 70 + " b", "the the The", "don't (do) that!"] * 3
+    rows = [(k if k % 7 else None, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    for name, value in (("GROUP_BYTES", 40), ("PART_BYTES", 100), ("RANGE_BYTES", 700)):
+        monkeypatch.setattr(sentencepieces, name, value)
+    monkeypatch.setattr(sentencepieces.groups, "__defaults__", (40,))
+    model = tokenizer_file("piece_bpe_32k.model")
+    own = sentencepiece.SentencePieceProcessor(model_file=model)
+    got = sentencepieces.op8(docs, model).collect()
+    row = lambda i, t: (str(i), own.encode(t or ""), "▁" not in (t or ""))
+    assert sorted((str(r["doc_id"]), r["ids"], r["round_trip"]) for r in got) == sorted(row(i, t) for i, t in rows)
+    assert all(r["n_tokens"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in got)
 
 
 def test_mixing(spark):

@@ -46,6 +46,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import buffers_of, code_points, slices, starts_of, sums, text_array, utf8_lengths
 from .common import cut, text_of
 
 MARK = "▁"
@@ -174,7 +175,7 @@ class Folds:
         text = {k: p.replace(MARK, " ").encode() for k, p, _ in self.rows} | {self.first_byte + b: bytes([b]) for b in range(256)}
         each = [text.get(k, b"") for k in range(max(text) + 1)]
         sizes = np.array([len(x) for x in each], np.int64)
-        return np.frombuffer(b"".join(each), np.uint8), _starts(sizes), sizes
+        return np.frombuffer(b"".join(each), np.uint8), starts_of(sizes), sizes
 
 
 NO_PIECE = float(1 << 40)
@@ -276,32 +277,6 @@ def split_words(text: str) -> list[str]:
     return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def text_array(x: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """One array of strings whose buffers begin at its first row."""
-    x = pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) and x.num_chunks else x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
-    return pa.concat_arrays([x.cast(pa.string()), pa.array([], pa.string())])
-
-
-def buffers_of(texts: pa.Array) -> tuple[np.ndarray, memoryview]:
-    """Offsets and bytes of a string array."""
-    _, offsets, data = texts.buffers()
-    ends = np.frombuffer(offsets, np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
-    raw = memoryview(data)[ends[0] : ends[-1]] if data is not None else memoryview(b"")
-    return ends - ends[0], raw
-
-
-def utf8_lengths(points: np.ndarray) -> np.ndarray:
-    return 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
-
-
-def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts and the first one's place of each."""
-    ends, raw = buffers_of(texts)
-    points = np.frombuffer(bytes(raw).decode().encode("utf-32-le"), np.uint32)
-    at = np.concatenate([[0], np.cumsum(utf8_lengths(points))])
-    return points, np.searchsorted(at, ends[:-1])
-
-
 def _bundle(*parts: bytes) -> bytes:
     """Compressed parts, each after its length."""
     press = zstandard.ZstdCompressor(3).compress
@@ -326,24 +301,6 @@ def _numbers(planes: bytes) -> np.ndarray:
     return np.frombuffer(np.frombuffer(planes, np.uint8).reshape(4, -1).T.tobytes(), "<u4").astype(np.int64)
 
 
-def _starts(sizes: np.ndarray) -> np.ndarray:
-    return np.cumsum(sizes) - sizes
-
-
-def _slices(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """values[start : start + size] for each start, one after the other."""
-    at = np.repeat(starts - _starts(sizes), sizes)
-    at += np.arange(len(at))
-    return values[at]
-
-
-def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of consecutive stretches of values, as long as sizes say."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
-
-
 class Group:
     """Documents of one task: their distinct words, and the words' distinct segments in the order in which parts answer."""
 
@@ -366,7 +323,7 @@ class Group:
         cuts = folds.cuts(points)
         cuts[first] = True
         at = np.flatnonzero(cuts)
-        offsets = np.append(_starts(utf8_lengths(points))[at], buffers_of(marked)[0][-1]).astype(np.int32)
+        offsets = np.append(starts_of(utf8_lengths(points))[at], buffers_of(marked)[0][-1]).astype(np.int32)
         segments = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), marked.buffers()[2] or pa.py_buffer(b"")).dictionary_encode() if len(at) else marked.dictionary_encode()
         self.sizes = np.diff(np.append(np.searchsorted(at, first), len(at)))
         held = text_array(segments.dictionary)
@@ -402,7 +359,7 @@ class Group:
         rank = np.argsort(order := np.argsort(-np.bincount(self.places, minlength=len(self.sizes)), kind="stable"), kind="stable")
         ends, raw = buffers_of(self.texts)
         digests = b"".join([xxhash.xxh3_128_digest(raw[ends[k] : ends[k + 1]]) for k in self.order.tolist()])
-        segments = _slices(self.segments, _starts(self.sizes)[order], self.sizes[order])
+        segments = slices(self.segments, starts_of(self.sizes)[order], self.sizes[order])
         return _bundle(json.dumps(self.idents).encode(), digests, *map(_planes, (self.counts, rank[self.places], self.sizes[order], segments)))
 
 
@@ -482,11 +439,11 @@ def _answer(pieces: Pieces):
             more = np.array(folds.edges(distinct[k].as_py()), np.int64).reshape(-1, 3)
             kept.append((np.full(len(more), k), more))
         values, sizes = folds.spell(distinct, kept)
-        starts, ends = _starts(sizes), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        starts, ends = starts_of(sizes), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
         blobs = []
         for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
             rows = place[a:b]
-            blobs.append(_bundle(_planes(sizes[rows]), _planes(_slices(values, starts[rows], sizes[rows]))))
+            blobs.append(_bundle(_planes(sizes[rows]), _planes(slices(values, starts[rows], sizes[rows]))))
         return pa.table({"group": pa.array([int(x) for x in names], pa.int64()), "part": asked.column("part"), "answer": pa.array(blobs, pa.binary())})
 
     return run
@@ -514,16 +471,16 @@ def _assemble(pieces: Pieces, check: bool):
             raise RuntimeError("a group without its answers: the rows came in another order; write them to files first")
         values = np.concatenate([ids for _, ids in got]).astype(np.int32) if got else np.zeros(0, np.int32)
         # ids of segments -> of words -> of documents
-        values = _slices(values, _starts(sizes)[segments], sizes[segments])
-        sizes = _sums(sizes[segments], per_word)
-        ids = _slices(values, _starts(sizes)[places], sizes[places])
-        n = _sums(sizes[places], counts)
+        values = slices(values, starts_of(sizes)[segments], sizes[segments])
+        sizes = sums(sizes[segments], per_word)
+        ids = slices(values, starts_of(sizes)[places], sizes[places])
+        n = sums(sizes[places], counts)
         ends = np.cumsum(n)
         columns = [pa.array(json.loads(idents), pa.string()), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))]
         if check:
             spelled, start, length = kept[0]
-            raw = memoryview(_slices(spelled, start[ids], length[ids]).tobytes())
-            stops = np.cumsum(_sums(length[ids], n))
+            raw = memoryview(slices(spelled, start[ids], length[ids]).tobytes())
+            stops = np.cumsum(sums(length[ids], n))
             begins = np.append(0, stops[:-1])[: len(stops)]
             le, cuts = ids.astype("<u4"), list(zip((ends - n).tolist(), ends.tolist(), strict=True))
             digest = xxhash.xxh3_128_digest  # without the dummy prefix
@@ -580,7 +537,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             texts = []
             for ids in batch.column("ids").to_pylist():
                 of = np.array(ids or [], np.int64)
-                text = _slices(spelled, start[of], length[of]).tobytes().decode("utf-8", "replace")
+                text = slices(spelled, start[of], length[of]).tobytes().decode("utf-8", "replace")
                 texts.append(text[1:] if text[:1] == " " else text)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 

@@ -406,9 +406,22 @@ def test_tokens(docs, spark, tmp_path):
             text = next(t or "" for i, t, *_ in TEXTS if i == r["doc_id"])
             assert r["ids"] == own.encode(text, add_special_tokens=False).ids + [2] and r["start"] == start
             start += r["n_tokens"]
-    encoder = token_files.Encoder(path)
-    for text in ("a <|endoftext|> b", "it's\n\n  x ,y", "\x1c a\u2028 b", "don't,we'll"):
-        assert encoder.batch([text])[0].tolist() == own.encode(text, add_special_tokens=False).ids + [2]
+
+
+def test_chunks():
+    """Ids of texts encoded together are those of each whole text, whatever white space, marks, contractions and added tokens it has."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, draw = tokenizer_file("byte_bpe_50k.json"), random.Random(6)
+    own, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\r", "\x0b", "\xa0", "\u2003", "a", "Bc", "é", "ß", "日本", "1", "23", "²", ".", "!", "'s", "'", "'ll", '"', "_", "-", "😀", "\x1c", "<|endoftext|>", " the", "don't", "x" * 80]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 12))) for _ in range(4000)] + ["", " ", "a <|endoftext|> b", "it's\n\n  x ,y", "\x1c a\u2028 b", "don't,we'll"]
+    for some in (texts, [], [""]):
+        ids, sizes = encoder.batch(pa.array(some, pa.string()))
+        ends = np.cumsum(sizes)
+        assert [ids[b - n : b].tolist() for b, n in zip(ends, sizes, strict=True)] == [e.ids + [2] for e in own.encode_batch(some, add_special_tokens=False)]
 
 
 def test_urls(spark):

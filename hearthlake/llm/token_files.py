@@ -42,7 +42,7 @@ CHUNK = re.compile(rf" ?[^\W\d_]+(?=[ \n\t.,;:!?]|\Z)|[.,;:!?]+(?=[ \n\t]|\Z)| ?
 #: A space with white space before it and after it, or the end.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 INNER_SPACE = rf"{_WHITE} (?:{_WHITE}|\z)"
-CACHE = 500_000
+CACHE = 150_000
 LONGEST = 64  # longer chunks aren't kept
 JOINED = 1000
 BATCH_BYTES = 8 << 20

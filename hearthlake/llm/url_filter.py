@@ -4,10 +4,11 @@ Urls are parsed to host and path, path segments get a lexical class (numbers, he
 identifiers, with their extension), and equal shapes of a host are counted once. Then, level by level
 and for each node (host, template so far):
 
-1. a segment is variable if its branch has less than a share and a least count of the node's urls while
+1. a segment is variable if its branch has less than a share or a least count of the node's urls while
    the node branches widely; variable segments become ``*``;
-2. literal branches whose labelled rate of bad urls doesn't differ from that of all their node's
-   labelled urls (two-proportion z test) are similar and merge into ``~``; branches that differ stay apart.
+2. literal branches with LEAST_LABELS labelled urls or more are compared in the order of their rates of bad
+   urls: a branch joins the one before it if it differs from none of the branches that this has joined (two-proportion
+   z test, each pair by itself), and the joined ones become ``(a|b)``. Branches without that evidence stay apart.
 
 A template's purity is the smoothed rate of good labels, (good + strength * prior) / (labels +
 strength); a template is rejected if it is under the threshold. Fixed rules (host suffix and path
@@ -15,12 +16,16 @@ prefix, the longest wins) come before the method.
 
 Scale. All steps after the first aggregation work on shapes, which are far fewer than urls, with the
 segment among the grouping keys, so that a host with a third of all urls is spread over tasks. Levels
-are cut by checkpoints. Verdicts are joined back on (host, shape).
+are cut by checkpoints. What all shapes of a node have in common is passed in one step, and a shape leaves the tree
+where it ends, so there are as many steps as a path has nodes that branch, however long it is.
+What is compared at a node is bounded: fewer branches than WIDE, or those with a share of LEAST_SHARE. Verdicts
+are joined back on (host, shape).
 
 Cases: a null url, or one without ``://``, has an empty host and path and the template of the empty
-path; an empty path is the template ``/``; ties in rule length can't both match; urls of more than
-MAX_DEPTH segments keep the rest as ``**``; repeated rows count as urls and give repeated results; a page
-with several labels counts as bad if any is; an empty table gives an empty result.
+path; an empty path is the template ``/``; ties in rule length can't both match, branches of one rate are
+taken in the order of their names; repeated rows count as urls and give repeated results; a page with several
+labels counts as bad if any is; a null page_id has no label; very long urls are read whole; extra columns,
+whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,10 +37,10 @@ from .common import cut, lower_ascii
 
 # Fixed values: (verdict, host, path prefix).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-MAX_DEPTH = 12
 WIDE = 12  # children from which a node may have variable segments
 LEAST_SHARE = 0.02
 LEAST_COUNT = 5
+LEAST_LABELS = 5
 Z = 2.58
 STRENGTH = 8.0
 THRESHOLD = 0.5
@@ -59,7 +64,7 @@ def rule_columns(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def segments(path: Column, depth: int = MAX_DEPTH) -> Column:
+def segments(path: Column) -> Column:
     """The lexical classes of a path's segments."""
     raw = F.filter(F.split(path, "/"), lambda s: s != "")
 
@@ -74,32 +79,57 @@ def segments(path: Column, depth: int = MAX_DEPTH) -> Column:
             .otherwise(s)
         )
 
-    cutted = F.when(F.size(raw) > depth, F.concat(F.slice(raw, 1, depth), F.array(F.lit("**")))).otherwise(raw)
-    return F.transform(cutted, kind)
+    return F.transform(raw, kind)
 
 
-def templates(shapes: DataFrame, prior: float, wide: int = WIDE, share: float = LEAST_SHARE, least: int = LEAST_COUNT, z: float = Z) -> DataFrame:
+def alike(branches: DataFrame, z: float = Z) -> DataFrame:
+    """branches(host, template, seg, bl, bb) -> host, template, seg, merged: the name of those that are joined."""
+    rate = F.col("bb") / F.col("bl")
+    listed = branches.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct(rate.alias("rate"), "seg", "bl", "bb"))).alias("all"))
+
+    def differ(x: Column, y: Column) -> Column:
+        pooled = (x["bb"] + y["bb"]) / (x["bl"] + y["bl"])
+        spread = F.sqrt(pooled * (1 - pooled) * (1 / x["bl"] + 1 / y["bl"]))
+        return F.abs(x["rate"] - y["rate"]) > F.lit(z) * spread
+
+    one = "struct<rate:double,seg:string,bl:bigint,bb:bigint>"
+
+    def step(groups: Column, x: Column) -> Column:
+        last = F.element_at(groups, -1)
+        fits = (F.size(groups) > 0) & ~F.exists(last, lambda y: differ(x, y))
+        grown = F.concat(F.slice(groups, 1, F.size(groups) - 1), F.array(F.concat(last, F.array(x))))
+        return F.when(fits, grown).otherwise(F.concat(groups, F.array(F.array(x)))).cast(f"array<array<{one}>>")
+
+    joined = listed.select("host", "template", F.explode(F.aggregate(F.col("all").cast(f"array<{one}>"), F.array().cast(f"array<array<{one}>>"), step)).alias("members"))
+    several = joined.filter(F.size("members") > 1).select("host", "template", F.array_sort(F.transform("members", lambda x: x["seg"])).alias("names"))
+    return several.select("host", "template", F.explode("names").alias("seg"), F.concat(F.lit("("), F.array_join("names", "|"), F.lit(")")).alias("merged"))
+
+
+def templates(shapes: DataFrame, wide: int = WIDE, share: float = LEAST_SHARE, least: int = LEAST_COUNT, least_labels: int = LEAST_LABELS, z: float = Z) -> DataFrame:
     """shapes(host, segs, n, labels, bad) -> the same with template."""
-    tree = cut(shapes.withColumn("template", F.lit("")))
-    depth = tree.agg(F.max(F.size("segs"))).first()[0] or 0
-    for level in range(depth):
-        seg = F.get("segs", F.lit(level))
-        keyed = tree.withColumn("seg", seg)
-        branches = keyed.filter("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("bn"), F.sum("labels").alias("bl"), F.sum("bad").alias("bb"))
-        nodes = branches.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("bn").alias("nn"), F.sum("bl").alias("nl"), F.sum("bb").alias("nb"))
-        b = branches.join(nodes, ["host", "template"])
+    columns, node = ["host", "segs", "n", "labels", "bad", "template"], ["host", "template"]
+    tree, done = cut(shapes.withColumns({"template": F.lit(""), "rest": F.col("segs")})), []
+    while not tree.isEmpty():
+        # what the rests of all shapes of a node begin with is what the first and the last of them do
+        same = F.array_position(F.zip_with(F.min("rest"), F.max("rest"), lambda x, y: x.eqNullSafe(y)), False)
+        shared = tree.groupBy(*node).agg(F.when(same == 0, F.size(F.min("rest"))).otherwise(same - 1).cast("int").alias("shared"))
+        path = F.concat("template", F.lit("/"), F.array_join(F.slice("rest", F.lit(1), F.col("shared")), "/"))
+        moved = tree.join(shared, node).withColumns({"template": F.when(F.col("shared") > 0, path).otherwise(F.col("template")), "seg": F.get("rest", F.col("shared"))})
+        keyed = cut(moved.withColumn("rest", F.slice("rest", F.col("shared") + 2, F.size("rest"))).drop("shared"))
+        branches = keyed.filter("seg is not null").groupBy(*node, "seg").agg(F.sum("n").alias("bn"), F.sum("labels").alias("bl"), F.sum("bad").alias("bb"))
+        nodes = branches.groupBy(*node).agg(F.count(F.lit(1)).alias("children"), F.sum("bn").alias("nn"))
+        b = branches.join(nodes, node)
         variable = (F.col("children") >= wide) & ((F.col("bn") < least) | (F.col("bn") < share * F.col("nn")))
-        rest_l, rest_b = F.col("nl") - F.col("bl"), F.col("nb") - F.col("bb")
-        rate = F.try_divide("nb", "nl")
-        apart = F.abs(F.try_divide("bb", "bl") - F.try_divide(rest_b, rest_l))
-        spread = F.sqrt(rate * (1 - rate) * (F.try_divide(F.lit(1.0), "bl") + F.try_divide(F.lit(1.0), rest_l)))
-        differs = F.coalesce(apart > F.lit(z) * spread, F.lit(False))
-        name = F.when(variable, "*").when((F.col("children") > 1) & ~differs & ~F.col("seg").startswith("{"), "~").otherwise(F.col("seg"))
-        named = b.select("host", "template", "seg", name.alias("branch"))
+        proven = (F.col("children") > 1) & ~variable & ~F.col("seg").startswith("{") & (F.col("bl") >= least_labels)
+        named = b.join(alike(b.filter(proven), z), [*node, "seg"], "left").select(*node, "seg", F.when(variable, "*").otherwise(F.coalesce("merged", "seg")).alias("branch"))
+        done.append(keyed.filter("seg is null").select(*columns))
         tree = cut(
-            keyed.join(named, ["host", "template", "seg"], "left").withColumn("template", F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch"))).select("host", "segs", "n", "labels", "bad", "template")
+            keyed.filter("seg is not null").join(named, [*node, "seg"]).select(*columns[:-1], F.concat("template", F.lit("/"), "branch").alias("template"), "rest")
         )
-    return tree.withColumn("template", F.when(F.col("template") == "", "/").otherwise(F.col("template")))
+    out = done[0] if done else tree
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("template", F.when(F.col("template") == "", "/").otherwise(F.col("template")))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, strength: float = STRENGTH, threshold: float = THRESHOLD) -> DataFrame:
@@ -113,7 +143,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, strength: float = ST
     shapes = cut(rows.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labels"), F.count_if("bad").alias("bad")))
     total = shapes.agg(F.sum("labels"), F.sum("bad")).first()
     prior = 1 - (total[1] / total[0] if total[0] else 0.0)
-    tree = templates(shapes, prior)
+    tree = templates(shapes)
     per = tree.groupBy("host", "template").agg(F.sum("labels").alias("labelled"), F.sum("bad").alias("bad"))
     per = per.withColumn("purity", (F.col("labelled") - F.col("bad") + strength * prior) / (F.col("labelled") + strength)).drop("bad")
     known = tree.select("host", "segs", "template").join(per, ["host", "template"])

@@ -5,12 +5,16 @@ which those that are too short are dropped. The method adds ``guess`` spans: the
 credential word is cut into dictionary words, dates, repeats, keyboard walks and brute-force
 stretches by dynamic programming over the smallest log10 of guesses; values that cost at least
 ``MIN_COST`` and aren't covered by a base span are reported. Values of letters only are costed like any
-other, so a longer word of prose that the word list lacks is reported too, as after "password is".
+other. The dictionary is ranked: the fixed ``WORDS``, which guessers try first, then the corpus's own words by
+how often they occur in all texts (``ranked_words``; their number is a parameter of the dictionary), so that
+prose after "password is" is cheap and a rare word isn't.
 
 Cases: null text counts as empty, empty texts have no spans (empty string, its SHA-256, zero counts).
 Offsets are code points, end exclusive. Spans of one start sort by kind: assign, access, hex, guess.
 Very long texts are scanned whole; a value of any length is costed in linear time, since segments
-other than brute force have bounded length. Repeated rows give repeated results.
+other than brute force have bounded length. Repeated rows give repeated results; a null doc_id is carried along;
+extra columns, whatever their names, are not read; an empty table gives an empty result and no dictionary but
+the fixed one.
 """
 
 from __future__ import annotations
@@ -18,11 +22,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_texts
+from .arrays import by_bytes
+from .common import BATCH_BYTES, map_texts, text_of
 
 # Kinds in their order, pattern, and the least length of the group named.
 BASE = (
@@ -51,6 +60,40 @@ LEET = str.maketrans("430$5178@", "aeossitba")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-./]?(?:0[1-9]|1[0-2])(?:[-./]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:19|20)\d\d", re.A)
 
 
+DICTIONARY = 30_000
+LEAST_WORD = 3
+#: Of bytes: A-Z lower-cased, all that isn't a letter to a space.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(256))
+KEPT = 500_000  # words that a task counts before it hands them on
+
+
+def ranked_words(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_WORD, longest: int = MAX_SEGMENT) -> list[str]:
+    """WORDS, then the most frequent words (runs of ASCII letters, lower-cased) of all texts, at most ``most`` of them.
+
+    Every text is counted, by task first. Words that occur once aren't ranked.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            words = [w for w in held if least <= len(w) <= longest]
+            made = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array([held[w] for w in words], pa.int64())], names=["word", "n"])
+            held.clear()
+            return made
+
+        for batch in batches:
+            for at, stop in by_bytes(batch.column("text"), BATCH_BYTES):
+                held.update("\n".join(batch.column("text").slice(at, stop - at).to_pylist()).encode("utf-8", "surrogatepass").translate(LETTERS).split())
+                if len(held) > KEPT:
+                    yield flush()
+        yield flush()
+
+    counted = docs.select(text_of(docs).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.filter("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()
+    return list(dict.fromkeys([*WORDS, *(r["word"] for r in top)]))
+
+
 def _beside() -> set[str]:
     pairs = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)}
     pairs |= {a + b for above, below in zip(ROWS, ROWS[1:3], strict=False) for a, b in zip(above, below, strict=False)}
@@ -124,10 +167,14 @@ def guess_spans(text: str, base: list[tuple[int, int, int]], cost: GuessCost, mi
     if not any(h in low for h in CONTEXT_HINTS):
         return []
     found = []
+    starts, reach = [], [0]  # base spans by start, and how far those up to each reach
+    for a, _, b in sorted(base):
+        starts.append(a)
+        reach.append(max(reach[-1], b))
     for m in CONTEXT.finditer(text):
         start = m.start(1)
         value = m.group(1).rstrip("\"',;.)")
-        if any(a < start + len(value) and start < b for a, _, b in base) or len(value) < 6:
+        if reach[bisect_left(starts, start + len(value))] > start or len(value) < 6:
             continue
         if (guesses := cost(value)) >= min_cost:
             found.append((start, 3, start + len(value), guesses))
@@ -139,10 +186,16 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, words: list[str] | None = None, min_cost: float = MIN_COST) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, top_cost (of guess spans, else null)."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, top_cost (of guess spans, else null).
+
+    ``words`` is the ranked dictionary, WORDS if it isn't given.
+    """
+    kept: list[GuessCost] = []
 
     def per_batch(texts: list[str]) -> list[pa.Array]:
-        cost = GuessCost(words)
+        if not kept:
+            kept.append(GuessCost(words))
+        cost = kept[0]
         counts: list[list[int]] = [[], [], []]
         digests, spans, added, tops = [], [], [], []
         for text in texts:
@@ -160,4 +213,4 @@ def scan(docs: DataFrame, words: list[str] | None = None, min_cost: float = MIN_
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    return scan(docs)
+    return scan(docs, ranked_words(docs))

@@ -9,10 +9,13 @@ exception of its left side.
 The score is the permissiveness of the most binding label found (1 permissive, 0.5 weak copyleft,
 0.25 copyleft, 0.1 non-commercial, 0.5 unknown); 0 if no label was found.
 
+Expressions are read to the end of their line. Their values are identifiers of the families in ``FAMILIES`` and
+references of one's own (``LicenseRef-``); any other word is a fault, where the expression ends.
+
 Cases: null text counts as empty; without words n_words is 0 and the first and last word are null;
 overlapping places all count; broken expressions give the identifiers read up to the fault; ties
-between the sides of an ``or`` go to the left one; very long texts are read whole; repeated rows give
-repeated results.
+between the sides of an ``or`` go to the left one; very long texts and expressions are read whole; repeated rows
+give repeated results; extra columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,7 +51,14 @@ SCORES = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "unlicense": 1.0, "
 #: Of bytes: A-Z lower-cased, all other ASCII but digits and a-z to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
-LINE = re.compile(r"[ \t]*:?[ \t]*([^\n\r<>\"*/;,]{1,400})")
+LINE = re.compile(rb"[ \t]*:?[ \t]*([^\n\r<>\"*/;,]+)")
+#: Families of identifiers, of which versions and variants follow.
+FAMILIES = (
+    "0bsd afl agpl apache apache-2 artistic blueoak bsd bsl cc-by cc0 cddl cecill cpl ecl epl eupl fdl ftl gfdl gpl hpnd icu ijg imagemagick "
+    "ipl isc lgpl libpng lppl mit mpl ms-pl ms-rl mulanpsl ncsa nlod nist npl odbl odc-by ofl openssl osl pddl php postgresql python psf qpl "
+    "ruby sgi-b sleepycat ssh-openssh sspl tcl ucl unicode unlicense upl vim w3c wtfpl x11 xfree86 zend zlib zpl"
+).split()
+KNOWN = re.compile(rf"(?:{'|'.join(FAMILIES)})(?:-(?:\d[\w.]*|only|or-later|clause|nc|sa|nd|dfsg|igo|cmu|modern|no|attribution|shell|patent|lbnl|views|source|perl|cl8|b|c|r|zero|classic|new)(?=-|\+|$))*\+?|licenseref-[\w.-]+", re.A)
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -91,7 +101,8 @@ def postfix(tokens: list[str]) -> list[str]:
             while (top := waiting.pop()) != "(":
                 out.append(top)
         else:
-            if not value_next:
+            exception = bool(waiting) and waiting[-1] == "with"
+            if not value_next or not (exception or KNOWN.fullmatch(low)):
                 break
             out.append(low)
             value_next = False
@@ -132,20 +143,22 @@ class Scanner:
         words = raw.translate(FOLD).split()
         line = " " + b" ".join(words).decode("utf-8", "replace") + " "
         places, base, more, tags = [], set(), set(), []
+        counted = spaces = 0
         for end, (length, phrase, label, is_base) in self.machine.iter(line):
+            spaces += line.count(" ", counted, end)  # ends come in order
+            counted = end
             if is_base:
-                places.append(line.count(" ", 0, end - length))
+                places.append(spaces - phrase.count(" ") - 1)
                 base.add(label)
             elif phrase in TAGS:
-                tags.append(line.count(" ", 0, end - length) + phrase.count(" ") + 1)
+                tags.append(spaces)
             else:
                 more.add(label)
         if tags:
             ends = [m.end() for m in re.finditer(rb"\S+", raw.translate(FOLD))]
             for after in tags:
-                tail = raw[ends[after - 1] : ends[after - 1] + 2000].decode("utf-8", "replace")
-                if m := LINE.match(tail):
-                    more |= evaluate(m.group(1))
+                if m := LINE.match(raw, ends[after - 1]):
+                    more |= evaluate(m.group(1).decode("utf-8", "replace"))
         return len(words), places, base, more
 
 

@@ -1,15 +1,17 @@
 """Language identification: words first, then ever shorter character n-grams.
 
 Training counts words and character n-grams (orders 4 to 1, with word-edge marks) by language in Spark
-over a bounded sample of labelled documents, and keeps the most frequent ones of each; the bounds are
-parameters of ``train``. Scoring adds the log frequency of each known word in every language; a word
+over a bounded sample of labelled documents (``sample_docs``), all its languages, and keeps the most frequent
+ones of each as features; their number is a parameter of the model, which a share for each language and order
+bounds in all. Scoring adds the log frequency of each known word in every language; a word
 that isn't known is covered from left to right by the longest known n-grams.
 
 Cases: null text, empty text or text without a letter: ``und`` with score 0. Text in which nothing is
 known at all takes the prior's language with the prior as its score. Ties go to the language that
 sorts first. Rows with null lang or null doc_id aren't learned from. An empty training set predicts
-``und`` throughout. Very long texts are read whole: words are counted first, so that each distinct word
-is scored once.
+``und`` throughout, and an empty table gives an empty result. Very long texts are read whole: words are counted
+first, so that each distinct word is scored once. Repeated rows are learned from and predicted like any other;
+extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -89,22 +91,22 @@ class Rows:
         return k
 
 
-def train(
-    docs: DataFrame, sample_docs: int = 4000, words_per_lang: int = 20_000, grams_per_lang: int = 8_000, max_langs: int = 64
-) -> Model:
+def train(docs: DataFrame, sample_docs: int = 4000, words_per_lang: int = 20_000, grams_per_lang: int = 8_000, most_cells: int = 20_000_000) -> Model:
     """Fit on at most sample_docs labelled documents (those of the smallest hash of doc_id), read whole.
 
-    What reaches the driver is bounded by max_langs * (words_per_lang + 4 * grams_per_lang) counts.
+    All languages of the sample are learned, at most sample_docs. A model has a vector over languages for each
+    feature; where words_per_lang or grams_per_lang (for each order) features of every language came to over
+    most_cells numbers, each language has its share of these. That bounds what reaches the driver and is broadcast.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     ids = labelled.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_docs).select("doc_id").distinct()
     sample = cut(labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.lower("text").alias("text")))
-    counts = sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    langs = sorted(r["lang"] for r in counts)
+    size = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}  # a row for a language of the sample
+    langs = sorted(size)
     if not langs:
         return Model([], np.zeros(0), {}, {})
-    size = {r["lang"]: r["count"] for r in counts}
     prior = np.array([size[x] for x in langs], float) / sum(size[x] for x in langs)
+    share = max(1, most_cells // (len(langs) ** 2 * (1 + len(ORDERS))))
     words = sample.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     marked = words.select("lang", F.concat(F.lit("^"), "word", F.lit("$")).alias("m"), "n")
     grams = None
@@ -114,27 +116,38 @@ def train(
         grams = one if grams is None else grams.unionByName(one)
     grams = grams.groupBy("lang", "order", "word").agg(F.sum("n").alias("n"))
 
-    def top(table: DataFrame, keys: list[str], most: int) -> list:
-        """The most frequent entries of each language; aggregated rows only are ranked."""
-        turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))
-        return table.filter(F.col("lang").isin(langs)).withColumn("turn", turn).filter(F.col("turn") <= most).select(*keys, "word", "n").collect()
-
     def vectors(rows: list) -> dict[str, np.ndarray]:
-        table, sums = {}, np.zeros(len(langs))
+        table, sums, at = {}, np.zeros(len(langs)), {x: k for k, x in enumerate(langs)}
         for r in rows:
-            k = langs.index(r["lang"])
+            k = at[r["lang"]]
             table.setdefault(r["word"], np.zeros(len(langs)))[k] += r["n"]
             sums[k] += r["n"]
         return {w: np.log((v + 0.5) / (sums + 0.5 * len(table) + 1)) for w, v in table.items()}
 
-    known = vectors([r for r in top(words, ["lang"], words_per_lang) if r["n"] > 1])
-    by_order = top(grams, ["lang", "order"], grams_per_lang)
+    known = vectors(frequent(words.filter("n > 1"), ["lang"], min(words_per_lang, share)).collect())
+    by_order = frequent(grams, ["lang", "order"], min(grams_per_lang, share)).collect()
     found: dict[str, np.ndarray] = {}
     for n in ORDERS:
         found |= vectors([r for r in by_order if r["order"] == n])
     return Model(langs, prior, known, found)
 
 
+def frequent(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """counts(*keys, word, n), a row for each -> the rows of the most frequent words of a key, at most ``most``.
+
+    Words of one count stay or go together; if even those of the highest count are too many, the first of them by
+    hash stay. Cut-offs come from how many words have each count, so that no task has all words of a key.
+    """
+    counts = counts.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(1 << 20)))
+    best = counts.groupBy(*keys).agg(F.max("n").alias("best"))
+    level = F.struct(-F.col("n"), F.when(F.col("n") == F.col("best"), F.col("salt")).otherwise(F.lit(0)))
+    levelled = counts.join(best, keys).withColumn("level", level)
+    sizes = levelled.groupBy(*keys, "level").agg(F.count(F.lit(1)).alias("words"))
+    running = F.sum("words").over(Window.partitionBy(*keys).orderBy("level"))
+    last = sizes.withColumn("running", running).filter(F.col("running") <= most).groupBy(*keys).agg(F.max("level").alias("last"))
+    return levelled.join(last, keys).filter(F.col("level") <= F.col("last")).select(*counts.drop("salt").columns)
+
+
 def predictor(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """A column struct<lang_pred, score> over docs; the bounded model is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, model.words, model.grams))
@@ -166,8 +179,11 @@ def op6(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def drop_unknown(docs: DataFrame) -> DataFrame:
-    """Documents whose language can be told, with all their columns and without a shuffle."""
+def drop_unknown(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """Documents whose language can be told, with all their columns and without a shuffle.
+
+    Those predicted ``und``, and those of which no language is likelier than all others together (a score under
+    ``least``), go.
+    """
     model = train(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))))
-    name = "__lang_guess"
-    return docs.withColumn(name, predictor(docs, model)).filter(F.col(name)["lang_pred"] != UND).select(*docs.columns)
+    return docs.filter(predictor(docs, model)["score"] >= least) if least > 0 else docs

@@ -7,8 +7,10 @@ sample tables (stsd, mdhd, stts, stsc, stsz or stz2, stco or co64, stss) and giv
 byte ranges of the keyframes; payloads are sliced, never decoded.
 
 Cases: null text counts as empty; an empty payload is padded to one frame of zeros; media with no
-or broken boxes parse to no tracks and keep what could be read; boxes whose size says "to the end" and
-64-bit sizes are read; empty tables give empty results; equal texts give equal values.
+or broken boxes parse to no tracks and keep what could be read, however deep boxes are nested or however many
+samples they claim to have; boxes whose size says "to the end" and 64-bit sizes are read; empty tables give empty
+results; equal texts, and so repeated rows, give equal values; very long texts are stored whole (up to what Arrow
+holds in one value, 2 GB); a null doc_id is carried along; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -170,11 +172,16 @@ def parse(media: bytes) -> list[Track]:
         return list(struct.iter_unpack(form, data[first : first + n * size]))
 
     def walk(start: int, end: int) -> None:
-        for kind, at, stop in boxes(data, start, end):
+        inner = [boxes(data, start, end)]  # the boxes of each holder that is open
+        while inner:
+            kind, at, stop = next(inner[-1], (b"", 0, 0))
+            if not kind:
+                inner.pop()
+                continue
             if kind == b"trak":
                 tracks.append(Track())
             if kind in HOLDERS:
-                walk(at, stop)
+                inner.append(boxes(data, at, stop))
                 continue
             if not tracks:
                 continue
@@ -199,7 +206,7 @@ def parse(media: bytes) -> list[Track]:
                 elif kind == b"stsz":
                     size, n = struct.unpack_from(">II", data, at + 4)
                     if size:
-                        t.fixed = (size, n)
+                        t.fixed = (size, min(n, len(data) // size))  # more samples than that have no bytes
                     else:
                         t.sizes = [x[0] for x in table(at, stop, ">I", skip=8)]
                 elif kind == b"stz2":
@@ -207,7 +214,7 @@ def parse(media: bytes) -> list[Track]:
                     raw = bytes(data[at + 12 : stop])
                     each = [v for b in raw for v in (b >> 4, b & 15)] if bits == 4 else list(raw) if bits == 8 else [x[0] for x in struct.iter_unpack(">H", raw[: len(raw) // 2 * 2])]
                     t.sizes = each[:n]
-            except struct.error:
+            except (struct.error, IndexError):
                 continue
 
     walk(0, len(data))

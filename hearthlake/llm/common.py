@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import by_bytes
+
+BATCH_BYTES = 8 << 20
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -20,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hearthlake-"))  # local sessions only
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir isn't set: name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hearthlake-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
@@ -47,7 +52,7 @@ def map_texts(
     text: str = "text",
     doc_id: str = "doc_id",
 ) -> DataFrame:
-    """Apply per_batch to the texts of each Arrow batch.
+    """Apply per_batch to the texts of each Arrow batch, some BATCH_BYTES at a time.
 
     per_batch gets the list of texts (null as empty) and returns one Arrow array for each column of
     ``schema``; doc_id is carried along unchanged as the first column. Rows keep their partition.
@@ -59,8 +64,9 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = out.fieldNames()
         for batch in batches:
-            made = per_batch(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=names)
+            for at, stop in by_bytes(batch.column("text"), BATCH_BYTES):
+                part = batch.slice(at, stop - at)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *per_batch(part.column("text").to_pylist())], names=names)
 
     return source.mapInArrow(run, out)
 

@@ -28,7 +28,8 @@ Two ways to shard:
 
 Cases: null text counts as empty; texts without words have fingerprint zero and are linked like any
 other; fewer words than a shingle has: the whole sequence; a null doc_id takes part, but never names
-a component; repeated rows give repeated results; an empty table gives an empty result.
+a component; repeated rows give repeated results; very long texts are read whole; extra columns, whatever
+their names, take no part and are kept by ``drop_near_copies``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -234,7 +235,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """edges(fp, root) -> fp, root: the smallest fp that each node of an edge reaches.
 
     Alternates large-star and small-star steps until the edges no longer change; each round is cut by
-    a checkpoint. The number of rounds grows with the logarithm of a component's size.
+    a checkpoint. The number of rounds grows with the logarithm of a component's size; if max_rounds aren't
+    enough, the run fails.
     """
     edges = cut(edges.filter("fp <> root").select(F.greatest("fp", "root").alias("fp"), F.least("fp", "root").alias("root")).distinct())
 
@@ -244,7 +246,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     last = mark(edges)
     for _ in range(max_rounds):
         if not last[0]:
-            break
+            return edges
         both = edges.unionByName(edges.select(F.col("root").alias("fp"), F.col("fp").alias("root")))
         low = both.groupBy("fp").agg(F.least(F.min("root"), F.first("fp")).alias("low"))
         large = both.filter("root > fp").join(low, "fp").select(F.col("root").alias("fp"), F.col("low").alias("root")).filter("fp <> root").distinct()
@@ -255,15 +257,14 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         edges = cut(small.distinct())
         now = mark(edges)
         if now == last:
-            break
+            return edges
         last = now
-    return edges
+    raise RuntimeError(f"components aren't finished after {max_rounds} rounds")
 
 
 def link(prints: DataFrame, keyed: Callable[[DataFrame], DataFrame], radius: int, max_shard: int = MAX_SHARD) -> DataFrame:
-    """prints(doc_id, fp[, keys]) -> fp, component_id: the smallest doc_id of the fingerprint's component."""
-    first = [F.first(c).alias(c) for c in prints.columns if c not in ("doc_id", "fp")]
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id"), *first))
+    """prints(doc_id, fp) -> fp, component_id: the smallest doc_id of the fingerprint's component."""
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low_id")))
     return named(nodes, components(stars(keyed(nodes), radius, max_shard)))
 
 
@@ -362,17 +363,20 @@ def drop_near_copies(
 
     Links are at a Jaccard similarity of shingle sets of ``similarity`` or more. The fingerprints give
     candidate groups, linked within a wide radius; inside these the sets themselves are compared.
-    Repeated rows of the document that stays are left to exact dedup, and stay.
+    Null doc_ids come last; of documents that share a doc_id each is judged by its own text, and of a
+    group's documents with the smallest doc_id the one with the smallest hash stays. Repeated rows of the
+    document that stays are left to exact dedup, and stay.
     """
-    whole = docs.select(F.struct("doc_id", F.xxhash64(text_of(docs)).alias("of")).alias("doc_id"), "text")  # ids may be null or repeat
-    prints = cut(fingerprints(whole, words, blocks, sketch=True).select("doc_id.doc_id", "doc_id.of", "fp", "keys"))
+    of = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.xxhash64(text_of(docs)).alias("of"))
+    whole = docs.select(of.alias("doc_id"), "text")  # ids may be null or repeat
+    prints = cut(fingerprints(whole, words, blocks, sketch=True).select("doc_id.of", "fp", "keys"))
     near = components(shard_stars(sketch_shards(prints, max_shard), wide_radius(similarity, 64 * blocks)))
     grouped = prints.select("of", "fp").join(near, "fp", "left").select("of", F.coalesce("root", "fp").alias("root"))
     several = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     asked = grouped.join(several, "root").select("of", "root").distinct()
-    texts = whole.select("doc_id.doc_id", "doc_id.of", "text").join(asked, "of").select(F.struct("doc_id", "root").alias("doc_id"), "text")
+    texts = whole.withColumn("of", F.col("doc_id.of")).join(asked, "of").select(F.struct("doc_id", "root").alias("doc_id"), "text")
     sets = cut(shingle_sets(texts, words).select("doc_id.doc_id", "doc_id.root", "node", "shingles"))
     nodes = sets.groupBy("node").agg(F.min("doc_id").alias("low_id")).withColumnRenamed("node", "fp")
     linked = named(nodes, components(verified(sets, similarity, most_bytes, most_rows)))
-    dropped = sets.join(linked, sets["node"] == linked["fp"]).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = sets.join(linked, sets["node"] == linked["fp"]).filter("doc_id <> component_id").select(F.col("doc_id").alias("__near_id")).distinct()
+    return docs.join(dropped, of == F.col("__near_id"), "left_anti")

@@ -36,8 +36,10 @@ SCHEMA = "doc_id long, text string, lang string, source string, kept string, dig
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    """Extra columns clash with names that operators use."""
-    return spark.createDataFrame([(*r, "k", "d") for r in TEXTS], SCHEMA).repartition(3).cache()
+    """Extra columns clash with names that operators use, inside and in their results."""
+    plain = spark.createDataFrame([(*r, "k", "d") for r in TEXTS], SCHEMA)
+    clash = "fp node root low_id component_id fingerprint size source_size target taken times p ident bucket ids part first n_tokens start score lang_pred held_out media n_bytes feature spans word n labels n_words group of h key keep_id group_size".split()
+    return plain.withColumns({c: F.lit("clash") for c in clash}).repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
@@ -263,6 +265,217 @@ def test_licenses(docs):
     assert e("MIT AND (GPL-3.0 OR LGPL-2.1)") == {"mit", "lgpl-2.1"} and e("((") == set() and e("MIT OR") == {"mit"} and e("") == set()
 
 
+def test_secrets_brute_force(spark):
+    """Base spans against plain scanning, costs against all segmentations."""
+    import random
+
+    draw = random.Random(5)
+    parts = ["password", "PassWd", "secret", "api_key", "apikey", "token", "=", ":", " ", "  ", '"', "'", "AKIA", "ABCDEFGH1234", "abcdefghijkl", "deadbeef", "0123", "é", "\n", "x", "/+_.-"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 25))) for _ in range(300)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    value = set(letters + letters.upper() + "0123456789+/_.=-")
+
+    def run(text, at, chars):
+        end = at
+        while end < len(text) and text[end] in chars:
+            end += 1
+        return end
+
+    def assign(text, at):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if "".join(c.lower() if c.isascii() else c for c in text[at : at + len(word)]) != word:
+                continue
+            p = at + len(word)
+            p += text[p : p + 1] in ('"', "'") and bool(text[p : p + 1])
+            p = run(text, p, " ")
+            if text[p : p + 1] not in (":", "=") or p >= len(text):
+                continue
+            p = run(text, p + 1, " ")
+            p += text[p : p + 1] in ('"', "'") and bool(text[p : p + 1])
+            if (end := run(text, p, value)) > p:
+                return p, end
+        return None
+
+    def brute(text):
+        found = []
+        at = 0
+        while at < len(text):
+            if m := assign(text, at):
+                found += [(at, 0, m[1])] if m[1] - m[0] >= 12 else []
+                at = m[1]
+            else:
+                at += 1
+        for kind, lead, chars, least in ((1, "AKIA", set(letters.upper() + "0123456789"), 18), (2, "", set("0123456789abcdef"), 16)):
+            at = 0
+            while at < len(text):
+                end = run(text, at + len(lead), chars) if text.startswith(lead, at) else at
+                if end > at + len(lead):
+                    found += [(at, kind, end)] if end - at >= least else []
+                    at = end
+                else:
+                    at += 1
+        return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        want = brute(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(r["spans"].split(",")) and r["n_hex"] == want.count("hex:")
+
+    cost = secrets.GuessCost(["abc", "cab", "dog"])
+
+    def least(v):  # over all segmentations into words and single characters; no dates, walks or repeats in these values
+        if not v:
+            return 0.0
+        options = [np.log10(26) + least(v[1:])]
+        options += [np.log10(k + 2) + 0.5 + least(v[len(w) :]) for k, w in enumerate(["abc", "cab", "dog"]) if v.startswith(w)]
+        return min(options)
+
+    for v in ("abcab", "dogcabc", "zabczcab", "abdogc", "cabdogz"):
+        assert cost(v) == pytest.approx(least(v))
+
+
+def test_ranked_words(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["Zebra zebra ox, Ox zEBRA lion", "lion lion lion once", None, ""])], "doc_id long, text string")
+    own = secrets.ranked_words(docs)[len(dict.fromkeys(secrets.WORDS)) :]
+    assert own == ["lion", "zebra"]
+    assert secrets.ranked_words(docs.limit(0)) == list(dict.fromkeys(secrets.WORDS))
+    common, rare = secrets.GuessCost(["correct", "horse", "battery", "staple"]), secrets.GuessCost()
+    assert common("CorrectHorseBatteryStaple") < secrets.MIN_COST < rare("CorrectHorseBatteryStaple")
+
+
+def test_licenses_brute_force(spark):
+    import random
+
+    draw = random.Random(3)
+    parts = ["under", "the", "MIT", "license", "Apache", "version", "2", "cc", "BY", "nc", " ", ", ", "-", "\n", "é", "word", "\x7f"]
+    texts = [" ".join(draw.choices(parts, k=draw.randint(0, 40))) + draw.choice(["", " under the MIT license", " cc-by-nc cc by nc"]) for _ in range(200)] + [None, "", "  "]
+    got = {r["doc_id"]: r for r in licenses.op5(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        places = {x: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for p, x in licenses.BASE.items()}
+        every = [i for x in places.values() for i in x]
+        labels = sorted(x for x, at in places.items() if at)
+        r = got[k]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(words), len(every), min(every, default=None), max(every, default=None), ",".join(labels))
+        assert set(labels) <= set(r["labels"].split(",")) or not labels
+
+
+def test_expressions():
+    e, scan = licenses.evaluate, licenses.Scanner()
+    assert scan("the license expression is parsed by a tool")[3] == set() and scan("SPDX-License-Identifier: the quick brown fox")[3] == set()
+    assert scan("SPDX-License-Identifier: " + " AND ".join(["GPL-2.0-only"] * 40) + " OR MIT\nmore")[3] == {"mit"}
+    assert scan("SPDX-License-Identifier: (" + " OR ".join(["GPL-3.0-or-later"] * 400) + ") AND LicenseRef-mine")[3] == {"gpl-3.0-or-later", "licenseref-mine"}
+    assert e("CC-BY-NC-SA-4.0") == {"cc-by-nc-sa-4.0"} and e("BSD-3-Clause-Clear") == set() and e("mitten OR MIT") == set()
+
+
+def test_language_brute_force(spark):
+    """Predictions are those of adding up log frequencies, word by word, with the longest n-grams from left to right."""
+    rng = np.random.default_rng(3)
+    stems = {"aa": ["lop", "tok", "marsil"], "bb": ["zug", "dre", "kwaphy"], "cc": ["lopzug", "ösk"]}
+    rows = [(k, " ".join(rng.choice(stems[x], 20)), x) for k, x in enumerate(["aa", "bb", "cc"] * 20)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    seen = langid.Rows(model)
+    for text in ("lop zug", "marsilx kwap", "Ösk TOK 12", "qq ww", "lopp", "x" * 50, "lop " * 500):
+        total = np.log(model.prior)
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            if word in model.words:
+                total = total + model.words[word]
+                continue
+            marked, at = f"^{word}$", 0
+            while at < len(marked):
+                step = next((n for n in (4, 3, 2, 1) if len(marked[at : at + n]) == n and marked[at : at + n] in model.grams), 0)
+                total = total + (model.grams[marked[at : at + step]] if step else 0)
+                at += step or 1
+        best = model.langs[int(np.argmax(total))]
+        assert model.predict(text, seen) == (best, pytest.approx(float(np.exp(total.max() - np.logaddexp.reduce(total)))))
+
+
+def test_many_languages(spark):
+    """No language is dropped, and features are shared out when there are very many."""
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}z " * 9, f"l{k:03}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.langs) == 150 and sum(model.predict(t, langid.Rows(model))[0] == x for _, t, x in rows) >= 140
+    assert len(langid.train(docs, most_cells=150 * 150 * 5).words) <= 150
+
+
+def test_frequent(spark):
+    counts = spark.createDataFrame([("a", f"w{k}", [9, 5, 5, 2][min(k, 3)]) for k in range(40)] + [("b", f"v{k}", 3) for k in range(40)], "lang string, word string, n long")
+    got = collections.defaultdict(set)
+    for r in langid.frequent(counts, ["lang"], 10).collect():
+        got[r["lang"]].add(r["word"])
+    assert got["a"] == {"w0", "w1", "w2"} and len(got["b"]) == 10
+
+
+def test_language_stage(spark):
+    """Documents whose language no score tells go; all columns and repeated rows stay."""
+    made = {"aa": "lop tok mar", "bb": "zug dre kwa"}
+    rng = np.random.default_rng(7)
+    rows = [(k, " ".join(rng.choice(made[x].split(), 30)), x, "p") for k, x in enumerate(["aa", "bb"] * 60)]
+    odd = [(900, None, "aa", "p"), (901, "", None, "p"), (902, "12 34", "bb", "p"), (None, "lop lop", None, "p"), (None, "lop lop", None, "p")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, p string")
+    kept = langid.drop_unknown(docs)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.filter("text like '%o%' or text like '%u%' or text like '%a%' or text like '%e%'").collect()))
+    assert langid.drop_unknown(docs.limit(0)).count() == 0
+    sure = langid.drop_unknown(spark.createDataFrame(rows + [(903, "qqq", None, "p")], docs.schema), least=0.9).collect()
+    assert 903 not in {r["doc_id"] for r in sure} and len(sure) == len(rows)
+
+
+def test_near_copies_awkward(spark):
+    """Each document is judged by its own text, whatever it shares a doc_id with; null ids come last; empty and repeated rows."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k: text(k) + " end"
+    rows = [(1, text(1)), (2, near(1)), (2, text(2)), (None, text(1)), (None, text(3)), (None, near(3)), (5, None), (6, ""), (7, text(4)), (7, text(4)), (8, near(5)), (8, text(5))]
+    docs = spark.createDataFrame([(*r, "f", 1) for r in rows], "doc_id long, text string, fp string, node int")
+    kept = simhash.drop_near_copies(docs)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert kept.columns == docs.columns
+    assert (1, text(1)) in got and (2, text(2)) in got and (2, near(1)) not in got and (None, text(1)) not in got
+    assert sum(i is None for i, _ in got) == 1 and (5, None) in got and (6, "") not in got and got.count((7, text(4))) == 2 and sum(i == 8 for i, _ in got) == 1
+    assert simhash.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_components_unfinished(spark):
+    edges = spark.createDataFrame([(bytes([k]), bytes([k + 1])) for k in range(40)], "root binary, fp binary")
+    with pytest.raises(RuntimeError):
+        simhash.components(edges, max_rounds=1)
+    assert {bytes(r["root"]) for r in simhash.components(edges).collect()} == {b"\x00"}
+
+
+def test_mix_awkward(spark):
+    rows = [(1, None, "a", 5), (1, "", "a", 5), (None, "x y", None, 5), (None, "x y", None, 5), (3, "w " * 5000, "b", 5), (4, "v", "c", 5), (4, "v", "c", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, target int")
+    got = mixing.take(docs)
+    assert got.columns == docs.columns and {str(r) for r in got.collect()} <= {str(r) for r in docs.collect()}
+    assert got.count() == mixing.mix(docs).agg(F.sum("times")).first()[0] and mixing.take(docs.limit(0)).count() == 0
+
+
+def test_broken_media():
+    box = lambda kind, *parts: media._box(kind, *parts)
+    deep = b""
+    for _ in range(1500):
+        deep = box(b"moov", deep)
+    assert media.parse(deep) == []
+    claims = box(b"moov", box(b"trak", box(b"mdhd"), box(b"stsz", b"\0" * 4, b"\0\0\0\1\xff\xff\xff\xff"), box(b"stsc", b"\0" * 7 + b"\1" + b"\0\0\0\1\xff\xff\xff\xff\0\0\0\1"), box(b"stco", b"\0" * 7 + b"\1" + b"\0" * 4), box(b"stz2", b"\0")))
+    (track,) = media.parse(claims)
+    assert track.samples == len(claims) == len(track.keyframes())
+    whole = media.encode(bytes(64 * 300))
+    for k in range(0, 700, 7):
+        media.parse(whole[:k]), media.parse(whole[:k] + b"\xff\xff" + whole[k + 2 :])
+
+
+def test_shared_dir_of_a_cluster():
+    """Without a shared folder a cluster's session is refused."""
+    from types import SimpleNamespace
+
+    from hearthlake.llm.common import shared_dir
+
+    context = SimpleNamespace(master="spark://far:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context))
+
+
 def test_language(spark):
     made = {"aa": "lop tok mar sil ven", "bb": "zug dre kwa phy cra"}
     rng = np.random.default_rng(7)
@@ -439,17 +652,98 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), labels).count() == 0
 
 
-def test_url_merge(spark):
-    """Similar branches merge, many rare ones become a wildcard."""
+def brute_templates(rows, labels):
+    """(host, path's segments) by recursion over nodes, without DataFrames."""
+    import math
+
+    kind = lambda s: "{n}" if re.fullmatch(r"\d+", s) else s
+    shapes = collections.defaultdict(lambda: [0, 0, 0])
+    split = {}
+    for k, url in rows:
+        host, _, path = url.split("://")[1].partition("/")
+        split[k] = (host, tuple(kind(s) for s in path.split("/") if s))
+        for at, more in enumerate((1, k in labels, labels.get(k, False))):
+            shapes[split[k]][at] += more
+    out = {}
+
+    def grow(host, template, level, node):
+        branches = collections.defaultdict(list)
+        for segs in node:
+            branches[segs[level] if level < len(segs) else None].append(segs)
+        for segs in branches.pop(None, []):
+            out[host, segs] = template or "/"
+        if len(node) == 1:
+            for segs in (x for xs in branches.values() for x in xs):
+                out[host, segs] = template + "/" + "/".join(segs[level:])
+            return
+        count = {s: [sum(shapes[host, x][k] for x in xs) for k in range(3)] for s, xs in branches.items()}
+        total = sum(c[0] for c in count.values())
+        name = {s: "*" if len(branches) >= 12 and (c[0] < 5 or c[0] < 0.02 * total) else s for s, c in count.items()}
+        groups = []
+        for rate, s in sorted((c[2] / c[1], s) for s, c in count.items() if name[s] == s and c[1] >= 5 and not s.startswith("{")):
+            def differs(o):
+                (_, l1, b1), (_, l2, b2) = count[s], count[o]
+                p = (b1 + b2) / (l1 + l2)
+                return abs(b1 / l1 - b2 / l2) > 2.58 * math.sqrt(p * (1 - p) * (1 / l1 + 1 / l2))
+            if groups and not any(map(differs, groups[-1])):
+                groups[-1].append(s)
+            else:
+                groups.append([s])
+        if len(branches) > 1:
+            name |= {s: f"({'|'.join(sorted(g))})" for g in groups if len(g) > 1 for s in g}
+        below = collections.defaultdict(list)
+        for s, xs in branches.items():
+            below[name[s]] += xs
+        for s, xs in below.items():
+            grow(host, template + "/" + s, level + 1, xs)
+
+    for host in {h for h, _ in shapes}:
+        grow(host, "", 0, [s for h, s in shapes if h == host])
+    prior = 1 - sum(labels.values()) / len(labels)
+    per = collections.defaultdict(lambda: [0, 0])
+    for key, (_, n, bad) in shapes.items():
+        per[key[0], out[key]][0] += n
+        per[key[0], out[key]][1] += bad
+    purity = lambda n, bad: (n - bad + 8 * prior) / (n + 8)
+    return {k: (out[split[k]], "block" if purity(*per[split[k][0], out[split[k]]]) < 0.5 else "allow") for k, _ in rows}
+
+
+def test_urls_brute_force(spark):
+    rng = np.random.default_rng(12)
+    rows, labels = [], {}
+    for k in range(3000):
+        host = ["a.fr", "b.fr"][k % 2]
+        first = str(rng.choice(["news", "blog", "shop", "spam", "casino"]))
+        rest = ["x", str(k), f"slug{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}", "deep/" * 20 + str(k % 3)][int(rng.integers(4))]
+        rows.append((k, f"http://{host}/{first}/{rest}"))
+        if rng.random() < 0.6:
+            labels[k] = bool(rng.random() < (0.95 if first in ("spam", "casino") else 0.1))
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(list(labels.items()), "page_id long, bad boolean")).collect()
+    assert {r["page_id"]: (r["template"], r["verdict"]) for r in got} == brute_templates(rows, labels)
+    templates = {r["template"] for r in got}
+    assert any(t.startswith("/(casino|spam)/") for t in templates) and any(t.endswith("/*") for t in templates) and any("/deep/deep/" in t for t in templates)
+    assert {r["verdict"] for r in got} == {"allow", "block"}
+
+
+def test_urls_without_evidence(spark):
+    """Branches without labels stay apart; many rare ones become a wildcard; only what differs after a deep node is told apart."""
     rows = [(k, f"http://h.fr/{['a', 'b'][k % 2]}/{k}") for k in range(100)] + [(1000 + k, f"http://h.fr/t/slug-{chr(97 + k // 26)}{chr(97 + k % 26)}") for k in range(60)]
+    rows += [(2000 + k, "http://d.fr/" + "s/" * 15 + ["good", "bad"][k % 2] + f"/{k}") for k in range(40)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    got = {r["page_id"]: r["template"] for r in url_filter.judge(pages, spark.createDataFrame([], "page_id long, bad boolean")).collect()}
-    assert got[0] == got[1] == "/~/{n}" and got[1000] == "/~/*"
+    got = {r["page_id"]: r for r in url_filter.judge(pages, spark.createDataFrame([(2000 + k, k % 2 == 1) for k in range(40)], "page_id long, bad boolean")).collect()}
+    assert got[0]["template"] == "/a/{n}" and got[1]["template"] == "/b/{n}" and got[1000]["template"] == "/t/*"
+    assert all(got[2000 + k]["verdict"] == ["allow", "block"][k % 2] for k in range(40))
 
 
 def test_pipeline(spark):
+    """Each stage on what the one before kept; the columns of documents up to the last."""
     import corpus_pipeline
 
+    sf_dir = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES][-1] == "sentencepiece"
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.columns == ["doc_id", "ids"] and out.count() > 0
+    docs = first = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir).cache()
+        assert docs.columns == first.columns and docs.count() > 0 and docs.select("doc_id", "text").subtract(first.select("doc_id", "text")).count() == 0
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.columns == ["doc_id", "ids"] and sorted(r[0] for r in out.select("doc_id").collect()) == sorted(r[0] for r in docs.select("doc_id").collect())

@@ -24,31 +24,38 @@ def buffers_of(texts: pa.Array) -> tuple[np.ndarray, memoryview]:
 
 
 def utf8_lengths(points: np.ndarray) -> np.ndarray:
-    return 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+    """As bytes; sums of them need a wider type."""
+    sizes = np.ones(len(points), np.uint8)
+    for least in (0x7F, 0x7FF, 0xFFFF):
+        sizes += points > least
+    return sizes
 
 
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts and the first one's place of each."""
     ends, raw = buffers_of(texts)
     points = np.frombuffer(bytes(raw).decode().encode("utf-32-le"), np.uint32)
-    at = np.concatenate([[0], np.cumsum(utf8_lengths(points))])
-    return points, np.searchsorted(at, ends[:-1])
+    at = np.zeros(len(points) + 1, np.int64 if len(raw) >> 31 else np.int32)
+    np.cumsum(utf8_lengths(points), out=at[1:])
+    return points, np.searchsorted(at, ends[:-1].astype(at.dtype))
 
 
 def starts_of(sizes: np.ndarray) -> np.ndarray:
-    return np.cumsum(sizes) - sizes
+    return np.cumsum(sizes, dtype=np.int64) - sizes
 
 
 def slices(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """values[start : start + size] for each start, one after the other."""
-    at = np.repeat(starts - starts_of(sizes), sizes)
-    at += np.arange(len(at))
+    total = int(sizes.sum())
+    kind = np.int64 if max(total, len(values)) >> 31 else np.int32  # half the memory where it does
+    at = np.repeat((starts - starts_of(sizes)).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
     return values[at]
 
 
 def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches of values, as long as sizes say."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     ends = np.cumsum(sizes)
     return total[ends] - total[ends - sizes]
 

@@ -51,7 +51,7 @@ from .common import cut, text_of
 
 MARK = "▁"
 MAX_WORD = 60
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
 PART_BYTES = 2 << 20
 RANGE_BYTES = 64 << 30
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -160,13 +160,13 @@ class Folds:
             np.add.at(inner, first[of] + start + 1, 1)
             np.add.at(inner, first[of] + stop, -1)
         merged = np.cumsum(inner[:-1]) > 0
-        size = (ids < 0) * utf8_lengths(data) + (ids >= 0)
+        size = np.where(ids < 0, utf8_lengths(data), np.uint8(1))
         size[merged] = 0
         # characters without a piece become bytes
         out = np.repeat(ids, size)
         if (lost := np.flatnonzero((ids < 0) & ~merged)).size:
             raw = np.frombuffer("".join(map(chr, data[lost].tolist())).encode(), np.uint8)
-            ends = np.cumsum(size)
+            ends = np.cumsum(size, dtype=np.int64)
             out[np.concatenate([np.arange(a, b) for a, b in zip((ends - size)[lost].tolist(), ends[lost].tolist(), strict=True)])] = raw.astype(np.int32) + self.first_byte
         return out, np.bincount(np.repeat(np.arange(len(words)), lengths), size, len(words)).astype(np.int64)
 
@@ -479,13 +479,12 @@ def _assemble(pieces: Pieces, check: bool):
         columns = [pa.array(json.loads(idents), pa.string()), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids))]
         if check:
             spelled, start, length = kept[0]
-            raw = memoryview(slices(spelled, start[ids], length[ids]).tobytes())
-            stops = np.cumsum(sums(length[ids], n))
-            begins = np.append(0, stops[:-1])[: len(stops)]
-            le, cuts = ids.astype("<u4"), list(zip((ends - n).tolist(), ends.tolist(), strict=True))
-            digest = xxhash.xxh3_128_digest  # without the dummy prefix
-            same = [digest(raw[a + 1 : b] if b > a else b"") == digests[16 * k : 16 * k + 16] for k, (a, b) in enumerate(zip(begins.tolist(), stops.tolist(), strict=True))]
-            columns += [pa.array(n, pa.int64()), pa.array([zlib.crc32(le[a:b]) for a, b in cuts], pa.int64()), pa.array(same, pa.bool_())]
+            le, digest, checks, same = ids.astype("<u4", copy=False), xxhash.xxh3_128_digest, [], []
+            for k, (a, b) in enumerate(zip((ends - n).tolist(), ends.tolist(), strict=True)):
+                checks.append(zlib.crc32(le[a:b]))
+                text = slices(spelled, start[ids[a:b]], length[ids[a:b]])[1:]  # without the dummy prefix
+                same.append(digest(text) == digests[16 * k : 16 * k + 16])
+            columns += [pa.array(n, pa.int64()), pa.array(checks, pa.int64()), pa.array(same, pa.bool_())]
         return pa.table(columns, names=names)
 
     return run
@@ -508,7 +507,7 @@ def _encoded(docs: DataFrame, pieces: Pieces, parts: int | None, check: bool) ->
     size = docs.agg(F.sum(F.octet_length(text_of(docs)).cast("long"))).first()[0] or 0
     ranges = -(-size // RANGE_BYTES) or 1
     parts = parts or max(8, size // ranges // PART_BYTES)
-    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // (2 * GROUP_BYTES), 100_000))
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // (16 << 20), 100_000))
     rows = docs.select(F.col("doc_id").cast("string").alias("ident"), text_of(docs).alias("text"))
     asked = rows.select("text").mapInArrow(_ask(pieces, parts, ranges), "part long, asked string").repartition(wide, "part")
     # all of this keeps the dealing by part: Spark adds no exchange, and as both readers of asked need all its columns, deals it once

@@ -36,6 +36,15 @@ def region(lat: Column, lng: Column) -> Column:
     return first_box(lat, lng, REGION_BOXES)
 
 
+def region_by_centre(lat: Column, lng: Column) -> Column:
+    """The box that holds a point; of several, or of none, that of the nearest centre; the first of equal ones."""
+    options = []
+    for k, (name, (south, north, west, east)) in enumerate(REGION_BOXES.items()):
+        apart = F.pow(lat - (south + north) / 2, 2) + F.pow(lng - (west + east) / 2, 2)
+        options.append(F.struct((~in_box(lat, lng, (south, north, west, east))).alias("outside"), apart.alias("apart"), F.lit(k).alias("k"), F.lit(name).alias("name")))
+    return F.when(lat.isNotNull() & lng.isNotNull(), F.array_min(F.array(*options))["name"])
+
+
 def city(lat: Column, lng: Column) -> Column:
     return F.coalesce(first_box(lat, lng, CITY_BOXES), F.when(lat.isNotNull(), "reszta").otherwise("brak lokalizacji"))
 

@@ -5,8 +5,9 @@ Aggregates skip null, NaN and infinite values; an empty set gives null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,16 +29,26 @@ def median(x: Column) -> Column:
     return quantile(x, 0.5)
 
 
-def upper_median(x: Column) -> Column:
+def order_statistic(df: DataFrame, keys: list[str], x: Column, at: Callable[[Column], Column], name: str, times: Column | None = None) -> DataFrame:
+    """keys, name, n: the value at place ``at(n)``, from 0, of a group's n sorted values, each counted ``times`` (once).
+
+    For groups of any size: equal values are counted before the shuffle, then a running count finds the place.
+    """
+    v = df.select(*keys, finite(x.cast("double")).alias("__v"), (F.lit(1) if times is None else times).cast("long").alias("__c")).filter("__v is not null")
+    v = v.groupBy(*keys, "__v").agg(F.sum("__c").alias("__c"))
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    v = v.withColumn("__run", F.sum("__c").over(by.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("__c").over(by))
+    return v.filter(F.col("__run") > at(F.col("n"))).groupBy(*keys).agg(F.min("__v").alias(name), F.first("n").alias("n"))
+
+
+def upper_medians(df: DataFrame, keys: list[str], x: Column, name: str) -> DataFrame:
     """The value at floor(n / 2) of the sorted values."""
-    values = F.sort_array(F.collect_list(finite(x)))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+    return order_statistic(df, keys, x, lambda n: F.floor(n / 2), name)
 
 
-def floor_quantile(x: Column, p: float) -> Column:
+def floor_quantiles(df: DataFrame, keys: list[str], x: Column, p: float, name: str) -> DataFrame:
     """The value at floor(p (n - 1)) of the sorted values."""
-    values = F.sort_array(F.collect_list(finite(x)))
-    return F.get(values, F.floor((F.size(values) - 1) * p).cast("int"))
+    return order_statistic(df, keys, x, lambda n: F.floor((n - 1) * F.lit(p)), name)
 
 
 def half_up(x: Column) -> Column:
@@ -118,15 +129,24 @@ def robust_price(values: np.ndarray, weights: np.ndarray, areas: np.ndarray | No
     return now
 
 
-def huber_price(x: Column, weight: Column) -> Column:
-    """Grouped aggregate over a bounded evidence set; numeric iteration has no built-in form."""
-
-    @F.pandas_udf("double")
-    def huber(v: pd.Series, w: pd.Series) -> float:
-        found = robust_price(v.to_numpy(float), w.to_numpy(float), None, "huber")
-        return float("nan") if found is None else found
-
-    return huber(x.cast("double"), weight.cast("double"))
+def huber_prices(df: DataFrame, keys: list[str], x: Column, weight: Column, name: str = "price", rounds: int = 20) -> DataFrame:
+    """robust_price's huber for groups of any size, as a few aggregates over equal values: a round is one join and one sum.
+
+    A group that has settled stays as it is for the rest of the rounds.
+    """
+    rows = df.select(*keys, finite(x.cast("double")).alias("v"), finite(weight.cast("double")).alias("w")).filter("v > 0 and w > 0")
+    rows = rows.groupBy(*keys, "v").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("c"))
+    center = weighted_quantiles(rows, keys, F.col("v"), F.col("w"), 0.5, "now")
+    away = rows.join(center, keys).withColumn("away", F.abs(F.col("v") - F.col("now")))
+    spread = order_statistic(away, keys, F.col("away"), lambda n: F.floor(n / 2), "mad", F.col("c"))
+    state = center.join(spread, keys).select(*keys, "now", (F.col("mad") * (HUBER_K * 1.4826)).alias("scale"), ((F.col("mad") <= 0) | (F.col("n") == 1)).alias("settled"))
+    for _ in range(rounds):
+        held = rows.join(state, keys).withColumn("away", F.abs(F.col("v") - F.col("now")))
+        share = F.col("w") * F.when(F.col("away") <= F.col("scale"), 1.0).otherwise(F.col("scale") / F.col("away"))
+        moved = held.groupBy(*keys, "now", "scale", "settled").agg((F.sum(F.col("v") * share) / F.sum(share)).alias("new"))
+        near = F.abs(F.col("new") - F.col("now")) <= 1e-6 * F.greatest(F.lit(1.0), F.col("now"))
+        state = moved.select(*keys, F.when(F.col("settled"), F.col("now")).otherwise(F.col("new")).alias("now"), "scale", (F.col("settled") | near).alias("settled"))
+    return state.select(*keys, F.col("now").alias(name))
 
 
 def elasticity(price: Column, area: Column, least: int = 50) -> list[Column]:

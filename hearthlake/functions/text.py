@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARKED = "ąćęńóśźżáàâäãåčďéèêëěíìîïľĺňôöőõřŕšťúùûüůűýÿžç"
-PLAIN = "acenoszzaaaaaacdeeeeeiiiillnoooorrstuuuuuuyyzc"
+
+def _marked() -> tuple[str, str]:
+    """Lower-case letters of the Latin blocks that are an ASCII letter with marks, and those letters."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower()]
+    pairs = [(c, p) for c, p in pairs if p != c and p.isascii()]
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+
+
+MARKED, PLAIN = _marked()
+# Prefixes of streets, house numbers.
 STREET_PREFIX = r"^(ul|al|pl|os|skr|bulw|aleja|bulwar|osiedle)\s+"
 HOUSE_NUMBER = r"(\d+[a-z]?(?:\s+[a-z]?\d+[a-z]?)*)$"
 
 
 def norm_key(s: Column) -> Column:
     """Lower case, marks off (but l with stroke, which has none), other characters to single spaces."""
-    plain = F.translate(F.lower(s), MARKED, PLAIN)
+    plain = F.translate(F.regexp_replace(F.lower(s), "[\u0300-\u036f]", ""), MARKED, PLAIN)
     return F.trim(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9 ]", " "), r"\s+", " "))
 
 
 def norm_district(s: Column) -> Column:
-    return norm_key(F.translate(F.lower(s), "ł", "l"))
+    """norm_key with l for l with stroke, and nothing but letters and digits."""
+    return F.regexp_replace(norm_key(F.translate(F.lower(s), "ł", "l")), "[^a-z0-9]", "")
+
+
+def norm_street(s: Column, spaces: bool = True) -> Column:
+    """norm_key of what comes after the prefix; l with stroke is deleted; without ``spaces`` so are they."""
+    keyed = F.regexp_replace(norm_key(F.translate(F.lower(s), "ł", "")), STREET_PREFIX, "")
+    return keyed if spaces else F.translate(keyed, " ", "")
 
 
 def tidy_district(s: Column) -> Column:
@@ -57,3 +74,21 @@ def content_hash(version: str, *parts: Column) -> Column:
 def flags(s: Column, patterns: dict[str, str]) -> list[Column]:
     """One boolean for each pattern; null text has none set."""
     return [F.coalesce(s.rlike(f"(?iu){p}"), F.lit(False)).alias(name) for name, p in patterns.items()]
+
+
+def positive_number(json: str, key: str) -> Column:
+    """A JSON value over 0 if it is a number, not a string that looks like one; else 0."""
+    value = F.try_variant_get(F.try_parse_json(F.col(json)), f"$.{key}", "variant")
+    number = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT|SMALLINT|TINYINT)")
+    found = F.try_variant_get(value, "$", "double")
+    return F.when(number & (found > 0), found).otherwise(0.0)
+
+
+def labels(s: Column | str, between: str = ";") -> Column:
+    """Parts of a list in one string, trimmed, without empty ones."""
+    return F.filter(F.transform(F.split(s, between), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def key_range(key: Column, prefix: str) -> Column:
+    """Keys with the prefix as a half-open range, which a scan can skip files by."""
+    return (key >= prefix) & (key < prefix[:-1] + chr(ord(prefix[-1]) + 1))

@@ -49,3 +49,20 @@ def age_months(ts: Column, as_of: Column) -> Column:
 
 def days_before(as_of: Column, days: int) -> Column:
     return as_of - F.expr(f"interval {int(days)} days")
+
+
+def months_before(as_of: Column, months: int) -> Column:
+    return as_of - F.expr(f"interval {int(months)} months")
+
+
+def fresh(ts: Column, as_of: Column, days: int) -> Column:
+    """Seen within so many days before as_of; never, if it isn't known when."""
+    return F.coalesce(ts > days_before(as_of, days), F.lit(False))
+
+
+def read_date(s: Column) -> Column:
+    """A timestamp of d.MM.yyyy, an ISO date or time, or seconds or milliseconds since 1970; else null."""
+    s = F.trim(s)
+    number = s.try_cast("long")
+    seconds = F.when(F.abs(number) >= 100_000_000_000, number / 1000).otherwise(number)
+    return F.when(number.isNotNull(), F.timestamp_seconds(seconds)).otherwise(F.coalesce(F.try_to_timestamp(s, F.lit("d.M.yyyy")), F.try_to_timestamp(s, F.lit("d.MM.yyyy")), F.try_to_timestamp(s)))

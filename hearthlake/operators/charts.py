@@ -69,9 +69,8 @@ def histogram(df: DataFrame, value: Column, tops: list[float]) -> DataFrame:
 def facets(df: DataFrame, *columns: str) -> DataFrame:
     """facet, value, n: counts in total and by each column, from one grouping-sets aggregate; null values are left out."""
     names = [F.lit(c) for c in columns]
-    df.createOrReplaceTempView("__facets")
-    sets = ", ".join(f"({c})" for c in columns)
-    g = df.sparkSession.sql(f"select {', '.join(columns)}, grouping_id({', '.join(columns)}) as gid, count(*) as n from __facets group by grouping sets ({sets}, ())")
+    own = [df[c] for c in columns]
+    g = df.groupingSets([*([c] for c in own), []], *own).agg(F.grouping_id(*own).alias("gid"), F.count(F.lit(1)).alias("n"))
     total = (1 << len(columns)) - 1
     which, value = F.when(F.col("gid") == total, "total"), F.lit(None).cast("string")
     for k, c in enumerate(columns):
@@ -127,4 +126,7 @@ def district_valuation(df: DataFrame, district: str, side: Column, value: str, s
 
 
 def rent_histogram_summary(df: DataFrame, value: Column) -> DataFrame:
-    return df.agg(F.avg(value).alias("average"), stats.upper_median(value).alias("upper_median"), F.count(value).alias("n"))
+    """average, upper_median, n."""
+    rows = df.select(F.lit(1).alias("all"), value.alias("value"))
+    middle = stats.upper_medians(rows, ["all"], F.col("value"), "upper_median").select("all", "upper_median")
+    return rows.groupBy("all").agg(F.avg("value").alias("average"), F.count("value").alias("n")).join(middle, "all", "left").drop("all")

@@ -16,44 +16,41 @@ def duplicate_key() -> Column:
     return F.when(F.col("area_m2").isNotNull() & (F.col("price") > 0), key)
 
 
-def capped(df: DataFrame, segment: str, order: list[Column], duplicate: str, owner: str, most: int = 25, per_owner: int = 2, pool: int = 2000) -> DataFrame:
+def capped(df: DataFrame, segment: str, order: list[Column], duplicate: str, owner: str, most: int = 25, per_owner: int = 2, pool: int = 900) -> DataFrame:
     """The best ``most`` of each segment in order, without repeats of a duplicate key and with at most per_owner of an owner.
 
     A row skipped as a duplicate takes no place of its owner; one skipped for its owner doesn't mark its key. So rows
-    are folded in order. Of a duplicate key and owner only the first row can ever be taken, and a fold over
-    the first ``pool`` rows of a segment is final once it has found ``most``; only segments where it hasn't,
-    though they have more rows, are folded whole.
+    are folded in order. A fold over a segment's first ``pool`` rows is final once it has found ``most`` or the
+    segment has no more; Spark limits those groups before it deals rows, as the pool is under a thousand. Only segments
+    that are unfinished are folded again, over eight times as many rows, and so on.
     """
-    first = Window.partitionBy(segment, F.coalesce(F.col(duplicate), F.monotonically_increasing_id().cast("string")), owner).orderBy(*order)
-    rows = df.withColumn("__turn", F.row_number().over(first)).filter(F.col("__turn") == 1).drop("__turn")
-    rows = rows.withColumn("__nr", F.row_number().over(Window.partitionBy(segment).orderBy(*order)))
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        seen: set = set()
-        owned: dict = {}
-        keep = []
-        part = part.sort_values("__nr")
-        for at, (d, o) in enumerate(zip(part[duplicate], part[owner], strict=True)):
-            if len(keep) == most:
+        taken_keys: set = set()
+        places: dict = {}
+        rows = []
+        for row, (key, who) in enumerate(part.sort_values("__nr")[[duplicate, owner]].itertuples(index=False)):
+            free = pd.isna(who) or places.get(who, 0) < per_owner
+            if free and (pd.isna(key) or key not in taken_keys):
+                taken_keys.add(key)
+                places[who] = places.get(who, 0) + 1
+                rows.append(row)
+            if len(rows) == most:
                 break
-            if pd.notna(d) and d in seen:
-                continue
-            if pd.notna(o) and owned.get(o, 0) >= per_owner:
-                continue
-            if pd.notna(d):
-                seen.add(d)
-            if pd.notna(o):
-                owned[o] = owned.get(o, 0) + 1
-            keep.append(at)
-        out = part.iloc[keep].drop(columns="__nr")
+        out = part.sort_values("__nr").iloc[rows].drop(columns="__nr")
         return out.assign(rank=range(1, len(out) + 1))
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("__nr").dtypes) + ", rank int"
-    sizes = rows.groupBy(segment).agg(F.max("__nr").alias("__all"))
-    short = rows.filter(F.col("__nr") <= pool).groupBy(segment).applyInPandas(fold, schema)
-    unfinished = short.groupBy(segment).agg(F.count(F.lit(1)).alias("__found")).join(sizes, segment).filter((F.col("__found") < most) & (F.col("__all") > pool)).select(segment)
-    whole = rows.join(unfinished, segment, "left_semi").groupBy(segment).applyInPandas(fold, schema)
-    return short.join(unfinished, segment, "left_anti").unionByName(whole)
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", rank int"
+    sizes = df.groupBy(segment).agg(F.count(F.lit(1)).alias("__all"))
+    done, left = None, df
+    while True:
+        ranked = left.withColumn("__nr", F.row_number().over(Window.partitionBy(segment).orderBy(*order))).filter(F.col("__nr") <= pool)
+        found = ranked.groupBy(segment).applyInPandas(fold, schema)
+        short = found.groupBy(segment).agg(F.count(F.lit(1)).alias("__found")).join(sizes.filter(F.col("__all") > pool), segment).filter(F.col("__found") < most).select(segment)
+        if short.isEmpty():
+            return found if done is None else done.unionByName(found)
+        ready = found.join(short, segment, "left_anti")
+        done, left, pool = ready if done is None else done.unionByName(ready), df.join(short, segment, "left_semi"), pool * 8
 
 
 def cohort(df: DataFrame, segment: list[str], score: str, share: float = 0.05) -> DataFrame:

@@ -47,6 +47,12 @@ def stratified_medians(rows: DataFrame, keys: list[str], ts: str, value: str, ba
     return by_band.join(whole, [*keys, "period"])
 
 
+def period_medians(rows: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
+    """keys, period, overall_median, overall_n, without the bands."""
+    rows = rows.withColumn("period", quarter(F.col(ts)))
+    return rows.groupBy(*keys, "period").agg(stats.median(F.col(value)).alias("overall_median"), F.count(F.lit(1)).alias("overall_n"))
+
+
 def observations(medians: DataFrame, keys: list[str], band: str = "band") -> DataFrame:
     """One row per series and period with its strata; periods without a positive median are dropped."""
     g = medians.groupBy(*keys, "period").agg(
@@ -94,7 +100,8 @@ def chain_index(obs: DataFrame, keys: list[str]) -> DataFrame:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         points = dict(chain(rows[["period", "overall_median", "overall_n", "strata"]].to_dict("records")))
-        rows = rows[rows["period"].isin(points)].assign(index_value=rows["period"].map(points))
+        rows = rows[rows["period"].isin(points)]
+        rows = rows.assign(index_value=[points[p] for p in rows["period"]])
         return rows[[*keys, "period", "index_value", "overall_median", "overall_n"]].rename(columns={"overall_median": "median", "overall_n": "n"})
 
     return obs.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", period string, index_value double, median double, n long")

@@ -15,18 +15,35 @@ from pyspark.sql import functions as F
 from ..functions import geo
 
 
+def _around(row: Column, dlat: float, radius_m: float) -> Column:
+    """Into how many cells a row of cells is cut, each as wide as the radius spans there, or in the rows beside it, at most."""
+    far = F.greatest(F.abs(row * dlat), F.abs((row + 1) * dlat)) + dlat
+    narrow = F.cos(F.radians(F.least(far, F.lit(90.0))))
+    span = 2.001 * F.degrees(F.asin(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(math.sin(radius_m / 2 / geo.EARTH_M)), narrow), F.lit(1.0)))))
+    return F.greatest(F.lit(1), F.floor(360.0 / span)).cast("long")
+
+
+def _turn(lng: Column, n: Column) -> Column:
+    """The cell of a longitude in a row of n cells around the globe."""
+    return F.pmod(F.floor((lng + 180.0) * n / 360.0).cast("long"), n)
+
+
 def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(geo.cell(low, size), geo.cell(high, size))
 
 
-def within_radius(left: DataFrame, right: DataFrame, radius_m: float, lat: str = "lat", lng: str = "lng", most_lat: float = 60.0) -> DataFrame:
-    """Pairs at most radius_m apart with distance_m. Columns of right get the prefix r_. Null points match nothing."""
+def within_radius(left: DataFrame, right: DataFrame, radius_m: float, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """Pairs at most radius_m apart with distance_m, at any latitude and across the 180th meridian.
+
+    Columns of right get the prefix r_. Null points match nothing.
+    """
     dlat = radius_m / 110_000.0
-    dlng = dlat / math.cos(math.radians(most_lat))
     right = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns)).filter(F.col(f"r_{lat}").isNotNull() & F.col(f"r_{lng}").isNotNull())
-    right = right.withColumn("__ca", geo.cell(F.col(f"r_{lat}"), dlat)).withColumn("__co", geo.cell(F.col(f"r_{lng}"), dlng))
+    right = right.withColumn("__ca", geo.cell(F.col(f"r_{lat}"), dlat)).withColumn("__co", _turn(F.col(f"r_{lng}"), _around(F.col("__ca"), dlat, radius_m)))
     spots = left.filter(F.col(lat).isNotNull() & F.col(lng).isNotNull())
-    spots = spots.withColumn("__ca", F.explode(_cells(F.col(lat) - dlat, F.col(lat) + dlat, dlat))).withColumn("__co", F.explode(_cells(F.col(lng) - dlng, F.col(lng) + dlng, dlng)))
+    spots = spots.withColumn("__ca", F.explode(_cells(F.col(lat) - dlat, F.col(lat) + dlat, dlat))).withColumn("__n", _around(F.col("__ca"), dlat, radius_m))
+    own = _turn(F.col(lng), F.col("__n"))
+    spots = spots.withColumn("__co", F.explode(F.array_distinct(F.array(*(F.pmod(own + k, F.col("__n")) for k in (-1, 0, 1)))))).drop("__n")
     far = geo.haversine(F.col(lat), F.col(lng), F.col(f"r_{lat}"), F.col(f"r_{lng}"))
     return spots.join(right, ["__ca", "__co"]).withColumn("distance_m", far).filter(F.col("distance_m") <= radius_m).drop("__ca", "__co")
 
@@ -49,10 +66,31 @@ def points_in_rings(points: DataFrame, rings: DataFrame, size: float, lat: str =
     return hit.filter(geo.point_in_ring(F.col(ring), F.col(lat), F.col(lng))).drop("__ca", "__co", *(f"__{k}" for k in box))
 
 
+def overlapping(left: DataFrame, right: DataFrame, key: str, size: float) -> DataFrame:
+    """Pairs of boxes (south, north, west, east) that overlap, borders included. Columns of right get the prefix r_.
+
+    A box is copied to the cells that it touches; a pair counts in the cell of the overlap's south-west corner only.
+    """
+
+    def spread(df: DataFrame, p: str) -> DataFrame:
+        a, o = _cells(F.col(f"{p}south"), F.col(f"{p}north"), size), _cells(F.col(f"{p}west"), F.col(f"{p}east"), size)
+        return df.withColumn("__ca", F.explode(a)).withColumn("__co", F.explode(o))
+
+    right = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
+    pairs = spread(left, "").join(spread(right, "r_"), ["__ca", "__co"])
+    meet = (F.col("south") <= F.col("r_north")) & (F.col("r_south") <= F.col("north")) & (F.col("west") <= F.col("r_east")) & (F.col("r_west") <= F.col("east"))
+    first = (F.col("__ca") == geo.cell(F.greatest("south", "r_south"), size)) & (F.col("__co") == geo.cell(F.greatest("west", "r_west"), size))
+    return pairs.filter(meet & first).drop("__ca", "__co")
+
+
 def crowded(points: DataFrame, key: str, radius_m: float = 25.0, least: int = 5) -> DataFrame:
-    """Keys with at least ``least`` points (their own included) within the radius: placeholder coordinates."""
-    own = points.select(key, "lat", "lng")
-    return within_radius(own, own, radius_m).groupBy(key).agg(F.count(F.lit(1)).alias("neighbours")).filter(F.col("neighbours") >= least)
+    """Keys with at least ``least`` points (their own included) within the radius: placeholder coordinates.
+
+    Points that share their coordinates, thousands of them for what this looks for, are one row of the join.
+    """
+    spots = points.filter("lat is not null and lng is not null").groupBy("lat", "lng").agg(F.count(F.lit(1)).alias("n"))
+    near = within_radius(spots, spots, radius_m).groupBy("lat", "lng").agg(F.sum("r_n").alias("neighbours")).filter(F.col("neighbours") >= least)
+    return points.select(key, "lat", "lng").join(near, ["lat", "lng"]).select(key, "neighbours")
 
 
 def components_of_cells(cells: DataFrame, place: str, x: str = "cx", y: str = "cy", n: str = "n", share: float = 0.8) -> DataFrame:

@@ -48,11 +48,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import dashboard  # noqa: F401  its queries are added when it is imported
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return {name: ORACLES[name] for name in queries() if name in ORACLES}
 
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -81,7 +83,7 @@ def branded(spark: SparkSession, sf: str) -> DataFrame:
 def with_nation(spark: SparkSession, sf: str) -> DataFrame:
     s = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
     n = t(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    return sales(spark, sf).join(s, "l_suppkey").join(F.broadcast(n), "n_nationkey")
+    return sales(spark, sf).join(s, "l_suppkey").join(n, "n_nationkey")
 
 
 # ---- series and groups ------------------------------------------------------------------------------
@@ -202,9 +204,10 @@ def district_valuation(spark, sf):
 # ---- set and semi operations ------------------------------------------------------------------------
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
 def anti_missing(spark, sf):
-    return t(spark, sf, "customer").join(t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    pending = t(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return t(spark, sf, "customer").join(pending, "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("select s_suppkey, s_name from supplier where exists (select 1 from lineitem where l_suppkey = s_suppkey and l_returnflag = 'R')")
@@ -230,8 +233,9 @@ def paged(spark, sf):
 @query("""select p_brand, list_sort(list(l_extendedprice / l_quantity))[cast(floor(count(*) / 2) as bigint) + 1] as upper_median, rnd(quantile_cont(l_extendedprice / l_quantity, 0.25), 4) as q25, rnd(median(l_extendedprice / l_quantity), 4) as median
 from lineitem join part on l_partkey = p_partkey group by 1""")
 def quantiles(spark, sf):
-    u = F.col("unit")
-    return branded(spark, sf).groupBy("p_brand").agg(stats.upper_median(u).alias("upper_median"), r(stats.quantile(u, 0.25)).alias("q25"), r(stats.median(u)).alias("median"))
+    u, rows = F.col("unit"), branded(spark, sf)
+    upper = stats.upper_medians(rows, ["p_brand"], u, "upper_median").drop("n")
+    return rows.groupBy("p_brand").agg(r(stats.quantile(u, 0.25)).alias("q25"), r(stats.median(u)).alias("median")).join(upper, "p_brand").select("p_brand", "upper_median", "q25", "median")
 
 
 @query("""with x as (select p_brand, l_extendedprice / l_quantity as v, l_quantity as w from lineitem join part on l_partkey = p_partkey),
@@ -241,9 +245,20 @@ def weighted_quantile(spark, sf):
     return stats.weighted_quantiles(branded(spark, sf), ["p_brand"], F.col("unit"), F.col("l_quantity"), 0.5, "weighted_median")
 
 
-@query()
+def _huber_sql(rounds: int = 20) -> str:
+    """The rounds spelled out, one common table each."""
+    parts = ["""with x as (select p_brand as k, l_extendedprice / l_quantity as v, l_quantity as w from lineitem join part on l_partkey = p_partkey),
+c as (select k, v, sum(w) over (partition by k order by v rows unbounded preceding) as run, sum(w) over (partition by k) as total from x), m as (select k, min(v) filter (run >= total * 0.5) as now from c group by 1),
+s0 as (select k, any_value(now) as now, 1.345 * 1.4826 * list_sort(list(abs(v - now)))[cast(floor(count(*) / 2) as bigint) + 1] as scale, false as settled from x join m using (k) group by 1)"""]
+    for n in range(rounds):
+        parts.append(f"""n{n} as (select k, any_value(now) as now, any_value(scale) as scale, any_value(settled) as settled, sum(v * w * case when abs(v - now) <= scale then 1 else scale / abs(v - now) end) / sum(w * case when abs(v - now) <= scale then 1 else scale / abs(v - now) end) as new from x join s{n} using (k) group by 1),
+s{n + 1} as materialized (select k, case when settled then now else new end as now, scale, settled or abs(new - now) <= 1e-6 * greatest(1.0, now) as settled from n{n})""")
+    return ", ".join(parts) + f" select k as p_brand, rnd(now, 4) as price from s{rounds}"
+
+
+@query(_huber_sql())
 def huber_price(spark, sf):
-    return branded(spark, sf).groupBy("p_brand").agg(stats.huber_price(F.col("unit"), F.col("l_quantity")).alias("price"))
+    return stats.huber_prices(branded(spark, sf), ["p_brand"], F.col("unit"), F.col("l_quantity")).select("p_brand", r("price").alias("price"))
 
 
 @query("""select p_type, rnd(-regr_slope(ln(l_extendedprice / l_quantity), ln(l_quantity)), 6) as beta, rnd(regr_r2(ln(l_extendedprice / l_quantity), ln(l_quantity)), 6) as r2, cast(regr_count(ln(l_extendedprice / l_quantity), ln(l_quantity)) as bigint) as n
@@ -284,19 +299,28 @@ def overlapping_segments(spark, sf):
     return prices.segmented(rows).groupBy("segment", "band").agg(F.count(F.lit(1)).alias("n"), r(F.avg("price_per_m2")).alias("avg_value"))
 
 
-@query()
+@query("with recursive " + MEDIANS_SQL[5:] + """, o as (select *, row_number() over (partition by p_brand order by period) as k from w where overall_n >= 8 and overall_median > 0),
+pr as (select a.p_brand, a.k as ka, c.k as kc, y.band_median / z.band_median as q, least(y.band_n, z.band_n) as wt from o a join o c on a.p_brand = c.p_brand and c.k > a.k
+  join b z on z.p_brand = a.p_brand and z.period = a.period join b y on y.p_brand = c.p_brand and y.period = c.period and y.band = z.band where z.band_n >= 3 and y.band_n >= 3 and z.band_median > 0),
+pc as (select *, sum(wt) over (partition by p_brand, ka, kc order by q, wt rows unbounded preceding) as run, sum(wt) over (partition by p_brand, ka, kc) as total from pr),
+lk as (select p_brand, ka, kc, min(q) filter (run >= total * 0.5) as link from pc group by 1, 2, 3),
+l2 as (select a.p_brand, a.k as ka, c.k as kc, coalesce(link, c.overall_median / a.overall_median) as link from o a join o c on a.p_brand = c.p_brand and c.k > a.k left join lk on lk.p_brand = a.p_brand and lk.ka = a.k and lk.kc = c.k),
+st as (select p_brand, cast(1 as bigint) as cur, cast(1 as bigint) as held, cast(100.0 as double) as level, true as taken from o where k = 1
+  union all select st.p_brand, st.cur + 1, case when l2.link > 0.5 and l2.link < 2 then st.cur + 1 else st.held end, case when l2.link > 0.5 and l2.link < 2 then st.level * l2.link else st.level end, l2.link > 0.5 and l2.link < 2 from st join l2 on l2.p_brand = st.p_brand and l2.ka = st.held and l2.kc = st.cur + 1)
+select o.p_brand, o.period, rnd(st.level, 6) as index_value, rnd(o.overall_median, 4) as median, o.overall_n as n from st join o on o.p_brand = st.p_brand and o.k = st.cur where taken""")
 def chain_index(spark, sf):
-    return prices.chain_index(prices.observations(medians(spark, sf), ["p_brand"]), ["p_brand"])
+    made = prices.chain_index(prices.observations(medians(spark, sf), ["p_brand"]), ["p_brand"])
+    return made.select("p_brand", "period", r("index_value", 6).alias("index_value"), r("median").alias("median"), "n")
 
 
-@query(MEDIANS_SQL + """, items as (select l_orderkey, l_linenumber, p_brand, strftime(l_shipdate, '%Y') || '-Q' || cast(quarter(l_shipdate) as varchar) as at from lineitem join part on l_partkey = p_partkey where l_returnflag = 'R'),
-pts as (select p_brand, period, overall_median as v from w where period <= '2001-Q2' and overall_median > 0 and substr(period, 7, 1) in ('1', '3')),
+@query(MEDIANS_SQL + """, items as (select l_orderkey, l_linenumber, p_brand, strftime(l_shipdate, '%Y') || '-Q' || cast(quarter(l_shipdate) as varchar) as at from lineitem join part on l_partkey = p_partkey),
+pts as (select p_brand, period, overall_median as v from w where period <= '2001-Q2' and overall_median > 0),
 ends as (select p_brand, last(v order by period) as to_index, first(v order by period) as first_index from pts group by 1)
 select l_orderkey, l_linenumber, rnd(to_index / coalesce((select max_by(v, period) from pts where pts.p_brand = items.p_brand and pts.period <= items.at), first_index), 6) as factor from items left join ends using (p_brand)""")
 def asof_index(spark, sf):
-    m = medians(spark, sf).select("p_brand", "period", "overall_median").distinct().filter(F.substring("period", 7, 1).isin("1", "3"))
+    m = prices.period_medians(branded(spark, sf), ["p_brand"], "l_shipdate", "unit")
     series = m.select("p_brand", "period", F.col("overall_median").alias("index_value"), F.lit(1).alias("n"))
-    items = branded(spark, sf).filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "p_brand", tm.quarter(F.col("l_shipdate")).alias("at"))
+    items = branded(spark, sf).select("l_orderkey", "l_linenumber", "p_brand", tm.quarter(F.col("l_shipdate")).alias("at"))
     return prices.time_factor(items, series, ["p_brand"], "at", "2001-Q2").select("l_orderkey", "l_linenumber", r("factor", 6).alias("factor"))
 
 
@@ -307,7 +331,7 @@ c as (select k, r, w, sum(w) over (partition by k order by r, w rows unbounded p
 select k as n_regionkey, round(min(r) filter (run >= total * 0.5), 3) as ratio, cast(max(total) as bigint) as n from c group by 1""")
 def asking_ratio(spark, sf):
     n = t(spark, sf, "nation").select("n_nationkey", "n_regionkey")
-    c = t(spark, sf, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "n_regionkey")
+    c = t(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "n_regionkey")
     asks = t(spark, sf, "orders").join(c, "o_custkey").select("n_regionkey", tm.month(F.col("o_orderdate")).alias("period"), F.col("o_totalprice").alias("price"))
     sold = with_nation(spark, sf).select("n_regionkey", tm.month(F.col("l_shipdate")).alias("period"), F.col("l_extendedprice").alias("price"))
     return comps.asking_ratio(asks, sold, ["n_regionkey"], least=10, bounds=(0.1, 1.0))
@@ -435,7 +459,9 @@ def upsert_counts(spark, sf):
     return sinks.counts(*halves(spark, sf), ["o_orderkey"])
 
 
-@query()
+@query("""with x as (select *, cast(floor(o_totalprice / 10000) as bigint) as band from orders), a as (select *, row_number() over (partition by o_orderpriority, o_custkey, band order by o_totalprice desc, o_orderkey) as d from x),
+b as (select *, row_number() over (partition by o_orderpriority, o_custkey order by o_totalprice desc, o_orderkey) as m from a where d = 1), c as (select *, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as rank from b where m <= 2)
+select o_orderpriority, cast(rank as integer) as rank, o_orderkey, o_custkey, o_totalprice from c where rank <= 25""")  # here a key has one owner, so the fold comes down to three rankings
 def top_n_capped(spark, sf):
     o = t(spark, sf, "orders").withColumn("dup", F.concat_ws("|", "o_custkey", F.floor(F.col("o_totalprice") / 10000).cast("string")))
     out = leaders.capped(o, "o_orderpriority", [F.desc("o_totalprice"), F.asc("o_orderkey")], "dup", "o_custkey")
@@ -490,7 +516,7 @@ def valuation(spark, sf):
 
 @query()
 def forecasts(spark, sf):
-    m = medians(spark, sf).select("p_brand", "period", "overall_median").distinct()
+    m = prices.period_medians(branded(spark, sf), ["p_brand"], "l_shipdate", "unit")
     return forecast.forecasts(m, "p_brand", "period", "overall_median")
 
 
@@ -542,6 +568,9 @@ def stream_windowed(spark, sf):
 
     from ..streaming import streams
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="hearthlake-stream-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir isn't set: name a folder that driver and executors share")
+    shared = shared or tempfile.mkdtemp(prefix="hearthlake-stream-")
     out = streams.windowed_counts(streams.source(spark, f"{sf}/events.parquet"), "ts", "event_type", late="40 days")
     return streams.run_once(out, f"hours_{uuid.uuid4().hex}", "complete", f"{shared}/stream-{uuid.uuid4().hex}")

@@ -25,9 +25,9 @@ def test_quantile(spark, p, want):
 
 
 def test_quantile_edges(spark):
-    assert values(spark, [4.0, 1.0, 3.0, 2.0]).agg(stats.upper_median(F.col("v"))).first()[0] == 3
+    assert stats.upper_medians(values(spark, [4.0, 1.0, 3.0, 2.0]), [], F.col("v"), "m").first()["m"] == 3
     assert values(spark, [1.0, float("nan"), 3.0]).agg(stats.median(F.col("v"))).first()[0] == 2
-    assert values(spark, []).agg(stats.median(F.col("v")), stats.upper_median(F.col("v"))).first() == (None, None)
+    assert values(spark, []).agg(stats.median(F.col("v"))).first()[0] is None and stats.upper_medians(values(spark, []), [], F.col("v"), "m").first()["m"] is None
 
 
 def test_weighted_quantile(spark):
@@ -163,3 +163,80 @@ def test_entry_without_optional_parts(spark):
     import __spark_entry__ as e
 
     assert "price_trend" in e.queries() and e.entry(spark).columns
+
+
+def test_order_statistics(spark):
+    """Places in groups of any size, equal values counted once for each row; no group is collected."""
+    rng = np.random.default_rng(3)
+    rows = [("ab"[k % 2], float(v)) for k, v in enumerate(rng.integers(0, 20, 301))] + [("a", None), ("b", float("nan")), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for p in (0.0, 0.1, 0.5, 0.9, 1.0):
+        got = {r["k"]: (r["m"], r["n"]) for r in stats.floor_quantiles(df, ["k"], F.col("v"), p, "m").collect()}
+        for k in "ab":
+            values = sorted(v for x, v in rows if x == k and v is not None and v == v)
+            assert got[k] == (values[int(p * (len(values) - 1))], len(values))
+        assert "c" not in got
+    plan = stats.upper_medians(df, ["k"], F.col("v"), "m")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_huber(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, float(v), float(w)) for k, n in (("a", 200), ("b", 7), ("c", 1), ("d", 5)) for v, w in zip(rng.lognormal(8, 0.6, n), rng.integers(1, 9, n), strict=True)] + [("e", 5.0, 1.0)] * 4 + [("e", 9.0, 1.0), ("a", -1.0, 2.0), ("a", None, 2.0)]
+    got = {r["k"]: r["price"] for r in stats.huber_prices(spark.createDataFrame(rows, "k string, v double, w double"), ["k"], F.col("v"), F.col("w")).collect()}
+    for k in "abcde":
+        v, w = (np.array([x[i] for x in rows if x[0] == k and x[1] is not None]) for i in (1, 2))
+        assert got[k] == pytest.approx(stats.robust_price(v, w, None, "huber"), rel=1e-9)
+
+
+@pytest.mark.parametrize("lat, lng", [(0.0, 10.0), (52.0, 179.999), (80.0, -179.999), (89.99, 0.0), (-75.0, 100.0)])
+def test_radius_anywhere(spark, lat, lng):
+    """All pairs, near the poles and across the 180th meridian."""
+    rng = np.random.default_rng(5)
+    wide = 1 / max(0.0005, np.cos(np.radians(lat)))
+    spots = [(k, float(np.clip(lat + a, -90, 90)), float((lng + b * wide + 180) % 360 - 180)) for k, (a, b) in enumerate(rng.normal(0, 0.01, (80, 2)))]
+    df = spark.createDataFrame(spots, "id int, lat double, lng double")
+    got = {(r["id"], r["r_id"]) for r in spatial.within_radius(df, df, 1000.0).collect()}
+
+    def far(a, b):
+        la, lb = np.radians(a[1]), np.radians(b[1])
+        h = np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin(np.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371000 * np.arcsin(min(1, np.sqrt(h)))
+
+    assert got == {(a[0], b[0]) for a in spots for b in spots if far(a, b) <= 1000} and len(got) > 80
+
+
+def test_crowded_spot(spark):
+    """Thousands of rows on one coordinate make one row of the join."""
+    rows = [(k, 50.0, 20.0) for k in range(3000)] + [(9000, 50.0001, 20.0), (9001, 51.0, 20.0), (9002, None, 20.0)]
+    got = {r["id"]: r["neighbours"] for r in spatial.crowded(spark.createDataFrame(rows, "id int, lat double, lng double"), "id").collect()}
+    assert got == {k: 3001 for k in [*range(3000), 9000]}
+
+
+def test_factor_before_and_between_points(spark):
+    """A thinned series: the last point up to the item's period, the first before all of them."""
+    series = spark.createDataFrame([("a", p, v, 1) for p, v in (("2000-Q1", 100.0), ("2000-Q3", 120.0), ("2001-Q1", 150.0), ("2002-Q1", 999.0))], "k string, period string, index_value double, n int")
+    items = spark.createDataFrame([(1, "a", "1999-Q4"), (2, "a", "2000-Q2"), (3, "a", "2000-Q4"), (4, "a", "2001-Q4"), (5, "b", "2000-Q1")], "id int, k string, at string")
+    got = {r["id"]: r["factor"] for r in prices.time_factor(items, series, ["k"], "at", "2001-Q2").collect()}
+    assert got == {1: 1.5, 2: 1.5, 3: 1.25, 4: 1.0, 5: None}
+
+
+def test_capped_widens(spark):
+    """A segment whose first rows are all of one owner is folded over more of them."""
+    rows = [("s", k, None, "one") for k in range(1000, 0, -1)] + [("s", -k, f"d{k // 2}", f"o{k}") for k in range(20)] + [("t", k, None, None) for k in range(5)]
+    got = leaders.capped(spark.createDataFrame(rows, "seg string, v int, dup string, own string"), "seg", [F.desc("v")], "dup", "own", most=6, pool=10).collect()
+    assert sorted((r["rank"], r["v"]) for r in got if r["seg"] == "s") == [(1, 1000), (2, 999), (3, 0), (4, -2), (5, -4), (6, -6)]
+    assert sum(r["seg"] == "t" for r in got) == 5
+
+
+def test_districts(spark):
+    df = spark.createDataFrame([("Stare Miasto",), ("  Łódź-Bałuty ",), ("ĀḂẍ e\u0301",), (None,)], "s string")
+    got = [tuple(r) for r in df.select(text.norm_district(F.col("s")), text.norm_key(F.col("s"))).collect()]
+    assert got == [("staremiasto", "stare miasto"), ("lodzbaluty", "odz ba uty"), ("abxe", "abx e"), (None, None)]
+
+
+def test_chain_of_nothing(spark):
+    """A series without a period that has enough rows has no index, and no rows."""
+    strata = [{"band": "a", "median": 1.0, "n": 2}]
+    obs = spark.createDataFrame([("x", "2000-Q1", 1.0, 2, strata), ("x", "2000-Q2", 1.0, 3, strata), ("y", "2000-Q1", 1.0, 9, strata)], "k string, period string, overall_median double, overall_n long, strata array<struct<band:string,median:double,n:long>>")
+    assert [tuple(r) for r in prices.chain_index(obs, ["k"]).collect()] == [("y", "2000-Q1", 100.0, 1.0, 9)]

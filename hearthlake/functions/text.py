@@ -92,3 +92,53 @@ def labels(s: Column | str, between: str = ";") -> Column:
 def key_range(key: Column, prefix: str) -> Column:
     """Keys with the prefix as a half-open range, which a scan can skip files by."""
     return (key >= prefix) & (key < prefix[:-1] + chr(ord(prefix[-1]) + 1))
+
+
+# What portals call the three kinds, feeds that had flats only, and words of titles.
+KINDS = {
+    "apartment": "apartment flat block tenement ribbon serviced_apartment aparthotel condominium loft mieszkanie kawalerka apartament".split(),
+    "house": [
+        *"house dom domy cabin cottage chalet tiny_house bungalow townhouse villa vacation_home farmhouse farmstay ranch barn hut treehouse earthhouse dome houseboat".split(),
+        *"shepherds_hut shipping_container tipi tower castle cave nature_eco_lodge casa_particular".split(), "shepherds hut",
+    ],
+    "plot": "plot land place terrain działka dzialka dzialki grunt grunty".split(),
+}
+FLAT_FEEDS = "otodom otodom-rent olx morizon gratka domiporta nieruchomosci-online rynekpierwotny".split()
+PLOT_WORDS = "dzia[łl]k|nieruchomo[śćs]c gruntow|grunt(?:owa|owej|owe|owych)?\\s+niezabudow"
+BUILT_PLOT_WORDS = "grunt(?:owa|owej|owe|owych)?\\s+zabudow"
+HOUSE_WORDS = "budynek mieszkalny|dom(?:y|ek)? (?:jednorodzinny|wolnostoj|w zabudowie)|bli[źni]niak|segment(?:y|ów)?\\b|domek letniskow"
+FLAT_WORDS = "\\bmieszkanie|\\bapartament|\\bpok[óo]j do wynaj"
+FLAG_WORDS = {
+    "panoramic_view": "panoram|widok na miasto|panorama miasta|widok z wysokiego piętra|widok z okna na miasto",
+    "mountain_view": "widok na tatry|widok na góry|widok na beskidy|widok na karpaty|widok na pasmo",
+    "water_view": "widok na wisłę|widok na rzekę|widok na jezioro|widok na zalew|pierwsza linia brzegowa|brzeg rzeki|nad wodą|nad jeziorem|nad rzeką",
+    "park_view": "widok na park|przy parku|obok parku|w pobliżu parku|park naprzeciwko|park za rogiem",
+    "forest_view": "widok na las|przy lesie|obok lasu|nad lasem|las za domem|las za działką",
+    "quiet": "cicha okolica|spokojna okolica|spokojna ulica|cicha ulica|zielona i cicha|kameralna okolica",
+    "air_conditioning": "klimatyzac",
+    "fireplace": "kominek|kominkiem",
+    "energy_efficient": "energooszczęd|niskoenergetycz|pasywn|rekuperac|pompa ciepła|fotowoltaik|panel fotowoltaiczny",
+    "renovated": "po remoncie|po generalnym remoncie|odświeżon|wysoki standard|nowoczesne wykończenie|nowa instalacja",
+    "south_facing": "południow|ekspozycja południowa|nasłonecznion|słoneczn",
+    "utilities": "media|prąd|energia elektryczna|wodociąg|woda z sieci|kanalizacja|gaz ziemny|szambo|studnia",
+    "building_permit": "pozwolenie na budowę|pozwolenia na budowę|mpzp|plan zagospodarowania przestrzennego|warunki zabudowy",
+    "flood_risk": "zalewow|powódź|powodzi|teren zalewowy|ryzyko powodzi",
+    "busy_road": "ruchliwa|głośna ulica|przy głównej drodze|przy trasie|hałas|duży ruch samochodów",
+}
+
+
+def property_kind(source: Column, title: Column, kind: Column, external_id: Column) -> Column:
+    """apartment, house or plot by the portal's type, else words of the title, else what the feed has; null without evidence.
+
+    Investments are none of these, whatever their title says.
+    """
+    said = F.lower(F.coalesce(kind, F.lit("")))
+    words = F.coalesce(title, F.lit(""))
+    has = lambda p: words.rlike(f"(?iu){p}")
+    stand_in = F.coalesce(external_id.startswith("inv-"), F.lit(False))
+    none = F.lit(None).cast("string")
+    out = F.when((source == "budujesie") | ((source == "investmap") & stand_in) | (said == "inwestycja"), none)
+    for name, types in KINDS.items():
+        out = out.when(said.isin(types), name)
+    out = out.when(has(PLOT_WORDS), F.when(has(BUILT_PLOT_WORDS), "house").otherwise("plot")).when(has(HOUSE_WORDS), "house").when(has(FLAT_WORDS), "apartment")
+    return out.when((source == "investmap") | source.isin(FLAT_FEEDS), "apartment")

@@ -15,6 +15,7 @@ from ..functions import geo, stats, text
 from ..functions import time as tm
 from ..operators import charts, comps, forecast, leaders, listings, occupancy, prices, sinks, spatial
 from ..sources import html
+from ..streaming import streams
 
 AS_OF = "2001-11-05"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +49,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import dashboard  # noqa: F401  its queries are added when it is imported
+    from . import dashboard, deals  # noqa: F401  their queries are added when they are imported
 
     return dict(QUERIES)
 
@@ -544,12 +545,12 @@ def text_flags(spark, sf):
     return d.select("doc_id", *text.flags(F.col("text"), {"license": "licen[cs]e", "credential": "password|secret", "digits": r"[0-9]{3}"}))
 
 
-@query(r"""select page_id, nullif(trim(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)), '') as title, nullif(regexp_extract(html, '(?is)<html\b[^>]*\blang\s*=\s*["'']([^"'']*)["'']', 1), '') as lang, len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["'']')) as links from pages""")
+@query(r"""select page_id, nullif(trim(replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '&nbsp;', ' '), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '') as title, nullif(regexp_extract(html, '(?is)<html\b[^>]*\blang\s*=\s*["'']([^"'']*)["'']', 1), '') as lang, len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["'']')) as links from pages""")
 def html_extract(spark, sf):
     p = t(spark, sf, "pages")
-    n = F.size(F.regexp_extract_all("html", F.lit(r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["']"""))).cast("long")
-    title = F.nullif(F.trim(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)), F.lit(""))
-    return p.select("page_id", title.alias("title"), html.attribute(F.col("html"), "html", "lang").alias("lang"), n.alias("links"))
+    n = html.links(p).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+    found = p.select("page_id", html.tag(F.col("html"), "title").alias("title"), html.attribute(F.col("html"), "html", "lang").alias("lang"))
+    return found.join(n, "page_id", "left").withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
 
 
 @query("select conv_id, count(*) as turns, count(*) filter (role = 'user') as user_turns, cast(sum(length(text)) as bigint) as chars from conversations group by 1")
@@ -560,17 +561,19 @@ def conversation_stats(spark, sf):
 # ---- streaming --------------------------------------------------------------------------------------
 
 
-@query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
-def stream_windowed(spark, sf):
-    """The windowed aggregate of the stream, run over what there is."""
+def shared_folder(spark, name: str) -> str:
+    """A new folder where driver and executors both see it."""
     import tempfile
     import uuid
 
-    from ..streaming import streams
-
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir isn't set: name a folder that driver and executors share")
-    shared = shared or tempfile.mkdtemp(prefix="hearthlake-stream-")
+    return f"{(shared or tempfile.mkdtemp(prefix='hearthlake-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
+def stream_windowed(spark, sf):
+    """The windowed aggregate of the stream, run over what there is."""
     out = streams.windowed_counts(streams.source(spark, f"{sf}/events.parquet"), "ts", "event_type", late="40 days")
-    return streams.run_once(out, f"hours_{uuid.uuid4().hex}", "complete", f"{shared}/stream-{uuid.uuid4().hex}")
+    return streams.run_to_files(out, "complete", shared_folder(spark, "windows"))

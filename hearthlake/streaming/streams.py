@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from ..operators.charts import latest
 
 
-def source(spark: SparkSession, path: str, name: str = "*.parquet") -> DataFrame:
-    """A Parquet folder (or file's folder) as a stream, with the schema of what it holds now."""
+def source(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
+    """A Parquet folder (or one file, by its folder) as a stream, with the schema of what it holds now."""
     folder, pattern = path.rsplit("/", 1)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", pattern).parquet(folder)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", pattern if pattern.endswith(".parquet") else "*.parquet")
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    return reader.parquet(folder if pattern.endswith(".parquet") else path)
 
 
 def windowed_counts(events: DataFrame, ts: str, key: str, width: str = "1 hour", late: str = "24 hours") -> DataFrame:
@@ -43,8 +46,28 @@ def upsert_latest(keys: list[str], order: str, latest_path: str, history_path: s
     return run
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that is there now, into a memory table (for tests and small aggregates)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_files(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """All that is there now, batch by batch into Parquet under ``folder``, which is shared, with the stream's checkpoint beside.
+
+    A batch that is run again overwrites its own files. Of complete results the last batch counts, of appended ones all do.
+    """
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    made = spark.read.parquet(f"{folder}/batches")
+    if mode == "complete":
+        made = made.filter(F.col("batch") == made.agg(F.max("batch")).first()[0])
+    return made.select(*stream.columns)
+
+
+def run_upserts(stream: DataFrame, keys: list[str], order: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(latest rows, history) of all that is there now."""
+    spark = stream.sparkSession
+    query = stream.writeStream.foreachBatch(upsert_latest(keys, order, f"{folder}/latest", f"{folder}/history")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    versions = spark.read.parquet(f"{folder}/latest")
+    return versions.filter(F.col("version") == versions.agg(F.max("version")).first()[0]).select(*stream.columns), spark.read.parquet(f"{folder}/history").select(*stream.columns)

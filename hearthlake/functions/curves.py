@@ -31,7 +31,7 @@ def linear_score(x: Column, worst: float, best: float, most: float) -> Column:
     return clamp((x - worst) / (best - worst), 0.0, 1.0) * most
 
 
-def logit(p: Column, edge: float = 1e-6) -> Column:
+def logit(p: Column, edge: float = 1e-4) -> Column:
     q = clamp(p, edge, 1 - edge)
     return F.ln(q / (1 - q))
 

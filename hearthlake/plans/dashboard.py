@@ -290,7 +290,7 @@ CURVE = [(0.0, 10.0), (1000.0, 60.0), (5000.0, 80.0), (9000.0, 100.0)]
 
 
 @query("""select c_custkey, rnd(case when c_acctbal <= 0 then 10 when c_acctbal <= 1000 then 10 + c_acctbal * 0.05 when c_acctbal <= 5000 then 60 + (c_acctbal - 1000) * 0.005 when c_acctbal <= 9000 then 80 + (c_acctbal - 5000) * 0.005 else 100 end, 6) as curve,
-case when c_acctbal < 0 then 0.0 when c_acctbal < 3000 then 1.0 when c_acctbal < 6000 then 2.0 else 3.0 end as step, rnd(least(1, greatest(0, (c_acctbal - 8000) / (0.0 - 8000))) * 25, 6) as score, rnd(ln(greatest(1e-6, least(1 - 1e-6, c_acctbal / 10000)) / (1 - greatest(1e-6, least(1 - 1e-6, c_acctbal / 10000)))), 6) as odds,
+case when c_acctbal < 0 then 0.0 when c_acctbal < 3000 then 1.0 when c_acctbal < 6000 then 2.0 else 3.0 end as step, rnd(least(1, greatest(0, (c_acctbal - 8000) / (0.0 - 8000))) * 25, 6) as score, rnd(ln(greatest(1e-4, least(1 - 1e-4, c_acctbal / 10000)) / (1 - greatest(1e-4, least(1 - 1e-4, c_acctbal / 10000)))), 6) as odds,
 rnd(1 / (1 + exp(-c_acctbal / 5000)), 6) as share from customer""")
 def score_curves(spark, sf):
     x = F.col("c_acctbal")

@@ -149,8 +149,55 @@ def test_money():
     assert forecast.irr(100, np.array([0.0, 0.0])) is None
     a, b = forecast.Mulberry(123), forecast.Mulberry(123)
     assert [a.normal() for _ in range(5)] == [b.normal() for _ in range(5)]
-    line = np.arange(20.0)
-    assert forecast.project(line, 3) == pytest.approx([20, 21, 22])
+
+
+def test_forecast_trend():
+    """Rising prices go on rising, bands are in order, drift and gaps as the model says."""
+    t = np.arange(36.0)
+    v = 100 * np.exp(0.012 * t + 0.01 * np.sin(t * 1.7))
+    out = forecast.forecast(t, v, 4, 12)
+    assert len(out) == 12 and out["value"][3] > v[-1] and (out["low"] <= out["high"]).all() and (out["low"] > 0).all() and out["quality"][0] == "high"
+    line = forecast.fit(t, 0.05 * t, 1, 0.05)
+    assert line.at(np.array([40.0]))[0] == pytest.approx(2.0) and line.phi == 0 and line.mu == pytest.approx(0.05)
+    holes = t[[0, 1, 2, 5, 9, 10, 14, 20, 21, 30]]
+    assert forecast.fit(holes, 0.05 * holes, 1, 0.05).at(np.array([33.0]))[0] == pytest.approx(1.65)
+    assert forecast.fit(t, 0.05 * t, 1, 0.0).mu == pytest.approx(0.35 * 0.05)
+
+
+def test_forecast_seasons():
+    t = np.arange(60.0) + 2021 * 12
+    v = 100 * np.exp(0.003 * np.arange(60)) * np.where(t % 12 == 6, 1.5, np.where(t % 12 == 0, 0.6, 1.0))
+    out = forecast.forecast(t, v, 12, 24)
+    assert set(out["method"]) == {"seasonal-ar1"} and 0.5 <= out["coverage"][0] <= 1
+    july = out["value"][(t[-1] + out["horizon"]) % 12 == 6].min()
+    assert july > 1.2 * out["value"].median()
+    found = forecast.seasons(t, np.log(v), 12)
+    assert found.sum() == pytest.approx(0) and found.argmax() == 6 and found.argmin() == 0
+
+
+def test_forecast_short(spark):
+    """Short series keep their last value's growth; other scales stay in their bounds; of one period the last row counts."""
+    out = forecast.forecast(np.arange(3.0), np.array([1.0, 2.0, 50.0]), 12, 6)
+    assert set(out["method"]) == {"prior"} and (out["low"] < out["value"]).all() and (out["value"] < out["high"]).all() and out["value"][5] == pytest.approx(50 * 1.035**0.5)
+    share = forecast.forecast(np.arange(30.0), 0.5 + 0.3 * np.sin(np.arange(30.0)), 12, 6, scale="logit")
+    assert ((share[["value", "low", "high"]] > 0) & (share[["value", "low", "high"]] < 1)).all().all()
+    rows = [("a", f"20{k:02}-Q{q}", 100.0 + k + q) for k in range(10) for q in (1, 2, 3, 4)] + [("b", "2000-Q1", 5.0), ("b", "bad", 7.0), ("c", "2001-03", None)]
+    got = forecast.forecasts(spark.createDataFrame(rows, "k string, period string, v double"), "k", "period", "v").collect()
+    assert {(r["k"], r["method"]) for r in got} == {("a", "ar1"), ("b", "prior"), ("c", "prior")} and len(got) == 12
+
+
+def test_band_and_coverage():
+    """Of many errors the pooled radius, of few those at the horizon, of none a normal spread."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    table = pd.DataFrame([(c, h, 0.0, e, e) for c in range(6, 30) for h in (1, 2, 3) for e in [float(rng.normal(0, 0.1)) * h**0.5]], columns=["cut", "h", "predicted", "actual", "error"])
+    low, high = forecast.band(table, 4, 0.02)
+    assert -0.6 < low < -0.15 and 0.15 < high < 0.6 and high - low == pytest.approx(2 * (forecast.band(table, 1, 0.02)[1] - forecast.band(table, 1, 0.02)[0]))
+    assert 0.6 <= forecast.coverage(table) <= 1
+    few = table[table["h"] == 1][:5]
+    assert forecast.band(few, 1, 0.02)[0] in set(few["error"]) and forecast.coverage(few) is None
+    assert forecast.band(few[:1], 3, 0.02) == pytest.approx((-forecast.Z80 * 0.02 * 3**0.5, forecast.Z80 * 0.02 * 3**0.5))
 
 
 def test_cells(spark):

@@ -113,3 +113,21 @@ def line_distance(lat: Column, lng: Column, line: Column) -> Column:
     """Metres to the nearest side of a polyline."""
     parts = _paired(F.slice(line, F.lit(1), F.greatest(F.size(line) - 1, F.lit(0))), F.slice(line, F.lit(2), F.greatest(F.size(line) - 1, F.lit(0))))
     return F.array_min(F.transform(parts, lambda e: segment_distance(lat, lng, e["a"], e["b"])))
+
+
+def ring_distance(lat: Column, lng: Column, ring: Column) -> Column:
+    """Metres to the ring's nearest side; 0 inside."""
+    away = F.array_min(F.transform(edges(ring), lambda e: segment_distance(lat, lng, e["a"], e["b"])))
+    return F.when(point_in_ring(ring, lat, lng), 0.0).otherwise(away)
+
+
+def nearest_of(lat: Column, lng: Column, centres: dict[str, tuple[float, float]], most_m: float | None = None) -> Column:
+    """struct<name, distance_m> of the nearest of a few fixed centres, the first of equal ones; null beyond most_m."""
+    far = [F.struct(haversine(lat, lng, F.lit(a), F.lit(b)).alias("distance_m"), F.lit(k).alias("k"), F.lit(name).alias("name")) for k, (name, (a, b)) in enumerate(centres.items())]
+    best = F.array_min(F.array(*far))
+    found = F.struct(best["name"].alias("name"), best["distance_m"].alias("distance_m"))
+    return F.when(lat.isNotNull() & lng.isNotNull() & (F.lit(True) if most_m is None else best["distance_m"] <= most_m), found)
+
+
+def box_centres(boxes: dict[str, tuple[float, float, float, float]]) -> dict[str, tuple[float, float]]:
+    return {name: ((a + b) / 2, (c + d) / 2) for name, (a, b, c, d) in boxes.items()}

@@ -67,8 +67,8 @@ def first_number(s: Column) -> Column:
     return F.regexp_replace(F.translate(found, ",", "."), " ", "").try_cast("double")
 
 
-def content_hash(version: str, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("\u0000", F.lit(version), *(F.coalesce(p, F.lit("")) for p in parts)), 256)
+def content_hash(version: str, *parts: Column, between: str = "\u0000") -> Column:
+    return F.sha2(F.concat_ws(between, F.lit(version), *(F.coalesce(p, F.lit("")) for p in parts)), 256)
 
 
 def flags(s: Column, patterns: dict[str, str]) -> list[Column]:

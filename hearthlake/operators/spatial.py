@@ -66,6 +66,27 @@ def points_in_rings(points: DataFrame, rings: DataFrame, size: float, lat: str =
     return hit.filter(geo.point_in_ring(F.col(ring), F.col(lat), F.col(lng))).drop("__ca", "__co", *(f"__{k}" for k in box))
 
 
+def near_shapes(points: DataFrame, shapes: DataFrame, radius_m: float, shape: str, closed: bool) -> DataFrame:
+    """Pairs of a point and a shape (a line, or a ring if closed) at most radius_m apart, with distance_m, away from the poles.
+
+    A shape is copied to the cells of its box and of the radius around it; a point keeps its one cell.
+    """
+    size = max(0.01, radius_m / 50_000.0)
+    p = points.filter("lat is not null and lng is not null").withColumn("__ca", geo.cell(F.col("lat"), size)).withColumn("__co", geo.cell(F.col("lng"), size))
+    lats, lngs = F.transform(shape, lambda q: q["lat"]), F.transform(shape, lambda q: q["lng"])
+    south, north = F.array_min(lats) - radius_m / 110_000.0, F.array_max(lats) + radius_m / 110_000.0
+    wide = radius_m / 110_000.0 / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs(south), F.abs(north)))))
+    s = shapes.filter(F.size(shape) > 0).withColumn("__ca", F.explode(_cells(south, north, size))).withColumn("__co", F.explode(_cells(F.array_min(lngs) - wide, F.array_max(lngs) + wide, size)))
+    away = (geo.ring_distance if closed else geo.line_distance)(F.col("lat"), F.col("lng"), F.col(shape))
+    return p.join(s, ["__ca", "__co"]).withColumn("distance_m", away).filter(F.col("distance_m") <= radius_m).drop("__ca", "__co")
+
+
+def contained_or_nearest(points: DataFrame, rings: DataFrame, key: str, ring_key: str, radius_m: float, ring: str = "ring") -> DataFrame:
+    """key, ring_key, distance_m: the ring that holds the point (0 m), else the nearest within the radius; the smallest of equal ones."""
+    near = near_shapes(points, rings, radius_m, ring, True)
+    return near.groupBy(key).agg(F.min(F.struct("distance_m", ring_key)).alias("m")).select(key, F.col("m")[ring_key].alias(ring_key), F.col("m.distance_m").alias("distance_m"))
+
+
 def overlapping(left: DataFrame, right: DataFrame, key: str, size: float) -> DataFrame:
     """Pairs of boxes (south, north, west, east) that overlap, borders included. Columns of right get the prefix r_.
 

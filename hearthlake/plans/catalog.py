@@ -49,7 +49,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import dashboard, deals  # noqa: F401  their queries are added when they are imported
+    from . import dashboard, deals, places  # noqa: F401  their queries are added when they are imported
 
     return dict(QUERIES)
 

@@ -52,3 +52,22 @@ def slug_kind(url: Column, kinds: dict[str, str]) -> Column:
     for name, kind in reversed(list(kinds.items())):
         out = F.when(F.array_contains(path, name), kind).otherwise(out)
     return out
+
+
+def nodes_of_type(blocks: Column, kind: str) -> Column:
+    """Of ld+json blocks the nodes of a type, as variants: the block itself or members of its @graph; broken blocks have none."""
+    parsed = F.transform(blocks, lambda b: F.try_parse_json(b))
+    spread = F.flatten(F.transform(parsed, lambda v: F.concat(F.array(v), F.coalesce(F.try_variant_get(v, "$.@graph", "array<variant>"), F.array().cast("array<variant>")))))
+    return F.filter(spread, lambda v: F.try_variant_get(v, "$.@type", "string") == kind)
+
+
+def absolute_url(base: Column, href: Column) -> Column:
+    """href as seen from a page: whole urls stay, //host, /path, ?query and relative paths follow the base."""
+    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
+    host = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.when(page == host, F.concat(host, F.lit("/"))).otherwise(F.regexp_replace(page, "[^/]*$", ""))
+    return (
+        F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)).when(href.startswith("/"), F.concat(host, href))
+        .when(href.startswith("?") | href.startswith("#") | (href == ""), F.concat(page, href)).otherwise(F.concat(folder, href))
+    )

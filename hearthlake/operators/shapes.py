@@ -47,11 +47,14 @@ def first_known(items: DataFrame, table: DataFrame, tiers: list[dict[str, Column
     A tier maps key columns of the table to columns of the items. The table is an aggregate.
     """
     out, keys = items, list(tiers[0])
+    # a tier of constants only, too, is an equi-join: its keys hang on a column of the items
+    nothing = F.coalesce(F.substring(F.col(items.columns[0]).cast("string"), 1, 0), F.lit(""))
     for k, tier in enumerate(tiers):
         side = table.filter(F.col(points) >= least).select(*(F.col(c).alias(f"__k{k}_{c}") for c in keys), F.col(value).alias(f"__v{k}"))
         on = None
         for c, of in tier.items():
-            on = (of == F.col(f"__k{k}_{c}")) if on is None else on & (of == F.col(f"__k{k}_{c}"))
+            same = F.concat(of.cast("string"), nothing) == F.col(f"__k{k}_{c}").cast("string")
+            on = same if on is None else on & same
         out = out.join(side, on, "left").drop(*(f"__k{k}_{c}" for c in keys))
     got = [F.col(f"__v{k}") for k in range(len(tiers))]
     which = F.coalesce(*(F.when(v.isNotNull(), F.lit(k)) for k, v in enumerate(got)))

@@ -384,6 +384,7 @@ def groups(batches: Iterator[pa.RecordBatch], folds: Folds, parts: int, most: in
             size, at = size + int(ends[stop - 1]) - before, stop
             if size >= most:
                 yield flush()
+                pa.default_memory_pool().release_unused()
                 made, held, size = made + 1, [], 0
     if held:
         yield flush()
@@ -422,6 +423,7 @@ def _answer(pieces: Pieces):
     kept_folds: list[Folds] = []
 
     def run(asked: pa.Table, encoded: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         if not kept_folds:
             kept_folds.append(Folds(pieces))
         folds = kept_folds[0]
@@ -457,6 +459,7 @@ def _assemble(pieces: Pieces, check: bool):
     kept: list = []
 
     def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # what the group before has left
         if not kept:
             kept.append(Folds(pieces).spellings())
         names = ["doc_id", "ids", *(["n_tokens", "ids_crc32", "round_trip"] if check else [])]

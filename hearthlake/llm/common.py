@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import by_bytes
@@ -74,3 +74,20 @@ def map_texts(
 def narrow(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
     """Marks an aggregate (one row per source, say) for broadcast if it has few rows; else leaves the join to Spark."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def frequent(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """counts(*keys, word, n), a row for each -> the rows of the most frequent words of a key, at most ``most``.
+
+    There must be few keys: a row for each is broadcast.
+    Words of one count stay or go together; if even those of the highest count are too many, the first of them by
+    hash stay. Cut-offs come from how many words have each count, so that no task has all words of a key.
+    """
+    counts = counts.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(1 << 20)))
+    best = counts.groupBy(*keys).agg(F.max("n").alias("best"))
+    level = F.struct(-F.col("n"), F.when(F.col("n") == F.col("best"), F.col("salt")).otherwise(F.lit(0)))
+    levelled = counts.join(F.broadcast(best), keys).withColumn("level", level)
+    sizes = levelled.groupBy(*keys, "level").agg(F.count(F.lit(1)).alias("words"))
+    running = F.sum("words").over(Window.partitionBy(*keys).orderBy("level"))
+    last = sizes.withColumn("running", running).filter(F.col("running") <= most).groupBy(*keys).agg(F.max("level").alias("last"))
+    return levelled.join(F.broadcast(last), keys).filter(F.col("level") <= F.col("last")).select(*counts.drop("salt").columns)

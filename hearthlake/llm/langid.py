@@ -21,10 +21,10 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, frequent
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
@@ -99,7 +99,13 @@ def train(docs: DataFrame, sample_docs: int = 4000, words_per_lang: int = 20_000
     most_cells numbers, each language has its share of these. That bounds what reaches the driver and is broadcast.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    ids = labelled.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_docs).select("doc_id").distinct()
+    hashed = labelled.select("doc_id", F.xxhash64("doc_id").alias("h"))
+    # so that the last step of the ranking sees a few times as many rows as it takes, not that many of every task
+    share = 4 * sample_docs / max(1, hashed.count())
+    low = hashed.filter(F.col("h") <= -(1 << 63) + int(share * (1 << 64))) if share < 1 else hashed
+    if share < 1 and low.limit(sample_docs).count() < sample_docs:  # rows of few doc_ids
+        low = hashed
+    ids = low.orderBy("h", "doc_id").limit(sample_docs).select("doc_id").distinct()
     sample = cut(labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.lower("text").alias("text")))
     size = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}  # a row for a language of the sample
     langs = sorted(size)
@@ -132,22 +138,6 @@ def train(docs: DataFrame, sample_docs: int = 4000, words_per_lang: int = 20_000
     return Model(langs, prior, known, found)
 
 
-def frequent(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """counts(*keys, word, n), a row for each -> the rows of the most frequent words of a key, at most ``most``.
-
-    Words of one count stay or go together; if even those of the highest count are too many, the first of them by
-    hash stay. Cut-offs come from how many words have each count, so that no task has all words of a key.
-    """
-    counts = counts.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(1 << 20)))
-    best = counts.groupBy(*keys).agg(F.max("n").alias("best"))
-    level = F.struct(-F.col("n"), F.when(F.col("n") == F.col("best"), F.col("salt")).otherwise(F.lit(0)))
-    levelled = counts.join(best, keys).withColumn("level", level)
-    sizes = levelled.groupBy(*keys, "level").agg(F.count(F.lit(1)).alias("words"))
-    running = F.sum("words").over(Window.partitionBy(*keys).orderBy("level"))
-    last = sizes.withColumn("running", running).filter(F.col("running") <= most).groupBy(*keys).agg(F.max("level").alias("last"))
-    return levelled.join(last, keys).filter(F.col("level") <= F.col("last")).select(*counts.drop("salt").columns)
-
-
 def predictor(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """A column struct<lang_pred, score> over docs; the bounded model is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, model.words, model.grams))

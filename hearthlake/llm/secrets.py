@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import by_bytes
-from .common import BATCH_BYTES, map_texts, text_of
+from .common import BATCH_BYTES, frequent, map_texts, text_of
 
 # Kinds in their order, pattern, and the least length of the group named.
 BASE = (
@@ -70,7 +70,8 @@ KEPT = 500_000  # words that a task counts before it hands them on
 def ranked_words(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_WORD, longest: int = MAX_SEGMENT) -> list[str]:
     """WORDS, then the most frequent words (runs of ASCII letters, lower-cased) of all texts, at most ``most`` of them.
 
-    Every text is counted, by task first. Words that occur once aren't ranked.
+    Every text is counted, by task first. Words that occur once aren't ranked; where not all words of one count fit,
+    none of these is.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +91,8 @@ def ranked_words(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_WOR
         yield flush()
 
     counted = docs.select(text_of(docs).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.filter("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()
-    return list(dict.fromkeys([*WORDS, *(r["word"] for r in top)]))
+    top = frequent(counted.filter("n > 1").withColumn("all", F.lit(1)), ["all"], most).collect()
+    return list(dict.fromkeys([*WORDS, *(r["word"] for r in sorted(top, key=lambda r: (-r["n"], r["word"])))]))
 
 
 def _beside() -> set[str]:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from hearthlake.llm import exact_dedup, langid, licenses, media, mixing, secrets, sentencepieces, simhash, token_files, url_filter
+from hearthlake.llm import common, exact_dedup, langid, licenses, media, mixing, secrets, sentencepieces, simhash, token_files, url_filter
 from hearthlake.llm.queries import tokenizer_file
 
 LONG = "lorem ipsum dolor " * 3000 + "x" * 3000
@@ -400,10 +400,20 @@ def test_many_languages(spark):
     assert len(langid.train(docs, most_cells=150 * 150 * 5).words) <= 150
 
 
+def test_sample(spark):
+    """The labelled documents of the smallest hashes are learned from, however few doc_ids there are."""
+    rows = [(k, f"w{k}", "aa") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first = docs.orderBy(F.xxhash64("doc_id")).limit(20)
+    assert set(langid.train(docs, sample_docs=20).grams) == set(langid.train(first, sample_docs=20).grams)
+    same = spark.createDataFrame([(7, "lop", "aa")] * 300, docs.schema)
+    assert langid.train(same, sample_docs=20).langs == ["aa"]
+
+
 def test_frequent(spark):
     counts = spark.createDataFrame([("a", f"w{k}", [9, 5, 5, 2][min(k, 3)]) for k in range(40)] + [("b", f"v{k}", 3) for k in range(40)], "lang string, word string, n long")
     got = collections.defaultdict(set)
-    for r in langid.frequent(counts, ["lang"], 10).collect():
+    for r in common.frequent(counts, ["lang"], 10).collect():
         got[r["lang"]].add(r["word"])
     assert got["a"] == {"w0", "w1", "w2"} and len(got["b"]) == 10
 

@@ -140,3 +140,31 @@ def snapshots(rows: DataFrame, region: str, city: str, city_m: Column, captured:
         last = spread.groupBy("geography").agg(F.max("captured").alias("captured"))
         spread = spread.join(last, ["geography", "captured"], "left_semi")
     return spread.groupBy("geography").agg(stats.median(F.col("value")).alias("middle"), F.count(stats.finite(F.col("value"))).alias("n")).filter(F.col("n") >= least)
+
+
+def buildings_of(buildings: DataFrame, parcel: str, area: str, floors: str) -> DataFrame:
+    """parcel, buildings, built_m2, most_floors."""
+    return buildings.groupBy(parcel).agg(F.count(F.lit(1)).alias("buildings"), F.sum(area).alias("built_m2"), F.max(floors).alias("most_floors"))
+
+
+def compared_areas(parcels: DataFrame, stats_of: DataFrame, parcel: str, area: Column, declared: Column, apart_pct: float = 10.0) -> DataFrame:
+    """parcels with their buildings, the built share, and whether the declared area is over apart_pct off; null where it isn't known."""
+    out = parcels.join(stats_of, parcel, "left").withColumns({"buildings": F.coalesce("buildings", F.lit(0).cast("long")), "built_share": F.try_divide(F.col("built_m2"), area)})
+    return out.withColumn("differs", F.abs(F.try_divide(declared, area) - 1) * 100 > apart_pct)
+
+
+def street_centres(rows: DataFrame, city: str, street: Column, least: int = 3) -> DataFrame:
+    """city, street, lat, lng, n of streets with enough points."""
+    g = rows.filter("lat is not null and lng is not null").groupBy(city, street.alias("street")).agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.count(F.lit(1)).alias("n"))
+    return g.filter((F.col("n") >= least) & F.col("street").isNotNull())
+
+
+def missing_facts(*facts: Column) -> Column:
+    """How many of the facts are null or blank."""
+    return sum((F.coalesce(F.trim(f.cast("string")) == "", F.lit(True)).cast("int") for f in facts), F.lit(0))
+
+
+def features(rows: DataFrame, key: str, lat: Column, lng: Column, *properties: str) -> DataFrame:
+    """key, feature: GeoJSON points, longitude first, with the properties that aren't null."""
+    shape = F.struct(F.lit("Point").alias("type"), F.array(lng, lat).alias("coordinates"))
+    return rows.select(key, F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import curves, geo, stats, text
 from ..functions import time as tm
-from ..operators import charts, occupancy as nights, series, shapes, spatial
+from ..operators import charts, leaders, listings, series, shapes, spatial
+from ..operators import occupancy as nights
 from .catalog import AS_OF, DAYS_SQL, HAVERSINE_SQL, POINT_SQL, as_of, branded, calendar, points, query, r, sales, t
 
 # ---- dashboard series -------------------------------------------------------------------------------
@@ -418,3 +419,60 @@ def pages_by_host(spark, sf):
 def spreads(spark, sf):
     g = branded(spark, sf).groupBy("p_brand").agg(curves.spread(F.col("l_extendedprice")).alias("sd"), F.avg("l_extendedprice").alias("m"), F.count(F.lit(1)).alias("n"))
     return g.select("p_brand", r("sd").alias("sd"), r("m").alias("mean"), "n", stats.half_up(F.col("m")).cast("double").alias("whole"))
+
+
+# ---- parcels, streets, feeds ------------------------------------------------------------------------
+
+
+@query("select l_orderkey, count(*) as buildings, rnd(sum(l_quantity), 2) as built_m2, max(l_linenumber) as most_floors from lineitem group by 1")
+def parcel_buildings(spark, sf):
+    return series.buildings_of(t(spark, sf, "lineitem"), "l_orderkey", "l_quantity", "l_linenumber").withColumn("built_m2", r("built_m2", 2))
+
+
+@query("""with s as (select l_orderkey, count(*) as b, sum(l_quantity) as m from lineitem where l_returnflag = 'R' group by 1)
+select o_orderkey, coalesce(b, 0) as buildings, rnd(m / (o_totalprice / 100), 6) as built_share, abs((o_totalprice / 100 + o_custkey % 200) / (o_totalprice / 100) - 1) * 100 > 10 as differs from orders left join s on l_orderkey = o_orderkey""")
+def parcel_areas(spark, sf):
+    own = series.buildings_of(t(spark, sf, "lineitem").filter("l_returnflag = 'R'"), "l_orderkey", "l_quantity", "l_linenumber").withColumnRenamed("l_orderkey", "o_orderkey")
+    area = F.col("o_totalprice") / 100
+    out = series.compared_areas(t(spark, sf, "orders"), own, "o_orderkey", area, area + F.col("o_custkey") % 200)
+    return out.select("o_orderkey", "buildings", r("built_share", 6).alias("built_share"), "differs")
+
+
+@query(f"""with p as (select c_custkey, c_mktsegment, {POINT_SQL.format(k='c_custkey')} from customer) select c_mktsegment, 'street ' || chr(97 + cast(c_custkey % 5 as integer)) as street, rnd(avg(lat), 6) as lat, rnd(avg(lng), 6) as lng, count(*) as n from p group by 1, 2 having count(*) >= 3""")
+def street_centres(spark, sf):
+    c = t(spark, sf, "customer")
+    rows = points(c, "c_custkey").join(c.select("c_custkey", "c_mktsegment"), "c_custkey")
+    street = text.street_key(F.concat(F.lit("Ul. STREET  "), F.char(F.col("c_custkey") % 5 + 97)))
+    return series.street_centres(rows, "c_mktsegment", street).withColumns({"lat": r("lat", 6), "lng": r("lng", 6)})
+
+
+@query("select o_orderkey, cast((o_orderkey % 2 = 0) as integer) + cast((o_orderkey % 3 = 0) as integer) as missing from orders")
+def missing_facts(spark, sf):
+    k = F.col("o_orderkey")
+    return t(spark, sf, "orders").select("o_orderkey", series.missing_facts(F.when(k % 2 != 0, k), F.when(k % 3 == 0, "  ").otherwise("x"), F.col("o_orderstatus")).alias("missing"))
+
+
+@query("""select s_suppkey, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || (s_suppkey * 2) || ',' || s_suppkey || ']},"properties":{"s_name":"' || s_name || '"' || case when s_suppkey % 2 = 0 then ',"even":true' else '' end || '}}' as feature from supplier""")
+def geojson_feed(spark, sf):
+    rows = t(spark, sf, "supplier").withColumn("even", F.when(F.col("s_suppkey") % 2 == 0, True))
+    return series.features(rows, "s_suppkey", F.col("s_suppkey"), F.col("s_suppkey") * 2, "s_name", "even")
+
+
+@query(f"""select o_orderkey from orders where o_orderkey % 5 <> 0 and o_orderstatus in ('O', 'P') and o_orderdate >= timestamp '{AS_OF}' - interval 1200 days""")
+def listing_filter(spark, sf):
+    """Visible rentals of a kind, listed (or else first seen) within so many days."""
+    k, o = F.col("o_orderkey"), t(spark, sf, "orders")
+    kind = F.when(F.col("o_orderstatus") == "O", "long_term_rental").when(F.col("o_orderstatus") == "P", "short_term_rental").otherwise("sale")
+    rows = o.select("o_orderkey", (k % 5 != 0).alias("is_visible"), kind.alias("offer_type"), F.lit("s").alias("source"), F.lit("apartment").alias("property_kind"), F.when(k % 2 == 0, F.col("o_orderdate")).alias("listed_at"), F.col("o_orderdate").alias("first_seen_at"))
+    return listings.visible(rows, "rental", source="s", kind="apartment", days=1200, as_of=as_of()).select("o_orderkey")
+
+
+@query(f"select o_orderkey, rnd(date_diff('second', o_orderdate, timestamp '{AS_OF}') / (30.44 * 86400), 6) as months from orders")
+def ages(spark, sf):
+    return t(spark, sf, "orders").select("o_orderkey", r(tm.age_months(F.col("o_orderdate"), as_of()), 6).alias("months"))
+
+
+@query("""with k as (select o_orderkey, lower('City') || '|' || 'street ' || (o_custkey % 9) || '|' || cast(floor(o_totalprice / 1000 + 0.5) as bigint) || '|' || cast(floor(o_totalprice / greatest(1000.0, o_totalprice * 0.01) + 0.5) as bigint) as key from orders) select key, count(*) as n from k group by 1""")
+def duplicate_keys(spark, sf):
+    rows = t(spark, sf, "orders").select(F.lit("City").alias("city"), F.concat(F.lit("ul. Street "), (F.col("o_custkey") % 9).cast("string")).alias("street"), (F.col("o_totalprice") / 1000).alias("area_m2"), F.col("o_totalprice").alias("price"))
+    return rows.groupBy(leaders.duplicate_key().alias("key")).agg(F.count(F.lit(1)).alias("n"))

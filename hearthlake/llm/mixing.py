@@ -13,8 +13,10 @@ that is nearest in tokens (of FLIGHTS flights the one that lands nearest is take
 
 Cases: null text has size 0 and may be taken like any other; null source is a source of its own, after
 all others; ties in size are told apart by doc_id; repeated rows share a size and are interchangeable;
-an empty table gives an empty result; a corpus without words has targets of 0. The same input gives
-the same mix: random numbers come from a hash of the bucket.
+an empty table gives an empty result; a corpus without words has targets of 0; of very long texts only the
+size goes on; extra columns, whatever their names, aren't read by the mix and are kept by ``take``. The same
+input gives the same mix: random numbers come from a hash of the bucket. Rows of one doc_id (or of null) and one size can't
+be told apart and fly in one bucket, a row of five numbers each.
 """
 
 from __future__ import annotations

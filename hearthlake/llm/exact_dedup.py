@@ -222,13 +222,20 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, shards: int = 64) -> DataFrame:
-    """A stored index: shard, live (digests), state (binary). Choose shards so that one holds some 10^5 digests."""
+    """A stored index: shard, shards, live (digests), state (binary). Choose shards so that one holds some 10^5 digests."""
     rows = with_digest(docs.select("text")).select("digest", F.lit(1).cast("long").alias("n"))
     return _apply(None, rows.groupBy("digest").agg(F.sum("n").alias("n")), shards)
 
 
-def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, shards: int = 64) -> DataFrame:
-    """Insert and delete the texts of documents; deleting a digest that isn't live does nothing."""
+def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, shards: int | None = None) -> DataFrame:
+    """Insert and delete the texts of documents; deleting a digest that isn't live does nothing.
+
+    The index keeps its number of shards; asking for another one is an error. An index without rows takes it (or 64).
+    """
+    of = index.select("shards").first()
+    if of is not None and shards not in (None, of["shards"]):
+        raise ValueError(f"the index has {of['shards']} shards, not {shards}")
+    shards = of["shards"] if of is not None else shards or 64
     plus = with_digest(inserts.select("text")).select("digest", F.lit(1).cast("long").alias("n"))
     minus = with_digest(deletes.select("text")).select("digest", F.lit(-1).cast("long").alias("n"))
     return _apply(index, plus.unionByName(minus).groupBy("digest").agg(F.sum("n").alias("n")), shards)
@@ -254,9 +261,9 @@ def _apply(index: DataFrame | None, changes: DataFrame, shards: int) -> DataFram
                     held.delete(digest)
             elif n > 0:
                 held.insert(digest, n)
-        return pa.table({"shard": pa.array([shard_id], pa.int32()), "live": pa.array([held.live], pa.int64()), "state": pa.array([held.dump()], pa.binary())})
+        return pa.table({"shard": pa.array([shard_id], pa.int32()), "shards": pa.array([shards], pa.int32()), "live": pa.array([held.live], pa.int64()), "state": pa.array([held.dump()], pa.binary())})
 
-    return new.groupBy("shard").applyInArrow(fold, "shard int, live long, state binary")
+    return new.groupBy("shard").applyInArrow(fold, "shard int, shards int, live long, state binary")
 
 
 def op2(docs: DataFrame) -> DataFrame:

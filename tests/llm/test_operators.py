@@ -101,7 +101,9 @@ def test_cuckoo():
 def test_cuckoo_table(docs, spark):
     index = exact_dedup.build_index(docs, 3)
     live = index.agg(F.sum("live")).first()[0]
-    gone = exact_dedup.update_index(index, docs.limit(0), docs.filter("doc_id = 8"), 3)
+    gone = exact_dedup.update_index(index, docs.limit(0), docs.filter("doc_id = 8"))
+    with pytest.raises(ValueError):
+        exact_dedup.update_index(index, docs, docs, 4)
     assert gone.agg(F.sum("live")).first()[0] == live - 1
 
 

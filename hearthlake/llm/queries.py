@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, licenses, media, mixing, secrets, sentencepieces, simhash, token_files, url_filter
+from . import collocations, exact_dedup, langid, licenses, line_quality, media, mixing, secrets, sentencepieces, simhash, spellings, token_files, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -60,6 +60,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op10(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.op11(documents(spark, sf_dir))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.op12(documents(spark, sf_dir))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.op13(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,10 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_url_templates, op2_cuckoo_dedup, op3_secret_scan, op4_simhash_bktree, op5_license_scan,
         op6_language_id, op7_iso_media, op8_sentencepiece_lattice, op9_cube_mixing, op10_token_files,
+        op11_line_quality, op12_spelling_variants, op13_phrase_collocations,
     ]
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where DuckDB can express the whole result; the others are tested against brute force."""
-    return {"op2_cuckoo_dedup": exact_dedup.ORACLE}
+    return {"op2_cuckoo_dedup": exact_dedup.ORACLE, "op11_line_quality": line_quality.ORACLE, "op13_phrase_collocations": collocations.ORACLE}

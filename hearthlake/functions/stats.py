@@ -11,8 +11,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut, few
+
 HUBER_K = 1.345
 TRIM = 0.1
+OCTAVE = 256  # buckets that a doubling spans
+CELLS = 1 << 16
 
 
 def finite(x: Column) -> Column:
@@ -21,7 +25,7 @@ def finite(x: Column) -> Column:
 
 
 def quantile(x: Column, p: float) -> Column:
-    """Linear interpolation at (n - 1) p."""
+    """Linear interpolation at (n - 1) p, of groups known to be small: a buffer holds all distinct values."""
     return F.percentile(finite(x), F.lit(min(1.0, max(0.0, p))))
 
 
@@ -29,16 +33,64 @@ def median(x: Column) -> Column:
     return quantile(x, 0.5)
 
 
-def order_statistic(df: DataFrame, keys: list[str], x: Column, at: Callable[[Column], Column], name: str, times: Column | None = None) -> DataFrame:
-    """keys, name, n: the value at place ``at(n)``, from 0, of a group's n sorted values, each counted ``times`` (once).
+def bucket(v: Column) -> Column:
+    """Rises with v; numbers of one bucket differ by less than 1/``OCTAVE`` of an octave of 1 + |v|."""
+    return F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * OCTAVE)
+
+
+def ranked(df: DataFrame, keys: list[str], x: Column, goals: dict[str, Callable[[Column], Column]], times: Column | None = None, empty: bool = False) -> DataFrame:
+    """keys, n, rows and a column for each goal: the first of a group's sorted values whose running sum of ``times`` (1) reaches goal(n).
 
-    For groups of any size: equal values are counted before the shuffle, then a running count finds the place.
+    n is the sum over finite values, rows the number of all rows; groups without a finite value are left out unless ``empty``.
+
+    Exact for groups of any size without sorting a group in one task. Equal values are summed before the shuffle. Sums by bucket (at
+    most some 500,000 of a group) tell in which one each goal lies; the values of that bucket alone are dealt to ``CELLS`` equal cells, and
+    only those of the cell with the goal are put in order.
     """
-    v = df.select(*keys, finite(x.cast("double")).alias("__v"), (F.lit(1) if times is None else times).cast("long").alias("__c")).filter("__v is not null")
-    v = v.groupBy(*keys, "__v").agg(F.sum("__c").alias("__c"))
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    v = v.withColumn("__run", F.sum("__c").over(by.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("__c").over(by))
-    return v.filter(F.col("__run") > at(F.col("n"))).groupBy(*keys).agg(F.min("__v").alias(name), F.first("n").alias("n"))
+    k = F.struct(*keys) if keys else F.struct(F.lit(0).alias("__all"))
+    v = df.select(k.alias("__k"), finite(x.cast("double")).alias("__v"), (F.lit(1).cast("long") if times is None else times).alias("__c"))
+    v = v.groupBy("__k", "__v").agg(F.sum(F.when(F.col("__v").isNotNull() & (F.col("__c") > 0), F.col("__c"))).alias("__c"), F.count(F.lit(1)).alias("__rows"))
+
+    def running(sums: DataFrame, by: list[str], order: str) -> DataFrame:
+        run = F.sum("__c").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        sums = sums.withColumn("__run", run)
+        return sums.withColumn("__before", F.lag("__run").over(Window.partitionBy(*by).orderBy(order)))
+
+    sums = v.groupBy("__k", bucket(F.col("__v")).alias("__b")).agg(F.sum("__c").alias("__c"), F.sum("__rows").alias("__rows"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    group = Window.partitionBy("__k")
+    sums = running(sums, ["__k"], "__b").withColumn("n", F.max("__run").over(group)).withColumn("rows", F.sum("__rows").over(group))
+    run, before = F.col("__run"), F.col("__before")
+    hits = [F.when((run >= goal(F.col("n"))) & (before.isNull() | (before < goal(F.col("n")))), F.struct(F.lit(name).alias("place"), goal(F.col("n")).cast("double").alias("goal"))) for name, goal in goals.items()]
+    nothing = F.when(F.col("__b").isNull() & F.col("n").isNull(), F.struct(F.lit("").alias("place"), F.lit(0.0).alias("goal")))
+    at = sums.withColumn("__at", F.explode(F.array_compact(F.array(*hits, nothing)))).select("__k", "n", "rows", "__at.place", "__at.goal", F.coalesce(before, F.lit(0)).alias("__ahead"), "__lo", "__hi")
+
+    part = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__v") / 2 - F.col("__lo") / 2) / (F.col("__hi") / 2 - F.col("__lo") / 2) * (CELLS - 1))).otherwise(0)
+    near = v.filter("__v is not null").select("__k", "__v", "__c").join(at, "__k").filter(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+    cells = near.groupBy("__k", "place", "goal", "__ahead", part.alias("__cell")).agg(F.sum("__c").alias("__c"), F.min("__v").alias("__from"), F.max("__v").alias("__to"))
+    reached = F.col("__ahead") + F.col("__run") >= F.col("goal")
+    cells = running(cells, ["__k", "place"], "__cell").withColumn("__last", F.max("__run").over(Window.partitionBy("__k", "place")))
+    first = (reached | (F.col("__run") == F.col("__last"))) & (F.col("__before").isNull() | (F.col("__ahead") + F.col("__before") < F.col("goal")))
+    cells = cells.filter(first).select("__k", "place", "goal", (F.col("__ahead") + F.coalesce("__before", F.lit(0))).alias("__ahead"), "__from", "__to")
+    last = v.filter("__v is not null").select("__k", "__v", "__c").join(cells, "__k").filter(F.col("__v").between(F.col("__from"), F.col("__to")))
+    last = running(last, ["__k", "place"], "__v").groupBy("__k", "place").agg(F.coalesce(F.min(F.when(reached, F.col("__v"))), F.max("__v")).alias("__v"))
+    values = last.groupBy("__k").agg(*(F.max(F.when(F.col("place") == name, F.col("__v"))).alias(name) for name in goals))
+    totals = at.groupBy("__k").agg(F.max("n").alias("n"), F.max("rows").alias("rows"))
+    out = totals.join(values, "__k", "left" if empty else "inner")
+    return out.select(*([f"__k.{c}" for c in keys]), F.coalesce("n", F.lit(0)).alias("n"), "rows", *goals)
+
+
+def quantiles(df: DataFrame, keys: list[str], x: Column, at: dict[str, float], empty: bool = False) -> DataFrame:
+    """keys, n, rows and a column for each: quantile()s by linear interpolation, for groups of any size."""
+    place = lambda p, n: (n - 1) * F.lit(min(1.0, max(0.0, p)))
+    goals = {f"{name}__{side}": lambda n, p=p, turn=turn: turn(place(p, n)) + 1 for name, p in at.items() for side, turn in (("low", F.floor), ("high", F.ceil))}
+    g = ranked(df, keys, x, goals, empty=empty)
+    between = {name: F.col(f"{name}__low") + (F.col(f"{name}__high") - F.col(f"{name}__low")) * (place(p, F.col("n")) - F.floor(place(p, F.col("n")))) for name, p in at.items()}
+    return g.select(*keys, "n", "rows", *(c.alias(name) for name, c in between.items()))
+
+
+def order_statistic(df: DataFrame, keys: list[str], x: Column, at: Callable[[Column], Column], name: str, times: Column | None = None) -> DataFrame:
+    """keys, name, n: the value at place ``at(n)``, from 0, of a group's n sorted values, each counted ``times`` (once)."""
+    return ranked(df, keys, x, {name: lambda n: at(n) + 1}, None if times is None else times.cast("long")).select(*keys, name, "n")
 
 
 def upper_medians(df: DataFrame, keys: list[str], x: Column, name: str) -> DataFrame:
@@ -75,13 +127,8 @@ def weighted_quantile(x: Column, weight: Column, p: float) -> Column:
 
 
 def weighted_quantiles(df: DataFrame, keys: list[str], x: Column, weight: Column, p: float, name: str) -> DataFrame:
-    """The same for groups of any size: equal values are summed before the shuffle, then a running sum finds the value."""
-    v = df.select(*keys, finite(x.cast("double")).alias("__v"), finite(weight.cast("double")).alias("__w")).filter("__v is not null and __w > 0")
-    v = v.groupBy(*keys, "__v").agg(F.sum("__w").alias("__w"))
-    by = Window.partitionBy(*keys)
-    run = F.sum("__w").over(by.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    v = v.withColumn("__run", run).withColumn("__all", F.sum("__w").over(by))
-    return v.filter(F.col("__run") >= F.col("__all") * p).groupBy(*keys).agg(F.min("__v").alias(name))
+    """The same for groups of any size."""
+    return ranked(df, keys, x, {name: lambda total: total * p}, finite(weight.cast("double"))).select(*keys, name)
 
 
 def js_weighted_quantile(values: np.ndarray, weights: np.ndarray, p: float) -> float | None:
@@ -129,21 +176,26 @@ def robust_price(values: np.ndarray, weights: np.ndarray, areas: np.ndarray | No
     return now
 
 
-def huber_prices(df: DataFrame, keys: list[str], x: Column, weight: Column, name: str = "price", rounds: int = 20) -> DataFrame:
-    """robust_price's huber for groups of any size, as a few aggregates over equal values: a round is one join and one sum.
+def huber_prices(df: DataFrame, keys: list[str], x: Column, weight: Column, name: str = "price", rounds: int = 20, at_once: int = 4) -> DataFrame:
+    """robust_price's huber for groups of any size: a round is one join with a row a group and one sum over equal values.
 
-    A group that has settled stays as it is for the rest of the rounds.
+    Equal values are summed once and cut off in the shared folder, dealt by group. Each ``at_once`` rounds the groups' state is cut
+    off too, and the rounds end when all groups have settled; a group that has settled stays as it is.
     """
-    rows = df.select(*keys, finite(x.cast("double")).alias("v"), finite(weight.cast("double")).alias("w")).filter("v > 0 and w > 0")
-    rows = rows.groupBy(*keys, "v").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("c"))
-    center = weighted_quantiles(rows, keys, F.col("v"), F.col("w"), 0.5, "now")
-    away = rows.join(center, keys).withColumn("away", F.abs(F.col("v") - F.col("now")))
-    spread = order_statistic(away, keys, F.col("away"), lambda n: F.floor(n / 2), "mad", F.col("c"))
+    rows = df.select(*(F.col(k).alias(k) for k in keys), finite(x.cast("double")).alias("v"), finite(weight.cast("double")).alias("w")).filter("v > 0 and w > 0")
+    rows = cut(rows.groupBy(*keys, "v").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("c")))
+    center = cut(weighted_quantiles(rows, keys, F.col("v"), F.col("w"), 0.5, "now"))
+    small = few(center)
+    beside = lambda state: rows.join(F.broadcast(state) if small else state, keys).withColumn("away", F.abs(F.col("v") - F.col("now")))
+    spread = order_statistic(beside(center), keys, F.col("away"), lambda n: F.floor(n / 2), "mad", F.col("c"))
     state = center.join(spread, keys).select(*keys, "now", (F.col("mad") * (HUBER_K * 1.4826)).alias("scale"), ((F.col("mad") <= 0) | (F.col("n") == 1)).alias("settled"))
-    for _ in range(rounds):
-        held = rows.join(state, keys).withColumn("away", F.abs(F.col("v") - F.col("now")))
+    for done in range(rounds):
+        if done % at_once == 0:
+            state = cut(state)
+            if state.filter(~F.col("settled")).isEmpty():
+                break
         share = F.col("w") * F.when(F.col("away") <= F.col("scale"), 1.0).otherwise(F.col("scale") / F.col("away"))
-        moved = held.groupBy(*keys, "now", "scale", "settled").agg((F.sum(F.col("v") * share) / F.sum(share)).alias("new"))
+        moved = beside(state).groupBy(*keys, "now", "scale", "settled").agg((F.sum(F.col("v") * share) / F.sum(share)).alias("new"))
         near = F.abs(F.col("new") - F.col("now")) <= 1e-6 * F.greatest(F.lit(1.0), F.col("now"))
         state = moved.select(*keys, F.when(F.col("settled"), F.col("now")).otherwise(F.col("new")).alias("now"), "scale", (F.col("settled") | near).alias("settled"))
     return state.select(*keys, F.col("now").alias(name))

@@ -40,17 +40,22 @@ def segmented(tx: DataFrame, kind: str = "kind", area: str = "area_m2", price: s
 
 
 def stratified_medians(rows: DataFrame, keys: list[str], ts: str, value: str, band: str = "band") -> DataFrame:
-    """keys, period, band, band_median, band_n, overall_median, overall_n: two aggregates over one set of rows."""
-    rows = rows.withColumn("period", quarter(F.col(ts)))
-    by_band = rows.groupBy(*keys, "period", band).agg(stats.median(F.col(value)).alias("band_median"), F.count(F.lit(1)).alias("band_n"))
-    whole = rows.groupBy(*keys, "period").agg(stats.median(F.col(value)).alias("overall_median"), F.count(F.lit(1)).alias("overall_n"))
+    """keys, period, band, band_median, band_n, overall_median, overall_n.
+
+    Each row counts for its band and for the whole period, so that both medians come from one count of equal values.
+    """
+    levels = F.array(F.struct(F.lit(1).alias("of"), F.col(band).alias(band)), F.struct(F.lit(0).alias("of"), F.lit(None).cast("string").alias(band)))
+    spread = rows.select(*keys, quarter(F.col(ts)).alias("period"), F.explode(levels).alias("__at"), F.col(value).alias("__value")).select(*keys, "period", "__at.of", f"__at.{band}", "__value")
+    found = stats.quantiles(spread, [*keys, "period", "of", band], F.col("__value"), {"middle": 0.5}, empty=True)
+    by_band = found.filter("of = 1").select(*keys, "period", band, F.col("middle").alias("band_median"), F.col("rows").alias("band_n"))
+    whole = found.filter("of = 0").select(*keys, "period", F.col("middle").alias("overall_median"), F.col("rows").alias("overall_n"))
     return by_band.join(whole, [*keys, "period"])
 
 
 def period_medians(rows: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
     """keys, period, overall_median, overall_n, without the bands."""
-    rows = rows.withColumn("period", quarter(F.col(ts)))
-    return rows.groupBy(*keys, "period").agg(stats.median(F.col(value)).alias("overall_median"), F.count(F.lit(1)).alias("overall_n"))
+    found = stats.quantiles(rows.withColumn("period", quarter(F.col(ts))), [*keys, "period"], F.col(value), {"middle": 0.5}, empty=True)
+    return found.select(*keys, "period", F.col("middle").alias("overall_median"), F.col("rows").alias("overall_n"))
 
 
 def observations(medians: DataFrame, keys: list[str], band: str = "band") -> DataFrame:

@@ -104,19 +104,15 @@ def short_stay_income(nightly: Column, occupancy: Column) -> Column:
 
 
 def market_medians(df: DataFrame, keys: list[str], value: str, least: int = 20) -> DataFrame:
-    """keys, low, middle, high, n: values at floor(q (n - 1)) of groups with enough values."""
-    out = None
-    for name, q in (("low", 0.25), ("middle", 0.5), ("high", 0.75)):
-        one = stats.floor_quantiles(df, keys, F.col(value), q, name)
-        out = one if out is None else out.join(one.drop("n"), keys)
-    return out.filter(F.col("n") >= least).select(*keys, "low", "middle", "high", "n")
+    """keys, low, middle, high, n: values at floor(q (n - 1)) of groups with enough values, all three from one count."""
+    goals = {name: lambda n, q=q: F.floor((n - 1) * F.lit(q)) + 1 for name, q in (("low", 0.25), ("middle", 0.5), ("high", 0.75))}
+    return stats.ranked(df, keys, F.col(value), goals).filter(F.col("n") >= least).select(*keys, *goals, "n")
 
 
 def market_around(places: DataFrame, offers: DataFrame, key: str, value: str, radius_m: float = 2000.0) -> DataFrame:
     """key, middle, low, high (interpolated), n and n a square kilometre of the offers within the radius."""
-    near = within_radius(places, offers, radius_m).groupBy(key).agg(
-        *(stats.quantile(F.col(f"r_{value}"), q).alias(n) for n, q in (("low", 0.25), ("middle", 0.5), ("high", 0.75))), F.count(F.lit(1)).alias("n")
-    )
+    near = stats.quantiles(within_radius(places, offers, radius_m), [key], F.col(f"r_{value}"), {"low": 0.25, "middle": 0.5, "high": 0.75}, empty=True)
+    near = near.select(key, "low", "middle", "high", F.col("rows").alias("n"))
     return near.withColumn("per_km2", F.col("n") / (3.141592653589793 * (radius_m / 1000) ** 2))
 
 
@@ -139,7 +135,7 @@ def snapshots(rows: DataFrame, region: str, city: str, city_m: Column, captured:
     if newest_only:
         last = spread.groupBy("geography").agg(F.max("captured").alias("captured"))
         spread = spread.join(last, ["geography", "captured"], "left_semi")
-    return spread.groupBy("geography").agg(stats.median(F.col("value")).alias("middle"), F.count(stats.finite(F.col("value"))).alias("n")).filter(F.col("n") >= least)
+    return stats.quantiles(spread, ["geography"], F.col("value"), {"middle": 0.5}).filter(F.col("n") >= least).select("geography", "middle", "n")
 
 
 def buildings_of(buildings: DataFrame, parcel: str, area: str, floors: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, stats, text
 from ..functions import time as tm
 from ..operators import charts, comps, forecast, leaders, listings, occupancy, prices, sinks, spatial
+from ..shared import shared_folder
 from ..sources import html
 from ..streaming import streams
 
@@ -49,7 +50,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import dashboard, deals, places  # noqa: F401  their queries are added when they are imported
+    from . import addresses, dashboard, deals, imports, places  # noqa: F401  their queries are added when they are imported
 
     return dict(QUERIES)
 
@@ -561,17 +562,6 @@ def conversation_stats(spark, sf):
 # ---- streaming --------------------------------------------------------------------------------------
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder where driver and executors both see it."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir isn't set: name a folder that driver and executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='hearthlake-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def stream_windowed(spark, sf):
     """The windowed aggregate of the stream, run over what there is."""

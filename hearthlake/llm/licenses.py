@@ -9,8 +9,10 @@ exception of its left side.
 The score is the permissiveness of the most binding label found (1 permissive, 0.5 weak copyleft,
 0.25 copyleft, 0.1 non-commercial, 0.5 unknown); 0 if no label was found.
 
-Expressions are read to the end of their line. Their values are identifiers of the families in ``FAMILIES`` and
-references of one's own (``LicenseRef-``); any other word is a fault, where the expression ends.
+Expressions are read to the end of their line, or up to ``, ; < > " *`` or a double slash; a single slash between identifiers reads as ``or``.
+Their values are identifiers of the families in ``FAMILIES``, references of one's own (``LicenseRef-``), and unknown
+identifiers: what has a digit or a hyphen, stands beside an operator (an upper-case one, or with a capital of its own), or, with a capital, is all that
+the line says. Any other word is prose, where the expression ends.
 
 Cases: null text counts as empty; without words n_words is 0 and the first and last word are null;
 overlapping places all count; broken expressions give the identifiers read up to the fault; ties
@@ -50,8 +52,8 @@ SAME = {"apache-2.0": "apache-2", "apache-2": "apache-2", "apache": "apache-2"}
 SCORES = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "unlicense": 1.0, "cc0": 1.0, "cc-by": 1.0, "zlib": 1.0, "mpl": 0.5, "lgpl": 0.5, "epl": 0.5, "gpl": 0.25, "agpl": 0.25, "all": 0.1}
 #: Of bytes: A-Z lower-cased, all other ASCII but digits and a-z to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
-LINE = re.compile(rb"[ \t]*:?[ \t]*([^\n\r<>\"*/;,]+)")
+TOKEN = re.compile(r"[()]|/|[A-Za-z0-9][A-Za-z0-9.+-]*")
+LINE = re.compile(rb"[ \t]*:?[ \t]*((?:[^\n\r<>\"*/;,]|(?<=[\w+.)-])/(?=[\w(]))+)")
 #: Families of identifiers, of which versions and variants follow.
 FAMILIES = (
     "0bsd afl agpl apache apache-2 artistic blueoak bsd bsl cc-by cc0 cddl cecill cpl ecl epl eupl fdl ftl gfdl gpl hpnd icu ijg imagemagick "
@@ -77,13 +79,22 @@ def permissive(label: str) -> float:
     return next((SCORES[p] for k in range(len(parts), 0, -1) if (p := "-".join(parts[:k])) in SCORES), 0.5)
 
 
+def identifier(tokens: list[str], k: int) -> bool:
+    """Whether a word that isn't known is an identifier, by its shape and by what stands beside it."""
+    word = tokens[k]
+    if any(c.isdigit() or c == "-" for c in word) or len(tokens) == 1 and word != word.lower():
+        return True
+    beside = [t for t in (*tokens[max(0, k - 1) : k], *tokens[k + 1 : k + 2]) if t == "/" or t.lower() in RANK]
+    return any(t == "/" or t.isupper() or word != word.lower() for t in beside)
+
+
 def postfix(tokens: list[str]) -> list[str]:
     """Shunting yard. Stops where the expression no longer is one; brackets left open are closed."""
     out: list[str] = []
     waiting: list[str] = []
     value_next = True
-    for t in tokens:
-        low = t.lower()
+    for k, t in enumerate(tokens):
+        low = "or" if t == "/" else t.lower()
         if low in RANK:
             if value_next:
                 break
@@ -102,7 +113,7 @@ def postfix(tokens: list[str]) -> list[str]:
                 out.append(top)
         else:
             exception = bool(waiting) and waiting[-1] == "with"
-            if not value_next or not (exception or KNOWN.fullmatch(low)):
+            if not value_next or not (exception or KNOWN.fullmatch(low) or identifier(tokens, k)):
                 break
             out.append(low)
             value_next = False

@@ -1,9 +1,9 @@
 """Language identification: words first, then ever shorter character n-grams.
 
 Training counts words and character n-grams (orders 4 to 1, with word-edge marks) by language in Spark
-over a bounded sample of labelled documents (``sample_docs``), all its languages, and keeps the most frequent
-ones of each as features; their number is a parameter of the model, which a share for each language and order
-bounds in all. Scoring adds the log frequency of each known word in every language; a word
+over a bounded sample of labelled rows (``sample_rows`` rows and ``sample_bytes`` of text at most, rows read whole); every word, n-gram and language
+of the sample is a feature. A language's vector entries are kept only where its counts aren't zero, so the model is no larger
+than what the sample holds. Scoring adds the log frequency of each known word in every language; a word
 that isn't known is covered from left to right by the longest known n-grams.
 
 Cases: null text, empty text or text without a letter: ``und`` with score 0. Text in which nothing is
@@ -18,31 +18,66 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, frequent
+from .common import cut
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
 UND = "und"
 
 
+class Features:
+    """Text -> log-frequency vector over the languages, from sparse counts: ``floor`` where a language has none."""
+
+    def __init__(self, found: dict[str, tuple[list[int], list[float]]], floor: np.ndarray):
+        self.found, self.floor = found, floor
+
+    def get(self, text: str) -> np.ndarray | None:
+        at = self.found.get(text)
+        if at is None:
+            return None
+        vector = self.floor.copy()
+        vector[at[0]] = at[1]
+        return vector
+
+    def __contains__(self, text: str) -> bool:
+        return text in self.found
+
+    def __getitem__(self, text: str) -> np.ndarray:
+        if (vector := self.get(text)) is None:
+            raise KeyError(text)
+        return vector
+
+    def __iter__(self):
+        return iter(self.found)
+
+    def __len__(self) -> int:
+        return len(self.found)
+
+
 class Model:
-    """langs; words and grams: text -> log-frequency vector; floor: the vector of what is unseen."""
+    """langs, prior; words, and n-grams by order: text -> log-frequency vector."""
+
+    def __init__(self, langs: list[str], prior: np.ndarray, words: Features, by_order: dict[int, Features]):
+        self.langs, self.prior, self.words, self.by_order = langs, prior, words, by_order
 
-    def __init__(self, langs: list[str], prior: np.ndarray, words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.langs, self.prior, self.words, self.grams = langs, prior, words, grams
+    @property
+    def grams(self) -> dict[str, np.ndarray]:
+        return {g: f[g] for f in self.by_order.values() for g in f}
 
     def backoff(self, word: str) -> np.ndarray:
         """Covers ^word$ by the longest known n-grams; a character that is in none adds nothing."""
         marked, total, at = f"^{word}$", np.zeros(len(self.langs)), 0
         while at < len(marked):
             for n in ORDERS:
-                vector = self.grams.get(marked[at : at + n]) if at + n <= len(marked) else None
+                vector = self.by_order[n].get(marked[at : at + n]) if n in self.by_order and at + n <= len(marked) else None
                 if vector is not None:
                     total = total + vector
                     at += n
@@ -62,58 +97,79 @@ class Model:
 
 
 class Rows:
-    """Word vectors by number; those of unseen words are kept as long as there is room."""
+    """Word vectors by number, made as words are met; they are kept as long as there is room."""
 
     ROOM = 200_000
 
     def __init__(self, model: Model):
         self.model = model
-        self.known = {w: k for k, w in enumerate(model.words)}
-        self.matrix = np.zeros((len(self.known) + self.ROOM, len(model.langs)))
-        for k, vector in enumerate(model.words.values()):
-            self.matrix[k] = vector
+        self.matrix = np.zeros((self.ROOM // 8, len(model.langs)))
         self.more: dict[str, int] = {}
 
     def start(self) -> None:
-        """Between texts: forget unseen words if their room is half used."""
-        if len(self.more) > self.ROOM // 2:
+        """Between texts: forget words if their room is used."""
+        if len(self.more) > self.ROOM:
             self.more.clear()
 
     def row(self, word: str) -> int:
-        k = self.known.get(word)
+        k = self.more.get(word)
         if k is None:
-            k = self.more.get(word)
-            if k is None:
-                k = self.more[word] = len(self.known) + len(self.more)
-                if k >= len(self.matrix):  # one text with very many words
-                    self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-                self.matrix[k] = self.model.backoff(word)
+            k = self.more[word] = len(self.more)
+            if k >= len(self.matrix):
+                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+            vector = self.model.words.get(word)
+            self.matrix[k] = self.model.backoff(word) if vector is None else vector
         return k
 
 
-def train(docs: DataFrame, sample_docs: int = 4000, words_per_lang: int = 20_000, grams_per_lang: int = 8_000, most_cells: int = 20_000_000) -> Model:
-    """Fit on at most sample_docs labelled documents (those of the smallest hash of doc_id), read whole.
-
-    All languages of the sample are learned, at most sample_docs. A model has a vector over languages for each
-    feature; where words_per_lang or grams_per_lang (for each order) features of every language came to over
-    most_cells numbers, each language has its share of these. That bounds what reaches the driver and is broadcast.
+def sampled(labelled: DataFrame, rows: int, most_bytes: int) -> DataFrame:
+    """lang, text: at most so many rows and about so many bytes, those of the smallest hash of doc_id and text; of a row that is too long for what
+    is left, and of all after it, none."""
+    mark = F.xxhash64("doc_id", "text")
+    hashed = labelled.select("lang", F.col("text").alias("text"), mark.alias("h"), F.octet_length("text").alias("bytes"))
+    n = hashed.count()
+    # so that the ranking sees a few times as many rows as it takes, not that many of every task; equal hashes are equal rows
+    share = 4 * rows / max(1, n)
+    low = hashed.select("h", "bytes").filter(F.col("h") <= -(1 << 63) + int(share * (1 << 64))) if share < 1 else hashed.select("h", "bytes")
+    counts = cut(low.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")))
+    if share < 1 and (counts.agg(F.sum("n")).first()[0] or 0) < rows:  # few different rows
+        counts = cut(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")))
+    taken, left_rows, left_bytes = [], rows, most_bytes
+    for r in counts.orderBy("h").limit(rows).collect():  # at most ``rows`` hashes and sizes
+        times = min(r["n"], left_rows, left_bytes // max(1, r["bytes"]))
+        if not times:
+            break
+        taken.append((r["h"], times))
+        left_rows, left_bytes = left_rows - times, left_bytes - times * r["bytes"]
+    spark = labelled.sparkSession
+    asked = spark.createDataFrame(taken, "h long, times long")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of equal rows the first of a task."""
+        seen: set[int] = set()
+        for batch in batches:
+            new = [k for k, h in enumerate(batch.column("h").to_pylist()) if not (h in seen or seen.add(h))]
+            if new:
+                yield batch.take(pa.array(new))
+
+    found = hashed.join(F.broadcast(asked), "h").select("h", "lang", "text", "times").mapInArrow(once, "h long, lang string, text string, times long")
+    return found.dropDuplicates(["h"]).select("lang", F.lower("text").alias("text"), "times")
+
+
+def train(docs: DataFrame, sample_rows: int = 4000, sample_bytes: int = 32 << 20) -> Model:
+    """Fit on a sample of the labelled rows (see sampled), repeated rows as often as they are sampled.
+
+    What reaches the driver and is broadcast are the words and n-grams of the sample, which its bytes bound.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    hashed = labelled.select("doc_id", F.xxhash64("doc_id").alias("h"))
-    # so that the last step of the ranking sees a few times as many rows as it takes, not that many of every task
-    share = 4 * sample_docs / max(1, hashed.count())
-    low = hashed.filter(F.col("h") <= -(1 << 63) + int(share * (1 << 64))) if share < 1 else hashed
-    if share < 1 and low.limit(sample_docs).count() < sample_docs:  # rows of few doc_ids
-        low = hashed
-    ids = low.orderBy("h", "doc_id").limit(sample_docs).select("doc_id").distinct()
-    sample = cut(labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.lower("text").alias("text")))
-    size = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}  # a row for a language of the sample
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    sample = cut(sampled(labelled, sample_rows, sample_bytes))
+    size = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.sum("times").alias("n")).collect()}  # a row for a language of the sample
     langs = sorted(size)
     if not langs:
-        return Model([], np.zeros(0), {}, {})
+        return Model([], np.zeros(0), Features({}, np.zeros(0)), {})
     prior = np.array([size[x] for x in langs], float) / sum(size[x] for x in langs)
-    share = max(1, most_cells // (len(langs) ** 2 * (1 + len(ORDERS))))
-    words = sample.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = sample.select("lang", "times", F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"))).alias("word")).groupBy("lang", "word").agg(F.sum("times").alias("n"))
+    words = cut(words)
     marked = words.select("lang", F.concat(F.lit("^"), "word", F.lit("$")).alias("m"), "n")
     grams = None
     for n in ORDERS:
@@ -122,25 +178,23 @@ def train(docs: DataFrame, sample_docs: int = 4000, words_per_lang: int = 20_000
         grams = one if grams is None else grams.unionByName(one)
     grams = grams.groupBy("lang", "order", "word").agg(F.sum("n").alias("n"))
 
-    def vectors(rows: list) -> dict[str, np.ndarray]:
-        table, sums, at = {}, np.zeros(len(langs)), {x: k for k, x in enumerate(langs)}
+    def features(rows: list) -> Features:
+        at, sums, table = {x: k for k, x in enumerate(langs)}, np.zeros(len(langs)), {}
         for r in rows:
-            k = at[r["lang"]]
-            table.setdefault(r["word"], np.zeros(len(langs)))[k] += r["n"]
-            sums[k] += r["n"]
-        return {w: np.log((v + 0.5) / (sums + 0.5 * len(table) + 1)) for w, v in table.items()}
-
-    known = vectors(frequent(words.filter("n > 1"), ["lang"], min(words_per_lang, share)).collect())
-    by_order = frequent(grams, ["lang", "order"], min(grams_per_lang, share)).collect()
-    found: dict[str, np.ndarray] = {}
-    for n in ORDERS:
-        found |= vectors([r for r in by_order if r["order"] == n])
-    return Model(langs, prior, known, found)
+            table.setdefault(r["word"], []).append((at[r["lang"]], r["n"]))
+            sums[at[r["lang"]]] += r["n"]
+        below = np.log(sums + 0.5 * len(table) + 1)
+        return Features({w: ([k for k, _ in v], [float(np.log(n + 0.5) - below[k]) for k, n in v]) for w, v in table.items()}, np.log(0.5) - below)
+
+    by_order: dict[int, list] = {n: [] for n in ORDERS}
+    for r in grams.collect():
+        by_order[r["order"]].append(r)
+    return Model(langs, prior, features(words.collect()), {n: features(by_order[n]) for n in ORDERS})
 
 
 def predictor(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """A column struct<lang_pred, score> over docs; the bounded model is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, model.words, model.grams))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, model.words, model.by_order))
     kept: list = []
 
     @F.pandas_udf("lang_pred string, score double")

@@ -5,16 +5,19 @@ which those that are too short are dropped. The method adds ``guess`` spans: the
 credential word is cut into dictionary words, dates, repeats, keyboard walks and brute-force
 stretches by dynamic programming over the smallest log10 of guesses; values that cost at least
 ``MIN_COST`` and aren't covered by a base span are reported. Values of letters only are costed like any
-other. The dictionary is ranked: the fixed ``WORDS``, which guessers try first, then the corpus's own words by
-how often they occur in all texts (``ranked_words``; their number is a parameter of the dictionary), so that
-prose after "password is" is cheap and a rare word isn't.
+other. The dictionary is ranked: the fixed ``WORDS``, which guessers try first, then every word of the corpus by
+how often it occurs in all texts, with the same rank for words of the same count (``word_counts``). A word counts only where
+it isn't itself the value after a credential word, and must do so in two different texts at least: a secret
+that many copies of a document give away is no word. So prose after "password is" is cheap and a rare word isn't.
+
+No dictionary is collected. The values asked for are cut into all stretches that could be a word, which are joined with the
+counts; each value is costed once with its own few words, and costs are joined back to the texts that hold it.
 
 Cases: null text counts as empty, empty texts have no spans (empty string, its SHA-256, zero counts).
 Offsets are code points, end exclusive. Spans of one start sort by kind: assign, access, hex, guess.
 Very long texts are scanned whole; a value of any length is costed in linear time, since segments
 other than brute force have bounded length. Repeated rows give repeated results; a null doc_id is carried along;
-extra columns, whatever their names, are not read; an empty table gives an empty result and no dictionary but
-the fixed one.
+extra columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import by_bytes
-from .common import BATCH_BYTES, frequent, map_texts, text_of
+from .common import cut, map_texts, narrow, text_of
 
 # Kinds in their order, pattern, and the least length of the group named.
 BASE = (
@@ -60,39 +63,68 @@ LEET = str.maketrans("430$5178@", "aeossitba")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-./]?(?:0[1-9]|1[0-2])(?:[-./]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:19|20)\d\d", re.A)
 
 
-DICTIONARY = 30_000
 LEAST_WORD = 3
 #: Of bytes: A-Z lower-cased, all that isn't a letter to a space.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in range(256))
-KEPT = 500_000  # words that a task counts before it hands them on
+KEPT = 300_000  # words that a task counts before it hands them on
+
+
+def asked(text: str) -> list[tuple[int, str]]:
+    """(start, value) of the values after credential words."""
+    low = text.lower()
+    if not any(h in low for h in CONTEXT_HINTS):
+        return []
+    found = [(m.start(1), m.group(1).rstrip("\"',;.)")) for m in CONTEXT.finditer(text)]
+    return [(start, value) for start, value in found if len(value) >= 6]
 
 
-def ranked_words(docs: DataFrame, most: int = DICTIONARY, least: int = LEAST_WORD, longest: int = MAX_SEGMENT) -> list[str]:
-    """WORDS, then the most frequent words (runs of ASCII letters, lower-cased) of all texts, at most ``most`` of them.
+def word_counts(docs: DataFrame, least: int = LEAST_WORD, longest: int = MAX_SEGMENT) -> DataFrame:
+    """word, n: words (runs of ASCII letters, lower-cased) outside credential values that two different texts have.
 
-    Every text is counted, by task first. Words that occur once aren't ranked; where not all words of one count fit,
-    none of these is.
+    Every text is counted, by task first. The smallest and the largest hash of a word's texts tell whether they differ.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: dict[bytes, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
             words = [w for w in held if least <= len(w) <= longest]
-            made = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array([held[w] for w in words], pa.int64())], names=["word", "n"])
+            made = [pa.array([held[w][k] for w in words], pa.int64()) for k in range(3)]
+            out = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), *made], names=["word", "n", "low", "high"])
             held.clear()
-            return made
+            return out
 
         for batch in batches:
-            for at, stop in by_bytes(batch.column("text"), BATCH_BYTES):
-                held.update("\n".join(batch.column("text").slice(at, stop - at).to_pylist()).encode("utf-8", "surrogatepass").translate(LETTERS).split())
+            for text in batch.column("text").to_pylist():
+                mark = xxhash.xxh3_64_intdigest(text) - (1 << 63)
+                for start, value in reversed(asked(text)):
+                    text = text[:start] + " " + text[start + len(value) :]
+                for word, n in Counter(text.encode("utf-8", "surrogatepass").translate(LETTERS).split()).items():
+                    if (seen := held.get(word)) is None:
+                        held[word] = [n, mark, mark]
+                    else:
+                        seen[0] += n
+                        if mark < seen[1]:
+                            seen[1] = mark
+                        elif mark > seen[2]:
+                            seen[2] = mark
                 if len(held) > KEPT:
                     yield flush()
         yield flush()
 
-    counted = docs.select(text_of(docs).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = frequent(counted.filter("n > 1").withColumn("all", F.lit(1)), ["all"], most).collect()
-    return list(dict.fromkeys([*WORDS, *(r["word"] for r in sorted(top, key=lambda r: (-r["n"], r["word"])))]))
+    counted = docs.select(text_of(docs).alias("text")).mapInArrow(count, "word string, n long, low long, high long")
+    summed = counted.groupBy("word").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return summed.filter(F.col("low") < F.col("high")).select("word", "n")
+
+
+def stretches(value: str, least: int = LEAST_WORD, longest: int = MAX_SEGMENT) -> set[str]:
+    """All parts of a value that could be a word, with letters for the characters that stand for them."""
+    plain, found = value.lower().translate(LEET), set()
+    for m in re.finditer("[a-z]+", plain):
+        run = m.group()
+        for at in range(len(run) - least + 1):
+            found.update(run[at:stop] for stop in range(at + least, min(len(run), at + longest) + 1))
+    return found
 
 
 def _beside() -> set[str]:
@@ -104,12 +136,16 @@ def _beside() -> set[str]:
 BESIDE = _beside()
 
 
+FIXED = {w: k + 1 for k, w in reversed(list(enumerate(WORDS)))}
+
+
 class GuessCost:
-    """Least log10 of guesses over all segmentations of a value."""
+    """Least log10 of guesses over all segmentations of a value. ``ranks``: words and their ranks behind the fixed ones."""
+
+    longest = MAX_SEGMENT
 
-    def __init__(self, words: list[str] | None = None):
-        self.rank = {w: k + 1 for k, w in reversed(list(enumerate(words or WORDS)))}
-        self.longest = min(MAX_SEGMENT, max(map(len, self.rank), default=0))
+    def __init__(self, ranks: dict[str, int] | None = None):
+        self.rank = (ranks or {}) | FIXED
 
     @staticmethod
     def _alphabet(c: str) -> int:
@@ -163,55 +199,88 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def guess_spans(text: str, base: list[tuple[int, int, int]], cost: GuessCost, min_cost: float = MIN_COST) -> list[tuple[int, int, int, float]]:
-    low = text.lower()
-    if not any(h in low for h in CONTEXT_HINTS):
-        return []
-    found = []
+def open_values(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str]]:
+    """(start, value) of those that no base span touches."""
     starts, reach = [], [0]  # base spans by start, and how far those up to each reach
     for a, _, b in sorted(base):
         starts.append(a)
         reach.append(max(reach[-1], b))
-    for m in CONTEXT.finditer(text):
-        start = m.start(1)
-        value = m.group(1).rstrip("\"',;.)")
-        if reach[bisect_left(starts, start + len(value))] > start or len(value) < 6:
-            continue
-        if (guesses := cost(value)) >= min_cost:
-            found.append((start, 3, start + len(value), guesses))
-    return found
+    return [(start, value) for start, value in asked(text) if reach[bisect_left(starts, start + len(value))] <= start]
+
+
+def guess_spans(text: str, base: list[tuple[int, int, int]], cost: GuessCost, min_cost: float = MIN_COST) -> list[tuple[int, int, int, float]]:
+    costed = [(start, 3, start + len(value), cost(value)) for start, value in open_values(text, base)]
+    return [s for s in costed if s[3] >= min_cost]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def scan(docs: DataFrame, words: list[str] | None = None, min_cost: float = MIN_COST) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, top_cost (of guess spans, else null).
-
-    ``words`` is the ranked dictionary, WORDS if it isn't given.
-    """
-    kept: list[GuessCost] = []
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, ident (of the text), n_assign, n_access, n_hex, base_sha256, base (start, kind, stop), asked (start, value)."""
+    spans, values = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("stop", pa.int64())])), pa.list_(pa.struct([("start", pa.int64()), ("value", pa.string())]))
 
     def per_batch(texts: list[str]) -> list[pa.Array]:
-        if not kept:
-            kept.append(GuessCost(words))
-        cost = kept[0]
         counts: list[list[int]] = [[], [], []]
-        digests, spans, added, tops = [], [], [], []
+        idents, digests, base, more = [], [], [], []
         for text in texts:
-            base = base_spans(text)
-            more = guess_spans(text, base, cost, min_cost)
+            found = base_spans(text)
             for k in range(3):
-                counts[k].append(sum(s[1] == k for s in base))
-            digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
-            spans.append(joined(base + [s[:3] for s in more]))
-            added.append(len(more))
-            tops.append(max((s[3] for s in more), default=None))
-        return [*(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64()), pa.array(tops, pa.float64())]
+                counts[k].append(sum(s[1] == k for s in found))
+            idents.append(xxhash.xxh3_128_digest(text))
+            digests.append(hashlib.sha256(joined(found).encode()).hexdigest())
+            base.append([{"start": a, "kind": k, "stop": b} for a, k, b in found])
+            more.append([{"start": a, "value": v} for a, v in open_values(text, found)])
+        return [pa.array(idents, pa.binary()), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(base, spans), pa.array(more, values)]
+
+    return map_texts(docs, per_batch, "ident binary, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start: long, kind: int, stop: long>>, asked array<struct<start: long, value: string>>")
+
+
+def ranked_parts(values: DataFrame, counts: DataFrame) -> DataFrame:
+    """values (value) -> value, parts (word, rank): their stretches that are words of the corpus. Rank: so many words occur more often, behind the fixed ones."""
+    parts = values.select("value", F.explode(F.udf(lambda v: sorted(stretches(v)), "array<string>", useArrow=True)("value")).alias("word"))
+    levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))  # a row for each count that occurs
+    above = F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    levels = levels.select("n", (F.coalesce(above, F.lit(0)) + len(WORDS) + 1).alias("rank"))
+    found = parts.join(counts, "word").join(narrow(levels), "n").groupBy("value").agg(F.collect_list(F.struct("word", "rank")).alias("parts"))
+    return values.join(found, "value", "left")
 
-    return map_texts(docs, per_batch, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, top_cost double")
+
+def costs(parts: DataFrame, min_cost: float = MIN_COST) -> DataFrame:
+    """value, cost of those that cost at least min_cost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for value, words in zip(batch.column("value").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                if (cost := GuessCost({w["word"]: w["rank"] for w in words or ()})(value)) >= min_cost:
+                    kept.append((value, cost))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.float64())], names=["value", "cost"])
+
+    return parts.mapInArrow(run, "value string, cost double")
+
+
+def scan(docs: DataFrame, counts: DataFrame | None = None, min_cost: float = MIN_COST) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess, top_cost (of guess spans, else null).
+
+    ``counts`` (word, n) is the dictionary, that of these documents if it isn't given.
+    """
+    rows = cut(scanned(docs))
+    some = rows.filter(F.size("asked") > 0)
+    values = cut(some.select(F.explode("asked.value").alias("value")).distinct())
+    if values.isEmpty():
+        costed = costs(values.withColumn("parts", F.lit(None).cast("array<struct<word: string, rank: long>>")), min_cost)
+    else:
+        costed = cut(costs(ranked_parts(values, cut(word_counts(docs)) if counts is None else counts), min_cost))
+    spots = some.select("ident", F.explode("asked").alias("at")).select("ident", "at.start", "at.value").distinct()
+    span = F.struct("start", F.lit(3).alias("kind"), (F.col("start") + F.length("value")).alias("stop"))
+    hits = spots.join(narrow(costed), "value").groupBy("ident").agg(F.collect_list(span).alias("more"), F.max("cost").alias("top_cost"))
+    whole = rows.join(narrow(hits), "ident", "left").withColumn("more", F.coalesce("more", F.expr("cast(array() as array<struct<start: long, kind: int, stop: long>>)")))
+    name = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)
+    text = F.array_join(F.transform(F.sort_array(F.concat("base", "more")), lambda s: F.concat_ws(":", name(s), s["start"], s["stop"])), ",")
+    return whole.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), F.size("more").cast("long").alias("n_guess"), "top_cost")
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    return scan(docs, ranked_words(docs))
+    return scan(docs)

@@ -324,7 +324,7 @@ def test_secrets_brute_force(spark):
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
         assert set(filter(None, want.split(","))) <= set(r["spans"].split(",")) and r["n_hex"] == want.count("hex:")
 
-    cost = secrets.GuessCost(["abc", "cab", "dog"])
+    cost = secrets.GuessCost({"abc": 1, "cab": 2, "dog": 3})
 
     def least(v):  # over all segmentations into words and single characters; no dates, walks or repeats in these values
         if not v:
@@ -337,15 +337,35 @@ def test_secrets_brute_force(spark):
         assert cost(v) == pytest.approx(least(v))
 
 
-def test_ranked_words(spark):
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["Zebra zebra ox, Ox zEBRA lion", "lion lion lion once", None, ""])], "doc_id long, text string")
-    own = secrets.ranked_words(docs)[len(dict.fromkeys(secrets.WORDS)) :]
-    assert own == ["lion", "zebra"]
-    assert secrets.ranked_words(docs.limit(0)) == list(dict.fromkeys(secrets.WORDS))
-    common, rare = secrets.GuessCost(["correct", "horse", "battery", "staple"]), secrets.GuessCost()
+def test_word_counts(spark):
+    """Words count outside credential values only, and if two different texts have them."""
+    texts = ["Zebra zebra ox, Ox zEBRA lion my password is lion", "lion lion lion once", "a gnu", "a gnu", "two gnus", None, "", "secret=platypus platypus", "secret=platypus apple"]
+    got = {r["word"]: r["n"] for r in secrets.word_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), least=2).collect()}
+    assert got == {"lion": 5, "secret": 2}
+    common, rare = secrets.GuessCost({"correct": 1, "horse": 2, "battery": 3, "staple": 4}), secrets.GuessCost()
     assert common("CorrectHorseBatteryStaple") < secrets.MIN_COST < rare("CorrectHorseBatteryStaple")
 
 
+def test_ranks(spark):
+    """As many words as occur more often, behind the fixed ones; stretches with letters for the characters that stand for them."""
+    counts = spark.createDataFrame([("aaa", 9), ("bbb", 5), ("ccc", 5), ("ddd", 2), ("lion", 1)], "word string, n long")
+    got = {r["value"]: {p["word"]: p["rank"] - len(secrets.WORDS) for p in r["parts"] or ()} for r in secrets.ranked_parts(spark.createDataFrame([("xAAAbbb",), ("l10n-ccc",), ("11111111",), ("l1ondddd",)], "value string"), counts).collect()}
+    assert got == {"xAAAbbb": {"aaa": 1, "bbb": 2}, "l10n-ccc": {"ccc": 2, "lion": 5}, "11111111": {}, "l1ondddd": {"lion": 5, "ddd": 4}}
+    assert secrets.stretches("P4ss!x1z", 3, 4) == {"pas", "ass", "pass", "xiz"}
+
+
+@pytest.mark.parametrize("copies", [1, 2, 100])
+def test_secrets_in_copies(spark, copies):
+    """A secret that copies of a document give away isn't a word, nor are near copies' secrets; prose is."""
+    prose = "the committee required everybody to change the locks and everybody agreed that the change was required"
+    rows = [(k, "password is kxqzwvbnjthgplmr") for k in range(copies)] + [(1000 + k, f"note {k}: passphrase is zqxjkvbwpyfgtr today") for k in range(copies)]
+    rows += [(2000 + k, f"{prose} {k}") for k in range(5)] + [(3000, "the password is required"), (3001, "your secret is everybody"), (3002, prose)]
+    got = {r["doc_id"]: r for r in secrets.op3(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k]["spans"] == "guess:12:28" for k in range(copies))
+    assert all(got[1000 + k]["n_guess"] == 1 for k in range(copies))
+    assert all(got[k]["n_guess"] == 0 for k in got if k >= 2000) and len(got) == len(rows)
+
+
 def test_licenses_brute_force(spark):
     import random
 
@@ -368,7 +388,17 @@ def test_expressions():
     assert scan("the license expression is parsed by a tool")[3] == set() and scan("SPDX-License-Identifier: the quick brown fox")[3] == set()
     assert scan("SPDX-License-Identifier: " + " AND ".join(["GPL-2.0-only"] * 40) + " OR MIT\nmore")[3] == {"mit"}
     assert scan("SPDX-License-Identifier: (" + " OR ".join(["GPL-3.0-or-later"] * 400) + ") AND LicenseRef-mine")[3] == {"gpl-3.0-or-later", "licenseref-mine"}
-    assert e("CC-BY-NC-SA-4.0") == {"cc-by-nc-sa-4.0"} and e("BSD-3-Clause-Clear") == set() and e("mitten OR MIT") == set()
+    assert e("CC-BY-NC-SA-4.0") == {"cc-by-nc-sa-4.0"} and e("BSD-3-Clause-Clear") == {"bsd-3-clause-clear"} and e("mitten") == set() and e("mitten OR MIT") == {"mit"}
+
+
+@pytest.mark.parametrize("expression, labels", [
+    ("Beerware OR MIT", "mit"), ("MIT OR Beerware", "mit"), ("Beerware AND MIT", "beerware mit"), ("CC-PDDC", "cc-pddc"), ("MPL-2.0-no-copyleft-exception", "mpl-2.0-no-copyleft-exception"), ("GPL-3.0-or-later/MIT", "mit"), ("MIT/Apache-2.0", "mit"),
+    ("Beerware", "beerware"), ("Beerware */", "beerware"), ("MIT and see the file", "mit"), ("see the file", ""), ("MIT // see http://x/y", "mit"), ("the MIT license", ""), ("MIT, Beerware", "mit"), ("x264 or NCSA", "x264"), ("Glide and Zed", "glide zed"),
+    ("GPL-2.0-only WITH Linux-syscall-note", "gpl-2.0-only-with-linux-syscall-note"), ("(Foo OR Bar) AND MIT", "foo mit"), ("MIT\nBeerware", "mit"), ("NONE", "none"), ("apache/mit/bsd", "apache-2"), ("and/or", ""),
+])
+def test_unknown_identifiers(expression, labels):
+    """What has the shape of an identifier, or stands beside an operator as one, is a value; prose ends the expression."""
+    assert licenses.Scanner()(f"// SPDX-License-Identifier: {expression}")[3] == set(labels.split())
 
 
 def test_language_brute_force(spark):
@@ -394,30 +424,26 @@ def test_language_brute_force(spark):
 
 
 def test_many_languages(spark):
-    """No language is dropped, and features are shared out when there are very many."""
+    """No language is dropped, however many there are."""
     rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}z " * 9, f"l{k:03}") for k in range(150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.train(docs)
     assert len(model.langs) == 150 and sum(model.predict(t, langid.Rows(model))[0] == x for _, t, x in rows) >= 140
-    assert len(langid.train(docs, most_cells=150 * 150 * 5).words) <= 150
 
 
 def test_sample(spark):
-    """The labelled documents of the smallest hashes are learned from, however few doc_ids there are."""
+    """The labelled rows of the smallest hashes are learned from, bounded in rows and bytes, however often one doc_id or row repeats."""
     rows = [(k, f"w{k}", "aa") for k in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    first = docs.orderBy(F.xxhash64("doc_id")).limit(20)
-    assert set(langid.train(docs, sample_docs=20).grams) == set(langid.train(first, sample_docs=20).grams)
+    first = docs.orderBy(F.xxhash64("doc_id", "text")).limit(20)
+    assert set(langid.train(docs, sample_rows=20).grams) == set(langid.train(first, sample_rows=20).grams)
+    labelled = docs.unionByName(docs.limit(1).withColumn("text", F.lit("lop")).crossJoin(spark.range(3000)).drop("id"))
+    taken = langid.sampled(labelled, 100, 10_000).collect()
+    assert sum(r["times"] for r in taken) == 100 and any(r["text"] == "lop" for r in langid.sampled(labelled, 5000, 1 << 20).collect())
     same = spark.createDataFrame([(7, "lop", "aa")] * 300, docs.schema)
-    assert langid.train(same, sample_docs=20).langs == ["aa"]
-
-
-def test_frequent(spark):
-    counts = spark.createDataFrame([("a", f"w{k}", [9, 5, 5, 2][min(k, 3)]) for k in range(40)] + [("b", f"v{k}", 3) for k in range(40)], "lang string, word string, n long")
-    got = collections.defaultdict(set)
-    for r in common.frequent(counts, ["lang"], 10).collect():
-        got[r["lang"]].add(r["word"])
-    assert got["a"] == {"w0", "w1", "w2"} and len(got["b"]) == 10
+    assert langid.sampled(same, 20, 1 << 20).collect() == [("aa", "lop", 20)] and langid.train(same, sample_rows=20).langs == ["aa"]
+    wide = spark.createDataFrame([(7, f"x{k} " * 50, "aa") for k in range(3000)], docs.schema)  # one doc_id in many rows
+    assert langid.sampled(wide, 40, 1 << 20).count() == 40 and langid.sampled(wide, 4000, 2000).count() <= 14
 
 
 def test_language_stage(spark):

@@ -41,7 +41,7 @@ def _sum(parts: list[Column]) -> Column:
     return out
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with the value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -59,8 +59,8 @@ def to_grid(lat: Column, lng: Column, grid: Grid) -> Column:
         return F.struct((F.lit(grid.east_m) + k * east).alias("east"), (F.lit(grid.north_m) + k * north).alias("north"))
 
     sine = F.sin(F.radians(lat))
-    start = _once(sine, lambda s: F.struct(F.sinh(F.atanh(s) - F.lit(e) * F.atanh(F.lit(e) * s)).alias("t"), F.radians(lng - grid.meridian).alias("turn")))
-    return _once(_once(start, sphere), plane)
+    start = once(sine, lambda s: F.struct(F.sinh(F.atanh(s) - F.lit(e) * F.atanh(F.lit(e) * s)).alias("t"), F.radians(lng - grid.meridian).alias("turn")))
+    return once(once(start, sphere), plane)
 
 
 def to_degrees(east: Column, north: Column, grid: Grid) -> Column:
@@ -80,4 +80,4 @@ def to_degrees(east: Column, north: Column, grid: Grid) -> Column:
         return F.struct(F.degrees(lat).alias("lat"), (F.lit(grid.meridian) + p["turn"]).alias("lng"))
 
     start = F.struct(((north - grid.north_m) / k).alias("xi"), ((east - grid.east_m) / k).alias("eta"))
-    return F.when(east.isNotNull() & north.isNotNull(), _once(_once(_once(start, sphere), angles), degrees))
+    return F.when(east.isNotNull() & north.isNotNull(), once(once(once(start, sphere), angles), degrees))

@@ -127,6 +127,11 @@ FLAG_WORDS = {
 }
 
 
+def uniqueness_flags(s: Column) -> dict[str, Column]:
+    """The flags of FLAG_WORDS by name."""
+    return dict(zip(FLAG_WORDS, flags(s, FLAG_WORDS), strict=True))
+
+
 def property_kind(source: Column, title: Column, kind: Column, external_id: Column) -> Column:
     """apartment, house or plot by the portal's type, else words of the title, else what the feed has; null without evidence.
 

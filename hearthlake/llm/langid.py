@@ -2,8 +2,7 @@
 
 Training counts words and character n-grams (orders 4 to 1, with word-edge marks) by language in Spark
 over a bounded sample of labelled rows (``sample_rows`` rows and ``sample_bytes`` of text at most, rows read whole); every word, n-gram and language
-of the sample is a feature. A language's vector entries are kept only where its counts aren't zero, so the model is no larger
-than what the sample holds. Scoring adds the log frequency of each known word in every language; a word
+of the sample is a feature, so the model is no larger than what the sample holds. Scoring adds the log frequency of each known word in every language; a word
 that isn't known is covered from left to right by the longest known n-grams.
 
 Cases: null text, empty text or text without a letter: ``und`` with score 0. Text in which nothing is
@@ -23,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,21 +34,40 @@ UND = "und"
 
 
 class Features:
-    """Text -> log-frequency vector over the languages, from sparse counts: ``floor`` where a language has none."""
-
-    def __init__(self, found: dict[str, tuple[list[int], list[float]]], floor: np.ndarray):
-        self.found, self.floor = found, floor
+    """Text -> log-frequency vector over the languages, from counts by language: ``floor`` where a language has none."""
+
+    DENSE = 20_000_000  # numbers in a table; more are kept as they are counted, which gives the same vectors
+
+    def __init__(self, texts: list[str], which: np.ndarray, langs: np.ndarray, counts: np.ndarray, n_langs: int):
+        below = np.log(np.bincount(langs, counts, n_langs) + 0.5 * len(texts) + 1)
+        self.at, self.floor, self.dense = {t: k for k, t in enumerate(texts)}, np.log(0.5) - below, len(texts) * n_langs <= self.DENSE
+        order = np.argsort(which, kind="stable")
+        which, self.langs, self.logs = which[order], langs[order], (np.log(counts + 0.5) - below[langs])[order]
+        self.ends = np.searchsorted(which, np.arange(len(texts)), "right")
+        if self.dense:
+            self.table = np.tile(self.floor, (len(texts), 1))
+            self.table[which, self.langs] = self.logs
+
+    @classmethod
+    def of(cls, rows: pa.Table, langs: list[str]) -> Features:
+        """rows (word, lang, n), one for each pair."""
+        code = lambda name: rows[name].combine_chunks().dictionary_encode()
+        words, spoken, number = code("word"), code("lang"), {x: k for k, x in enumerate(langs)}
+        of = np.array([number[x] for x in spoken.dictionary.to_pylist()] or [0])
+        return cls(words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64), of[spoken.indices.to_numpy()], rows["n"].to_numpy().astype(float), len(langs))
 
     def get(self, text: str) -> np.ndarray | None:
-        at = self.found.get(text)
-        if at is None:
+        k = self.at.get(text)
+        if k is None:
             return None
-        vector = self.floor.copy()
-        vector[at[0]] = at[1]
+        if self.dense:
+            return self.table[k]
+        vector, at = self.floor.copy(), slice(self.ends[k - 1] if k else 0, self.ends[k])
+        vector[self.langs[at]] = self.logs[at]
         return vector
 
     def __contains__(self, text: str) -> bool:
-        return text in self.found
+        return text in self.at
 
     def __getitem__(self, text: str) -> np.ndarray:
         if (vector := self.get(text)) is None:
@@ -56,10 +75,10 @@ class Features:
         return vector
 
     def __iter__(self):
-        return iter(self.found)
+        return iter(self.at)
 
     def __len__(self) -> int:
-        return len(self.found)
+        return len(self.at)
 
 
 class Model:
@@ -166,7 +185,7 @@ def train(docs: DataFrame, sample_rows: int = 4000, sample_bytes: int = 32 << 20
     size = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.sum("times").alias("n")).collect()}  # a row for a language of the sample
     langs = sorted(size)
     if not langs:
-        return Model([], np.zeros(0), Features({}, np.zeros(0)), {})
+        return Model([], np.zeros(0), Features([], np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0), {})
     prior = np.array([size[x] for x in langs], float) / sum(size[x] for x in langs)
     words = sample.select("lang", "times", F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"))).alias("word")).groupBy("lang", "word").agg(F.sum("times").alias("n"))
     words = cut(words)
@@ -178,18 +197,9 @@ def train(docs: DataFrame, sample_rows: int = 4000, sample_bytes: int = 32 << 20
         grams = one if grams is None else grams.unionByName(one)
     grams = grams.groupBy("lang", "order", "word").agg(F.sum("n").alias("n"))
 
-    def features(rows: list) -> Features:
-        at, sums, table = {x: k for k, x in enumerate(langs)}, np.zeros(len(langs)), {}
-        for r in rows:
-            table.setdefault(r["word"], []).append((at[r["lang"]], r["n"]))
-            sums[at[r["lang"]]] += r["n"]
-        below = np.log(sums + 0.5 * len(table) + 1)
-        return Features({w: ([k for k, _ in v], [float(np.log(n + 0.5) - below[k]) for k, n in v]) for w, v in table.items()}, np.log(0.5) - below)
-
-    by_order: dict[int, list] = {n: [] for n in ORDERS}
-    for r in grams.collect():
-        by_order[r["order"]].append(r)
-    return Model(langs, prior, features(words.collect()), {n: features(by_order[n]) for n in ORDERS})
+    every = grams.toArrow()
+    by_order = {n: Features.of(every.filter(pc.equal(every["order"], n)), langs) for n in ORDERS}
+    return Model(langs, prior, Features.of(words.toArrow(), langs), by_order)
 
 
 def predictor(docs: DataFrame, model: Model, text: str = "text") -> Column:

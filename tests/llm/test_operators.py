@@ -423,6 +423,17 @@ def test_language_brute_force(spark):
         assert model.predict(text, seen) == (best, pytest.approx(float(np.exp(total.max() - np.logaddexp.reduce(total)))))
 
 
+def test_sparse_features(spark, monkeypatch):
+    """Vectors are the same, however they are kept."""
+    rows = [(k, f"lop{k % 7} zug", f"l{k % 5}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dense = langid.train(docs)
+    monkeypatch.setattr(langid.Features, "DENSE", 0)
+    sparse = langid.train(docs)
+    assert dense.words.dense and not sparse.words.dense and set(dense.grams) == set(sparse.grams)
+    assert all(np.allclose(v, sparse.grams[g]) for g, v in dense.grams.items()) and all(np.allclose(dense.words[w], sparse.words[w]) for w in dense.words)
+
+
 def test_many_languages(spark):
     """No language is dropped, however many there are."""
     rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}z " * 9, f"l{k:03}") for k in range(150)]

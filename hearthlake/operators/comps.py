@@ -37,9 +37,11 @@ def weight(s: Selection) -> Column:
     return recency * near * size * rooms * market * place * listing
 
 
-def select(pairs: DataFrame, s: Selection = Selection()) -> DataFrame:
+def select(pairs: DataFrame, s: Selection = Selection(), by: tuple[str, ...] = ("target_id",)) -> DataFrame:
     """pairs(target_id, t_*, c_*, distance_m) -> the rows of each target's tier with tier and weight, the best ``cap``.
 
+    With more columns in ``by`` each of their groups is chosen for itself.
+
     A tier is a level and a radius. A row carries the first radius of each level that admits it, so one
     count per target and tier decides: the first tier with enough rows, else the last that has any.
     """
@@ -53,7 +55,7 @@ def select(pairs: DataFrame, s: Selection = Selection()) -> DataFrame:
         for k, r in enumerate(s.radii_m):
             tiers.append(F.when(fits & (F.col("distance_m").isNull() | (F.col("distance_m") <= r)), F.lit(level * len(s.radii_m) + k)))
     rows = pairs.filter(in_time).withColumn("__tiers", F.array_compact(F.array(*tiers))).filter(F.size("__tiers") > 0)
-    whole = Window.partitionBy("target_id")
+    whole = Window.partitionBy(*by)
     for t in range(len(tiers)):
         rows = rows.withColumn(f"__n{t}", F.count_if(F.array_contains("__tiers", t)).over(whole))
     first = F.coalesce(*(F.when(F.col(f"__n{t}") >= s.least, t) for t in range(len(tiers))), *(F.when(F.col(f"__n{t}") > 0, t) for t in reversed(range(len(tiers)))))
@@ -80,7 +82,7 @@ def estimate(chosen: DataFrame, beta: float = 0.0, least: int = 3) -> DataFrame:
 
 def asking_ratio(asks: DataFrame, sales: DataFrame, keys: list[str], least: int = 50, bounds: tuple[float, float] = (0.7, 1.0)) -> DataFrame:
     """keys, ratio, n: weighted median over periods of sale / ask medians; both tables: keys, period, price."""
-    a = asks.groupBy(*keys, "period").agg(stats.median(F.col("price")).alias("ask"), F.count(F.lit(1)).alias("na"))
-    t = sales.groupBy(*keys, "period").agg(stats.median(F.col("price")).alias("sale"), F.count(F.lit(1)).alias("nt"))
+    middle = lambda df, name, n: stats.quantiles(df, [*keys, "period"], F.col("price"), {name: 0.5}, empty=True).select(*keys, "period", name, F.col("rows").alias(n))
+    a, t = middle(asks, "ask", "na"), middle(sales, "sale", "nt")
     both = a.join(t, [*keys, "period"]).withColumn("r", F.col("sale") / F.col("ask")).filter((F.col("na") >= least) & (F.col("nt") >= least) & F.col("r").between(*bounds))
     return both.groupBy(*keys).agg(F.round(stats.weighted_quantile(F.col("r"), F.least("na", "nt"), 0.5), 3).alias("ratio"), F.sum(F.least("na", "nt")).alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key, street_number
+from ..shared import cut, narrow
 
 
 def offer_filter(kind: str) -> Column:
@@ -44,26 +45,32 @@ def shown(rows: DataFrame, hidden_sources: tuple[str, ...] = ()) -> DataFrame:
     rows: id, source, external_id, title, address, price, area_m2, rooms, district, investment_id, scraped_at.
     Stand-ins of an investment go once its flats are there; a developer portal's rows covered by the
     investment map go; of two portals that share a feed, one portal's row goes if an earlier row has
-    the same price, area, rooms and district.
+    the same price, area, rooms and district. What the map covers is one set of keys, broadcast if it is small: only the
+    last rule shuffles the listings.
     """
     r = rows.filter(~F.col("source").isin(*hidden_sources)) if hidden_sources else rows
-    im, stand_in = F.col("source") == "investmap", F.col("external_id").startswith("inv-")
-    flats = r.filter(im & ~stand_in)
-    by_id = flats.filter("investment_id is not null").select(F.concat(F.lit("inv-"), "investment_id").alias("external_id")).distinct()
-    by_title = flats.select(F.get(F.split("title", " — "), F.lit(0)).alias("title")).distinct()
-    gone = r.filter(im & stand_in)
-    kept = r.filter(~(im & stand_in)).unionByName(gone.join(by_id, "external_id", "left_anti").join(by_title, "title", "left_anti").select(*r.columns))
-
+    im, stand_in = F.col("source") == "investmap", F.coalesce(F.col("external_id").startswith("inv-"), F.lit(False))
     street, number = street_number(F.col("address"))
-    keyed = kept.withColumn("__street", street).withColumn("__number", number).withColumn("__title", norm_key(F.get(F.split("title", "—"), F.lit(0))))
-    own = keyed.filter(im)
-    exact = own.filter("__number is not null").select("__street", "__number").distinct()
-    streets = own.filter("__street is not null").select("__street").distinct()
-    titles = own.filter("__title <> ''").select("__title").distinct()
-    rp = keyed.filter(F.col("source") == "rynekpierwotny")
-    rp = rp.join(exact, ["__street", "__number"], "left_anti").withColumn("__whole", norm_key(F.col("title")))
-    rp = rp.join(titles.select(F.col("__title").alias("__whole")), "__whole", "left_anti")
-    no_number = rp.filter("__number is null").join(streets, "__street", "left_anti")
-    rest = keyed.filter(F.col("source") != "rynekpierwotny").unionByName(rp.filter("__number is not null").select(*keyed.columns)).unionByName(no_number.select(*keyed.columns))
+    head, name, whole = F.get(F.split("title", " — "), F.lit(0)), norm_key(F.get(F.split("title", "—"), F.lit(0))), norm_key(F.col("title"))
+    key = lambda tag, *parts: F.concat_ws("\u0001", F.lit(tag), *parts)
+    given = lambda ok, k: F.when(ok, k)
+    # what the map's own flats cover, as one set of keys
+    flats = F.array(given(F.col("investment_id").isNotNull(), key("id", F.concat(F.lit("inv-"), "investment_id"))), given(head.isNotNull(), key("title", head)))
+    own = F.array(given(street.isNotNull() & number.isNotNull(), key("house", street, number)), given(street.isNotNull(), key("street", street)), given(name != "", key("name", name)))
+    covered = cut(r.filter(im & ~stand_in).select(F.explode(F.array_compact(F.concat(flats, own))).alias("key")).distinct())
+    first = narrow(covered)
+    tests = {"__a": given(im & stand_in, key("id", "external_id")), "__b": given(im & stand_in, key("title", "title"))}
+    kept = r.withColumns(tests)
+    for k in tests:
+        kept = kept.join(first.withColumnRenamed("key", k), k, "left_anti")
+    kept = kept.select(*rows.columns)
+    # a stand-in that goes covers nothing itself
+    left = kept.filter(im & stand_in).select(F.explode(F.array_compact(own)).alias("key"))
+    second = narrow(cut(covered.unionByName(left).distinct()))
+    rp = F.col("source") == "rynekpierwotny"
+    tests = {"__a": given(rp & street.isNotNull() & number.isNotNull(), key("house", street, number)), "__b": given(rp, key("name", whole)), "__c": given(rp & number.isNull() & street.isNotNull(), key("street", street))}
+    rest = kept.withColumns(tests)
+    for k in tests:
+        rest = rest.join(second.withColumnRenamed("key", k), k, "left_anti")
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("price", "area_m2", "rooms", "district")]
     return first_wins(rest.select(*rows.columns), keys, [F.desc("scraped_at"), F.desc("id")], F.col("source") == "gratka")

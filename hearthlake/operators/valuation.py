@@ -36,11 +36,13 @@ def evidence(targets: DataFrame, candidates: DataFrame, s: comps.Selection) -> D
     """
     near = within_radius(targets, candidates, max(s.radii_m))
     pairs = near.select(*targets.columns, *(F.col(f"r_{c}").alias(c) for c in candidates.columns if c not in ("lat", "lng")), "distance_m").filter("c_id <> target_id")
-    asks = F.col("c_set") == "listing"
-    sales = comps.select(pairs.filter(~asks), s)
-    both = sales.unionByName(comps.select(pairs.filter(asks), s).join(sales.select("target_id", "c_id"), ["target_id", "c_id"], "left_anti").select(*sales.columns))
+    # dealt by target once; all windows from here on keep to a target
+    asks = pairs.withColumn("__ask", F.col("c_set") == "listing").repartition("target_id")
+    chosen = comps.select(asks, s, ("target_id", "__ask")).drop("rank")
+    sold = F.min("__ask").over(Window.partitionBy("target_id", "c_id"))
     turn = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("weight"), "c_id"))
-    return both.drop("rank").withColumn("rank", turn).filter(F.col("rank") <= s.cap)
+    both = chosen.withColumn("__only", sold).filter(~F.col("__ask") | F.col("__only"))
+    return both.withColumn("rank", turn).filter(F.col("rank") <= s.cap).drop("__ask", "__only")
 
 
 def _points(x: Column, steps: tuple, over: bool) -> Column:

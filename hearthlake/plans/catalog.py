@@ -50,7 +50,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import addresses, dashboard, deals, imports, layers, places, scores  # noqa: F401  their queries are added when they are imported
+    from . import addresses, dashboard, deals, evidence, imports, layers, places, scores  # noqa: F401  their queries are added when they are imported
 
     return dict(QUERIES)
 

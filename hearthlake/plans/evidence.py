@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import backtest, comps
-from .catalog import HAVERSINE_SQL, POINT_SQL, points, query, r, t
+from ..operators import backtest, comps, forecast, prices, upside
+from .catalog import HAVERSINE_SQL, MEDIANS_SQL, POINT_SQL, branded, points, query, r, t
 
 SAMPLE = 150
 BACKTEST_SQL = f"""with s as (select l_orderkey * 100000 + l_partkey * 10 + l_linenumber as id, {POINT_SQL.format(k='l_suppkey')}, l_shipdate as date, l_extendedprice / l_quantity as u, l_quantity as area, case when l_linestatus = 'O' then 1 else 2 end as market, l_partkey as building, l_orderkey as parcel, case when l_orderkey % 4 <> 0 then 1 + l_orderkey % 5 * 0.02 end as factor
@@ -37,3 +37,58 @@ def estimator_backtest(spark, sf):
     )
     found = backtest.backtest(sales, SAMPLE, comps.Selection(radii_m=(3000.0, 6000.0)), metrics=backtest.METRICS[:5])
     return found.select("metric", "n", *(r(c).alias(c) for c in ("mape", "med_ape", "rmse", "within10", "within20", "mean_bias", "median_bias", "mae", "no_estimate_pct")))
+
+
+# ---- upside and forecasts ---------------------------------------------------------------------------
+
+SERIES_SQL = MEDIANS_SQL + """, pt as (select p_brand, cast(substr(period, 1, 4) as integer) * 4 + cast(substr(period, 7, 1) as integer) - 1 as t, overall_median as v from w where overall_median > 0),
+st as (select p_brand, t, v, ln(v / lag(v) over (partition by p_brand order by t)) / (t - lag(t) over (partition by p_brand order by t)) as d from pt)"""
+VARIANCE_SQL = "case when phi <= 1e-6 then q * 1.0 else list_sum(list_transform(range(1, q + 1), lambda u: pow((1 - pow(phi, u)) / (1 - phi), 2))) end"
+
+
+@query(SERIES_SQL + f""", rt as (select p_brand, d, lag(d) over (partition by p_brand order by t) as before, t from st where d is not null),
+m as (select p_brand, count(*) as n, stddev_samp(d) as sd, last(d order by t) as last, case when count(*) >= 8 then least(0.6, greatest(0.0, covar_pop(d, before) / var_pop(before) filter (before is not null))) else 0 end as phi0 from rt group by 1),
+ar as (select p_brand, least(0.6, greatest(0.0, covar_pop(d, before) / var_pop(before))) as phi from rt where before is not null group by 1),
+ends as (select p_brand, max(t) as t1, last(v order by t) as v1 from pt group by 1), old as (select pt.p_brand, last(pt.t order by pt.t) as t0, last(pt.v order by pt.t) as v0 from pt join ends using (p_brand) where pt.t <= t1 - 8 group by 1),
+g as (select ends.p_brand, ln(1 + least(0.07, greatest(-0.02, 0.35 * coalesce(pow(v1 / v0, 4.0 / (t1 - t0)) - 1, 0.035) + 0.65 * 0.035))) / 4 as mu, case when m.n >= 8 then coalesce(phi, 0) else 0 end as phi, least(0.06, greatest(0.01, coalesce(sd, 0))) as sigma, m.last from ends left join old using (p_brand) left join m using (p_brand) left join ar using (p_brand)),
+o as (select p_partkey, p_retailprice as fair, case when p_partkey % 6 <> 0 then p_retailprice * (0.7 + (p_partkey % 7) * 0.1) end as offer, mu, phi, sigma, coalesce(last, mu) - mu as off from part join g using (p_brand) where p_partkey % 11 <> 0),
+h as (select *, unnest([4, 8, 12, 20]) as q from o),
+i as (select *, q * mu + case when phi <= 1e-6 then 0 else off * phi * (1 - pow(phi, q)) / (1 - phi) end + coalesce(least(0.3, greatest(-0.3, (1 - exp(-q / 12.0)) * ln(fair / offer))), 0) as c, sigma * sigma * ({VARIANCE_SQL}) + 0.0036 as var, 20 * mu + case when phi <= 1e-6 then 0 else off * phi * (1 - pow(phi, 20)) / (1 - phi) end as grown from h)
+select p_partkey, q as horizon, rnd((exp(c) - 1) * 100, 4) as expected, rnd((exp(c - 1.2815515655446004 * sqrt(var)) - 1) * 100, 4) as p10, rnd((exp(c + 1.2815515655446004 * sqrt(var)) - 1) * 100, 4) as p90, rnd((pow(exp(c), 4.0 / q) - 1) * 100, 4) as annualized, rnd((pow(exp(c - 2 * var), 4.0 / q) - 1) * 100, 4) as risk_adjusted,
+rnd((exp(grown) - 1) * 100, 4) as growth_pct, rnd((fair / offer - 1) * 100, 4) as mispriced_pct from i""")
+def upside_potential(spark, sf):
+    """Parts as estimates with their brand's series of quarterly medians."""
+    m = prices.period_medians(branded(spark, sf), ["p_brand"], "l_shipdate", "unit")
+    p, k = t(spark, sf, "part"), F.col("p_partkey")
+    offers = p.join(upside.series_of(m, ["p_brand"], "period", "overall_median"), "p_brand").select(
+        "p_partkey", F.col("p_retailprice").alias("fair_m2"), F.when(k % 6 != 0, F.col("p_retailprice") * (F.lit(0.7) + k % 7 * 0.1)).alias("offer_m2"), F.when(k % 11 != 0, (k % 60).cast("double")).alias("comp_spread_pct"), "series"
+    )
+    found = upside.upside(offers, "p_partkey")
+    return found.select("p_partkey", "horizon", *(r(c).alias(c) for c in ("expected", "p10", "p90", "annualized", "risk_adjusted", "growth_pct", "mispriced_pct")))
+
+
+@query("""with m as (select distinct 'price' as target, 'flat' as segment, s_nationkey as k, ['high', 'medium', 'low', 'none'][s_nationkey % 4 + 1] as quality, s_nationkey from supplier),
+md as (select 'region' as kind, 'r' || (k % 5) as g, min(quality) as quality, 1 as sp from m group by 1, 2 union all select 'external_city', 'c' || (k % 11), max(quality), 2 from m group by 1, 2 union all select 'grid10', 'g' || k, max(quality), 3 from m group by 1, 2),
+o as (select c_custkey, case when c_custkey % 3 <> 0 then 'g' || (c_custkey % 40) end as grid, case when c_custkey % 4 <> 0 then 'c' || (c_custkey % 13) end as city, 'r' || (c_custkey % 6) as region from customer),
+j as (select c_custkey, kind, g, quality, case quality when 'high' then 2 when 'medium' then 1 else 0 end * 100 + sp as score from o join md on (kind = 'grid10' and g = grid) or (kind = 'external_city' and g = city) or (kind = 'region' and g = region))
+select o.c_custkey, j.kind as geography_type, j.g as geography_key, j.quality from o left join (select *, row_number() over (partition by c_custkey order by score desc, g desc) as turn from j) j on j.c_custkey = o.c_custkey and turn = 1""")
+def picked_models(spark, sf):
+    """The model that speaks for a customer's place: quality first, then how near it is."""
+    n, k = F.col("s_nationkey"), F.col("c_custkey")
+    s = t(spark, sf, "supplier").select(n, F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "none"))), (n % 4).cast("int") + 1).alias("quality")).distinct()
+    one = lambda kind, key, pick: s.groupBy(key.alias("geography_key")).agg(pick("quality").alias("quality")).withColumn("geography_type", F.lit(kind))
+    cat = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    models = one("region", cat("r", n % 5), F.min).unionByName(one("external_city", cat("c", n % 11), F.max)).unionByName(one("grid10", cat("g", n), F.max)).withColumns({"target": F.lit("price"), "segment": F.lit("flat")})
+    offers = t(spark, sf, "customer").select(k, F.when(k % 3 != 0, cat("g", k % 40)).alias("grid"), F.when(k % 4 != 0, cat("c", k % 13)).alias("city"), cat("r", k % 6).alias("region"), F.lit("price").alias("target"), F.lit("flat").alias("segment"))
+    got = upside.picked(offers, models, "c_custkey", {"grid10": "grid", "external_city": "city", "region": "region"})
+    return got.select("c_custkey", "model.geography_type", "model.geography_key", "model.quality")
+
+
+@query(SERIES_SQL + """, y as (select p_brand, t, ln(v) as y, (ln(v) - lag(ln(v)) over (partition by p_brand order by t)) / (t - lag(t) over (partition by p_brand order by t)) as d, row_number() over (partition by p_brand order by t desc) as back, count(*) over (partition by p_brand) as n from pt),
+dd as (select *, lag(d) over (partition by p_brand order by t) as before from y where d is not null), ar as (select p_brand, least(0.6, greatest(0.0, covar_pop(d, before) / var_pop(before))) as phi from dd where before is not null group by 1 having count(*) >= 7),
+m as (select y.p_brand, max(n) as n, max(t) as t1, max(y) filter (back = 1) as level, max(d) filter (back = 1) as last, 0.35 * avg(d) filter (back <= 8) + 0.65 * ln(1.035) / 4 as mu from y group by 1)
+select m.p_brand, h as horizon, rnd(exp(level + h * mu + case when coalesce(phi, 0) <= 1e-6 then 0 else (last - mu) * phi * (1 - pow(phi, h)) / (1 - phi) end), 4) as value from m left join ar using (p_brand), range(1, 5) as r(h) where n >= 8""")
+def forecast_paths(spark, sf):
+    """Central paths of the brands with eight quarters or more."""
+    m = prices.period_medians(branded(spark, sf), ["p_brand"], "l_shipdate", "unit")
+    return forecast.forecasts(m, "p_brand", "period", "overall_median").filter("method <> 'prior'").select("p_brand", F.col("horizon").cast("long").alias("horizon"), r("value").alias("value"))

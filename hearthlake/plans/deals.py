@@ -171,3 +171,60 @@ def stream_latest(spark, sf):
     e.repartition(4, "event_id").write.parquet(f"{folder}/in")
     last, history = streams.run_upserts(streams.source(spark, f"{folder}/in", files_a_batch=1), ["user_id"], "at", folder)
     return last.select("user_id", "event_id").join(history.groupBy("user_id").agg(F.count(F.lit(1)).alias("history")), "user_id")
+
+
+def _in_turn(parts: list, folder: str) -> None:
+    """One file a part, in the order in which a stream takes them: by when they were written."""
+    import time
+
+    for n, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if n + 1 < len(parts):
+            time.sleep(0.05)
+
+
+LATE_SQL = """o as (select *, event_id % 10 <> 0 as on_time from events), wm as (select max(ts) - interval 2 days as mark from o where on_time)"""
+
+
+@query(f"with {LATE_SQL} select date_trunc('hour', ts) as start, event_type, count(*) as n from o, wm where on_time or date_trunc('hour', ts) + interval 1 hour > mark group by 1, 2")
+def stream_late(spark, sf):
+    """Hourly counts in append mode. A tenth of the events come after the watermark has moved: those of closed hours are dropped."""
+    folder = shared_folder(spark, "late")
+    e = t(spark, sf, "events").select("event_id", "ts", "event_type")
+    on_time = e.filter("event_id % 10 <> 0")
+    last = e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.expr("interval 30 days")).alias("ts"), F.lit("end").alias("event_type"))
+    first = e.agg(F.min("ts").alias("ts")).select(F.lit(-2).cast("long").alias("event_id"), F.col("ts"), F.lit("tick").alias("event_type"))
+    _in_turn([on_time, first, e.filter("event_id % 10 = 0"), last, last.withColumn("event_type", F.lit("end2"))], folder)
+    out = streams.windowed_counts(streams.source(spark, f"{folder}/in", files_a_batch=1), "ts", "event_type", late="2 days")
+    return streams.run_to_files(out, "append", f"{folder}/out").filter(~F.col("event_type").isin("tick", "end", "end2"))
+
+
+@query("""with o as (select *, user_id % 3 <> 0 as on_time from events), wm as (select max(ts) - interval 2 days as mark from o where on_time)
+select user_id, event_type from o, wm where on_time or ts > mark group by 1, 2""")
+def stream_distinct_late(spark, sf):
+    """Arrivals once for each key; keys of which only rows behind the watermark arrive don't count."""
+    folder = shared_folder(spark, "late-arrivals")
+    e = t(spark, sf, "events").select("user_id", "event_type", "ts")
+    first = e.agg(F.min("ts").alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), F.lit("tick").alias("event_type"), "ts")
+    _in_turn([e.filter("user_id % 3 <> 0"), first, e.filter("user_id % 3 = 0")], folder)
+    out = streams.distinct_arrivals(streams.source(spark, f"{folder}/in", files_a_batch=1), "ts", ["user_id", "event_type"], late="2 days")
+    return streams.run_to_files(out.select("user_id", "event_type"), "append", f"{folder}/out").filter("user_id >= 0")
+
+
+@query("""with s as (select event_id, event_type, value * 2 + user_id % 10 as score from events), k as (select *, row_number() over (partition by event_type order by score desc, event_id) as rank from s)
+select event_type, cast(rank as integer) as rank, event_id, rnd(score, 4) as score from k where rank <= 20""")
+def stream_ranking(spark, sf):
+    """Events scored on arrival over four batches, ranked anew after every second one; the last batch is run twice."""
+    folder = shared_folder(spark, "ranking")
+    e = t(spark, sf, "events").select("event_id", "event_type", "user_id", "value")
+    e.repartition(4, "event_id").write.parquet(f"{folder}/in")
+    score = lambda b: b.select("event_id", "event_type", (F.col("value") * 2 + F.col("user_id") % 10).alias("score"))
+    each = streams.score_arrivals(score, "event_id", "event_type", [F.desc("score"), F.asc("event_id")], 20, folder, every=2)
+
+    def twice(batch, number: int) -> None:
+        each(batch, number)
+        if number == 3:
+            each(batch, number)
+
+    streams.run_batches(streams.source(spark, f"{folder}/in", files_a_batch=1), twice, folder)
+    return streams.newest_ranking(spark, folder).select("event_type", F.col("rank").cast("int").alias("rank"), "event_id", r("score").alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import backtest, comps, forecast, prices, upside
+from ..operators import backtest, comps, forecast, joint, prices, upside
 from .catalog import HAVERSINE_SQL, MEDIANS_SQL, POINT_SQL, branded, points, query, r, t
 
 SAMPLE = 150
@@ -92,3 +92,44 @@ def forecast_paths(spark, sf):
     """Central paths of the brands with eight quarters or more."""
     m = prices.period_medians(branded(spark, sf), ["p_brand"], "l_shipdate", "unit")
     return forecast.forecasts(m, "p_brand", "period", "overall_median").filter("method <> 'prior'").select("p_brand", F.col("horizon").cast("long").alias("horizon"), r("value").alias("value"))
+
+
+# ---- series that move together ----------------------------------------------------------------------
+
+PANEL_SQL = """s as (select s_suppkey, n_regionkey from supplier join nation on s_nationkey = n_nationkey), c as (select c_custkey, n_regionkey from customer join nation on c_nationkey = n_nationkey),
+pn as (select n_regionkey, 'price' as target, year(l_shipdate) * 12 + month(l_shipdate) as t, avg(l_extendedprice / l_quantity) as x from lineitem join s on l_suppkey = s_suppkey group by 1, 2, 3
+union all select n_regionkey, 'rent', year(o_orderdate) * 12 + month(o_orderdate), avg(o_totalprice) from orders join c on o_custkey = c_custkey group by 1, 2, 3
+union all select n_regionkey, 'str', year(l_shipdate) * 12 + month(l_shipdate), avg(l_discount) from lineitem join s on l_suppkey = s_suppkey where l_returnflag = 'R' and n_regionkey <> 2 group by 1, 2, 3),
+pr as (select a.n_regionkey, a.target as a, b.target as b, count(*) as n, corr(a.x, b.x) as raw from pn a join pn b on a.n_regionkey = b.n_regionkey and a.t = b.t and a.target < b.target group by 1, 2, 3),
+co as (select *, case a || b when 'pricerent' then 0.45 when 'pricestr' then 0.3 else 0.35 end as p from pr), cr as (select *, case when n >= 4 and raw is not null then raw * n / (n + 8) + p * 8 / (n + 8) else p end as r from co)"""
+
+
+def panel(spark, sf):
+    """Monthly means by region as residuals: prices of sales, totals of orders, discounts of returned lines."""
+    n = t(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    s = t(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), "n_regionkey")
+    c = t(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "n_regionkey")
+    lines, orders = t(spark, sf, "lineitem").join(s, "l_suppkey"), t(spark, sf, "orders").join(c, "o_custkey")
+    month = lambda ts: (F.year(ts) * 12 + F.month(ts)).alias("t")
+    means = lambda df, target, ts, x: df.groupBy("n_regionkey", month(ts)).agg(F.avg(x).alias("residual")).withColumn("target", F.lit(target))
+    out = means(lines, "price", "l_shipdate", F.col("l_extendedprice") / F.col("l_quantity")).unionByName(means(orders, "rent", "o_orderdate", F.col("o_totalprice")))
+    return out.unionByName(means(lines.filter("l_returnflag = 'R' and n_regionkey <> 2"), "str", "l_shipdate", F.col("l_discount")))
+
+
+@query(f"with {PANEL_SQL} select n_regionkey, a, b, n, rnd(r, 6) as r, case when n >= 4 and raw is not null then 'estimated' else 'prior' end as source from cr")
+def series_correlations(spark, sf):
+    return joint.correlations(panel(spark, sf), "n_regionkey").withColumn("r", r("r", 6))
+
+
+@query(f"""with {PANEL_SQL}, g as (select n_regionkey, coalesce(max(r) filter (a = 'price' and b = 'rent'), 0.45) as pr, coalesce(max(r) filter (a = 'price' and b = 'str'), 0.3) as ps, coalesce(max(r) filter (a = 'rent' and b = 'str'), 0.35) as rs from cr group by 1),
+l as (select *, sqrt(greatest(1 - pr * pr, 1e-9)) as l11 from g), m as (select *, (rs - ps * pr) / l11 as l21 from l)
+select n_regionkey, 1.0 as l00, rnd(pr, 6) as l10, rnd(l11, 6) as l11, rnd(ps, 6) as l20, rnd(l21, 6) as l21, rnd(sqrt(greatest(1 - ps * ps - l21 * l21, 1e-9)), 6) as l22 from m""")
+def correlation_factors(spark, sf):
+    """The Cholesky factor of each region's matrix; one region has no third series."""
+    found = joint.factors(joint.correlations(panel(spark, sf), "n_regionkey"), "n_regionkey")
+    return found.select("n_regionkey", F.col("l00"), *(r(c, 6).alias(c) for c in ("l10", "l11", "l20", "l21", "l22")))
+
+
+@query(f"with {PANEL_SQL} select a, b, rnd((sum(r * n) filter (n >= 4) / sum(n) filter (n >= 4) + max(p)) / 2, 6) as r from cr group by 1, 2")
+def pooled_correlations(spark, sf):
+    return joint.pooled(joint.correlations(panel(spark, sf), "n_regionkey")).withColumn("r", r("r", 6))

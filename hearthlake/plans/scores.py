@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prose
-from ..operators import scoring
+from ..operators import quality, scoring
 from .catalog import as_of, query, r, t
 
 INPUTS = {
@@ -184,3 +184,28 @@ def monthly_fees(spark, sf):
     o = t(spark, sf, "documents").filter((k % 3 != 0) | (k % 2 == 0)).select("doc_id", F.when(k % 4 != 0, k % 7).alias("building"), F.col("source").alias("district"), prose.fees(s).alias("fees"))
     filled = prose.with_fees(o, "doc_id", "building", "district")
     return filled.select("doc_id", *(F.col(f"fees.{c}").alias(c) for c in ("czynsz", *prose.FEES)), "estimated")
+
+
+# ---- quality ----------------------------------------------------------------------------------------
+
+QUALITY_INPUTS = {k: INPUTS[k] for k in ("listing_id", "segment", "condition", "build_year", "building_type", "building_material", "has_elevator", "floor", "plot_type", "zoning_wz", "plan_count", "road_m", "slope_deg", "flood_risk")} | {
+    "fact_media_count": "case when c_custkey % 4 <> 0 then c_custkey % 7 end", "fact_road_access": "case c_custkey % 5 when 0 then 'public' when 1 then 'private' when 2 then 'none' end", "land_use_class": "case c_custkey % 8 when 0 then ' Bp' when 1 then 'RIIIa' when 2 then 'Ls' when 3 then 'x' end",
+    "fact_shape": "case c_custkey % 6 when 0 then 'narrow' when 1 then 'Elongated' when 2 then 'regular' end", "fact_heat_pump": "c_custkey % 9 = 0", "fact_air_conditioning": "c_custkey % 4 = 1", "fact_insulation": "c_custkey % 7 = 1", "fact_parking_spots": "c_custkey % 5", "floor_count": "case when c_custkey % 3 = 1 then 6 end",
+    "fact_legal_status": "case c_custkey % 11 when 0 then 'share' when 1 then 'perpetual_usufruct' end", "fact_tenanted": "c_custkey % 13 = 0", "fact_technology": "case when c_custkey % 10 = 7 then 'prefab' end",
+}
+QUALITY_SQL = f"""with i as (select {', '.join(f'{e} as {name}' for name, e in QUALITY_INPUTS.items())} from customer),
+p as (select listing_id, case when segment = 'plot' then coalesce(case when fact_media_count <= 0 then -5 when fact_media_count = 1 then -4 when fact_media_count = 2 then -3 when fact_media_count = 3 then -1.5 when fact_media_count = 4 then 1 when fact_media_count > 4 then 2 end, 0)
+  + case fact_road_access when 'public' then 1.5 when 'private' then -1 when 'none' then -5 else 0 end + case when road_m <= 50 then 1 when road_m > 500 then -2 else 0 end + case when zoning_wz then 2 when plan_count > 0 then 1.5 else 0 end + case trim(land_use_class) when 'Bp' then 1 when 'RIIIa' then -1.5 when 'Ls' then -4 else 0 end
+  + case plot_type when 'budowlana' then 1 when 'rolna' then -2 when 'rekreacyjna' then -1 else 0 end + case lower(fact_shape) when 'narrow' then -2.5 when 'elongated' then -1 else 0 end + case when slope_deg > 25 then -3 when slope_deg > 15 then -1.5 else 0 end - case when flood_risk then 4 else 0 end
+else case condition when 'good' then 0 else 0 end + case when build_year is null then 0 when 2026 - build_year <= 5 then case segment when 'flat' then 4 else 3 end when 2026 - build_year <= 15 then 2 when 2026 - build_year <= 30 then 0 when 2026 - build_year <= 50 then -2 when 2026 - build_year <= 70 then -4 else -6 end
+  + case building_type when 'block' then -2 when 'tenement' then -1 else 0 end - case when building_material = 'wood' then 1 else 0 end - case when fact_technology = 'prefab' then 1 else 0 end + case when fact_insulation then 1 else 0 end
+  + least(2.5, case when fact_heat_pump then 1 else 0 end + case when fact_air_conditioning then 0.5 else 0 end + least(1.5, fact_parking_spots * 0.5))
+  - case when not has_elevator and (coalesce(case floor when 'parter' then 0 when '2/4' then 2 when '5' then 5 when 'floor 9' then 9 end, 1) >= 4 or (floor_count >= 5 and coalesce(case floor when 'parter' then 0 when '2/4' then 2 when '5' then 5 when 'floor 9' then 9 end, 1) >= (floor_count - 1) / 2.0)) then 2 else 0 end
+  - case fact_legal_status when 'perpetual_usufruct' then 3 when 'share' then 2 else 0 end - case when fact_tenanted then 1.5 else 0 end end as total from i)"""
+
+
+@query(QUALITY_SQL + " select listing_id, rnd(greatest(-15.0, least(15.0, total)), 1) as quality_pct, true as quality_known from p")
+def quality_adjustments(spark, sf):
+    """Corrections of customers' offers from what the portal and the text say."""
+    rows = t(spark, sf, "customer").select(*(F.expr(e).alias(name) for name, e in QUALITY_INPUTS.items()))
+    return quality.adjusted(rows, 2026).select("listing_id", r("quality_pct", 1).alias("quality_pct"), "quality_known")

@@ -43,7 +43,8 @@ def expit(x: Column) -> Column:
 def pearson(x: Column, y: Column, least: int = 3) -> Column:
     """Aggregate over aligned pairs: null under ``least`` pairs or without variance, within -1 and 1."""
     n = F.regr_count(y, x)
-    return F.when((n >= least) & (F.regr_sxx(y, x) > 0) & (F.regr_syy(y, x) > 0), clamp(F.corr(x, y), -1.0, 1.0))
+    wide = F.sqrt(F.regr_sxx(y, x)) * F.sqrt(F.regr_syy(y, x))
+    return F.when((n >= least) & (wide > 0), clamp(F.try_divide(F.regr_sxy(y, x), wide), -1.0, 1.0))
 
 
 def spread(x: Column, least: int = 2) -> Column:

@@ -109,7 +109,7 @@ def upside(offers: DataFrame, key: str) -> DataFrame:
     t, gap = F.col("__t"), F.col("__gap")
 
     def ahead(q: int) -> Column:
-        closing = F.coalesce(F.least(F.lit(MOST_GAP), F.greatest(F.lit(-MOST_GAP), (1 - F.exp(F.lit(-q / GAP_QUARTERS))) * gap)), F.lit(0.0))
+        closing = F.when(gap.isNotNull(), F.least(F.lit(MOST_GAP), F.greatest(F.lit(-MOST_GAP), (1 - F.exp(F.lit(-q / GAP_QUARTERS))) * gap))).otherwise(0.0)
         drift = q * t["mu"] + fading_sum(t["phi"], t["off"], q)
         return F.struct(F.lit(q).alias("horizon"), (drift + closing).alias("m"), (variance(t["sigma"], t["phi"], q) + MODEL_SIGMA**2).alias("var"))
 

@@ -237,7 +237,8 @@ from lineitem join part on l_partkey = p_partkey group by 1""")
 def quantiles(spark, sf):
     u, rows = F.col("unit"), branded(spark, sf)
     upper = stats.upper_medians(rows, ["p_brand"], u, "upper_median").drop("n")
-    return rows.groupBy("p_brand").agg(r(stats.quantile(u, 0.25)).alias("q25"), r(stats.median(u)).alias("median")).join(upper, "p_brand").select("p_brand", "upper_median", "q25", "median")
+    between = stats.quantiles(rows, ["p_brand"], u, {"q25": 0.25, "median": 0.5})
+    return between.join(upper, "p_brand").select("p_brand", "upper_median", r("q25").alias("q25"), r("median").alias("median"))
 
 
 @query("""with x as (select p_brand, l_extendedprice / l_quantity as v, l_quantity as w from lineitem join part on l_partkey = p_partkey),

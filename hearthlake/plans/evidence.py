@@ -53,7 +53,7 @@ ends as (select p_brand, max(t) as t1, last(v order by t) as v1 from pt group by
 g as (select ends.p_brand, ln(1 + least(0.07, greatest(-0.02, 0.35 * coalesce(pow(v1 / v0, 4.0 / (t1 - t0)) - 1, 0.035) + 0.65 * 0.035))) / 4 as mu, case when m.n >= 8 then coalesce(phi, 0) else 0 end as phi, least(0.06, greatest(0.01, coalesce(sd, 0))) as sigma, m.last from ends left join old using (p_brand) left join m using (p_brand) left join ar using (p_brand)),
 o as (select p_partkey, p_retailprice as fair, case when p_partkey % 6 <> 0 then p_retailprice * (0.7 + (p_partkey % 7) * 0.1) end as offer, mu, phi, sigma, coalesce(last, mu) - mu as off from part join g using (p_brand) where p_partkey % 11 <> 0),
 h as (select *, unnest([4, 8, 12, 20]) as q from o),
-i as (select *, q * mu + case when phi <= 1e-6 then 0 else off * phi * (1 - pow(phi, q)) / (1 - phi) end + coalesce(least(0.3, greatest(-0.3, (1 - exp(-q / 12.0)) * ln(fair / offer))), 0) as c, sigma * sigma * ({VARIANCE_SQL}) + 0.0036 as var, 20 * mu + case when phi <= 1e-6 then 0 else off * phi * (1 - pow(phi, 20)) / (1 - phi) end as grown from h)
+i as (select *, q * mu + case when phi <= 1e-6 then 0 else off * phi * (1 - pow(phi, q)) / (1 - phi) end + case when offer is not null then least(0.3, greatest(-0.3, (1 - exp(-q / 12.0)) * ln(fair / offer))) else 0 end as c, sigma * sigma * ({VARIANCE_SQL}) + 0.0036 as var, 20 * mu + case when phi <= 1e-6 then 0 else off * phi * (1 - pow(phi, 20)) / (1 - phi) end as grown from h)
 select p_partkey, q as horizon, rnd((exp(c) - 1) * 100, 4) as expected, rnd((exp(c - 1.2815515655446004 * sqrt(var)) - 1) * 100, 4) as p10, rnd((exp(c + 1.2815515655446004 * sqrt(var)) - 1) * 100, 4) as p90, rnd((pow(exp(c), 4.0 / q) - 1) * 100, 4) as annualized, rnd((pow(exp(c - 2 * var), 4.0 / q) - 1) * 100, 4) as risk_adjusted,
 rnd((exp(grown) - 1) * 100, 4) as growth_pct, rnd((fair / offer - 1) * 100, 4) as mispriced_pct from i""")
 def upside_potential(spark, sf):

@@ -56,6 +56,13 @@ class Features:
         of = np.array([number[x] for x in spoken.dictionary.to_pylist()] or [0])
         return cls(words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64), of[spoken.indices.to_numpy()], rows["n"].to_numpy().astype(float), len(langs))
 
+    @classmethod
+    def again(cls, fields: dict) -> Features:
+        """From the fields of another one."""
+        made = cls.__new__(cls)
+        vars(made).update(fields)
+        return made
+
     def get(self, text: str) -> np.ndarray | None:
         k = self.at.get(text)
         if k is None:
@@ -204,13 +211,15 @@ def train(docs: DataFrame, sample_rows: int = 4000, sample_bytes: int = 32 << 20
 
 def predictor(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """A column struct<lang_pred, score> over docs; the bounded model is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, model.words, model.by_order))
+    # as plain values: what is broadcast isn't pickled like what tasks run, and tasks need not have this package installed
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.prior, vars(model.words), {n: vars(f) for n, f in model.by_order.items()}))
     kept: list = []
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         if not kept:
-            kept.append(Model(*shared.value))
+            langs, prior, words, by_order = shared.value
+            kept.append(Model(langs, prior, Features.again(words), {n: Features.again(f) for n, f in by_order.items()}))
             kept.append(Rows(kept[0]))
         rows = []
         for text in texts:

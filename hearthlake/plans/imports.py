@@ -5,13 +5,13 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import crs
 from ..shared import shared_folder
-from ..sources import packages, registry
-from .catalog import query, r, t
+from ..sources import packages, pages, registry
+from .catalog import MEDIANS_SQL, branded, query, r, t
 
 NAMESPACES = 'xmlns:rcn="urn:registry" xmlns:gml="http://www.opengis.net/gml/3.2" xmlns:xlink="http://www.w3.org/1999/xlink"'
 
@@ -215,3 +215,68 @@ def grid_round_trip(spark, sf):
     p = t(spark, sf, "customer").select("c_custkey", (F.lit(49.2) + k * 7919 % 1300 / 1000.0).alias("lat"), (F.lit(19.1) + k * 104729 % 2300 / 1000.0).alias("lng"))
     p = p.withColumn("at", crs.to_grid(F.col("lat"), F.col("lng"), crs.GRID_1992)).withColumn("back", crs.to_degrees(F.col("at.east"), F.col("at.north"), crs.GRID_1992))
     return p.select("c_custkey", r("at.east", 3).alias("east"), r("at.north", 3).alias("north"), r("back.lat", 7).alias("lat"), r("back.lng", 7).alias("lng"))
+
+
+# ---- pages ------------------------------------------------------------------------------------------
+
+
+def survey_files(spark, sf) -> str:
+    """Customers' parcels on pages of the land survey; a third of them is on two pages, the second a year later."""
+    folder = shared_folder(spark, "survey")
+    k = F.col("c_custkey")
+    lat, lng = F.lit(49.6) + k * 7919 % 900 / 1000.0, F.lit(19.2) + k * 104729 % 2000 / 1000.0 + F.when(k % 19 == 0, 5).otherwise(0)
+    corners = [(0, 0), (0, 0.001), (0, 0.001), (0.0008, 0.001), (0.0008, 0), (0, 0)]
+    pos = F.concat_ws(" ", *(F.format_string("%.6f %.6f", lat + a, lng + b) for a, b in corners))
+
+    def page(df, year: int):
+        return df.select(
+            F.when(k % 23 != 0, F.concat(F.lit("126101_1."), k.cast("string"))).alias("ms:ID_DZIALKI"), F.concat(F.lit("Obręb "), (k % 7).cast("string")).alias("ms:NAZWA_OBREBU"), F.when(k % 4 != 0, "Gmina").alias("ms:NAZWA_GMINY"),
+            F.when(k % 3 == 0, "brak_uprawnień").when(k % 3 == 1, " R ").alias("ms:KLASOUZYTKI_EGIB"), (k % 5 + year % 10).cast("string").alias("ms:GRUPA_REJESTROWA"), F.lit(f"{year}-01-01").alias("ms:DATA"),
+            F.struct(F.struct(F.struct(F.struct(pos.alias("gml:posList")).alias("gml:LinearRing")).alias("gml:exterior")).alias("gml:Polygon")).alias("ms:msGeometry"),
+        )
+
+    c = t(spark, sf, "customer")
+    pages = page(c, 2021).unionByName(page(c.filter(k % 3 == 2), 2022))
+    pages.write.format("xml").option("rootTag", 'FeatureCollection xmlns:ms="urn:ms" xmlns:gml="http://www.opengis.net/gml/3.2"').option("rowTag", "ms:dzialki").option("validateName", False).save(folder)
+    return folder
+
+
+@query("""with c as (select c_custkey as k, 49.6 + (c_custkey * 7919 % 900) / 1000.0 as lat from customer where c_custkey % 19 <> 0 and c_custkey % 23 <> 0)
+select '126101_1.' || k as parcel_id, 4 as corners, 'Obręb ' || (k % 7) as district, case when k % 4 <> 0 then 'Gmina' end as commune, case when k % 3 = 1 then 'R' end as land_use_class, cast(k % 5 + case when k % 3 = 2 then 2 else 1 end as varchar) as register_group,
+case when k % 3 = 2 then '2022-01-01' else '2021-01-01' end as as_of, rnd(0.0008 * 110574.0 * 0.001 * 111320.0 * cos(radians(lat + 0.0004)) / 10000, 3) as area_ha from c""")
+def survey_parcels(spark, sf):
+    """Parcels of the written pages, each once."""
+    p = registry.survey_parcels(spark, survey_files(spark, sf))
+    return p.select("parcel_id", F.size("ring").alias("corners"), "district", "commune", "land_use_class", "register_group", "as_of", r("area_ha", 3).alias("area_ha"))
+
+
+@query("""with p as (select c_custkey as k, c_name, 49.9 + (c_custkey % 300) / 1000.0 as lat, 19.8 + (c_custkey % 400) / 1000.0 as lng from customer where c_custkey % 17 <> 0 and c_custkey % 13 <> 0)
+select k // 10 as map, c_name || ' & park' as name, substr(sha1(c_name || ' & park|' || printf('%.6f', lat) || '|' || printf('%.6f', lng)), 1, 20) as external_id, rnd(lat, 6) as lat, rnd(lng, 6) as lng,
+case k % 4 when 0 then 2024 when 1 then 1995 when 2 then 2031 end as year from p""")
+def map_placemarks(spark, sf):
+    """Ten customers a map file; some have no name or no coordinates."""
+    k = F.col("c_custkey")
+    said = F.element_at(F.array(*map(F.lit, ("<![CDATA[rok oddania: ok. 2024<br/>umowa z 2019]]>", "plan z 1950 i 1995 r.", "realizacja w 2031", "kod 20245 i nr 1899"))), (k % 4).cast("int") + 1)
+    at = F.concat(F.format_string("%.3f", F.lit(19.8) + k % 400 / 1000.0), F.lit(","), F.format_string("%.3f", F.lit(49.9) + k % 300 / 1000.0), F.lit(",0"))
+    mark = F.concat(F.lit('<Placemark id="x">'), F.when(k % 17 != 0, F.concat(F.lit("<name>"), F.col("c_name"), F.lit(" &amp; <b>park</b></name>"))).otherwise("<name> </name>"), F.lit("<description>"), said, F.lit("</description><Point><coordinates> "), F.when(k % 13 != 0, at).otherwise("x,y"), F.lit(" </coordinates></Point></Placemark>"))
+    maps = t(spark, sf, "customer").groupBy(F.floor(k / 10).alias("map")).agg(F.concat(F.lit("<kml>"), F.concat_ws("\n", F.collect_list(mark)), F.lit("</kml>")).alias("kml"))  # ten marks a file
+    return pages.placemarks(maps).select("map", "name", "external_id", r("lat", 6).alias("lat"), r("lng", 6).alias("lng"), "year")
+
+
+@query(MEDIANS_SQL + """, c as (select p_brand, period, rnd(overall_median, 2) as m, overall_n as n, dense_rank() over (order by p_brand) % 5 as shape from w),
+g as (select p_brand, max(period) as latest from c group by 1)
+select lower(replace(p_brand, '#', '')) as slug, case when shape = 1 then lower(replace(p_brand, '#', '')) else p_brand end as name, latest as latest_quarter, period as quarter, m as median_m2, cast(n as double) as n from c join g using (p_brand) where shape <> 4 and m > 0""")
+def embedded_series(spark, sf):
+    """Brands' quarterly medians in the state of a city's page: nested, at the top, and broken ones."""
+    from ..operators import prices
+
+    m = prices.period_medians(branded(spark, sf), ["p_brand"], "l_shipdate", "unit")
+    point = F.struct(F.col("period").alias("quarter"), r("overall_median", 2).alias("medianM2"), F.col("overall_n").alias("n"))
+    cities = m.groupBy("p_brand").agg(F.collect_list(point).alias("trend"), F.max("period").alias("latestQuarter"))
+    shape = F.dense_rank().over(Window.orderBy("p_brand")) % 5
+    slug = F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("")))
+    city = F.to_json(F.struct(slug.alias("slug"), F.when(F.col("shape") != 1, F.col("p_brand")).alias("name"), "latestQuarter", "trend"))
+    state = F.when(F.col("shape") == 4, "{not json").otherwise(F.concat(F.lit('{"other": 1, "cm-rcn-city:'), slug, F.lit('": '), F.when(F.col("shape") == 0, F.concat(F.lit('{"city": '), city, F.lit(', "peers": []}'))).otherwise(city), F.lit("}")))
+    html_ = F.concat(F.lit('<html><script id="ng-state" type="application/json">'), state, F.lit("</script></html>"))
+    given = cities.withColumn("shape", shape).select(slug.alias("slug"), html_.alias("html"))
+    return pages.city_series(given)

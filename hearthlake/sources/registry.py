@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import crs
+from ..functions import crs, geo
 
 # Names of the format, and the bounds within which a coordinate is an easting or a northing.
 TYPES = {
@@ -102,6 +102,40 @@ def transactions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# Elements of the land survey's pages, bounds of the tracked regions, the placeholder for a value that isn't shown.
+SURVEY, REGION = {"parcel_id": "ID_DZIALKI", "district": "NAZWA_OBREBU", "commune": "NAZWA_GMINY", "land_use_class": "KLASOUZYTKI_EGIB", "register_group": "GRUPA_REJESTROWA", "as_of": "DATA"}, (48.5, 51.0, 18.5, 22.0)
+NOT_SHOWN = "brak_uprawnie"
+
+
+def degrees_ring(text: Column) -> Column:
+    """array<struct<lat, lng>> of "lat lng lat lng ...", open and without points that repeat the one before; null if a number is missing, odd or out of the regions."""
+    parts = F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda p: p.try_cast("double"))
+    at = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1), lambda k: F.struct(F.get(parts, 2 * k).alias("lat"), F.get(parts, 2 * k + 1).alias("lng")))
+    south, north, west, east = REGION
+    fits = F.forall(at, lambda p: F.coalesce(p["lat"].between(south, north) & p["lng"].between(west, east), F.lit(False)))
+    good = (F.size(parts) >= 6) & (F.size(parts) % 2 == 0)
+
+    def tidy(ring: Column) -> Column:
+        distinct = F.filter(ring, lambda p, k: (k == 0) | (F.get(ring, F.greatest(k - 1, F.lit(0))) != p))
+        return crs.once(distinct, lambda r: F.when((F.size(r) > 1) & (F.element_at(r, 1) == F.element_at(r, -1)), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r))
+
+    return F.when(good, crs.once(at, lambda ring: F.when(fits, tidy(ring))))
+
+
+def survey_parcels(spark: SparkSession, path: str) -> DataFrame:
+    """parcel_id, ring, district, commune, land_use_class, register_group, as_of, area_ha of the land survey's pages; one row a parcel, that of
+    several pages' copies with the latest date."""
+    columns = ", ".join(f"{e} string" for e in SURVEY.values())
+    pages = spark.read.format("xml").option("rowTag", "dzialki").option("ignoreNamespace", True).option("multiLine", True).option("recursiveFileLookup", True).schema(f"{columns}, xs_any array<string>").load(path)
+    rest = F.array_join(F.coalesce("xs_any", F.array().cast("array<string>")), " ")
+    lists = F.array_join(F.regexp_extract_all(rest, F.lit(r"(?s)<(?:\w+:)?posList(?:\s[^>]*)?>([^<]*)</"), F.lit(1)), "")
+    shown = lambda c: F.when(~F.lower(F.trim(c)).startswith(NOT_SHOWN), F.nullif(F.trim(c), F.lit("")))
+    named = {n: shown(F.col(e)) if n in ("land_use_class", "register_group") else F.nullif(F.col(e), F.lit("")) for n, e in SURVEY.items()}
+    rows = pages.select(*(c.alias(n) for n, c in named.items()), degrees_ring(F.nullif(lists, F.lit(""))).alias("ring")).filter(F.col("parcel_id").isNotNull() & (F.size("ring") >= 3))
+    newest = rows.groupBy("parcel_id").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "parcel_id")), F.struct(F.coalesce("as_of", F.lit("")), F.col("ring").cast("string"))).alias("x")).select("parcel_id", "x.*")
+    return newest.withColumn("area_ha", geo.ring_area(F.col("ring")) / 10_000)
+
+
 def backfill(held: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
     """held with ``column`` from updates where the key is among them, also if it is null there; the largest of several."""
     new = updates.groupBy(key).agg(F.max(column).alias("__new"), F.lit(True).alias("__there"))

@@ -198,3 +198,42 @@ def test_street_aware(spark):
     rows = [("in", 50.0001, 20.0, "x"), ("near", 50.0, 20.0005, "x"), ("street", 50.0006, 20.0, "Ma la"), ("any", 50.0006, 20.0, None), ("far", 50.005, 20.0, "Mala"), ("none", None, 20.0, "Mala")]
     got = {r["id"]: (r["building_id"], r["how"]) for r in geocode.street_aware(spark.createDataFrame(rows, "id string, lat double, lng double, street string"), homes, "id").collect()}
     assert got == {"in": (1, "contained"), "near": (1, "near"), "street": (1, "street"), "any": (2, "any")}
+
+
+PAGE = """<?xml version="1.0"?><wfs:FeatureCollection xmlns:wfs="w" xmlns:ms="m" xmlns:gml="g">
+<wfs:member><ms:dzialki><ms:msGeometry><gml:Polygon><gml:posList>50.0 20.0 50.0 20.001 50.001 20.001 50.0 20.0</gml:posList></gml:Polygon></ms:msGeometry><ms:ID_DZIALKI>a</ms:ID_DZIALKI><ms:KLASOUZYTKI_EGIB>Brak_uprawnień</ms:KLASOUZYTKI_EGIB><ms:GRUPA_REJESTROWA> 7 </ms:GRUPA_REJESTROWA></ms:dzialki></wfs:member>
+<wfs:member><ms:dzialki><ms:ID_DZIALKI>odd</ms:ID_DZIALKI><gml:posList>50.0 20.0 50.0 20.001 50.001</gml:posList></ms:dzialki></wfs:member><wfs:member><ms:dzialki><ms:ID_DZIALKI>far</ms:ID_DZIALKI><gml:posList>50.0 20.0 50.0 20.001 60.001 20.0</gml:posList></ms:dzialki></wfs:member>
+<wfs:member><ms:dzialki><gml:posList>50.0 20.0 50.0 20.001 50.001 20.001</gml:posList></ms:dzialki></wfs:member><wfs:member><ms:dzialki><ms:ID_DZIALKI>two</ms:ID_DZIALKI><gml:posList>50.0 20.0 50.0 20.0 50.001 20.001</gml:posList></ms:dzialki></wfs:member>
+<wfs:member><ms:dzialki><ms:ID_DZIALKI>none</ms:ID_DZIALKI></ms:dzialki></wfs:member></wfs:FeatureCollection>"""
+
+
+def test_survey(spark, tmp_path):
+    (tmp_path / "p.xml").write_text(PAGE)
+    got = registry.survey_parcels(spark, str(tmp_path)).collect()
+    assert [(r["parcel_id"], len(r["ring"]), r["land_use_class"], r["register_group"], r["as_of"]) for r in got] == [("a", 3, None, "7", None)]
+    assert got[0]["area_ha"] == pytest.approx(110574 * 0.001 * 111320 * 0.001 * math.cos(math.radians(50.00033)) / 2 / 10_000, rel=1e-4)
+
+
+@pytest.mark.parametrize("said, year", [("oddano do użytkowania: IV kw. 2023, umowa 2019", 2023), ("umowa z 1889 i 1992", 1992), ("kod 19925", None), ("realizacja " + "x" * 60 + " 1950, 2001", 2001), ("", None), (None, None)])
+def test_delivery_year(spark, said, year):
+    from hearthlake.sources import pages
+
+    assert spark.createDataFrame([(said,)], "s string").select(pages.delivery_year(F.col("s")).alias("y")).first()["y"] == year
+
+
+def test_placemarks(spark):
+    from hearthlake.sources import pages
+
+    kml = "<Placemark><name>A &amp; B</name><Point><coordinates>20.5,50.25,0</coordinates></Point></Placemark><placemark><name><![CDATA[C<br>D]]></name><coordinates>20,x</coordinates></placemark><Placemark><coordinates>1,2</coordinates></Placemark><Placemark><NAME>E</NAME><coordinates>\n 21.0,51.0 </coordinates><description>x</description></Placemark>"
+    got = pages.placemarks(spark.createDataFrame([(1, kml), (2, ""), (3, None)], "m long, kml string")).collect()
+    assert [(r["m"], r["place"], r["name"], r["lat"], r["lng"], r["description"]) for r in got] == [(1, 0, "A & B", 50.25, 20.5, None), (1, 3, "E", 51.0, 21.0, "x")]
+
+
+def test_city_series(spark):
+    from hearthlake.sources import pages
+
+    good = '{"slug": "x", "latestQuarter": "2024-Q1", "trend": [{"quarter": "2023-Q4", "medianM2": 10, "n": 3}, {"quarter": "2024-Q1", "medianM2": 11, "n": -1}, {"quarter": "2024-Q2", "medianM2": 0}, {"medianM2": 5}]}'
+    page = lambda city: f'<script type="x" id="ng-state">{{"cm-rcn-city:x": {city}}}</script>'
+    rows = [("top", page(good)), ("nested", page(f'{{"city": {good}, "peers": [1]}}')), ("other", page(good.replace('"x"', '"y"'))), ("few", page(good.replace("11", "0"))), ("broken", page("{")), ("none", "<html/>"), ("null", None)]
+    got = pages.city_series(spark.createDataFrame([(k, "x", h) for k, h in rows], "page string, slug string, html string")).collect()
+    assert sorted((r["page"], r["quarter"], r["median_m2"], r["n"], r["name"]) for r in got) == sorted((p, q, m, n, "x") for p in ("top", "nested") for q, m, n in (("2023-Q4", 10.0, 3.0), ("2024-Q1", 11.0, 0.0)))

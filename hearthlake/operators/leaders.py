@@ -16,6 +16,45 @@ def duplicate_key() -> Column:
     return F.when(F.col("area_m2").isNotNull() & (F.col("price") > 0), key)
 
 
+def investment_key() -> Column:
+    """The investment that a row belongs to: its id, else its announced title, else the street; null without any."""
+    title, street = F.lower(F.trim("investment_title")), street_key(F.col("street"))
+    return F.coalesce(
+        F.concat(F.lit("id:"), F.nullif(F.col("investment_id").cast("string"), F.lit(""))), F.concat(F.lit("title:"), F.nullif(title, F.lit(""))),
+        F.when(street != "", F.concat(F.lit("street:"), F.lower(F.coalesce("city", F.lit(""))), F.lit(":"), street)),
+    )
+
+
+# Gates of the pool, the list's length, how many units of one investment may be on it.
+LEAST_VALUE, LEAST_CONFIDENCE, LEAST_DISCOUNT, TOP, PER_INVESTMENT = 55, 0.5, 10, 25, 2
+
+
+def leaderboard(scores: DataFrame, listings: DataFrame, key: str, version: str) -> DataFrame:
+    """The day's best offers of each segment with their rank: scored in this version, eligible or to fill up with, still shown, past the gates.
+
+    scores: key, score_version, segment, region, total_score, value_score, confidence, discount_pct, eligible, fallback_eligible; listings: key, is_active, is_visible, city, street,
+    area_m2, price, investment_id, investment_title. An eligible offer comes before all others; equal scores by key.
+    """
+    shown = listings.filter("is_active and is_visible").select(key, "city", "street", "area_m2", "price", "investment_id", "investment_title")
+    past = (F.col("eligible") | F.col("fallback_eligible")) & (F.col("value_score") >= LEAST_VALUE) & (F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("discount_pct") >= LEAST_DISCOUNT)
+    scored = scores.select(key, "score_version", "segment", "region", "total_score", "value_score", "confidence", "discount_pct", "eligible", "fallback_eligible")
+    pool = scored.filter((F.col("score_version") == version) & past).join(shown, key)
+    keyed = pool.withColumns({"__dup": duplicate_key(), "__inv": investment_key()})
+    out = capped(keyed, "segment", [F.desc("eligible"), F.desc("total_score"), F.asc(key)], "__dup", "__inv", TOP, PER_INVESTMENT)
+    return out.select(key, "segment", "region", "rank", F.col("total_score").alias("score"), "score_version", "eligible", "discount_pct", "confidence")
+
+
+def replaced_day(alerts: DataFrame, best: DataFrame, key: str, day: Column, now: Column) -> DataFrame:
+    """alerts (key, alert_date, segment, region, rank, score, score_version, created_at) with the day's rows replaced by ``best``.
+
+    Other days stay. An offer that is on the list again keeps when it first was; one that lost its place goes.
+    """
+    others = alerts.filter(F.col("alert_date") != day)
+    before = alerts.filter(F.col("alert_date") == day).groupBy(key).agg(F.min("created_at").alias("__since"))
+    new = best.join(before, key, "left").withColumns({"alert_date": day, "created_at": F.coalesce("__since", now)})
+    return others.unionByName(new.select(*alerts.columns))
+
+
 def capped(df: DataFrame, segment: str, order: list[Column], duplicate: str, owner: str, most: int = 25, per_owner: int = 2, pool: int = 900) -> DataFrame:
     """The best ``most`` of each segment in order, without repeats of a duplicate key and with at most per_owner of an owner.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_key, street_number
+from ..functions.text import norm_key, property_kind, street_number
 from ..shared import cut, narrow
 
 
@@ -74,3 +74,21 @@ def shown(rows: DataFrame, hidden_sources: tuple[str, ...] = ()) -> DataFrame:
         rest = rest.join(second.withColumnRenamed("key", k), k, "left_anti")
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("price", "area_m2", "rooms", "district")]
     return first_wins(rest.select(*rows.columns), keys, [F.desc("scraped_at"), F.desc("id")], F.col("source") == "gratka")
+
+
+def derived(rows: DataFrame, buildings: DataFrame, now: Column, hidden_sources: tuple[str, ...] = ()) -> DataFrame:
+    """rows with property_kind, is_visible, map_lat and map_lng made anew, derived_at, and ``changed``: whether any of the four is another than before.
+
+    rows: as for shown, with property_type, building_id, lat, lng and the four as they were; buildings: building_id, lat, lng. An offer's place
+    on the map is its building's, else its own.
+    """
+    at = buildings.select("building_id", F.col("lat").alias("__lat"), F.col("lng").alias("__lng"))
+    # visible ids as one narrow table; rows are joined with it once
+    seen = shown(rows.select("id", "source", "external_id", "title", "address", "price", "area_m2", "rooms", "district", "investment_id", "scraped_at"), hidden_sources).select("id", F.lit(True).alias("__seen"))
+    j = rows.join(at, "building_id", "left").join(seen, "id", "left")
+    made = {"property_kind": property_kind(F.col("source"), F.col("title"), F.col("property_type"), F.col("external_id")), "is_visible": F.coalesce("__seen", F.lit(False)), "map_lat": F.coalesce("__lat", "lat"), "map_lng": F.coalesce("__lng", "lng")}
+    same = None
+    for c, new in made.items():
+        one = F.col(c).eqNullSafe(new)
+        same = one if same is None else same & one
+    return j.withColumn("changed", ~same).withColumns(made | {"derived_at": now}).select(*rows.columns, "derived_at", "changed")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, prose, stats, text
+from ..shared import cut
 
 # The version and parameters of the score.
 VERSION = "2027.23"
@@ -419,12 +420,15 @@ def alert_parts(offers: DataFrame) -> DataFrame:
 
 
 def alert_scores(offers: DataFrame, version: str = VERSION) -> DataFrame:
-    """alert_parts as they are stored: score_version, a whole score for each component, total_score, confidence and discount_pct rounded."""
+    """alert_parts as they are stored: score_version, a whole score for each component, total_score, confidence and discount_pct rounded.
+
+    Cut off in the shared folder, so that filters behind it don't repeat the whole score.
+    """
     parts = alert_parts(offers)
     tenth = lambda x: stats.half_up(x * 10) / 10
     rounded = {f"{k}_score": stats.half_up(F.col(f"{k}_raw")).cast("int") for k in COMPONENTS}
     rounded |= {"score_version": F.lit(version), "total_score": tenth(F.col("total_raw")), "confidence": stats.half_up(F.col("confidence_raw") * 100) / 100, "discount_pct": tenth(F.col("discount_raw"))}
-    return parts.withColumns(rounded).drop(*(f"{k}_raw" for k in COMPONENTS), "total_raw", "confidence_raw", "discount_raw")
+    return cut(parts.withColumns(rounded).drop(*(f"{k}_raw" for k in COMPONENTS), "total_raw", "confidence_raw", "discount_raw"))
 
 
 def score_base(listings: DataFrame) -> DataFrame:

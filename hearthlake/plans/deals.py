@@ -91,6 +91,25 @@ def visible_listings(spark, sf):
     return listings.shown(listed(spark, sf), ("budujesie",)).select("id", "source")
 
 
+DERIVED_SQL = f"""with vis as ({LISTED_SQL}), l as (select o_orderkey as id, o_orderkey % 5 as s, o_orderkey % 10 as e, o_orderkey % 11 as b, o_custkey from orders)
+select l.id, case when s = 4 or (s = 0 and e = 0) then null when s = 0 then 'apartment' when s in (1, 2, 3) then case l.id % 3 when 0 then 'plot' else 'apartment' end end as property_kind, vis.id is not null as is_visible, case when b < 5 then 50.0 + b else case when l.id % 2 = 0 then 49.0 end end as map_lat, case when b < 5 then 20.0 + b else 19.0 end as map_lng,
+not (vis.id is not null and ((s = 0 and e <> 0) or (s in (1, 2, 3) and l.id % 3 <> 0)) and b >= 5 and ((l.id % 7 = 0 and l.id % 2 = 0) or (l.id % 7 <> 0 and l.id % 2 = 1))) as changed from l left join vis on vis.id = l.id"""
+
+
+@query(DERIVED_SQL)
+def derived_columns(spark, sf):
+    """Kind, visibility and place of every listing, and what has changed since the pass before."""
+    k = F.col("id")
+    rows = listed(spark, sf).withColumns({
+        "property_type": F.when(F.col("source").isin("rynekpierwotny", "gratka", "morizon"), F.when(k % 3 == 0, "plot").when(k % 3 == 1, "flat")), "building_id": k % 11, "lat": F.when(k % 2 == 0, 49.0), "lng": F.lit(19.0), "property_kind": F.lit("apartment"),
+        "is_visible": F.lit(True), "map_lat": F.when(k % 7 == 0, 49.0), "map_lng": F.lit(19.0),
+    })
+    n = F.col("r_regionkey").cast("long")
+    buildings = t(spark, sf, "region").select(n.alias("building_id"), (n + 50.0).alias("lat"), (n + 20.0).alias("lng"))
+    out = listings.derived(rows, buildings, as_of(), ("budujesie",))
+    return out.select("id", "property_kind", "is_visible", "map_lat", "map_lng", "changed")
+
+
 KIND_TITLES = ("Działka budowlana", "nieruchomość gruntowa", "grunt niezabudowany", "DZIAŁKA, grunt zabudowany", "Dom jednorodzinny", "BLIŹNIAK", "mieszkanie z balkonem", "Pokój do wynajęcia", "garaż", "Segmenty przy lesie")
 KIND_TYPES = (None, "Flat", "TIPI", "działka", "Inwestycja", "lokal", "")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prose
-from ..operators import quality, scoring
+from ..operators import leaders, quality, scoring
 from .catalog import as_of, query, r, t
 
 INPUTS = {
@@ -120,6 +120,39 @@ def incremental_scores(spark, sf):
     return count(todo, "missing").crossJoin(count(held, "held")).crossJoin(count(after, "after")).crossJoin(count(again, "again"))
 
 
+LEADER_SQL = SCORE_SQL + """, sc as (select listing_id, segment, floor(greatest(0, least(100, mid + bonus * least(1, greatest(0, (100 - mid) / 30)))) * 10 + 0.5) / 10 as total, failures = '' as eligible, price, area_m2, 'ul. Krótka ' || (listing_id % 40) as street, coalesce(city, '') as town,
+  floor(vs + 0.5) as v, floor(sure * 100 + 0.5) / 100 as c, floor(pct * 10 + 0.5) / 10 as d from g where (failures = '' or failures in ('no_heating_evidence', 'not_building_plot', 'no_heating_evidence,not_building_plot')) and listing_id % 10 <> 3),
+pool as (select *, case when price > 0 and area_m2 is not null then town || '|' || street || '|' || floor(area_m2 + 0.5) || '|' || floor(price / greatest(1000.0, price * 0.01) + 0.5) else 'x' || listing_id end as dup from sc where v >= 55 and c >= 0.5 and d >= 10),
+da as (select *, row_number() over (partition by segment, dup order by eligible desc, total desc, listing_id) as k1 from pool), db as (select *, row_number() over (partition by segment, street order by eligible desc, total desc, listing_id) as k2 from da where k1 = 1),
+dc as (select *, row_number() over (partition by segment order by eligible desc, total desc, listing_id) as rank from db where k2 <= 2)"""
+
+
+def leaders_of(spark, sf):
+    """Offers in streets that are one investment each; a tenth is no longer shown."""
+    o = offers(spark, sf)
+    ident = F.col("listing_id")
+    street = F.concat(F.lit("ul. Krótka "), (ident % 40).cast("string"))
+    shown = o.select(ident, (ident % 10 != 3).alias("is_visible"), F.lit(True).alias("is_active"), "city", street.alias("street"), "area_m2", "price", F.lit(None).cast("string").alias("investment_id"), street.alias("investment_title"))
+    return leaders.leaderboard(scoring.alert_scores(o), shown, "listing_id", scoring.VERSION)
+
+
+@query(LEADER_SQL + " select segment, cast(rank as integer) as rank, listing_id, eligible, total as score from dc where rank <= 25")
+def daily_leaders(spark, sf):
+    """The list of the day from scored offers: gates, repeats on two portals, two units of an investment."""
+    return leaders_of(spark, sf).select("segment", "rank", "listing_id", "eligible", "score")
+
+
+@query(LEADER_SQL + """, best as (select listing_id, rank from dc where rank <= 25), old as (select c_custkey as listing_id, case when c_custkey % 2 = 0 then date '2001-11-05' else date '2001-11-04' end as day from customer where c_custkey % 3 = 0)
+select day as alert_date, listing_id, 0 as rank, false as fresh from old where day <> date '2001-11-05' union all select date '2001-11-05', b.listing_id, cast(b.rank as integer), o.listing_id is null from best b left join old o on o.listing_id = b.listing_id and o.day = date '2001-11-05'""")
+def replaced_alerts(spark, sf):
+    """Yesterday's alerts stay, today's are replaced; who was on the list before keeps its date."""
+    k = F.col("listing_id")
+    best = leaders_of(spark, sf)
+    old = offers(spark, sf).filter(k % 3 == 0).select(k, F.when(k % 2 == 0, F.lit("2001-11-05").cast("date")).otherwise(F.lit("2001-11-04").cast("date")).alias("alert_date"), "segment", "region", F.lit(0).alias("rank"), F.lit(0.0).alias("score"), F.lit("old").alias("score_version"), F.lit("2001-01-01").cast("timestamp").alias("created_at"))
+    now = leaders.replaced_day(old, best, "listing_id", F.to_date(as_of()), as_of())
+    return now.select("alert_date", "listing_id", "rank", (F.col("created_at") == as_of()).alias("fresh"))
+
+
 # ---- prose ------------------------------------------------------------------------------------------
 
 SAID = [

@@ -44,19 +44,19 @@ def street_key_sql(s: str) -> str:
 
 
 def buildings(spark, sf) -> DataFrame:
-    """Towns lie apart; a tenth of a town's buildings have strayed, and one town is two places of one name."""
+    """Towns lie apart; a tenth of a town's buildings have strayed, and one town is two places of one name. No place lies on a cell's border."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     street = F.concat(pick(PREFIXES, k), pick(FIRST, k), pick(SECOND, k), pick(THIRD, k))
     away = F.when(n % 6 == 4, F.when(k % 2 == 0, 0.4).otherwise(0.0)).otherwise(F.when(k % 10 == 0, 0.5).otherwise(0.0))
     address = F.when(k % 29 != 0, F.concat(street, F.when(k % 17 != 0, F.concat(F.lit(" "), number(k))).otherwise("")))
     return t(spark, sf, "customer").select(
-        k.alias("building_id"), address.alias("address"), pick(TOWNS, n).alias("city"), (F.lit(48.0) + n % 6 * 0.1 + k % 7 * 0.004 + away).alias("lat"), (F.lit(19.0) + n % 6 * 0.3 + k % 11 * 0.004).alias("lng")
+        k.alias("building_id"), address.alias("address"), pick(TOWNS, n).alias("city"), (F.lit(48.0007) + n % 6 * 0.1 + k % 7 * 0.004 + away).alias("lat"), (F.lit(19.0007) + n % 6 * 0.3 + k % 11 * 0.004).alias("lng")
     )
 
 
 BUILDINGS_SQL = f"""b0 as (select c_custkey as building_id, case when c_custkey % 29 <> 0 then {pick_sql(PREFIXES, 'c_custkey')} || {pick_sql(FIRST, 'c_custkey')} || {pick_sql(SECOND, 'c_custkey')} || {pick_sql(THIRD, 'c_custkey')} end as street,
   case when c_custkey % 17 <> 0 then {number_sql('c_custkey')} end as number, {key_sql(pick_sql(TOWNS, 'c_nationkey'))} as city_key,
-  48.0 + (c_nationkey % 6) * 0.1 + (c_custkey % 7) * 0.004 + case when c_nationkey % 6 = 4 then case when c_custkey % 2 = 0 then 0.4 else 0.0 end else case when c_custkey % 10 = 0 then 0.5 else 0.0 end end as lat, 19.0 + (c_nationkey % 6) * 0.3 + (c_custkey % 11) * 0.004 as lng from customer),
+  48.0007 + (c_nationkey % 6) * 0.1 + (c_custkey % 7) * 0.004 + case when c_nationkey % 6 = 4 then case when c_custkey % 2 = 0 then 0.4 else 0.0 end else case when c_custkey % 10 = 0 then 0.5 else 0.0 end end as lat, 19.0007 + (c_nationkey % 6) * 0.3 + (c_custkey % 11) * 0.004 as lng from customer),
 ix as materialized (select building_id, {street_key_sql('street')} as key, number, city_key, lat, lng from b0 where street is not null), st as (select key, min(building_id) as first from ix group by 1)"""
 
 ASKED_STREET, ASKED_TOWN = [*THIRD, "Meiera Józefa", "ks. Meiera", "Nieznana", "Generała Anny Bojki"], [None, "Kraków", "tarnow", "Bochnia", "Wieliczka"]

@@ -78,12 +78,12 @@ y as (select case when l_linenumber = 2 then 'T' else 'TX/' end || key as transa
   case when l_linenumber = 5 then 'not_sale' when p is null or p % 9 = 0 or p % 8 = 0 then 'not_flat' when spot is null then 'no_place' when o_orderkey is null then 'no_date' end as reason from x)"""
 
 
-@query(REGISTRY_SQL + """ select transaction_id, date, price, rnd(price / area, 4) as price_per_m2, area as area_m2, nullif(cast(p % 5 as integer), 0) as rooms, cast(p % 7 as varchar) as floor, case when p % 3 <> 0 then 'ul. Mała ' || (s % 40) end as street,
+@query(REGISTRY_SQL + """ select transaction_id, strftime(date, '%Y-%m-%d') as date, price, rnd(price / area, 4) as price_per_m2, area as area_m2, nullif(cast(p % 5 as integer), 0) as rooms, cast(p % 7 as varchar) as floor, case when p % 3 <> 0 then 'ul. Mała ' || (s % 40) end as street,
 case when p % 3 <> 0 and s % 4 <> 0 then cast(s % 99 as varchar) end as street_number, market, rnd(spot[1], 6) as lat, rnd(spot[2], 6) as lng, case when p % 5 <> 0 and s % 2 = 0 then '126105_9.' || s end as parcel_id from y where reason is null""")
 def registry_import(spark, sf):
     """What the import of the written files adds."""
     rows = registry.transactions(spark, registry_files(spark, sf)).filter("reason is null").drop("reason")
-    return rows.withColumns({"date": F.to_date("date"), "price_per_m2": r("price_per_m2"), "lat": r("lat", 6), "lng": r("lng", 6)})
+    return rows.withColumns({"date": F.date_format("date", "yyyy-MM-dd"), "price_per_m2": r("price_per_m2"), "lat": r("lat", 6), "lng": r("lng", 6)})
 
 
 @query(REGISTRY_SQL + " select coalesce(reason, 'imported') as reason, count(*) as n from y group by 1")
@@ -170,10 +170,10 @@ union all select '1261-G/' || p_partkey || '/U' || p_partkey, date '2020-05-01',
 """
 
 
-@query(PACKAGE_SQL + "select transaction_id, date, rnd(price, 2) as price, rnd(area_m2, 4) as area_m2, rnd(case when area_m2 >= 5 then price / area_m2 end, 4) as price_per_m2, rooms, floor, market, kind, rnd(lat, 6) as lat, rnd(lng, 6) as lng, parcel_id from z")
+@query(PACKAGE_SQL + "select transaction_id, strftime(date, '%Y-%m-%d') as date, rnd(price, 2) as price, rnd(area_m2, 4) as area_m2, rnd(case when area_m2 >= 5 then price / area_m2 end, 4) as price_per_m2, rooms, floor, market, kind, rnd(lat, 6) as lat, rnd(lng, 6) as lng, parcel_id from z")
 def package_rows(spark, sf):
     """All rows of the three tables in one shape, with coordinates out of their geometries."""
-    rows = packages.transactions(package_tables(spark, sf), "1261").withColumn("date", F.to_date("date"))
+    rows = packages.transactions(package_tables(spark, sf), "1261").withColumn("date", F.date_format("date", "yyyy-MM-dd"))
     return rows.withColumns({"price": r("price", 2), "area_m2": r("area_m2"), "price_per_m2": r("price_per_m2"), "lat": r("lat", 6), "lng": r("lng", 6)})
 
 

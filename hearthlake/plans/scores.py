@@ -143,14 +143,14 @@ def daily_leaders(spark, sf):
 
 
 @query(LEADER_SQL + """, best as (select listing_id, rank from dc where rank <= 25), old as (select c_custkey as listing_id, case when c_custkey % 2 = 0 then date '2001-11-05' else date '2001-11-04' end as day from customer where c_custkey % 3 = 0)
-select day as alert_date, listing_id, 0 as rank, false as fresh from old where day <> date '2001-11-05' union all select date '2001-11-05', b.listing_id, cast(b.rank as integer), o.listing_id is null from best b left join old o on o.listing_id = b.listing_id and o.day = date '2001-11-05'""")
+select strftime(day, '%Y-%m-%d') as alert_date, listing_id, 0 as rank, false as fresh from old where day <> date '2001-11-05' union all select '2001-11-05', b.listing_id, cast(b.rank as integer), o.listing_id is null from best b left join old o on o.listing_id = b.listing_id and o.day = date '2001-11-05'""")
 def replaced_alerts(spark, sf):
     """Yesterday's alerts stay, today's are replaced; who was on the list before keeps its date."""
     k = F.col("listing_id")
     best = leaders_of(spark, sf)
     old = offers(spark, sf).filter(k % 3 == 0).select(k, F.when(k % 2 == 0, F.lit("2001-11-05").cast("date")).otherwise(F.lit("2001-11-04").cast("date")).alias("alert_date"), "segment", "region", F.lit(0).alias("rank"), F.lit(0.0).alias("score"), F.lit("old").alias("score_version"), F.lit("2001-01-01").cast("timestamp").alias("created_at"))
     now = leaders.replaced_day(old, best, "listing_id", F.to_date(as_of()), as_of())
-    return now.select("alert_date", "listing_id", "rank", (F.col("created_at") == as_of()).alias("fresh"))
+    return now.select(F.date_format("alert_date", "yyyy-MM-dd").alias("alert_date"), "listing_id", "rank", (F.col("created_at") == as_of()).alias("fresh"))
 
 
 # ---- prose ------------------------------------------------------------------------------------------

@@ -89,8 +89,9 @@ def quantiles(df: DataFrame, keys: list[str], x: Column, at: dict[str, float], e
 
 
 def order_statistic(df: DataFrame, keys: list[str], x: Column, at: Callable[[Column], Column], name: str, times: Column | None = None) -> DataFrame:
-    """keys, name, n: the value at place ``at(n)``, from 0, of a group's n sorted values, each counted ``times`` (once)."""
-    return ranked(df, keys, x, {name: lambda n: at(n) + 1}, None if times is None else times.cast("long")).select(*keys, name, "n")
+    """keys, name, n: the value at place ``at(n)``, from 0, of a group's n sorted values, each counted ``times`` (once); without keys there is one row always."""
+    found = ranked(df, keys, x, {name: lambda n: at(n) + 1}, None if times is None else times.cast("long")).select(*keys, name, "n")
+    return found if keys else found.agg(F.max(name).alias(name), F.max("n").alias("n"))
 
 
 def upper_medians(df: DataFrame, keys: list[str], x: Column, name: str) -> DataFrame:

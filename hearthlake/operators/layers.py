@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.crs import once
 from ..shared import narrow
-from .spatial import near_shapes, points_in_rings
+from .spatial import BORDER, near_shapes, points_in_rings
 
 # Metres of a degree, the step of a slope, the grid of a share, roads' reach, chords and decimals of rings.
 LAT_M, LNG_M, STEP_M = 110_574.0, 111_320.0, 30.0
@@ -47,13 +47,13 @@ def terrain(points: DataFrame, key: str, tiles: DataFrame, cells: DataFrame) ->
     return z.select(key, F.col("c").alias("elevation_m"), F.when(F.col("c").isNotNull(), slope).alias("slope_deg"))
 
 
-def grid_share(points: DataFrame, key: str, rings: DataFrame, radius_m: float, cell: float = 0.01) -> DataFrame:
-    """key, share: how many of 5 x 5 spots within radius_m of a point lie in a ring at least."""
+def grid_share(points: DataFrame, key: str, rings: DataFrame, radius_m: float, cell: float = 0.01, inside: Column | None = None) -> DataFrame:
+    """key, share: how many of 5 x 5 spots within radius_m of a point lie in a ring at least; ``inside`` is as in points_in_rings."""
     up = F.lit(radius_m / LNG_M)
     aside = F.lit(radius_m) / (F.lit(LNG_M) * F.greatest(F.lit(0.2), F.cos(F.radians("lat"))))
     spots = F.explode(F.array(*(F.struct(F.lit(5 * i + j).alias("spot"), (F.col("lat") + a * up).alias("lat"), (F.col("lng") + b * aside).alias("lng")) for i, a in enumerate(GRID_STEPS) for j, b in enumerate(GRID_STEPS))))
     placed = points.filter("lat is not null and lng is not null")
-    hits = points_in_rings(placed.select(key, spots.alias("at")).select(key, "at.*"), rings, cell).select(key, "spot").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
+    hits = points_in_rings(placed.select(key, spots.alias("at")).select(key, "at.*"), rings, cell, inside=inside).select(key, "spot").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
     return placed.select(key).join(hits, key, "left").select(key, (F.coalesce("hits", F.lit(0)) / len(GRID_STEPS) ** 2).alias("share"))
 
 
@@ -67,14 +67,14 @@ def in_polygon(rings: Column, lat: Column, lng: Column) -> Column:
     return F.size(F.filter(rings, holds)) % 2 == 1
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, rings: str = "rings") -> DataFrame:
-    """Pairs of a point and a polygon (array of rings) that holds it. A polygon is copied to the cells that its box touches."""
+def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, rings: str = "rings", inside: Column | None = None) -> DataFrame:
+    """Pairs of a point and a polygon (array of rings) that holds it. A polygon is copied to the cells that its box touches; ``inside`` is as in points_in_rings."""
     p = points.filter("lat is not null and lng is not null").withColumns({"__ca": geo.cell(F.col("lat"), size), "__co": geo.cell(F.col("lng"), size)})
     corners = F.flatten(rings)
     lats, lngs = F.transform(corners, lambda q: q["lat"]), F.transform(corners, lambda q: q["lng"])
-    cells = lambda v: F.sequence(geo.cell(F.array_min(v), size), geo.cell(F.array_max(v), size))
+    cells = lambda v: F.sequence(geo.cell(F.array_min(v) - BORDER, size), geo.cell(F.array_max(v) + BORDER, size))
     g = polygons.filter(F.size(corners) > 0).withColumn("__ca", F.explode(cells(lats))).withColumn("__co", F.explode(cells(lngs)))
-    return p.join(g, ["__ca", "__co"]).filter(in_polygon(F.col(rings), F.col("lat"), F.col("lng"))).drop("__ca", "__co")
+    return p.join(g, ["__ca", "__co"]).filter(in_polygon(F.col(rings), F.col("lat"), F.col("lng")) if inside is None else inside).drop("__ca", "__co")
 
 
 def _kept(ring: Column, inner: Column, keep) -> Column:

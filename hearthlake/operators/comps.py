@@ -37,6 +37,33 @@ def weight(s: Selection) -> Column:
     return recency * near * size * rooms * market * place * listing
 
 
+def most_weight(s: Selection, ask: Column, newest: Column) -> Column:
+    """What no candidate of a target weighs more than, if none is newer and it lies at the same place."""
+    age = F.greatest(F.lit(0.0), (F.unix_timestamp("t_as_of") - F.unix_timestamp(newest)) / (30.44 * 86400))
+    return F.pow(F.lit(0.5), F.coalesce(age, F.lit(0.0)) / s.half_life_months) * F.when(ask, s.listing_weight).otherwise(2.0)
+
+
+def reach_m(s: Selection, bound: Column, most: Column) -> Column:
+    """Beyond which distance whatever weighs ``most`` at the place itself weighs less than ``bound``."""
+    return s.distance_scale_m * (most / bound - 1) * 1.000001 + 1.0
+
+
+def since(s: Selection, as_of: Column) -> Column:
+    return as_of - F.expr(f"interval {s.max_age_days} days")
+
+
+def in_time(s: Selection) -> Column:
+    d = F.col("c_date")
+    return d.isNull() | ((d <= F.col("t_as_of")) & (d >= since(s, F.col("t_as_of"))))
+
+
+def fits(s: Selection, level: int, c_area: str = "c_area", c_market: str = "c_market") -> Column:
+    """Whether a candidate is of a level's size and market, wherever it lies."""
+    low, high, same = s.bands[level]
+    size = (F.col(c_area) / F.greatest("t_area", F.lit(1e-6))).between(low, high)
+    return size & F.coalesce(F.col("t_market") == F.col(c_market), F.lit(True)) if same else size
+
+
 def select(pairs: DataFrame, s: Selection = Selection(), by: tuple[str, ...] = ("target_id",)) -> DataFrame:
     """pairs(target_id, t_*, c_*, distance_m) -> the rows of each target's tier with tier and weight, the best ``cap``.
 
@@ -45,16 +72,11 @@ def select(pairs: DataFrame, s: Selection = Selection(), by: tuple[str, ...] = (
     A tier is a level and a radius. A row carries the first radius of each level that admits it, so one
     count per target and tier decides: the first tier with enough rows, else the last that has any.
     """
-    ratio = F.col("c_area") / F.greatest("t_area", F.lit(1e-6))
-    in_time = F.col("c_date").isNull() | ((F.col("c_date") <= F.col("t_as_of")) & (F.col("c_date") >= F.col("t_as_of") - F.expr(f"interval {s.max_age_days} days")))
     tiers = []
-    for level, (low, high, same) in enumerate(s.bands):
-        fits = ratio.between(low, high)
-        if same:
-            fits &= F.coalesce(F.col("t_market") == F.col("c_market"), F.lit(True))
+    for level in range(len(s.bands)):
         for k, r in enumerate(s.radii_m):
-            tiers.append(F.when(fits & (F.col("distance_m").isNull() | (F.col("distance_m") <= r)), F.lit(level * len(s.radii_m) + k)))
-    rows = pairs.filter(in_time).withColumn("__tiers", F.array_compact(F.array(*tiers))).filter(F.size("__tiers") > 0)
+            tiers.append(F.when(fits(s, level) & (F.col("distance_m").isNull() | (F.col("distance_m") <= r)), F.lit(level * len(s.radii_m) + k)))
+    rows = pairs.filter(in_time(s)).withColumn("__tiers", F.array_compact(F.array(*tiers))).filter(F.size("__tiers") > 0)
     whole = Window.partitionBy(*by)
     for t in range(len(tiers)):
         rows = rows.withColumn(f"__n{t}", F.count_if(F.array_contains("__tiers", t)).over(whole))

@@ -1,6 +1,8 @@
 """Work that grows no faster than its input: what is joined, kept and dealt, counted."""
 
-from hearthlake.operators import geocode
+from pyspark.sql import functions as F
+
+from hearthlake.operators import comps, geocode, valuation
 
 
 def test_near_homes_first(spark, monkeypatch):
@@ -19,3 +21,17 @@ def test_near_homes_first(spark, monkeypatch):
     found = geocode.by_address(asked, geocode.street_index(homes), "id", 300.0).collect()
     assert {(x.id, x.building_id) for x in found} == {(7, 0), (8, 100)}
     assert sum(pairs) <= 200  # once the far homes of question 8, and the near one of question 7
+
+
+def test_comparables_bounded_by_those_close_by(spark, monkeypatch):
+    """Targets that differ by key only are asked for once, and sales that can't be chosen aren't ranked; the estimates stay the same."""
+    ranked, select = [], comps.select
+    monkeypatch.setattr(comps, "select", lambda pairs, *a, **k: ranked.append(pairs.count()) or select(pairs, *a, **k))
+    targets = spark.sql("select id as target_id, 50.0 as lat, 20.0 as lng, 60.0 as t_area, 1000.0 as t_offer, 1L as t_market, timestamp '2001-11-05' as t_as_of, 'plot' as t_kind, cast(null as int) as t_rooms from range(20)").withColumns({c: F.col(c).cast("double") for c in ("lat", "lng", "t_area", "t_offer")})
+    sets = "case when id % 3 = 0 then 'listing' when id % 7 = 0 then 'building' when id % 50 = 1 then null else 'rcn' end"
+    rows = spark.sql(f"select id + 10 as c_id, cast(50.0 + id / 40000 as double) as lat, 20.0D as lng, 50.0D + id % 21 as c_area, 5000.0D + id as c_price, timestamp '2001-06-01' - make_interval(0, 0, 0, cast(id % 300 as int)) as c_date, 1 + id % 2 as c_market, {sets} as c_set, cast(null as int) as c_rooms, 0.95D as c_ratio, 1.02D as c_factor from range(2000)")
+    pruned = valuation.sale_estimates(targets, rows, comps.Selection(radii_m=(5000.0,)), 0.9).collect()
+    monkeypatch.setattr(valuation, "_least_weights", lambda t, c, s: t.select("target_id", "__kind", F.lit(None).cast("double").alias("__bound")).limit(0))
+    assert sorted(pruned) == sorted(valuation.sale_estimates(targets, rows, comps.Selection(radii_m=(5000.0,)), 0.9).collect())
+    assert len(pruned) == 20 and all(x.fair for x in pruned)
+    assert ranked[0] < ranked[1] / 5 and ranked[1] < 13 * 1800  # ten of the targets are candidates, too: eleven questions

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut
 from .crs import once
 
 LOOK_BACK = 60
@@ -84,7 +85,12 @@ def heating_of(column: Column, attribute: Column, fact: Column, s: Column) -> Co
 
 def _amount(window: Column) -> Column:
     n = F.regexp_replace(F.regexp_extract(window, java(AMOUNT), 1), "[  ]", "").try_cast("int")
-    return F.when(n.between(LEAST_FEE, MOST_FEE), n)
+    return once(n, lambda v: F.when(v.between(LEAST_FEE, MOST_FEE), v))
+
+
+def _may_have_amount(s: Column) -> Column:
+    """Cheap, and true wherever a part of the text has an amount."""
+    return s.rlike(r"\d\d") & s.rlike("(?iu)zł|zl|pln")
 
 
 def fees(s: Column, rent: Column | None = None) -> Column:
@@ -94,25 +100,28 @@ def fees(s: Column, rent: Column | None = None) -> Column:
     first line that has one, then the first line that isn't the rent itself. Lines of deposits don't count.
     """
     plain = F.regexp_replace(s, "<[^>]+>", "\n")
-    lines = F.filter(F.split(plain, "\r?\n"), lambda x: ~x.rlike(java(DEPOSIT)))
+    lines = F.filter(F.split(plain, "\r?\n"), lambda x: _may_have_amount(x) & ~x.rlike(java(DEPOSIT)))
     named = java(f"({FEE})(?=([^\\n]{{0,{REACH}}}))")
     phrases = F.zip_with(F.regexp_extract_all(plain, F.lit(named), F.lit(1)), F.regexp_extract_all(plain, F.lit(named), F.lit(2)), lambda m, w: F.when(~m.rlike(java(RENT)), _amount(w)))
     explicit = F.get(F.array_compact(phrases), F.lit(0))
     behind = lambda x, words: _amount(F.regexp_extract(x, java(f"(?:{words})(.{{0,{REACH}}})"), 1))
-    fee_lines = F.filter(F.transform(lines, lambda x: F.struct(F.when(~x.rlike(java(RENT)), behind(x, ANCHOR)).alias("n"), x.rlike(java(FEE_LINE)).alias("admin"))), lambda x: x["n"].isNotNull())
-    other = F.filter(fee_lines, lambda x: ~x["admin"] & (F.lit(True) if rent is None else rent.isNull() | (F.abs(x["n"] - rent) >= 1)))
-    czynsz = F.coalesce(explicit, F.get(F.filter(fee_lines, lambda x: x["admin"]), F.lit(0))["n"], F.get(other, F.lit(0))["n"])
-    first = lambda words: F.get(F.array_compact(F.transform(lines, lambda x: behind(x, words))), F.lit(0))
-    each = {k: first(words) for k, words in FEES.items()}
-    named_fees = F.struct(czynsz.alias("czynsz"), *(v.alias(k) for k, v in each.items()))
+
+    def czynsz(rows: Column) -> Column:
+        said = F.filter(F.transform(rows, lambda x: F.struct(F.when(~x.rlike(java(RENT)), behind(x, ANCHOR)).alias("n"), x.rlike(java(FEE_LINE)).alias("admin"))), lambda x: x["n"].isNotNull())
+        own = lambda x: ~x["admin"] & (F.lit(True) if rent is None else rent.isNull() | (F.abs(x["n"] - rent) >= 1))
+        return once(said, lambda f: F.coalesce(F.get(F.filter(f, lambda x: x["admin"]), F.lit(0))["n"], F.get(F.filter(f, own), F.lit(0))["n"]))
+
+    first = lambda rows, words: F.get(F.array_compact(F.transform(rows, lambda x: behind(x, words))), F.lit(0))
+    named_fees = once(lines, lambda rows: F.struct(F.coalesce(explicit, czynsz(rows)).alias("czynsz"), *(first(rows, words).alias(k) for k, words in FEES.items())))
     short = F.left(F.trim(F.regexp_replace(plain, r"\s+", " ")), F.lit(KEPT))
     whole = once(named_fees, lambda f: F.when(F.coalesce(*(f[k] for k in ("czynsz", *FEES))).isNotNull(), F.struct(*(f[k].alias(k) for k in ("czynsz", *FEES)), short.alias("text"))))
-    return F.when(s.rlike(java(r"czynsz|op[łl]at|koszt|\bco\b|ogrzew|" + "|".join(FEES.values()))), whole)  # most texts name none
+    return F.when(_may_have_amount(s) & s.rlike(java(r"czynsz|op[łl]at|koszt|\bco\b|ogrzew|" + "|".join(FEES.values()))), whole)  # most texts name none
 
 
 def with_fees(offers: DataFrame, key: str, building: str, district: str, fee: str = "fees") -> DataFrame:
     """offers with ``fee`` filled in and ``estimated``: the offer's own, else those of the first offer of its building, or, where the building isn't
     known, of its district."""
+    offers = cut(offers)  # what texts state is found once, not for each of the three uses
     known = offers.filter(F.col(fee).isNotNull())
     donor = lambda by, name: known.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min_by(fee, key).alias(name))
     j = offers.join(donor(building, "__b"), building, "left").join(donor(district, "__d"), district, "left")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from hearthlake.functions import prose
 from hearthlake.operators import comps, geocode, valuation
 
 
@@ -35,3 +36,17 @@ def test_comparables_bounded_by_those_close_by(spark, monkeypatch):
     assert sorted(pruned) == sorted(valuation.sale_estimates(targets, rows, comps.Selection(radii_m=(5000.0,)), 0.9).collect())
     assert len(pruned) == 20 and all(x.fair for x in pruned)
     assert ranked[0] < ranked[1] / 5 and ranked[1] < 13 * 1800  # ten of the targets are candidates, too: eleven questions
+
+
+def test_fees_are_found_once(spark, monkeypatch):
+    """Texts are read once, though offers, donors of buildings and donors of districts all need what they state."""
+    kept, cut = [], prose.cut
+    monkeypatch.setattr(prose, "cut", lambda df: kept.append(df) or cut(df))
+    rows = [(1, 7, "x", "Czynsz administracyjny: 780 zł\nprąd 90,50 zł, woda 1 200 pln"), (2, 7, "x", "bez opłat"), (3, None, "x", "gaz wg zużycia 12\n<p>gaz</p> 55 zł"), (4, None, "x", "co: 40 plny, 77 zł")]
+    o = spark.createDataFrame(rows, "id long, building long, district string, said string").withColumn("fees", prose.fees(F.col("said"))).drop("said")
+    got = {x.id: x for x in prose.with_fees(o, "id", "building", "district").collect()}
+    assert len(kept) == 1
+    assert (got[1].fees.czynsz, got[1].fees.prad, got[1].fees.woda, got[1].estimated) == (780, 90, 1200, False)
+    assert (got[2].fees.czynsz, got[2].estimated) == (780, True)
+    assert got[3].estimated and got[3].fees.czynsz == 780  # a word and its amount stand in one line
+    assert (got[4].fees.ogrzewanie, got[4].estimated) == (77, False)

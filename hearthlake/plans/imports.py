@@ -42,8 +42,16 @@ def _ref(there, prefix: str, k):
     return F.when(there, F.struct(F.concat(F.lit(prefix), k.cast("string")).alias("_xlink:href")))
 
 
-def registry_files(spark, sf) -> str:
-    """Lines as transactions of parts (properties with a unit), which have a supplier's parcel, building and address; orders as documents."""
+#: Of a written file, which one task has to read.
+ROWS_A_FILE = 50_000
+
+
+def _write_xml(df: DataFrame, folder: str, root: str, row: str) -> None:
+    df.write.format("xml").option("rootTag", root).option("rowTag", row).option("validateName", False).option("maxRecordsPerFile", ROWS_A_FILE).save(folder)
+
+
+def registry_files(spark, sf) -> dict[str, str]:
+    """Folders by type: lines as transactions of parts (properties with a unit), which have a supplier's parcel, building and address; orders as documents."""
     folder = shared_folder(spark, "registry")
     ident = lambda prefix, k: F.concat(F.lit(prefix), k.cast("string")).alias("_gml:id")
     k, n, p, s, o = F.col("l_orderkey"), F.col("l_linenumber"), F.col("p_partkey"), F.col("s_suppkey"), F.col("o_orderkey")
@@ -65,8 +73,8 @@ def registry_files(spark, sf) -> str:
         "RCN_Budynek": suppliers.select(ident("B", s), _pos(s + 3, s % 3 == 1).alias("rcn:georeferencja")),
     }
     for kind, df in kinds.items():
-        df.write.format("xml").option("rootTag", f"registry {NAMESPACES}").option("rowTag", f"rcn:{kind}").option("validateName", False).save(f"{folder}/{kind}")
-    return folder
+        _write_xml(df, f"{folder}/{kind}", f"registry {NAMESPACES}", f"rcn:{kind}")
+    return {kind: f"{folder}/{kind}" for kind in kinds}
 
 
 REGISTRY_SQL = f"""with own as (select l_partkey, min(l_suppkey) as s from lineitem group by 1), pr as (select p_partkey as p, coalesce(s, 1) as s from part left join own on l_partkey = p_partkey),
@@ -237,7 +245,7 @@ def survey_files(spark, sf) -> str:
 
     c = t(spark, sf, "customer")
     pages = page(c, 2021).unionByName(page(c.filter(k % 3 == 2), 2022))
-    pages.write.format("xml").option("rootTag", 'FeatureCollection xmlns:ms="urn:ms" xmlns:gml="http://www.opengis.net/gml/3.2"').option("rowTag", "ms:dzialki").option("validateName", False).save(folder)
+    _write_xml(pages, folder, 'FeatureCollection xmlns:ms="urn:ms" xmlns:gml="http://www.opengis.net/gml/3.2"', "ms:dzialki")
     return folder
 
 

@@ -1,7 +1,7 @@
 """The city registry's XML: features by type, joined along their references to one row a transaction.
 
 Each type is one scan of the files by its row tag; a file is read by one task, feature by feature, so a large registry comes in
-several files (any types in any of them). Positions lie at any depth of a feature, so what the schema doesn't name is kept
+several files (any types in any of them). If the types lie in folders of their own, a path for each type spares the scans of the others' files. Positions lie at any depth of a feature, so what the schema doesn't name is kept
 as text and searched. References may be hot (one property with a third of the transactions); the joins are equi-joins on
 ids of a table with one row an id, which Spark splits where they are skewed.
 """
@@ -57,8 +57,9 @@ def ring(text: Column) -> Column:
     return F.when(F.size(out) >= 4, out)
 
 
-def features(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """id, the fields and references of a type, pos_text, ring_text (null if there is none)."""
+def features(spark: SparkSession, path: str | dict[str, str], kind: str) -> DataFrame:
+    """id, the fields and references of a type, pos_text, ring_text (null if there is none). ``path`` has files of all types, or is a path by type."""
+    path = path[kind] if isinstance(path, dict) else path
     fields, refs = TYPES[kind]
     columns = ["_id string", *(f"{f} array<string>" for f in fields), *(f"{r} array<struct<_href: string>>" for r in refs), "xs_any array<string>"]
     reader = spark.read.format("xml").option("rowTag", kind).option("ignoreNamespace", True).option("multiLine", True).option("recursiveFileLookup", True)
@@ -69,7 +70,7 @@ def features(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return reader.schema(", ".join(columns)).load(path).select(F.col("_id").alias("id"), *one, *last, inside("pos").alias("pos_text"), inside("posList").alias("ring_text"))
 
 
-def parcels(spark: SparkSession, path: str) -> DataFrame:
+def parcels(spark: SparkSession, path: str | dict[str, str]) -> DataFrame:
     """id, registry_id, ring, lat, lng (the box's centre), south, north, west, east: parcels with a usable surface."""
     p = features(spark, path, "RCN_Dzialka").select("id", F.trim("idDzialki").alias("registry_id"), ring(F.col("ring_text")).alias("ring")).filter("registry_id <> '' and ring is not null")
     lats, lngs = F.transform("ring", lambda q: q["lat"]), F.transform("ring", lambda q: q["lng"])
@@ -77,7 +78,7 @@ def parcels(spark: SparkSession, path: str) -> DataFrame:
     return p.withColumns({"lat": (F.col("south") + F.col("north")) / 2, "lng": (F.col("west") + F.col("east")) / 2})
 
 
-def transactions(spark: SparkSession, path: str) -> DataFrame:
+def transactions(spark: SparkSession, path: str | dict[str, str]) -> DataFrame:
     """One row for each transaction; ``reason`` tells why it isn't imported (not_sale, not_flat, no_place, no_date; null if it is).
 
     transaction_id, date, price, price_per_m2, area_m2, rooms, floor, street, street_number, market, lat, lng, parcel_id, reason. The point is

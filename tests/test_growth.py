@@ -50,3 +50,16 @@ def test_fees_are_found_once(spark, monkeypatch):
     assert (got[2].fees.czynsz, got[2].estimated) == (780, True)
     assert got[3].estimated and got[3].fees.czynsz == 780  # a word and its amount stand in one line
     assert (got[4].fees.ogrzewanie, got[4].estimated) == (77, False)
+
+
+def test_registry_types_and_files(spark, monkeypatch, tmp_path):
+    """A type is read from its own folder only, and no file, which one task reads, has more than some rows."""
+    from hearthlake.plans import imports
+    from hearthlake.sources import registry
+
+    monkeypatch.setattr(imports, "ROWS_A_FILE", 10)
+    paths = imports.registry_files(spark, "/root/testdata/sf0.001")
+    read = registry.features(spark, paths, "RCN_Lokal")
+    assert {f.split("/")[-2] for f in read.inputFiles()} == {"RCN_Lokal"}
+    assert read.groupBy(F.input_file_name()).count().filter("count > 10").count() == 0
+    assert read.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()

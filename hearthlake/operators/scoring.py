@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,13 +66,26 @@ class Signal:
 NO_REASONS = "cast(array() as array<struct<label: string, impact: double>>)"
 
 
-def component(base: Column | float, signals: list[Signal], confidence: Column | float, flags: list[tuple[str, Column]] = ()) -> Column:
-    """struct<score, confidence, reasons, flags>."""
+class Component(NamedTuple):
+    """Columns of their own, so that reasons and flags aren't made where only scores are asked for."""
+
+    score: Column
+    confidence: Column
+    reasons: Column
+    flags: Column
+
+
+def component(base: Column | float, signals: list[Signal], confidence: Column | float, flags: list[tuple[str, Column]] = ()) -> Component:
     score = reduce(add, (s.worth() for s in signals), F.lit(base).cast("double"))
     shown = [s.shown() for s in signals if s.label is not None]
     reasons = F.array_compact(F.array(*shown)) if shown else F.expr(NO_REASONS)
     raised = F.array_compact(F.array(*(F.when(on, F.lit(name)) for name, on in flags))) if flags else F.expr("cast(array() as array<string>)")
-    return F.struct(clamp(score).alias("score"), F.lit(confidence).cast("double").alias("confidence"), reasons.alias("reasons"), raised.alias("flags"))
+    return Component(clamp(score), F.lit(confidence).cast("double"), reasons, raised)
+
+
+def chosen(cases: list[tuple[Column, Component]], other: Component) -> Component:
+    """Of the first case that holds, else the other."""
+    return Component(*(reduce(lambda out, case: F.when(case[0], case[1]).otherwise(out), reversed([(on, c[n]) for on, c in cases]), other[n]) for n in range(len(other))))
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -159,7 +173,7 @@ def prepared(offers: DataFrame) -> DataFrame:
     return out.withColumns({"zone_m": F.col("__zone.m"), "zone_name": F.col("__zone.name"), "rail_m": F.col("__rail.m"), "rail_name": F.col("__rail.name"), "rail_planned": F.coalesce("__rail.planned", F.lit(False))}).drop("__zone", "__rail")
 
 
-def value(o: Offer) -> Column:
+def value(o: Offer) -> Component:
     known = (o.price > 0) & (o.est_fair > 0)
     off = 1 - o.price / o.est_fair
     few_sales = F.coalesce(o.est_rcn, F.lit(0)) < 3
@@ -175,7 +189,7 @@ def value(o: Offer) -> Column:
         Signal(off <= -0.03, 0, F.concat(whole(F.abs(off) * 100), F.lit("% above the local comparable median")), -F.least(F.lit(35.0), F.abs(off) * 100)),
     ]
     there = component(value_curve(off), signals, trust, [("few_comparables", n < 5), ("listing_only_comps", few_sales)])
-    return F.when(known, there).otherwise(component(40, [], 0.15, [("no_comparable_estimate", F.lit(True))]))
+    return chosen([(known, there)], component(40, [], 0.15, [("no_comparable_estimate", F.lit(True))]))
 
 
 def in_tram_city(o: Offer) -> Column:
@@ -183,11 +197,11 @@ def in_tram_city(o: Offer) -> Column:
     return city.isin("krakow", "katowice") | city.startswith("katowice ")
 
 
-def nowhere() -> Column:
+def nowhere() -> Component:
     return component(45, [], 0.2, [("missing_coordinates", F.lit(True))])
 
 
-def transit(o: Offer) -> Column:
+def transit(o: Offer) -> Component:
     flat = o.segment == "flat"
     tram_flat = flat & in_tram_city(o)
     centre = F.when(flat & o.zone_m.isNotNull(), banded(o.zone_m, ZONE)).otherwise(banded(o.center_m, CENTRE))
@@ -204,10 +218,10 @@ def transit(o: Offer) -> Column:
         Signal(~flat & (o.rail_m <= RAIL_M), 0, F.concat(F.when(o.rail_planned, "KDP ").otherwise("kolej 200+ "), o.rail_name, F.lit(" ("), F.translate(kilometres(o.rail_m), ".", ","), F.lit(" km)")), F.when(o.rail_planned, 10).otherwise(7)),
         Signal(line < 100, -20, "railway line within 100 m", -12), Signal((line >= 100) & (line < 200), -12, "railway line within 200 m", -8), Signal((line >= 200) & (line < 400), -5, "railway line within 400 m", -4),
     ]
-    return F.when(o.geo_known, component(mixed, signals, 0.85, [("rail_noise", line < 200)])).otherwise(nowhere())
+    return chosen([(o.geo_known, component(mixed, signals, 0.85, [("rail_noise", line < 200)]))], nowhere())
 
 
-def green(o: Offer) -> Column:
+def green(o: Offer) -> Component:
     forest_share, water_share, parks = F.coalesce(o.forest_share, F.lit(0.0)), F.coalesce(o.water_share, F.lit(0.0)), F.coalesce(o.park_count, F.lit(0.0))
     forest = banded(o.forest_m, NATURE) * 0.65 + clamp(forest_share * 100) * 0.35
     water = clamp(F.greatest(banded(o.lake_m, NATURE), banded(o.river_m, NATURE)) + F.least(F.lit(10.0), water_share * 25))
@@ -218,7 +232,7 @@ def green(o: Offer) -> Column:
         Signal(o.forest_m <= 600, 0, F.concat(whole(o.forest_m), F.lit(" m to forest")), 8), Signal(forest_share >= 0.4, 0, F.concat(F.lit("forest covers about "), whole(forest_share * 100), F.lit("% of the 500 m area")), 10),
         Signal(near <= 600, 0, F.concat(whole(near), F.lit(" m to water")), 8), Signal(water_share >= 0.15, 0, F.concat(F.lit("water covers about "), whole(water_share * 100), F.lit("% of the 1 km area")), 6),
     ]
-    return F.when(o.geo_known, component(base, signals, 0.8)).otherwise(nowhere())
+    return chosen([(o.geo_known, component(base, signals, 0.8))], nowhere())
 
 
 def points_of(c: Column, table: list[tuple[Column, float]]) -> Column:
@@ -262,7 +276,7 @@ def style(o: Offer) -> Column:
     return F.coalesce(*(F.when(o.fact_style == k, pair(*v)) for k, v in said.items()), *(F.when(matches(s, p), pair(name, label)) for s, p, name, label in rules))
 
 
-def flat_property(o: Offer) -> Column:
+def flat_property(o: Offer) -> Component:
     floor, lift = floor_number(o), o.has("has_elevator")
     outside = o.has("has_garden") | o.has("has_terrace")
     at = F.when(floor < 0, -25).when(floor == 0, F.when(outside, -2).otherwise(-8)).when(floor <= 3, 6).when(floor <= 6, F.when(lift, 3).otherwise(-3)).when(floor > 6, F.when(lift, 3).otherwise(-10))
@@ -293,7 +307,7 @@ def character(o: Offer) -> list[Signal]:
     ]
 
 
-def house_property(o: Offer) -> Column:
+def house_property(o: Offer) -> Component:
     land, kind, cond = o.plot_area_m2, o.low("building_type"), condition_points(o)
     has = {"has_garage": 6, "has_garden": 8, "has_terrace": 3, "has_parking": 5, "has_basement": 3}
     signals = [
@@ -305,7 +319,7 @@ def house_property(o: Offer) -> Column:
     return component(60, signals, 0.6)
 
 
-def plot_property(o: Offer) -> Column:
+def plot_property(o: Offer) -> Component:
     said = F.concat_ws("\n", F.coalesce(o.title, F.lit("")), F.coalesce(o.description, F.lit("")))
     missing = matches(said, MEDIA_MISSING)
     kind, area, road = o.low("plot_type"), F.coalesce(o.plot_area_m2, o.area_m2), o.road_m
@@ -322,7 +336,7 @@ def plot_property(o: Offer) -> Column:
     return component(60, signals, 0.55)
 
 
-def risk(o: Offer) -> Column:
+def risk(o: Offer) -> Component:
     own, line, factor = o.low("ownership"), o.rail_line_m, o.est_factor
     estimated = o.est_n.isNotNull()
     points = {
@@ -398,37 +412,38 @@ def alert_parts(offers: DataFrame) -> DataFrame:
     given = offers.filter(F.col("segment").isin(*WEIGHTS))
     df = prepared(given if "geo_known" in given.columns else given.withColumn("geo_known", F.lit(True)))
     o = Offer(df)
-    made = {"value": value(o), "transit": transit(o), "green": green(o), "property": F.when(o.segment == "flat", flat_property(o)).when(o.segment == "house", house_property(o)).otherwise(plot_property(o)), "risk": risk(o)}
+    made = {"value": value(o), "transit": transit(o), "green": green(o), "property": chosen([(o.segment == "flat", flat_property(o)), (o.segment == "house", house_property(o))], plot_property(o)), "risk": risk(o)}
     extra = bonuses(o)
-    df = df.withColumns({f"__{k}": v for k, v in made.items()} | {"__bonus": reduce(add, (s.worth() for s in extra)), "__extra": F.array_compact(F.array(*(s.shown() for s in extra)))})
+    df = df.withColumns({f"__{k}_{part}": c for k, v in made.items() for part, c in v._asdict().items()} | {"__bonus": reduce(add, (s.worth() for s in extra)), "__extra": F.array_compact(F.array(*(s.shown() for s in extra)))})
     weight = {k: F.coalesce(*(F.when(F.col("segment") == s, w[n]) for s, w in WEIGHTS.items())) for n, k in enumerate(COMPONENTS)}
-    raw = reduce(add, (F.col(f"__{k}.score") * weight[k] for k in COMPONENTS)) / reduce(add, weight.values())
-    sure = reduce(add, (F.col(f"__{k}.confidence") * weight[k] for k in COMPONENTS))
+    raw = reduce(add, (F.col(f"__{k}_score") * weight[k] for k in COMPONENTS)) / reduce(add, weight.values())
+    sure = reduce(add, (F.col(f"__{k}_confidence") * weight[k] for k in COMPONENTS))
     discount = F.when((o.price > 0) & (o.est_fair > 0), (1 - o.price / o.est_fair) * 100)
     df = df.withColumns({"__sure": sure, "__weighted": clamp(50 + (raw - 50) * (0.65 + 0.35 * sure)), "__off": discount})
     total = clamp(F.col("__weighted") + F.col("__bonus") * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (100 - F.col("__weighted")) / HEADROOM)))
-    failed = F.array_compact(F.array(*(F.when(fails, F.lit(name)) for name, fails in gates(o, F.col("__off"), F.col("__sure"), F.col("__value.score")))))
-    weighed = lambda k: F.transform(F.col(f"__{k}.reasons"), lambda x: F.struct(x["label"].alias("label"), (x["impact"] * weight[k]).alias("impact")))
+    failed = F.array_compact(F.array(*(F.when(fails, F.lit(name)) for name, fails in gates(o, F.col("__off"), F.col("__sure"), F.col("__value_score")))))
+    weighed = lambda k: F.transform(F.col(f"__{k}_reasons"), lambda x: F.struct(x["label"].alias("label"), (x["impact"] * weight[k]).alias("impact")))
     reasons = F.filter(F.concat(*map(weighed, COMPONENTS), "__extra"), lambda x: F.abs(x["impact"]) >= 1)
     ranked = F.sort_array(F.transform(reasons, lambda x, k: F.struct((-F.abs(x["impact"])).alias("by"), k.alias("at"), x.alias("x"))))
     tenth = lambda x: stats.half_up(x * 10) / 10
     told = F.transform(F.slice(ranked, 1, SHOWN), lambda x: F.struct(x["x"]["label"].alias("label"), tenth(x["x"]["impact"]).alias("impact"), F.when(x["x"]["impact"] >= 0, "positive").otherwise("negative").alias("direction")))
-    flags = F.array_distinct(F.concat(*(F.col(f"__{k}.flags") for k in COMPONENTS), F.when((F.col("segment") == "flat") & (F.col("class_kind") == "unknown"), F.array(F.lit("building_class_unknown"))).otherwise(F.expr("cast(array() as array<string>)"))))
-    out = df.withColumns({f"{k}_raw": F.col(f"__{k}.score") for k in COMPONENTS} | {"total_raw": total, "confidence_raw": F.col("__sure"), "discount_raw": F.col("__off"), "gate_failures": failed, "reasons": told, "flags": flags})
+    flags = F.array_distinct(F.concat(*(F.col(f"__{k}_flags") for k in COMPONENTS), F.when((F.col("segment") == "flat") & (F.col("class_kind") == "unknown"), F.array(F.lit("building_class_unknown"))).otherwise(F.expr("cast(array() as array<string>)"))))
+    out = df.withColumns({f"{k}_raw": F.col(f"__{k}_score") for k in COMPONENTS} | {"total_raw": total, "confidence_raw": F.col("__sure"), "discount_raw": F.col("__off"), "gate_failures": failed, "reasons": told, "flags": flags})
     out = out.withColumns({"eligible": F.size("gate_failures") == 0, "gate_reason": F.get("gate_failures", F.lit(0)), "fallback_eligible": (F.size("gate_failures") > 0) & (F.size(F.array_except("gate_failures", F.array(*map(F.lit, SUPPORTS_FALLBACK)))) == 0)})
-    return out.drop(*(f"__{k}" for k in COMPONENTS), "__bonus", "__extra", "__sure", "__weighted", "__off")
+    return out.drop(*(f"__{k}_{part}" for k in COMPONENTS for part in Component._fields), "__bonus", "__extra", "__sure", "__weighted", "__off")
 
 
-def alert_scores(offers: DataFrame, version: str = VERSION) -> DataFrame:
+def alert_scores(offers: DataFrame, version: str = VERSION, only: list[str] | None = None) -> DataFrame:
     """alert_parts as they are stored: score_version, a whole score for each component, total_score, confidence and discount_pct rounded.
 
-    Cut off in the shared folder, so that filters behind it don't repeat the whole score.
+    Cut off in the shared folder, so that filters behind it don't repeat the whole score; with ``only``, just these columns are made and kept.
     """
     parts = alert_parts(offers)
     tenth = lambda x: stats.half_up(x * 10) / 10
     rounded = {f"{k}_score": stats.half_up(F.col(f"{k}_raw")).cast("int") for k in COMPONENTS}
     rounded |= {"score_version": F.lit(version), "total_score": tenth(F.col("total_raw")), "confidence": stats.half_up(F.col("confidence_raw") * 100) / 100, "discount_pct": tenth(F.col("discount_raw"))}
-    return cut(parts.withColumns(rounded).drop(*(f"{k}_raw" for k in COMPONENTS), "total_raw", "confidence_raw", "discount_raw"))
+    scores = parts.withColumns(rounded).drop(*(f"{k}_raw" for k in COMPONENTS), "total_raw", "confidence_raw", "discount_raw")
+    return cut(scores if only is None else scores.select(*only))
 
 
 def score_base(listings: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prose
 from ..operators import leaders, quality, scoring
+from ..shared import spread
 from .catalog import as_of, query, r, t
 
 INPUTS = {
@@ -32,7 +33,7 @@ INPUTS = {
 
 
 def offers(spark, sf) -> DataFrame:
-    return t(spark, sf, "customer").select(*(F.expr(e).alias(name) for name, e in INPUTS.items()))
+    return spread(t(spark, sf, "customer"), "c_custkey").select(*(F.expr(e).alias(name) for name, e in INPUTS.items()))
 
 
 def bands_sql(m: str, bands) -> str:
@@ -133,7 +134,7 @@ def leaders_of(spark, sf):
     ident = F.col("listing_id")
     street = F.concat(F.lit("ul. Krótka "), (ident % 40).cast("string"))
     shown = o.select(ident, (ident % 10 != 3).alias("is_visible"), F.lit(True).alias("is_active"), "city", street.alias("street"), "area_m2", "price", F.lit(None).cast("string").alias("investment_id"), street.alias("investment_title"))
-    return leaders.leaderboard(scoring.alert_scores(o), shown, "listing_id", scoring.VERSION)
+    return leaders.leaderboard(scoring.alert_scores(o, only=["listing_id", *leaders.SCORED]), shown, "listing_id", scoring.VERSION)
 
 
 @query(LEADER_SQL + " select segment, cast(rank as integer) as rank, listing_id, eligible, total as score from dc where rank <= 25")

@@ -63,3 +63,11 @@ def test_registry_types_and_files(spark, monkeypatch, tmp_path):
     assert {f.split("/")[-2] for f in read.inputFiles()} == {"RCN_Lokal"}
     assert read.groupBy(F.input_file_name()).count().filter("count > 10").count() == 0
     assert read.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+
+
+def test_offers_are_dealt(spark):
+    """A small file of offers isn't scored by one task."""
+    from hearthlake.plans import scores
+
+    assert spark.read.parquet("/root/testdata/sf0.001/customer.parquet").rdd.getNumPartitions() == 1
+    assert scores.offers(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4

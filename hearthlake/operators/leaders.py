@@ -27,6 +27,8 @@ def investment_key() -> Column:
 
 # Gates of the pool, the list's length, how many units of one investment may be on it.
 LEAST_VALUE, LEAST_CONFIDENCE, LEAST_DISCOUNT, TOP, PER_INVESTMENT = 55, 0.5, 10, 25, 2
+#: What of a score the leaderboard reads.
+SCORED = ["score_version", "segment", "region", "total_score", "value_score", "confidence", "discount_pct", "eligible", "fallback_eligible"]
 
 
 def leaderboard(scores: DataFrame, listings: DataFrame, key: str, version: str) -> DataFrame:
@@ -37,7 +39,7 @@ def leaderboard(scores: DataFrame, listings: DataFrame, key: str, version: str)
     """
     shown = listings.filter("is_active and is_visible").select(key, "city", "street", "area_m2", "price", "investment_id", "investment_title")
     past = (F.col("eligible") | F.col("fallback_eligible")) & (F.col("value_score") >= LEAST_VALUE) & (F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("discount_pct") >= LEAST_DISCOUNT)
-    scored = scores.select(key, "score_version", "segment", "region", "total_score", "value_score", "confidence", "discount_pct", "eligible", "fallback_eligible")
+    scored = scores.select(key, *SCORED)
     pool = scored.filter((F.col("score_version") == version) & past).join(shown, key)
     keyed = pool.withColumns({"__dup": duplicate_key(), "__inv": investment_key()})
     out = capped(keyed, "segment", [F.desc("eligible"), F.desc("total_score"), F.asc(key)], "__dup", "__inv", TOP, PER_INVESTMENT)
@@ -55,13 +57,14 @@ def replaced_day(alerts: DataFrame, best: DataFrame, key: str, day: Column, now:
     return others.unionByName(new.select(*alerts.columns))
 
 
-def capped(df: DataFrame, segment: str, order: list[Column], duplicate: str, owner: str, most: int = 25, per_owner: int = 2, pool: int = 900) -> DataFrame:
+def capped(df: DataFrame, segment: str, order: list[Column], duplicate: str, owner: str, most: int = 25, per_owner: int = 2, pool: int = 0) -> DataFrame:
     """The best ``most`` of each segment in order, without repeats of a duplicate key and with at most per_owner of an owner.
 
     A row skipped as a duplicate takes no place of its owner; one skipped for its owner doesn't mark its key. So rows
-    are folded in order. A fold over a segment's first ``pool`` rows is final once it has found ``most`` or the
-    segment has no more; Spark limits those groups before it deals rows, as the pool is under a thousand. Only segments
-    that are unfinished are folded again, over eight times as many rows, and so on.
+    are folded in order; a skipped row changes nothing, so rows that can't be taken are dropped before. Of one owner's rows of a key that is the first
+    (without a key the first per_owner); a taken row has fewer than ``most`` rows of its owner ahead, as each of them is taken or has its key taken, and
+    of its key only such whose owners are full. So at most some hundred rows of a segment are folded (``pool``, if that is more), and Spark limits groups of under a
+    thousand before it deals rows.
     """
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
@@ -79,17 +82,17 @@ def capped(df: DataFrame, segment: str, order: list[Column], duplicate: str, own
         out = part.sort_values("__nr").iloc[rows].drop(columns="__nr")
         return out.assign(rank=range(1, len(out) + 1))
 
+    def first(rows: DataFrame, limit: int, *by: Column) -> DataFrame:
+        return rows.withColumn("__nr", F.row_number().over(Window.partitionBy(segment, *by).orderBy(*order))).filter(F.col("__nr") <= limit)
+
+    full = (most - 1) // per_owner  # so many owners at most
+    key, who, nr = F.col(duplicate), F.col(owner), F.col("__nr")
+    left = first(df, most, key, who).filter(nr <= F.when(key.isNotNull(), 1).when(who.isNotNull(), per_owner).otherwise(most))
+    left = first(left, most, who, F.when(who.isNull(), key))
+    left = first(left, most, key, F.when(key.isNull(), who)).filter(key.isNull() | (nr <= full + 1))
+    ranked = first(left, max(pool, (most - 1) * (full + 2) + full * most + 1))
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", rank int"
-    sizes = df.groupBy(segment).agg(F.count(F.lit(1)).alias("__all"))
-    done, left = None, df
-    while True:
-        ranked = left.withColumn("__nr", F.row_number().over(Window.partitionBy(segment).orderBy(*order))).filter(F.col("__nr") <= pool)
-        found = ranked.groupBy(segment).applyInPandas(fold, schema)
-        short = found.groupBy(segment).agg(F.count(F.lit(1)).alias("__found")).join(sizes.filter(F.col("__all") > pool), segment).filter(F.col("__found") < most).select(segment)
-        if short.isEmpty():
-            return found if done is None else done.unionByName(found)
-        ready = found.join(short, segment, "left_anti")
-        done, left, pool = ready if done is None else done.unionByName(ready), df.join(short, segment, "left_semi"), pool * 8
+    return ranked.groupBy(segment).applyInPandas(fold, schema)
 
 
 def cohort(df: DataFrame, segment: list[str], score: str, share: float = 0.05) -> DataFrame:

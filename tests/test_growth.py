@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hearthlake.functions import prose
-from hearthlake.operators import comps, geocode, valuation
+from hearthlake.operators import comps, geocode, leaders, valuation
 
 
 def test_near_homes_first(spark, monkeypatch):
@@ -71,3 +71,22 @@ def test_offers_are_dealt(spark):
 
     assert spark.read.parquet("/root/testdata/sf0.001/customer.parquet").rdd.getNumPartitions() == 1
     assert scores.offers(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_leaders_without_widening(spark):
+    """A segment that can't fill its list isn't folded again and again; rows that can't be taken don't change who is."""
+    rows = [(f"s{k % 2}", k, (k * 7919) % 1009, None if k % 11 == 0 else f"d{k * 31 % 97}", None if k % 401 == 0 else f"o{k * 17 % 13}") for k in range(3000)]
+    spark.sparkContext.setJobGroup("capped", "")
+    best = leaders.capped(spark.createDataFrame(rows, "seg string, id int, v int, dup string, own string"), "seg", [F.desc("v"), F.asc("id")], "dup", "own", most=40, per_owner=2)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("capped")
+    spark.sparkContext.setJobGroup("other", "")
+    want = []
+    for seg in ("s0", "s1"):
+        keys, places, taken = set(), {}, []
+        for _, ident, _, dup, own in sorted((r for r in rows if r[0] == seg), key=lambda r: (-r[2], r[1])):
+            if len(taken) < 40 and (own is None or places.get(own, 0) < 2) and (dup is None or dup not in keys):
+                keys.add(dup)
+                places[own] = places.get(own, 0) + 1
+                taken.append(ident)
+        want += [(seg, k, ident) for k, ident in enumerate(taken, 1)]
+    assert sorted((x.seg, x["rank"], x.id) for x in best.collect()) == want

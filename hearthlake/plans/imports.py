@@ -136,8 +136,8 @@ def _geometry(x: pd.Series, y: pd.Series, k: pd.Series) -> pd.Series:
 
 def _shaped(df: DataFrame, k) -> DataFrame:
     lat, lng = F.lit(49.2) + k * 7919 % 1300 / 1000.0, F.lit(19.1) + k * 104729 % 2300 / 1000.0 + F.when(k % 31 == 0, 9).otherwise(0)
-    at = crs.to_grid(lat, lng, crs.GRID_1992)
-    return df.withColumn("geometry", F.when(k % 7 != 0, F.pandas_udf(_geometry, "binary")(at["east"], at["north"], k)))
+    at = crs.with_grid(df, lat, lng, crs.GRID_1992, "__east", "__north")
+    return at.withColumn("geometry", F.when(k % 7 != 0, F.pandas_udf(_geometry, "binary")("__east", "__north", k)))
 
 
 def package_tables(spark, sf) -> dict[str, DataFrame]:

@@ -78,35 +78,52 @@ def mean_point(blob: bytes | None) -> tuple[float, float] | None:
     return tuple(every.astype(float).mean(axis=0)) if len(every) else None
 
 
+def _alike(same: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equally long geometries (rows of bytes) the means of all that are a point, a line or a polygon of one ring at ``at``, and which these are."""
+    size, out, done = same.shape[1], np.full((len(same), 2), np.nan), np.zeros(len(same), bool)
+    for mark, order in ((0, ">"), (1, "<")):
+        number = lambda p, order=order: np.ascontiguousarray(same[:, p : p + 4]).view(f"{order}u4")[:, 0]
+        for kind, start in ((1, at + 5), (2, at + 9), (3, at + 13)):
+            if start + 16 > size:
+                continue
+            fits = (same[:, at] == mark) & (number(at + 1) == kind)
+            if kind == 3:
+                fits &= number(at + 5) == 1
+            n = np.ones(len(same), int) if kind == 1 else number(start - 4).astype(int)
+            for count in np.unique(n[fits & (n > 0) & (n <= (size - start) // 16)]):
+                rows = fits & (n == count)
+                out[rows] = np.ascontiguousarray(same[rows, start : start + 16 * count]).view(f"{order}f8").reshape(-1, count, 2).astype(float).mean(axis=1)
+                done |= rows
+    return out, done
+
+
 def mean_points(blobs: pd.Series) -> pd.DataFrame:
-    """x, y for each; those that are points with one and the same header are decoded together."""
-    out = np.full((len(blobs), 2), np.nan)
+    """x, y for each; those of one length and header are decoded together, but for rare shapes."""
+    given = blobs.tolist()
+    out = np.full((len(given), 2), np.nan)
     alike: dict[tuple, list[int]] = {}
-    for k, blob in enumerate(blobs):
-        if blob is not None and len(blob) >= 29:
+    for k, blob in enumerate(given):
+        if blob is not None and len(blob) >= 8:
             alike.setdefault((len(blob), bytes(blob[:4])), []).append(k)
-        elif (point := mean_point(blob)) is not None:
-            out[k] = point
-    for (size, head), rows in alike.items():
-        at = 8 + ENVELOPES.get(head[3] >> 1 & 7, 0)
-        plain = head[:2] == b"GP" and not head[3] & 0x10 and size == at + 21
-        same = np.frombuffer(b"".join(blobs.iloc[k] for k in rows), np.uint8).reshape(-1, size) if plain else None
-        if plain and (same[:, at : at + 5] == [1, 1, 0, 0, 0]).all():
-            out[rows] = np.ascontiguousarray(same[:, at + 5 :]).view("<f8")
-        else:
-            for k in rows:
-                if (point := mean_point(blobs.iloc[k])) is not None:
-                    out[k] = point
+    for (size, head), found in alike.items():
+        if head[:2] != b"GP" or head[3] & 0x10:
+            continue
+        rows = np.array(found)
+        means, done = _alike(np.frombuffer(b"".join(given[k] for k in found), np.uint8).reshape(-1, size), 8 + ENVELOPES.get(head[3] >> 1 & 7, 0))
+        out[rows[done]] = means[done]
+        for k in rows[~done]:
+            if (point := mean_point(given[k])) is not None:
+                out[k] = point
     return pd.DataFrame({"x": pd.array(out[:, 0], "Float64"), "y": pd.array(out[:, 1], "Float64")}).where(lambda d: ~np.isnan(out))
 
 
 def located(df: DataFrame, geometry: str = "geometry") -> DataFrame:
     """df with lat and lng in place of its geometry; null without one, or outside the country."""
     decode = F.pandas_udf(mean_points, "x double, y double")
-    at = df.withColumn("__xy", decode(F.col(geometry))).withColumn("__at", crs.to_degrees(F.col("__xy.x"), F.col("__xy.y"), crs.GRID_1992))
+    at = crs.with_degrees(df.withColumn("__xy", decode(F.col(geometry))), F.col("__xy.x"), F.col("__xy.y"), crs.GRID_1992, "__lat", "__lng")
     south, north, west, east = COUNTRY
-    inside = (F.col("__at.lat") > south) & (F.col("__at.lat") < north) & (F.col("__at.lng") > west) & (F.col("__at.lng") < east)
-    return at.withColumns({"lat": F.when(inside, F.col("__at.lat")), "lng": F.when(inside, F.col("__at.lng"))}).drop("__xy", "__at", geometry)
+    inside = (F.col("__lat") > south) & (F.col("__lat") < north) & (F.col("__lng") > west) & (F.col("__lng") < east)
+    return at.withColumns({"lat": F.when(inside, F.col("__lat")), "lng": F.when(inside, F.col("__lng"))}).drop("__xy", "__lat", "__lng", geometry)
 
 
 def number(c: Column) -> Column:

@@ -237,3 +237,15 @@ def test_city_series(spark):
     rows = [("top", page(good)), ("nested", page(f'{{"city": {good}, "peers": [1]}}')), ("other", page(good.replace('"x"', '"y"'))), ("few", page(good.replace("11", "0"))), ("broken", page("{")), ("none", "<html/>"), ("null", None)]
     got = pages.city_series(spark.createDataFrame([(k, "x", h) for k, h in rows], "page string, slug string, html string")).collect()
     assert sorted((r["page"], r["quarter"], r["median_m2"], r["n"], r["name"]) for r in got) == sorted((p, q, m, n, "x") for p in ("top", "nested") for q, m, n in (("2023-Q4", 10.0, 3.0), ("2024-Q1", 11.0, 0.0)))
+
+
+def test_geometries_decoded_together(monkeypatch):
+    """Points, lines and plain polygons of both byte orders aren't decoded one by one."""
+    import pandas as pd
+
+    one_by_one, single = [], packages.mean_point
+    monkeypatch.setattr(packages, "mean_point", lambda b: one_by_one.append(b) or single(b))
+    many = [blob(kind, shape, order, envelope) for order in "<>" for envelope in (0, 1) for kind, shape in ((1, [(3.0, 5.0)]), (2, [(0.0, 0.0), (2.0, 4.0)]), (3, [RING]))] * 2
+    got = packages.mean_points(pd.Series(many))
+    assert [tuple(p) for p in got.itertuples(index=False)] == [single(b) for b in many] and not one_by_one
+    assert packages.mean_points(pd.Series([blob(3, [RING, HOLE])])).iloc[0]["x"] == 13 / 7 and len(one_by_one) == 1

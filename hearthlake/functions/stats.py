@@ -38,18 +38,20 @@ def bucket(v: Column) -> Column:
     return F.signum(v) * F.floor(F.log2(1 + F.abs(v)) * OCTAVE)
 
 
-def ranked(df: DataFrame, keys: list[str], x: Column, goals: dict[str, Callable[[Column], Column]], times: Column | None = None, empty: bool = False) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], x: Column, goals: dict[str, Callable[[Column], Column]], times: Column | None = None, empty: bool = False, copies: Column | None = None) -> DataFrame:
     """keys, n, rows and a column for each goal: the first of a group's sorted values whose running sum of ``times`` (1) reaches goal(n).
 
-    n is the sum over finite values, rows the number of all rows; groups without a finite value are left out unless ``empty``.
+    n is the sum over finite values, rows the number of all rows; groups without a finite value are left out unless ``empty``. A row can stand for
+    several equal ones (``copies``), which count in both.
 
     Exact for groups of any size without sorting a group in one task. Equal values are summed before the shuffle. Sums by bucket (at
     most some 500,000 of a group) tell in which one each goal lies; the values of that bucket alone are dealt to ``CELLS`` equal cells, and
     only those of the cell with the goal are put in order.
     """
     k = F.struct(*keys) if keys else F.struct(F.lit(0).alias("__all"))
-    v = df.select(k.alias("__k"), finite(x.cast("double")).alias("__v"), (F.lit(1).cast("long") if times is None else times).alias("__c"))
-    v = v.groupBy("__k", "__v").agg(F.sum(F.when(F.col("__v").isNotNull() & (F.col("__c") > 0), F.col("__c"))).alias("__c"), F.count(F.lit(1)).alias("__rows"))
+    one = F.lit(1).cast("long") if copies is None else copies
+    v = df.select(k.alias("__k"), finite(x.cast("double")).alias("__v"), (one if times is None else times).alias("__c"), one.alias("__rows"))
+    v = v.groupBy("__k", "__v").agg(F.sum(F.when(F.col("__v").isNotNull() & (F.col("__c") > 0), F.col("__c"))).alias("__c"), F.sum("__rows").alias("__rows"))
 
     def running(sums: DataFrame, by: list[str], order: str) -> DataFrame:
         run = F.sum("__c").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
@@ -79,11 +81,11 @@ def ranked(df: DataFrame, keys: list[str], x: Column, goals: dict[str, Callable[
     return out.select(*([f"__k.{c}" for c in keys]), F.coalesce("n", F.lit(0)).alias("n"), "rows", *goals)
 
 
-def quantiles(df: DataFrame, keys: list[str], x: Column, at: dict[str, float], empty: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], x: Column, at: dict[str, float], empty: bool = False, copies: Column | None = None) -> DataFrame:
     """keys, n, rows and a column for each: quantile()s by linear interpolation, for groups of any size."""
     place = lambda p, n: (n - 1) * F.lit(min(1.0, max(0.0, p)))
     goals = {f"{name}__{side}": lambda n, p=p, turn=turn: turn(place(p, n)) + 1 for name, p in at.items() for side, turn in (("low", F.floor), ("high", F.ceil))}
-    g = ranked(df, keys, x, goals, empty=empty)
+    g = ranked(df, keys, x, goals, empty=empty, copies=copies)
     between = {name: F.col(f"{name}__low") + (F.col(f"{name}__high") - F.col(f"{name}__low")) * (place(p, F.col("n")) - F.floor(place(p, F.col("n")))) for name, p in at.items()}
     return g.select(*keys, "n", "rows", *(c.alias(name) for name, c in between.items()))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.time import quarter
+from ..shared import cut
 
 LEAST_PERIOD, LEAST_BAND = 8, 3
 LOW_LINK, HIGH_LINK = 0.5, 2.0
@@ -23,8 +24,8 @@ VALID = {"flat": ("unit", (10, 250), (500, 60000)), "house": ("building", (20, 2
 
 def band_of(kind: str, area: Column) -> Column:
     out = None
-    for cut, name in BANDS[kind][:-1]:
-        out = F.when(area < cut, name) if out is None else out.when(area < cut, name)
+    for upper, name in BANDS[kind][:-1]:
+        out = F.when(area < upper, name) if out is None else out.when(area < upper, name)
     return out.otherwise(BANDS[kind][-1][1])
 
 
@@ -39,14 +40,19 @@ def segmented(tx: DataFrame, kind: str = "kind", area: str = "area_m2", price: s
     return tx.withColumn("__s", F.explode(F.array_compact(entries))).select("*", "__s.segment", "__s.band").drop("__s")
 
 
+def _counted(rows: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
+    """keys, period, __value, __rows: equal values with their number, cut off, as exact medians read their values three times."""
+    return cut(rows.select(*keys, quarter(F.col(ts)).alias("period"), F.col(value).alias("__value")).groupBy(*keys, "period", "__value").agg(F.count(F.lit(1)).alias("__rows")))
+
+
 def stratified_medians(rows: DataFrame, keys: list[str], ts: str, value: str, band: str = "band") -> DataFrame:
     """keys, period, band, band_median, band_n, overall_median, overall_n.
 
     Each row counts for its band and for the whole period, so that both medians come from one count of equal values.
     """
     levels = F.array(F.struct(F.lit(1).alias("of"), F.col(band).alias(band)), F.struct(F.lit(0).alias("of"), F.lit(None).cast("string").alias(band)))
-    spread = rows.select(*keys, quarter(F.col(ts)).alias("period"), F.explode(levels).alias("__at"), F.col(value).alias("__value")).select(*keys, "period", "__at.of", f"__at.{band}", "__value")
-    found = stats.quantiles(spread, [*keys, "period", "of", band], F.col("__value"), {"middle": 0.5}, empty=True)
+    spread = _counted(rows, [*keys, band], ts, value).select(*keys, "period", F.explode(levels).alias("__at"), "__value", "__rows").select(*keys, "period", "__at.of", f"__at.{band}", "__value", "__rows")
+    found = stats.quantiles(spread, [*keys, "period", "of", band], F.col("__value"), {"middle": 0.5}, empty=True, copies=F.col("__rows"))
     by_band = found.filter("of = 1").select(*keys, "period", band, F.col("middle").alias("band_median"), F.col("rows").alias("band_n"))
     whole = found.filter("of = 0").select(*keys, "period", F.col("middle").alias("overall_median"), F.col("rows").alias("overall_n"))
     return by_band.join(whole, [*keys, "period"])
@@ -54,7 +60,7 @@ def stratified_medians(rows: DataFrame, keys: list[str], ts: str, value: str, ba
 
 def period_medians(rows: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
     """keys, period, overall_median, overall_n, without the bands."""
-    found = stats.quantiles(rows.withColumn("period", quarter(F.col(ts))), [*keys, "period"], F.col(value), {"middle": 0.5}, empty=True)
+    found = stats.quantiles(_counted(rows, keys, ts, value), [*keys, "period"], F.col("__value"), {"middle": 0.5}, empty=True, copies=F.col("__rows"))
     return found.select(*keys, "period", F.col("middle").alias("overall_median"), F.col("rows").alias("overall_n"))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthlake.functions import stats
+from hearthlake.operators import prices
 from hearthlake.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -89,3 +90,15 @@ def test_huber_rounds(spark, monkeypatch):
         v, w = (np.array([r[n] for r in rows if r[0] == k]) for n in (1, 2))
         assert got[k] == pytest.approx(stats.robust_price(v, w, None, "huber"), rel=1e-6)
     assert len(seen) < 12 and max(seen) < 45
+
+
+def test_medians_of_copies(spark, monkeypatch):
+    """Equal values are counted once, and once only for all passes over them; copies count in medians and numbers."""
+    kept, cut = [], prices.cut
+    monkeypatch.setattr(prices, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    rows = [("k", "2000-02-01", band, v) for v, band, n in ((1.0, "a", 30), (2.0, "a", 29), (5.0, "b", 2), (None, "b", 4), (float("nan"), None, 3)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "k string, day string, band string, v double").withColumn("day", F.col("day").cast("timestamp"))
+    got = {x.band: (x.band_median, x.band_n, x.overall_median, x.overall_n) for x in prices.stratified_medians(df, ["k"], "day", "v").collect()}
+    assert got == {"a": (1.0, 59, 2.0, 68), "b": (5.0, 6, 2.0, 68), None: (None, 3, 2.0, 68)}
+    assert [tuple(x) for x in prices.period_medians(df, ["k"], "day", "v").collect()] == [("k", "2000-Q1", 2.0, 68)]
+    assert [x.count() for x in kept] == [5, 5]

@@ -27,10 +27,11 @@ SPECIFICITY, QUALITY = {"grid10": 3, "external_city": 2, "region": 1}, {"high":
 
 
 def series_of(points: DataFrame, keys: list[str], period: str, value: str) -> DataFrame:
-    """keys, series: the points of each series with a quarter and a positive value, as one array of struct<t, v> in order."""
+    """keys, series, trend: the points of each series with a quarter and a positive value, as one array of struct<t, v> in order, and its trend, for all who share it."""
     t, v = period_ordinal(F.col(period)), stats.finite(F.col(value).cast("double"))
     good = points.select(*keys, t.alias("t"), v.alias("v")).filter("t is not null and v > 0")
-    return good.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("t").cast("double").alias("t"), "v"))).alias("series"))
+    made = good.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("t").cast("double").alias("t"), "v"))).alias("series"))
+    return made.withColumn("trend", trend(F.col("series")))
 
 
 def picked(offers: DataFrame, models: DataFrame, key: str, geographies: dict[str, str]) -> DataFrame:
@@ -103,9 +104,10 @@ def score(annual_pct: Column) -> Column:
 
 def upside(offers: DataFrame, key: str) -> DataFrame:
     """offers (key, fair_m2, offer_m2, comp_spread_pct, series) -> key, horizon (quarters), expected, p10, p90, annualized, risk_adjusted (per cent a year), score, label; growth_pct,
-    fair_then and mispriced_pct are the same for all horizons of an offer. Offers without a fair price or a spread are left out."""
+    fair_then and mispriced_pct are the same for all horizons of an offer. Offers without a fair price or a spread are left out. Offers that have their series' ``trend`` needn't have it computed
+    for each of them."""
     good = offers.filter((F.col("fair_m2") > 0) & ~F.isnan("fair_m2") & (F.col("comp_spread_pct") >= 0))
-    rows = good.withColumn("__t", trend(F.col("series"))).withColumn("__gap", F.when(F.col("offer_m2") > 0, F.ln(F.col("fair_m2") / F.col("offer_m2"))))
+    rows = good.withColumn("__t", F.col("trend") if "trend" in offers.columns else trend(F.col("series"))).withColumn("__gap", F.when(F.col("offer_m2") > 0, F.ln(F.col("fair_m2") / F.col("offer_m2"))))
     t, gap = F.col("__t"), F.col("__gap")
 
     def ahead(q: int) -> Column:

@@ -61,7 +61,7 @@ def upside_potential(spark, sf):
     m = prices.period_medians(branded(spark, sf), ["p_brand"], "l_shipdate", "unit")
     p, k = t(spark, sf, "part"), F.col("p_partkey")
     offers = p.join(upside.series_of(m, ["p_brand"], "period", "overall_median"), "p_brand").select(
-        "p_partkey", F.col("p_retailprice").alias("fair_m2"), F.when(k % 6 != 0, F.col("p_retailprice") * (F.lit(0.7) + k % 7 * 0.1)).alias("offer_m2"), F.when(k % 11 != 0, (k % 60).cast("double")).alias("comp_spread_pct"), "series"
+        "p_partkey", F.col("p_retailprice").alias("fair_m2"), F.when(k % 6 != 0, F.col("p_retailprice") * (F.lit(0.7) + k % 7 * 0.1)).alias("offer_m2"), F.when(k % 11 != 0, (k % 60).cast("double")).alias("comp_spread_pct"), "trend"
     )
     found = upside.upside(offers, "p_partkey")
     return found.select("p_partkey", "horizon", *(r(c).alias(c) for c in ("expected", "p10", "p90", "annualized", "risk_adjusted", "growth_pct", "mispriced_pct")))

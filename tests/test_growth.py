@@ -90,3 +90,15 @@ def test_leaders_without_widening(spark):
                 taken.append(ident)
         want += [(seg, k, ident) for k, ident in enumerate(taken, 1)]
     assert sorted((x.seg, x["rank"], x.id) for x in best.collect()) == want
+
+
+def test_trend_of_a_series_once(spark, monkeypatch):
+    """Offers of one series share its trend."""
+    from hearthlake.operators import upside
+
+    points = spark.createDataFrame([("k", f"{2000 + q // 4}-Q{q % 4 + 1}", 100.0 + q * 3 + q % 5) for q in range(16)], "k string, period string, v double")
+    offers = spark.range(20).select(F.col("id"), F.lit("k").alias("k"), (F.lit(90.0) + F.col("id")).alias("fair_m2"), F.lit(100.0).alias("offer_m2"), F.lit(5.0).alias("comp_spread_pct"))
+    joined = offers.join(upside.series_of(points, ["k"], "period", "v"), "k")
+    alone = upside.upside(joined.drop("trend"), "id").collect()
+    monkeypatch.setattr(upside, "trend", None)
+    assert sorted(upside.upside(joined, "id").collect()) == sorted(alone) and len(alone) == 80

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..shared import cut
 from . import comps
 from .spatial import within_radius
 
@@ -29,7 +30,7 @@ def held_out(sales: DataFrame, key: str, most: int, seed: str = "holdout") -> Da
 
 
 def known_before(targets: DataFrame, sales: DataFrame, radius_m: float) -> DataFrame:
-    """Pairs of a target and an earlier sale around it, as comps.select takes them.
+    """Pairs of a target and an earlier sale around it, as comps.select takes them. Targets are a sample, so the sales stay where they are read.
 
     sales: id, lat, lng, date, price_m2, area_m2, rooms, market, kind, building, parcel, factor (to the target's time; null: unknown); targets: the same.
     """
@@ -39,7 +40,7 @@ def known_before(targets: DataFrame, sales: DataFrame, radius_m: float) -> DataF
     )
     c = sales.select("id", "lat", "lng", "date", "price_m2", "area_m2", "rooms", "market", "building", "parcel", "factor")
     apart = lambda a, b: F.col(a).isNull() | F.col(b).isNull() | (F.col(a) != F.col(b))
-    pairs = within_radius(t, c, radius_m).filter((F.col("r_id") != F.col("target_id")) & (F.col("r_date") <= F.col("t_as_of")) & apart("t_building", "r_building") & apart("t_parcel", "r_parcel"))
+    pairs = within_radius(F.broadcast(t), c, radius_m).filter((F.col("r_id") != F.col("target_id")) & (F.col("r_date") <= F.col("t_as_of")) & apart("t_building", "r_building") & apart("t_parcel", "r_parcel"))
     names = {"id": "c_id", "date": "c_date", "price_m2": "c_price", "area_m2": "c_area", "rooms": "c_rooms", "market": "c_market", "factor": "c_factor"}
     return pairs.select("target_id", "t_as_of", "t_area", "t_rooms", "t_market", "t_kind", "actual", "distance_m", *(F.col(f"r_{a}").alias(b) for a, b in names.items()), F.lit("rcn").alias("c_set"), F.lit(None).cast("double").alias("c_ratio"))
 
@@ -76,9 +77,9 @@ def summary(estimated: DataFrame, targets: DataFrame, by: str = "metric") -> Dat
 
 
 def backtest(sales: DataFrame, most: int, selection: comps.Selection, power: float = 0.0, metrics: tuple[str, ...] = METRICS, seed: str = "holdout") -> DataFrame:
-    """The summary of all estimators over a sample of the sales."""
-    targets = held_out(sales, "id", most, seed)
+    """The summary of all estimators over a sample of the sales. The sample and its estimates are cut off, as several columns need them."""
+    targets = cut(held_out(sales, "id", most, seed))
     chosen = comps.select(known_before(targets, sales, max(selection.radii_m)), selection)
     size = F.pow(F.col("c_area") / F.greatest("t_area", F.lit(1e-6)), F.lit(power))
     unknown = F.when(F.col("c_factor").isNull(), 0.7).otherwise(1.0)
-    return summary(estimates(chosen.withColumn("weight", F.col("weight") * unknown), F.col("c_price") * F.coalesce("c_factor", F.lit(1.0)) * size, metrics), targets)
+    return summary(cut(estimates(chosen.withColumn("weight", F.col("weight") * unknown), F.col("c_price") * F.coalesce("c_factor", F.lit(1.0)) * size, metrics)), targets)

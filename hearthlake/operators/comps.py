@@ -69,21 +69,20 @@ def select(pairs: DataFrame, s: Selection = Selection(), by: tuple[str, ...] = (
 
     With more columns in ``by`` each of their groups is chosen for itself.
 
-    A tier is a level and a radius. A row carries the first radius of each level that admits it, so one
-    count per target and tier decides: the first tier with enough rows, else the last that has any.
+    A tier is a level and a radius; a row stands in each that admits it. Of a tier only its best rows are shuffled, which also tell whether it has
+    enough: the first tier with enough rows is taken, else the last that has any.
     """
     tiers = []
     for level in range(len(s.bands)):
         for k, r in enumerate(s.radii_m):
             tiers.append(F.when(fits(s, level) & (F.col("distance_m").isNull() | (F.col("distance_m") <= r)), F.lit(level * len(s.radii_m) + k)))
-    rows = pairs.filter(in_time(s)).withColumn("__tiers", F.array_compact(F.array(*tiers))).filter(F.size("__tiers") > 0)
-    whole = Window.partitionBy(*by)
-    for t in range(len(tiers)):
-        rows = rows.withColumn(f"__n{t}", F.count_if(F.array_contains("__tiers", t)).over(whole))
-    first = F.coalesce(*(F.when(F.col(f"__n{t}") >= s.least, t) for t in range(len(tiers))), *(F.when(F.col(f"__n{t}") > 0, t) for t in reversed(range(len(tiers)))))
-    rows = rows.withColumn("tier", first).filter(F.array_contains("__tiers", F.col("tier"))).withColumn("weight", weight(s)).filter("weight > 0")
-    turn = F.row_number().over(whole.orderBy(F.desc("weight"), "c_id"))
-    return rows.withColumn("rank", turn).filter(F.col("rank") <= s.cap).drop("__tiers", *(f"__n{t}" for t in range(len(tiers))))
+    rows = pairs.filter(in_time(s)).withColumn("tier", F.explode(F.array_compact(F.array(*tiers)))).withColumn("weight", weight(s))
+    best = Window.partitionBy(*by, "tier").orderBy(F.desc("weight"), "c_id")
+    rows = rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= max(s.cap, s.least))
+    tier = Window.partitionBy(*by, "tier")
+    rows = rows.withColumn("__order", F.when(F.count(F.lit(1)).over(tier) >= s.least, F.col("tier")).otherwise(2 * len(tiers) - F.col("tier")))
+    rows = rows.withColumn("__first", F.min("__order").over(Window.partitionBy(*by))).filter(F.col("__order") == F.col("__first"))
+    return rows.filter((F.col("weight") > 0) & (F.col("rank") <= s.cap)).drop("__order", "__first")
 
 
 def adjusted_price(beta: float) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut, narrow
 from .charts import latest
 
 
@@ -42,6 +43,19 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[C
     return latest(new, keys, order).join(old.select(*keys), keys, "left_anti")
 
 
+def rarely_twice(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key of a table in which few keys come twice: only rows of such keys are moved, the others stay where they are read.
+
+    The keys that come twice are cut off. If they are many the result is the same, by joins that move all rows.
+    """
+    twice = narrow(cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(*(F.col(k).alias(f"__{k}") for k in keys))))
+    cond = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"__{k}"))
+        cond = one if cond is None else cond & one
+    return df.join(twice, cond, "left_anti").unionByName(latest(df.join(twice, cond, "left_semi"), keys, order))
+
+
 def fill_nulls(old: DataFrame, facts: DataFrame, key: str, columns: list[str]) -> DataFrame:
     f = facts.select(key, *(F.col(c).alias(f"f_{c}") for c in columns))
     j = old.join(f, key, "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import backtest, comps, forecast, joint, prices, upside
+from ..operators import backtest, comps, forecast, joint, prices, sinks, upside
 from .catalog import HAVERSINE_SQL, MEDIANS_SQL, POINT_SQL, branded, points, query, r, t
 
 SAMPLE = 150
@@ -28,8 +28,8 @@ rnd(avg(err) * 100, 4) as mean_bias, rnd(min(err) filter (j >= n * 0.5) * 100, 4
 def estimator_backtest(spark, sf):
     """Five estimators against 150 order lines that are held out; a line's part is its building, its order its parcel."""
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    lines = t(spark, sf, "lineitem").withColumn("id", k * 100_000 + F.col("l_partkey") * 10 + n)
-    first = lines.groupBy("id").agg(F.min(F.struct("l_shipdate", "l_quantity", "l_extendedprice", "l_suppkey", "l_partkey", "l_orderkey", "l_linestatus")).alias("x")).select("id", "x.*")
+    order = [F.asc(c) for c in ("l_shipdate", "l_quantity", "l_extendedprice", "l_suppkey", "l_linestatus")]
+    first = sinks.rarely_twice(t(spark, sf, "lineitem"), ["l_orderkey", "l_partkey", "l_linenumber"], order).withColumn("id", k * 100_000 + F.col("l_partkey") * 10 + n)
     place = points(t(spark, sf, "supplier"), "s_suppkey").withColumnRenamed("s_suppkey", "l_suppkey")
     sales = first.join(place, "l_suppkey").select(
         "id", "lat", "lng", F.col("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price_m2"), F.col("l_quantity").alias("area_m2"), F.lit(None).cast("int").alias("rooms"), F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("market"),

@@ -102,3 +102,55 @@ def test_trend_of_a_series_once(spark, monkeypatch):
     alone = upside.upside(joined.drop("trend"), "id").collect()
     monkeypatch.setattr(upside, "trend", None)
     assert sorted(upside.upside(joined, "id").collect()) == sorted(alone) and len(alone) == 80
+
+
+def test_best_of_each_tier(spark):
+    """Rows that no target can take aren't shuffled; who is taken is as by counting all rows of each tier."""
+    s = comps.Selection(radii_m=(500.0, 2000.0), cap=7)
+    rows = spark.sql("select id % 5 as target_id, id as c_id, 60.0D as t_area, cast(1 as int) as t_market, 'plot' as t_kind, cast(null as int) as t_rooms, timestamp '2001-11-05' as t_as_of, timestamp '2001-10-05' - make_interval(0, 0, 0, cast(id % 90 as int)) as c_date, cast(null as int) as c_rooms, 'rcn' as c_set, case when id % 5 = 4 then 200.0D when id % 5 = 3 and id > 12 then 30.0D + id % 7 * 60 else 30.0D + id * 13 % 60 end as c_area, cast(1 + id % 2 as int) as c_market, cast(id * 37 % 2400 as double) as distance_m from range(600) where id % 5 < 4 or id < 10")
+    got = comps.select(rows, s)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    want = []
+    every = rows.withColumn("weight", comps.weight(s)).collect()
+    for target in range(5):
+        mine = [x for x in every if x.target_id == target]
+        tiers = [[x for x in mine if low <= x.c_area / 60 <= high and (x.c_market == 1 or not same) and x.distance_m <= far] for low, high, same in s.bands for far in s.radii_m]
+        tier = next((k for k, some in enumerate(tiers) if len(some) >= s.least), max((k for k, some in enumerate(tiers) if some), default=None))
+        taken = [] if tier is None else sorted(tiers[tier], key=lambda x: (-x.weight, x.c_id))[: s.cap]
+        want += [(target, tier, rank, x.c_id) for rank, x in enumerate(taken, 1)]
+    assert sorted((x.target_id, x.tier, x["rank"], x.c_id) for x in got.collect()) == want
+    assert len({tier for _, tier, _, _ in want}) > 1 and any(len([w for w in want if w[0] == t]) < s.least for t in range(5))
+
+
+def test_sample_and_estimates_once(spark, monkeypatch):
+    """The sales are read once for the sample and once for its comparables, not for each column of the summary."""
+    from hearthlake.operators import backtest
+
+    kept, cut = [], backtest.cut
+    monkeypatch.setattr(backtest, "cut", lambda df: kept.append(df) or cut(df))
+    sales = spark.sql("select id, 50.0D as lat, 20.0D as lng, timestamp '2001-11-05' - make_interval(0, 0, 0, cast(id as int)) as date, 100.0D + id % 9 as price_m2, 50.0D + id % 3 as area_m2, cast(null as int) as rooms, 1 as market, 'flat' as kind, id as building, id as parcel, 1.0D as factor from range(60)")
+    found = backtest.backtest(sales, 10, comps.Selection()).collect()
+    assert len(kept) == 2 and {x.metric for x in found} == set(backtest.METRICS) and {x.n for x in found} == {10}
+
+
+def test_only_rows_of_repeated_keys_are_moved(spark):
+    from hearthlake.operators import sinks
+
+    rows = [(k, None if k == 3 else k % 7, v) for k in range(50) for v in ((2, 1) if k % 10 == 3 else (5,))]
+    got = sinks.rarely_twice(spark.createDataFrame(rows, "a int, b int, v int"), ["a", "b"], [F.asc("v")])
+    assert sorted((x.a, x.v) for x in got.collect()) == [(k, 1 if k % 10 == 3 else 5) for k in range(50)]
+    anti = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in anti and "SortMergeJoin" not in anti
+
+
+def test_lines_of_one_number(spark, tmp_path, monkeypatch):
+    """Two lines whose numbers are made alike are two sales, as in the SQL."""
+    from hearthlake.plans import evidence
+
+    seen = []
+    monkeypatch.setattr(evidence.backtest, "backtest", lambda sales, *a, **k: seen.append(sales.select("id", "parcel").collect()) or spark.sql("select 'x' as metric, 1L as n, " + ", ".join(f"1.0D as {c}" for c in ("mape", "med_ape", "rmse", "within10", "within20", "mean_bias", "median_bias", "mae", "no_estimate_pct"))))
+    line = "select {} as l_orderkey, {} as l_partkey, 1L as l_suppkey, 1 as l_linenumber, 2.0D as l_quantity, {}.0D as l_extendedprice, 'O' as l_linestatus, timestamp '2001-01-01' as l_shipdate"
+    spark.sql(" union all ".join(line.format(*x) for x in (("5L", "10001L", 7), ("6L", "1L", 8), ("6L", "1L", 9)))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select 1L as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    evidence.estimator_backtest(spark, str(tmp_path))
+    assert sorted(x.parcel for x in seen[0]) == [5, 6] and len({x.id for x in seen[0]}) == 1

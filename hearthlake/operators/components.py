@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -40,17 +40,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def cell_clusters(points: DataFrame, keys: list[str], size: float = 0.02) -> DataFrame:
-    """keys, cluster, n, lat_sum, lng_sum: clusters of occupied cells that touch, corners included. Null points don't count."""
+    """keys, cluster, n, lat_sum, lng_sum: clusters of occupied cells that touch, corners included, by their first cell. Null points don't count.
+
+    Cells of a row that lie side by side are one node of the graph, and nodes are numbers.
+    """
     g = F.struct(*keys).alias("g")
-    cells = cut(points.filter("lat is not null and lng is not null").groupBy(g, geo.cell(F.col("lat"), size).alias("r"), geo.cell(F.col("lng"), size).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("lat").alias("lat_sum"), F.sum("lng").alias("lng_sum")))
-    ahead = [(0, 1), (1, -1), (1, 0), (1, 1)]  # each touch once
-    beside = F.explode(F.array(*(F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in ahead)))
-    reach = cells.select("g", F.struct("g", "r", "c").alias("a"), beside.alias("at")).select("g", "a", "at.*")
-    touching = reach.join(cells.select("g", "r", "c"), ["g", "r", "c"]).select("a", F.struct("g", "r", "c").alias("b"))
-    root = components(touching)
-    own = cells.withColumn("node", F.struct("g", "r", "c")).join(root, "node", "left").withColumn("cluster", F.coalesce("root", "node"))
-    sums = own.groupBy("g", "cluster").agg(*(F.sum(x).alias(x) for x in ("n", "lat_sum", "lng_sum")))
-    return sums.select("g.*", F.struct("cluster.r", "cluster.c").alias("cluster"), "n", "lat_sum", "lng_sum")
+    cells = points.filter("lat is not null and lng is not null").groupBy(g, geo.cell(F.col("lat"), size).alias("r"), geo.cell(F.col("lng"), size).alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum("lat").alias("lat_sum"), F.sum("lng").alias("lng_sum"))
+    row = Window.partitionBy("g", "r").orderBy("c")
+    start = F.when(F.coalesce(F.col("c") - F.lag("c").over(row) > 1, F.lit(True)), F.col("id"))
+    cells = cells.withColumn("id", F.monotonically_increasing_id()).withColumn("start", start)
+    cells = cut(cells.withColumn("run", F.last("start", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))).drop("id", "start"))
+    above = cells.select("g", (F.col("r") + 1).alias("r"), F.explode(F.array(*(F.col("c") + k for k in (-1, 0, 1)))).alias("c"), F.col("run").alias("a"))
+    root = components(above.join(cells.select("g", "r", "c", F.col("run").alias("b")), ["g", "r", "c"]).select("a", "b"))
+    runs = cells.groupBy("g", F.col("run").alias("node")).agg(F.min("r").alias("r"), F.min("c").alias("c"), *(F.sum(x).alias(x) for x in ("n", "lat_sum", "lng_sum")))
+    own = runs.join(root, "node", "left").withColumn("of", F.coalesce("root", "node"))
+    sums = own.groupBy("g", "of").agg(F.min(F.struct("r", "c")).alias("cluster"), *(F.sum(x).alias(x) for x in ("n", "lat_sum", "lng_sum")))
+    return sums.select("g.*", "cluster", "n", "lat_sum", "lng_sum")
 
 
 def main_clusters(points: DataFrame, keys: list[str], size: float = 0.02, share: float = 0.8) -> DataFrame:

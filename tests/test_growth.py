@@ -154,3 +154,32 @@ def test_lines_of_one_number(spark, tmp_path, monkeypatch):
     spark.sql("select 1L as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
     evidence.estimator_backtest(spark, str(tmp_path))
     assert sorted(x.parcel for x in seen[0]) == [5, 6] and len({x.id for x in seen[0]}) == 1
+
+
+def test_rows_of_cells_are_one_node(spark, monkeypatch):
+    """Cells side by side in a row aren't nodes of their own; clusters are as by walking from cell to cell."""
+    import random
+
+    from hearthlake.operators import components
+
+    given, join = [], components.components
+    monkeypatch.setattr(components, "components", lambda e: given.append(e.distinct().count()) or join(e))
+    dice = random.Random(3)
+    block = {("b", r, c) for r in range(10) for c in range(10)}
+    some = {(f"g{dice.randrange(4)}", dice.randrange(-9, 9), dice.randrange(-9, 9)) for _ in range(400)} | {("ring", r, c) for r in range(5) for c in range(5) if {r, c} & {0, 4}}
+    df = lambda cells: spark.createDataFrame([(g, r * 0.02 + 0.01, c * 0.02 + 0.01) for g, r, c in sorted(cells)] * 2, "g string, lat double, lng double")
+    assert [(x.g, tuple(x.cluster), x.n) for x in components.cell_clusters(df(block), ["g"]).collect()] == [("b", (0, 0), 200)] and given == [9]
+    left, want = set(some), []
+    for cell in sorted(some):
+        if cell in left:
+            left.discard(cell)
+            queue, n = [cell], 0
+            while queue:
+                g, r, c = queue.pop()
+                n += 2
+                near = {(g, r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+                left -= near
+                queue += near
+            want.append((cell[0], cell[1:], n))
+    got = components.cell_clusters(df(some), ["g"]).collect()
+    assert sorted((x.g, tuple(x.cluster), x.n) for x in got) == sorted(want)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import crs
-from ..shared import shared_folder
+from ..shared import cut, shared_folder
 from ..sources import packages, pages, registry
 from .catalog import MEDIANS_SQL, branded, query, r, t
 
@@ -47,7 +47,9 @@ ROWS_A_FILE = 50_000
 
 
 def _write_xml(df: DataFrame, folder: str, root: str, row: str) -> None:
-    df.write.format("xml").option("rootTag", root).option("rowTag", row).option("validateName", False).option("maxRecordsPerFile", ROWS_A_FILE).save(folder)
+    """Compressed and without indents: tags are most of the text, which would be many times its table."""
+    packed = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "indent": ""}
+    df.write.format("xml").options(rootTag=root, rowTag=row, validateName=False, maxRecordsPerFile=ROWS_A_FILE, **packed).save(folder)
 
 
 def registry_files(spark, sf) -> dict[str, str]:
@@ -57,7 +59,8 @@ def registry_files(spark, sf) -> dict[str, str]:
     k, n, p, s, o = F.col("l_orderkey"), F.col("l_linenumber"), F.col("p_partkey"), F.col("s_suppkey"), F.col("o_orderkey")
     key = k * 10 + n
     own = t(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_suppkey").alias("s"))
-    parts = t(spark, sf, "part").join(own, "p_partkey", "left").withColumn("s", F.coalesce("s", F.lit(1).cast("long")))
+    parts = t(spark, sf, "part").join(own, "p_partkey", "left").select("p_partkey", F.coalesce("s", F.lit(1).cast("long")).alias("s"))
+    parts = cut(parts)  # two types are made of them
     suppliers = t(spark, sf, "supplier")
     kinds = {
         "RCN_Transakcja": t(spark, sf, "lineitem").select(
@@ -90,7 +93,7 @@ y as (select case when l_linenumber = 2 then 'T' else 'TX/' end || key as transa
 case when p % 3 <> 0 and s % 4 <> 0 then cast(s % 99 as varchar) end as street_number, market, rnd(spot[1], 6) as lat, rnd(spot[2], 6) as lng, case when p % 5 <> 0 and s % 2 = 0 then '126105_9.' || s end as parcel_id from y where reason is null""")
 def registry_import(spark, sf):
     """What the import of the written files adds."""
-    rows = registry.transactions(spark, registry_files(spark, sf)).filter("reason is null").drop("reason")
+    rows = registry.transactions(spark, registry_files(spark, sf), imported=True).drop("reason")
     return rows.withColumns({"date": F.date_format("date", "yyyy-MM-dd"), "price_per_m2": r("price_per_m2"), "lat": r("lat", 6), "lng": r("lng", 6)})
 
 

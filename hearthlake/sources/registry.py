@@ -78,29 +78,40 @@ def parcels(spark: SparkSession, path: str | dict[str, str]) -> DataFrame:
     return p.withColumns({"lat": (F.col("south") + F.col("north")) / 2, "lng": (F.col("west") + F.col("east")) / 2})
 
 
-def transactions(spark: SparkSession, path: str | dict[str, str]) -> DataFrame:
+def transactions(spark: SparkSession, path: str | dict[str, str], imported: bool = False) -> DataFrame:
     """One row for each transaction; ``reason`` tells why it isn't imported (not_sale, not_flat, no_place, no_date; null if it is).
 
     transaction_id, date, price, price_per_m2, area_m2, rooms, floor, street, street_number, market, lat, lng, parcel_id, reason. The point is
-    the unit's own, else the property's, the parcel's, the building's.
+    the unit's own, else the property's, the parcel's, the building's. With ``imported`` there are only those without a reason.
+
+    Properties get all that they refer to first, so that the transactions, by far the most rows, are moved twice only: to their documents and to
+    their properties.
     """
     at = lambda df: df.withColumn("at", position(F.col("pos_text")))
-    tx = features(spark, path, "RCN_Transakcja")
-    prop = at(features(spark, path, "RCN_Nieruchomosc")).select(F.col("id").alias("nieruchomosc"), F.lit(True).alias("has_property"), "lokal", "dzialka", "budynek", F.col("at").alias("at1"))
+    prop = at(features(spark, path, "RCN_Nieruchomosc")).select(F.col("id").alias("nieruchomosc"), "lokal", "dzialka", "budynek", F.col("at").alias("at1"))
     unit = at(features(spark, path, "RCN_Lokal")).select(F.col("id").alias("lokal"), "funkcjaLokalu", "nrKondygnacji", "powUzytkowaLokalu", "liczbaIzb", "adresBudynkuZLokalem", F.col("at").alias("at0"))
     parcel = at(features(spark, path, "RCN_Dzialka")).select(F.col("id").alias("dzialka"), F.col("at").alias("at2"), F.when(ring(F.col("ring_text")).isNotNull(), F.nullif(F.trim("idDzialki"), F.lit(""))).alias("parcel_id"))
     building = at(features(spark, path, "RCN_Budynek")).select(F.col("id").alias("budynek"), F.col("at").alias("at3"))
     document = features(spark, path, "RCN_Dokument").select(F.col("id").alias("podstawaPrawna"), F.try_to_timestamp(F.trim("dataSporzadzeniaDokumentu")).alias("date"))
     address = features(spark, path, "RCN_Adres").select(F.col("id").alias("adresBudynkuZLokalem"), F.nullif("ulica", F.lit("")).alias("street"), F.nullif("numerPorzadkowy", F.lit("")).alias("street_number"))
-    j = tx.join(prop, "nieruchomosc", "left").join(unit, "lokal", "left").join(parcel, "dzialka", "left").join(building, "budynek", "left").join(document, "podstawaPrawna", "left").join(address, "adresBudynkuZLokalem", "left")
-    place, price, size, rooms = F.coalesce("at0", "at1", "at2", "at3"), F.coalesce(number(F.col("cenaTransakcjiBrutto")), F.lit(0.0)), number(F.col("powUzytkowaLokalu")), number(F.col("liczbaIzb")).cast("int")
-    area = F.when(size > 0, size)
-    flat = F.coalesce(F.col("funkcjaLokalu") == FLAT, F.lit(False))
-    reason = F.when(~F.coalesce(F.col("rodzajTransakcji") == SALE, F.lit(False)), "not_sale").when(~flat, "not_flat").when(place.isNull(), "no_place").when(F.col("date").isNull(), "no_date")
-    return j.select(
-        F.coalesce("oznaczenieTransakcji", "id").alias("transaction_id"), "date", price.alias("price"), (price / area).alias("price_per_m2"), area.alias("area_m2"), F.when(rooms > 0, rooms).alias("rooms"),
-        F.nullif("nrKondygnacji", F.lit("")).alias("floor"), "street", "street_number", number(F.col("rodzajRynku")).cast("int").alias("market"), place["lat"].alias("lat"), place["lng"].alias("lng"), "parcel_id", reason.alias("reason"),
+    j = prop.join(unit, "lokal", "left").join(parcel, "dzialka", "left").join(building, "budynek", "left").join(address, "adresBudynkuZLokalem", "left")
+    place, size, rooms = F.coalesce("at0", "at1", "at2", "at3"), number(F.col("powUzytkowaLokalu")), number(F.col("liczbaIzb")).cast("int")
+    whole = j.select(
+        "nieruchomosc", F.coalesce(F.col("funkcjaLokalu") == FLAT, F.lit(False)).alias("flat"), F.when(size > 0, size).alias("area_m2"), F.when(rooms > 0, rooms).alias("rooms"), F.nullif("nrKondygnacji", F.lit("")).alias("floor"),
+        "street", "street_number", place["lat"].alias("lat"), place["lng"].alias("lng"), place.isNotNull().alias("placed"), "parcel_id",
+    )
+    tx = features(spark, path, "RCN_Transakcja").select(
+        F.coalesce("oznaczenieTransakcji", "id").alias("transaction_id"), F.coalesce(F.col("rodzajTransakcji") == SALE, F.lit(False)).alias("sale"), F.coalesce(number(F.col("cenaTransakcjiBrutto")), F.lit(0.0)).alias("price"),
+        number(F.col("rodzajRynku")).cast("int").alias("market"), "podstawaPrawna", "nieruchomosc",
     )
+    if imported:
+        tx, document, whole, how = tx.filter("sale"), document.filter("date is not null"), whole.filter("flat and placed"), "inner"
+    else:
+        how = "left"
+    j = tx.join(document, "podstawaPrawna", how).join(whole, "nieruchomosc", how)
+    lacks = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    reason = F.when(~F.col("sale"), "not_sale").when(lacks("flat"), "not_flat").when(lacks("placed"), "no_place").when(F.col("date").isNull(), "no_date")
+    return j.select("transaction_id", "date", "price", (F.col("price") / F.col("area_m2")).alias("price_per_m2"), "area_m2", "rooms", "floor", "street", "street_number", "market", "lat", "lng", "parcel_id", reason.alias("reason"))
 
 
 # Elements of the land survey's pages, bounds of the tracked regions, the placeholder for a value that isn't shown.

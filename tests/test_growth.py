@@ -204,3 +204,35 @@ def test_values_around_are_counted_by_band(spark, monkeypatch):
         want = np.quantile(good, [0.25, 0.5, 0.75]).tolist() if good else [None] * 3
         assert [x.low, x.middle, x.high] == want if not good else np.allclose([x.low, x.middle, x.high], want, rtol=1e-12), x
     assert given[0] < sum(len(v) for v in around.values()) / 20
+
+
+def test_registry_text_is_small(spark):
+    """Tags are most of a registry's text; it takes no more room than some of the tables it is made of."""
+    import glob
+    import os
+
+    from hearthlake.plans import imports
+
+    paths = imports.registry_files(spark, "/root/testdata/sf0.001")
+    files = [f for p in paths.values() for f in glob.glob(f"{p.removeprefix('file:')}/part-*")]
+    assert len(files) >= 7 and sum(map(os.path.getsize, files)) < 2 * os.path.getsize("/root/testdata/sf0.001/lineitem.parquet")
+
+
+def test_transactions_are_moved_twice(spark):
+    """To their documents and to their properties, which have all else by then."""
+    from hearthlake.plans import imports
+    from hearthlake.sources import registry
+
+    paths, at = imports.registry_files(spark, "/root/testdata/sf0.001"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.transactions(spark, paths)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at)
+    deep = lambda line: len(line) - len(line.lstrip(" :+-|"))
+    k = next(k for k, line in enumerate(plan) if "Scan xml" in line and "rodzajTransakcji" in line)
+    above, depth = [], deep(plan[k])
+    for line in reversed(plan[:k]):
+        if deep(line) < depth:
+            above, depth = [*above, line], deep(line)
+    assert sum("Join" in line for line in above) == 2

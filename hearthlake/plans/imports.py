@@ -52,15 +52,19 @@ def _write_xml(df: DataFrame, folder: str, root: str, row: str) -> None:
     df.write.format("xml").options(rootTag=root, rowTag=row, validateName=False, maxRecordsPerFile=ROWS_A_FILE, **packed).save(folder)
 
 
-def registry_files(spark, sf) -> dict[str, str]:
-    """Folders by type: lines as transactions of parts (properties with a unit), which have a supplier's parcel, building and address; orders as documents."""
+def registry_files(spark, sf, *only: str) -> dict[str, str]:
+    """Folders by type: lines as transactions of parts (properties with a unit), which have a supplier's parcel, building and address; orders as documents.
+
+    Of the types named, if any: a query that reads one type has no use for the others' files.
+    """
     folder = shared_folder(spark, "registry")
     ident = lambda prefix, k: F.concat(F.lit(prefix), k.cast("string")).alias("_gml:id")
     k, n, p, s, o = F.col("l_orderkey"), F.col("l_linenumber"), F.col("p_partkey"), F.col("s_suppkey"), F.col("o_orderkey")
     key = k * 10 + n
     own = t(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_suppkey").alias("s"))
     parts = t(spark, sf, "part").join(own, "p_partkey", "left").select("p_partkey", F.coalesce("s", F.lit(1).cast("long")).alias("s"))
-    parts = cut(parts)  # two types are made of them
+    if not only:
+        parts = cut(parts)  # two types are made of them
     suppliers = t(spark, sf, "supplier")
     kinds = {
         "RCN_Transakcja": t(spark, sf, "lineitem").select(
@@ -75,6 +79,7 @@ def registry_files(spark, sf) -> dict[str, str]:
         "RCN_Dzialka": suppliers.select(ident("P", s), F.concat(F.lit(" 126105_9."), s.cast("string"), F.lit(" ")).alias("rcn:idDzialki"), _pos(s + 2, s % 3 == 0).alias("rcn:georeferencja"), F.when(s % 2 == 0, _square(s)).alias("rcn:geometria")),
         "RCN_Budynek": suppliers.select(ident("B", s), _pos(s + 3, s % 3 == 1).alias("rcn:georeferencja")),
     }
+    kinds = {kind: df for kind, df in kinds.items() if not only or kind in only}
     for kind, df in kinds.items():
         _write_xml(df, f"{folder}/{kind}", f"registry {NAMESPACES}", f"rcn:{kind}")
     return {kind: f"{folder}/{kind}" for kind in kinds}
@@ -107,7 +112,7 @@ h as (select case when l_linenumber = 2 then 'T' else 'TX/' end || (l_orderkey *
 select transaction_id, case when u.transaction_id is not null then u.parcel_id else h.parcel_id end as parcel_id from h left join u using (transaction_id)""")
 def parcel_backfill(spark, sf):
     """Parcels of all transactions that were read, onto those that were held before."""
-    updates = registry.transactions(spark, registry_files(spark, sf)).filter("reason is null").select("transaction_id", "parcel_id")
+    updates = registry.transactions(spark, registry_files(spark, sf), imported=True).select("transaction_id", "parcel_id")
     key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     held = t(spark, sf, "lineitem").filter("l_orderkey % 2 = 0").select(F.concat(F.when(F.col("l_linenumber") == 2, "T").otherwise("TX/"), key.cast("string")).alias("transaction_id"), F.lit("old").alias("parcel_id"))
     return registry.backfill(held, updates, "transaction_id", "parcel_id")

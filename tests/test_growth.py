@@ -236,3 +236,13 @@ def test_transactions_are_moved_twice(spark):
         if deep(line) < depth:
             above, depth = [*above, line], deep(line)
     assert sum("Join" in line for line in above) == 2
+
+
+def test_only_the_imported(spark):
+    """Asked for alone, they are those without a reason."""
+    from hearthlake.plans import imports
+    from hearthlake.sources import registry
+
+    paths = imports.registry_files(spark, "/root/testdata/sf0.001")
+    every, some = registry.transactions(spark, paths), registry.transactions(spark, paths, imported=True)
+    assert sorted(map(str, some.collect())) == sorted(map(str, every.filter("reason is null").collect())) and 0 < some.count() < every.count()

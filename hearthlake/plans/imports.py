@@ -120,7 +120,7 @@ def parcel_backfill(spark, sf):
 
 @query("""select '126105_9.' || s_suppkey as registry_id, rnd(49.85 + (s_suppkey * 7919 % 450) / 1000.0 + 0.0005, 6) as lat, rnd(19.65 + (s_suppkey * 104729 % 750) / 1000.0 + 0.0005, 6) as lng, 5 as corners from supplier where s_suppkey % 2 = 0""")
 def registry_parcels(spark, sf):
-    return registry.parcels(spark, registry_files(spark, sf)).select("registry_id", r("lat", 6).alias("lat"), r("lng", 6).alias("lng"), F.size("ring").alias("corners"))
+    return registry.parcels(spark, registry_files(spark, sf, "RCN_Dzialka")).select("registry_id", r("lat", 6).alias("lat"), r("lng", 6).alias("lng"), F.size("ring").alias("corners"))
 
 
 # ---- packages ---------------------------------------------------------------------------------------

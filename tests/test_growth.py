@@ -246,3 +246,12 @@ def test_only_the_imported(spark):
     paths = imports.registry_files(spark, "/root/testdata/sf0.001")
     every, some = registry.transactions(spark, paths), registry.transactions(spark, paths, imported=True)
     assert sorted(map(str, some.collect())) == sorted(map(str, every.filter("reason is null").collect())) and 0 < some.count() < every.count()
+
+
+def test_parcels_need_no_other_files(spark, monkeypatch):
+    from hearthlake.plans import imports
+
+    written, write = [], imports._write_xml
+    monkeypatch.setattr(imports, "_write_xml", lambda df, folder, *a: written.append(folder.split("/")[-1]) or write(df, folder, *a))
+    rows = imports.registry_parcels(spark, "/root/testdata/sf0.001").count()
+    assert written == ["RCN_Dzialka"] and rows == spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").filter("s_suppkey % 2 = 0").count()

@@ -255,3 +255,19 @@ def test_parcels_need_no_other_files(spark, monkeypatch):
     monkeypatch.setattr(imports, "_write_xml", lambda df, folder, *a: written.append(folder.split("/")[-1]) or write(df, folder, *a))
     rows = imports.registry_parcels(spark, "/root/testdata/sf0.001").count()
     assert written == ["RCN_Dzialka"] and rows == spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").filter("s_suppkey % 2 = 0").count()
+
+
+def test_keys_of_spots_stay_lists(spark, monkeypatch):
+    """No pair of keys is a row that is moved or joined; all of them come out, null keys and those of several lists, too."""
+    from hearthlake.operators import spatial
+
+    dealt, spread = [], spatial.spread
+    monkeypatch.setattr(spatial, "spread", lambda df, *k: dealt.append(df.count()) or spread(df, *k))
+    monkeypatch.setattr(spatial, "PART", 4)
+    monkeypatch.setattr(spatial, "PART_LEFT", 16, raising=False)
+    ids = [*range(59), None]
+    places = spark.createDataFrame([(k, 50.0, 20.0) for k in ids] + [(99, None, 20.0)], "id long, lat double, lng double")
+    others = spark.createDataFrame([(k, 50.001, 20.0) for k in ids[-20:]] + [(5, 51.0, 20.0)], "other long, lat double, lng double")
+    got = spatial.all_pairs(places, others, "id", "other", 500.0).collect()
+    assert sorted((str(x.id), str(x.r_other)) for x in got) == sorted((str(a), str(b)) for a in ids for b in ids[-20:])
+    assert dealt[:2] == [1, 2] and dealt[2] <= 4 * 5

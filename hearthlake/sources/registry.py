@@ -32,29 +32,38 @@ def number(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1), F.lit("")).try_cast("double")
 
 
+def _numbers(text: Column) -> Column:
+    return F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda p: p.try_cast("double"))
+
+
 def _pair(a: Column, b: Column, first: Column) -> Column:
     """struct<lat, lng> of two coordinates of which the first or the second is the easting; null out of bounds."""
-    east, north = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
-    return F.when(east.between(*EASTINGS) & north.between(*NORTHINGS), crs.to_degrees(east, north, crs.GRID_2000_21))
+    sides = F.struct(F.when(first, a).otherwise(b).alias("east"), F.when(first, b).otherwise(a).alias("north"))
+    return crs.once(sides, lambda p: F.when(p["east"].between(*EASTINGS) & p["north"].between(*NORTHINGS), crs.to_degrees(p["east"], p["north"], crs.GRID_2000_21)))
 
 
 def position(text: Column) -> Column:
     """struct<lat, lng> of "northing easting" or the other way round; null if a part isn't a number."""
-    parts = F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda p: p.try_cast("double"))
-    good = (F.size(parts) >= 2) & ~F.exists(parts, lambda p: p.isNull() | F.isnan(p))
-    a, b = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    return F.when(good, _pair(a, b, a.between(*EASTINGS)))
+
+    def at(parts: Column) -> Column:
+        good = (F.size(parts) >= 2) & ~F.exists(parts, lambda p: p.isNull() | F.isnan(p))
+        a, b = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        return F.when(good, _pair(a, b, a.between(*EASTINGS)))
+
+    return crs.once(_numbers(text), at)
 
 
 def ring(text: Column) -> Column:
     """array<struct<lat, lng>> of a list of coordinates; the first pair tells the order of all, pairs out of bounds are left out; null under 4 points."""
-    parts = F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda p: p.try_cast("double"))
-    good = (F.size(parts) >= 6) & ~F.exists(parts, lambda p: p.isNull() | F.isnan(p))
-    first = F.get(parts, F.lit(0)).between(*EASTINGS)
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1), lambda k: _pair(F.get(parts, 2 * k), F.get(parts, 2 * k + 1), first))
-    known = first | F.get(parts, F.lit(1)).between(*EASTINGS)
-    out = F.filter(F.when(good & known, pairs), lambda p: p.isNotNull())
-    return F.when(F.size(out) >= 4, out)
+
+    def corners(parts: Column) -> Column:
+        good = (F.size(parts) >= 6) & ~F.exists(parts, lambda p: p.isNull() | F.isnan(p))
+        first = F.get(parts, F.lit(0)).between(*EASTINGS)
+        pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / 2).cast("int") - 1), lambda k: _pair(F.get(parts, 2 * k), F.get(parts, 2 * k + 1), first))
+        known = first | F.get(parts, F.lit(1)).between(*EASTINGS)
+        return F.filter(F.when(good & known, pairs), lambda p: p.isNotNull())
+
+    return crs.once(crs.once(_numbers(text), corners), lambda out: F.when(F.size(out) >= 4, out))
 
 
 def features(spark: SparkSession, path: str | dict[str, str], kind: str) -> DataFrame:

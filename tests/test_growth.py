@@ -271,3 +271,12 @@ def test_keys_of_spots_stay_lists(spark, monkeypatch):
     got = spatial.all_pairs(places, others, "id", "other", 500.0).collect()
     assert sorted((str(x.id), str(x.r_other)) for x in got) == sorted((str(a), str(b)) for a in ids for b in ids[-20:])
     assert dealt[:2] == [1, 2] and dealt[2] <= 4 * 5
+
+
+def test_coordinates_are_split_once(spark):
+    """A ring's text is split and read once, not for each use of a coordinate."""
+    from hearthlake.sources import registry
+
+    df = spark.createDataFrame([("7423000.5 5546000.25",), (None,)], "t string").select(registry.ring(F.col("t")).alias("ring"), registry.position(F.col("t")).alias("at"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 2
+    assert [x.ring for x in df.collect()] == [None, None] and [x["at"] is None for x in df.collect()] == [False, True]
